@@ -101,4 +101,114 @@ SELECT doc_id, len(list_slice(tokens, 1, 1024))::BIGINT AS n_head, {arr_md5('lis
     q["tail_context"] = f"""WITH {DOC_TOKENS}
 SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
   {arr_md5('list_slice(tokens, len(tokens) - least(len(tokens), 1024) + 1, len(tokens))')} AS ctx_md5 FROM doc_tok"""
+    q.update(eval_oracles())
+    return q
+
+
+# ----------------------------------------------------------------- evaluation twins
+MODEL = f"""train AS (
+  SELECT doc_id, {hashed_ids('text')} AS t FROM documents WHERE length(coalesce(text, '')) > 0
+), tr AS (SELECT * FROM train WHERE len(t) > 0
+), toks AS (SELECT doc_id, generate_subscripts(t, 1) AS i, unnest(t) AS tok FROM tr
+), uni AS (SELECT tok, count(*) AS c FROM toks GROUP BY tok
+), st AS (SELECT sum(c) AS n, count(*) + 1 AS v FROM uni
+), tp AS (SELECT doc_id, i, lag(tok) OVER (PARTITION BY doc_id ORDER BY i) AS ctx, tok AS nxt FROM toks
+), big AS (SELECT ctx, nxt, count(*) AS c FROM tp WHERE ctx IS NOT NULL GROUP BY ctx, nxt
+), cx AS (SELECT ctx, sum(c) AS total FROM big GROUP BY ctx)"""
+
+
+def scored(rel: str, kind: str = "bigram") -> str:
+    """Score ``rel(…, ctx, nxt)``: adds p and nll (twin of ``evaluation.score_pairs``)."""
+    q = "(coalesce(uni.c, 0) + 1)::DOUBLE / (st.n + st.v)::DOUBLE"
+    if kind == "unigram":
+        p = q
+    else:
+        p = f"CASE WHEN cx.total IS NOT NULL THEN 0.9::DOUBLE * coalesce(big.c, 0) / cx.total + 0.1::DOUBLE * {q} ELSE {q} END"
+    return f"""(SELECT r.*, {p} AS p, -ln({p}) AS nll
+  FROM {rel} r CROSS JOIN st LEFT JOIN uni ON uni.tok = r.nxt LEFT JOIN cx ON cx.ctx = r.ctx
+  LEFT JOIN big ON big.ctx = r.ctx AND big.nxt = r.nxt)"""
+
+
+HELDOUT = f"""j AS (SELECT left(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY item_id), 200000) AS s FROM benchmark
+), ht AS (SELECT {hashed_ids('s')} AS t FROM j
+), hp AS (SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tok FROM ht
+), hpairs AS (SELECT pos, lag(tok) OVER (ORDER BY pos) AS ctx, tok AS nxt FROM hp)"""
+
+
+def perplexity(scored_rel: str, lengths_rel: str, key: str) -> str:
+    """Twin of ``evaluation.sliding_perplexity`` over ``scored_rel(key, pos, nll)``."""
+    return f"""(WITH w AS (SELECT {key}, L, unnest(range(0, L, 512)) AS i FROM {lengths_rel} WHERE L > 0),
+  pw AS (SELECT {key}, (pos // 512) * 512 AS i, avg(nll) AS m, count(nll) AS nt FROM {scored_rel} WHERE pos >= 1 GROUP BY ALL),
+  ww AS (SELECT w.{key}, w.L, w.i, least(w.i + 512, w.L) - w.i AS trg_len, pw.m, pw.nt FROM w LEFT JOIN pw USING ({key}, i))
+  SELECT {key}, any_value(L)::BIGINT AS n_tokens, count(*)::BIGINT AS n_windows, coalesce(sum(nt), 0)::BIGINT AS n_targets,
+    exp(sum(m * trg_len) / any_value(L)) AS ppl
+  FROM ww GROUP BY {key})"""
+
+
+def eval_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["next_token_pairs"] = f"""WITH {DOC_TOKENS},
+toks AS (SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS tok FROM doc_tok),
+pr AS (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok AS nxt FROM toks)
+SELECT doc_id, count(*)::BIGINT AS n_pairs, sum(pos * (ctx + 1) + nxt)::BIGINT AS checksum FROM pr WHERE ctx IS NOT NULL GROUP BY doc_id"""
+    q["ngram_fit"] = f"""WITH {MODEL}
+SELECT big.ctx, any_value(cx.total)::BIGINT AS n_ctx, count(*)::BIGINT AS n_next,
+  round(max(0.9::DOUBLE * big.c / cx.total + 0.1::DOUBLE * ((coalesce(uni.c, 0) + 1)::DOUBLE / (st.n + st.v)::DOUBLE)), 6) AS p_top
+FROM big JOIN cx USING (ctx) LEFT JOIN uni ON uni.tok = big.nxt CROSS JOIN st GROUP BY big.ctx"""
+    q["next_token_nll"] = f"""WITH {MODEL}, {HELDOUT},
+pr AS (SELECT pos, ctx, nxt FROM hpairs WHERE ctx IS NOT NULL)
+SELECT pos::BIGINT AS pos, ctx, nxt AS next, round(nll, 6) AS nll FROM {scored('pr')}"""
+    q["masked_cross_entropy"] = f"""{CORPUS_ROWS}, {MODEL},
+lp AS (SELECT doc_id, input_ids[k - 1] AS ctx, labels[k] AS nxt
+  FROM (SELECT doc_id, input_ids, labels, unnest(range(2, 1025)) AS k FROM built) WHERE labels[k] <> -100),
+s AS {scored('lp')}
+SELECT b.doc_id, count(s.nll)::BIGINT AS n_valid, round(avg(s.nll), 6) AS mean_nll
+FROM built b LEFT JOIN s USING (doc_id) GROUP BY b.doc_id"""
+    q["sliding_windows"] = f"""WITH {DOC_TOKENS},
+w AS (SELECT doc_id, len(tokens) AS L, unnest(range(0, len(tokens), 512)) AS i FROM doc_tok)
+SELECT doc_id, i::BIGINT AS i, greatest(i + 512 - 1024, 0)::BIGINT AS begin_loc, least(i + 512, L)::BIGINT AS end_loc,
+  (least(i + 512, L) - i)::BIGINT AS trg_len FROM w"""
+    q["window_membership"] = f"""WITH {DOC_TOKENS},
+w AS (SELECT doc_id, len(tokens) AS L, unnest(range(0, len(tokens), 512)) AS i FROM doc_tok),
+b AS (SELECT doc_id, L, i, greatest(i + 512 - 1024, 0) AS b, least(i + 512, L) AS e FROM w)
+SELECT doc_id, i::BIGINT AS i, (e - greatest(i, 1))::BIGINT AS n_target, (greatest(i, 1) - b)::BIGINT AS n_context FROM b"""
+    q["sliding_perplexity"] = f"""WITH {MODEL},
+it AS (SELECT item_id, {hashed_ids('text')} AS t FROM benchmark WHERE length(coalesce(text, '')) > 0),
+itn AS (SELECT item_id, t FROM it WHERE len(t) > 0),
+lens AS (SELECT item_id, len(t) AS L FROM itn),
+ip AS (SELECT item_id, generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tok FROM itn),
+pr AS (SELECT item_id, pos, lag(tok) OVER (PARTITION BY item_id ORDER BY pos) AS ctx, tok AS nxt FROM ip),
+sc AS (SELECT * FROM {scored('(SELECT * FROM pr WHERE ctx IS NOT NULL)')})
+SELECT item_id, n_tokens, n_windows, n_targets, round(ppl, 6) AS ppl FROM {perplexity('sc', 'lens', 'item_id')}"""
+    parts = []
+    for kind, table in (("unigram", "uni"), ("bigram", "big")):
+        parts.append(
+            f"""SELECT '{kind}' AS model, round(ppl, 6) AS ppl, n_tokens AS eval_tokens, n_windows,
+  (SELECT count(*) FROM {table})::BIGINT AS model_entries
+FROM {perplexity(f"(SELECT 0 AS seq, * FROM {scored('(SELECT * FROM hpairs WHERE ctx IS NOT NULL)', kind)})", '(SELECT 0 AS seq, count(*) AS L FROM hp)', 'seq')}"""
+        )
+    q["model_comparison"] = f"""WITH {MODEL}, {HELDOUT}, res AS ({parts[0]} UNION ALL {parts[1]})
+SELECT *, ppl = min(ppl) OVER () AS best FROM res"""
+    q["corpus_concat_prefix"] = """WITH o AS (
+  SELECT doc_id, coalesce(text, '') AS t,
+    coalesce(sum(length(coalesce(text, '')) + 2) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off
+  FROM documents
+), s AS (
+  SELECT doc_id AS seg_id, CASE WHEN off = 0 THEN 0 ELSE off - 2 END AS seg_start,
+    CASE WHEN off = 0 THEN t ELSE chr(10) || chr(10) || t END AS seg FROM o
+)
+SELECT seg_id, seg_start::BIGINT AS seg_start, length(left(seg, (200000 - seg_start)::INTEGER))::BIGINT AS n_chars,
+  md5(left(seg, (200000 - seg_start)::INTEGER)) AS segment_md5
+FROM s WHERE seg_start < 200000"""
+    q["heldout_tokens"] = f"WITH {HELDOUT} SELECT pos::BIGINT AS pos, tok AS token FROM hp"
+    q["accumulate_steps"] = f"""{CORPUS_ROWS}, {MODEL},
+lp AS (SELECT doc_id, input_ids[k - 1] AS ctx, labels[k] AS nxt
+  FROM (SELECT doc_id, input_ids, labels, unnest(range(2, 1025)) AS k FROM built) WHERE labels[k] <> -100),
+s AS {scored('lp')},
+ce AS (SELECT b.doc_id, count(s.nll) AS n_valid, sum(s.nll) AS sum_nll FROM built b LEFT JOIN s USING (doc_id) GROUP BY b.doc_id),
+r AS (SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1) AS rk FROM documents),
+p AS (SELECT doc_id, rk // 2 AS micro_step, (rk // 2) // 64 + 1 AS global_step FROM r),
+m AS (SELECT global_step, micro_step, sum(sum_nll) / sum(n_valid) AS micro_loss FROM p JOIN ce USING (doc_id) WHERE global_step <= 25000 GROUP BY ALL)
+SELECT global_step::BIGINT AS global_step, count(*)::BIGINT AS n_micro, round(avg(micro_loss), 6) AS mean_loss,
+  round(arg_max(micro_loss, micro_step), 6) AS logged_loss FROM m GROUP BY global_step"""
     return q

@@ -130,3 +130,120 @@ def q_head_truncate(spark, sf):
 def q_tail_context(spark, sf):
     d = doc_tokens(spark, sf).withColumn("ctx", sampling.tail_context("tokens", SEQ_LEN))
     return d.select("doc_id", F.size("ctx").cast("bigint").alias("n_ctx"), array_md5(F.col("ctx")).alias("ctx_md5"))
+
+
+# --------------------------------------------------------------------------- evaluation
+from textkiln.operators import evaluation  # noqa: E402
+from textkiln.plans import heldout  # noqa: E402
+from textkiln.sources.corpus import concat_prefix  # noqa: E402
+
+
+def fit_model(spark, sf, tokenizer="hashed") -> evaluation.NGramModel:
+    return evaluation.ngram_fit(doc_tokens(spark, sf, tokenizer))
+
+
+def q_next_token_pairs(spark, sf):
+    p = evaluation.next_token_pairs(doc_tokens(spark, sf), ["doc_id"])
+    return p.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_pairs"),
+        F.sum(F.col("pos") * (F.col("ctx") + 1) + F.col("next")).cast("bigint").alias("checksum"),
+    )
+
+
+def q_ngram_fit(spark, sf):
+    m = fit_model(spark, sf)
+    uni = F.broadcast(m.unigram.select(F.col("token").alias("next"), F.col("count").alias("c_uni")))
+    b = m.bigram.join(F.broadcast(m.context), "ctx").join(uni, "next", "left")
+    p = F.lit(0.9) * F.col("count") / F.col("total") + F.lit(0.1) * m.unigram_prob(F.col("c_uni"))
+    return b.groupBy("ctx").agg(
+        F.first("total").cast("bigint").alias("n_ctx"),
+        F.count(F.lit(1)).alias("n_next"),
+        F.round(F.max(p), 6).alias("p_top"),
+    )
+
+
+def q_next_token_nll(spark, sf):
+    m = fit_model(spark, sf)
+    pieces = heldout.heldout_pieces(heldout.heldout_texts(spark, sf), tokenizer="hashed")
+    s = evaluation.score_pairs(heldout.heldout_pairs(pieces), m, "bigram")
+    return s.select("pos", "ctx", "next", F.round("nll", 6).alias("nll"))
+
+
+def q_masked_cross_entropy(spark, sf):
+    m = fit_model(spark, sf)
+    ce = evaluation.masked_cross_entropy(corpus_rows(spark, sf), m, ["doc_id"])
+    return ce.select("doc_id", "n_valid", F.round("mean_nll", 6).alias("mean_nll"))
+
+
+def _doc_lengths(spark, sf):
+    return doc_tokens(spark, sf).select("doc_id", "tokens", F.size("tokens").cast("bigint").alias("L"))
+
+
+def q_sliding_windows(spark, sf):
+    w = evaluation.sliding_windows(_doc_lengths(spark, sf), ["doc_id"])
+    return w.select("doc_id", "i", "begin_loc", "end_loc", "trg_len")
+
+
+def q_window_membership(spark, sf):
+    d = _doc_lengths(spark, sf).select("doc_id", "L", F.posexplode("tokens").alias("pos", "tok"))
+    m = evaluation.window_membership(d, ["doc_id"])
+    return m.groupBy("doc_id", "i").agg(
+        F.sum((F.col("role") == "target").cast("int")).cast("bigint").alias("n_target"),
+        F.sum((F.col("role") == "context").cast("int")).cast("bigint").alias("n_context"),
+    )
+
+
+def q_sliding_perplexity(spark, sf):
+    m = fit_model(spark, sf)
+    items = tokens.drop_empty(tokens.tokenize(heldout.heldout_texts(spark, sf), tokenizer="hashed"))
+    pairs = evaluation.score_pairs(evaluation.next_token_pairs(items, ["item_id"]), m, "bigram")
+    lengths = items.select("item_id", F.size("tokens").cast("bigint").alias("L"))
+    ppl = evaluation.sliding_perplexity(pairs, lengths, ["item_id"])
+    return ppl.select("item_id", "n_tokens", "n_windows", "n_targets", F.round("ppl", 6).alias("ppl"))
+
+
+def model_results(spark, sf, tokenizer="hashed") -> DataFrame:
+    m = fit_model(spark, sf, tokenizer)
+    pieces = heldout.heldout_pieces(heldout.heldout_texts(spark, sf), tokenizer=tokenizer)
+    pairs = heldout.heldout_pairs(pieces)
+    lengths = heldout.heldout_length(pieces)
+    out = []
+    for kind, table in (("unigram", m.unigram), ("bigram", m.bigram)):
+        ppl = evaluation.sliding_perplexity(evaluation.score_pairs(pairs, m, kind), lengths, ["seq"])
+        out.append(
+            ppl.select(
+                F.lit(kind).alias("model"),
+                F.round("ppl", 6).alias("ppl"),
+                F.col("n_tokens").alias("eval_tokens"),
+                "n_windows",
+                F.lit(table.count()).cast("bigint").alias("model_entries"),
+            )
+        )
+    return evaluation.model_comparison(out)
+
+
+def q_model_comparison(spark, sf):
+    return model_results(spark, sf)
+
+
+def q_model_comparison_bpe(spark, sf):
+    return model_results(spark, sf, "bpe")
+
+
+def q_corpus_concat_prefix(spark, sf):
+    s = concat_prefix(documents(spark, sf, ("doc_id", "text")), "doc_id", "text")
+    return s.select("seg_id", "seg_start", F.length("segment").cast("bigint").alias("n_chars"), F.md5("segment").alias("segment_md5"))
+
+
+def q_heldout_tokens(spark, sf):
+    p = heldout.heldout_pieces(heldout.heldout_texts(spark, sf), tokenizer="hashed")
+    t = p.select("tok_offset", F.posexplode("tokens").alias("i", "token"))
+    return t.select((F.col("tok_offset") + F.col("i")).cast("bigint").alias("pos"), "token")
+
+
+def q_accumulate_steps(spark, sf):
+    m = fit_model(spark, sf)
+    ce = evaluation.masked_cross_entropy(corpus_rows(spark, sf), m, ["doc_id"])
+    plan = sampling.batch_plan(sampling.seeded_shuffle(documents(spark, sf, ("doc_id",))))
+    st = evaluation.accumulate_steps(ce, plan)
+    return st.select("global_step", "n_micro", F.round("mean_loss", 6).alias("mean_loss"), F.round("logged_loss", 6).alias("logged_loss"))

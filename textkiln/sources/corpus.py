@@ -83,7 +83,7 @@ def whitespace_pieces(segments: DataFrame, unicode_ws: bool = False, block_width
     whitespace class is Unicode (BPE); the native piece pattern uses ASCII.
     """
     flags = "(?s)(?U)" if unicode_ws else "(?s)"
-    head = F.regexp_extract(F.col("segment"), F.lit(flags + r"^(.*\S)"), 1)
+    head = F.regexp_extract(F.col("segment"), flags + r"^(.*\S)", 1)
     d = segments.select("seg_id", "segment", head.alias("_head"))
     d = d.withColumn("_nb", (F.length("_head") > 0).cast("int"))
     d = running_sum(d, "_nb", ["seg_id"], id_block("seg_id", block_width), out="_before")
