@@ -102,6 +102,7 @@ SELECT doc_id, len(list_slice(tokens, 1, 1024))::BIGINT AS n_head, {arr_md5('lis
 SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
   {arr_md5('list_slice(tokens, len(tokens) - least(len(tokens), 1024) + 1, len(tokens))')} AS ctx_md5 FROM doc_tok"""
     q.update(eval_oracles())
+    q.update(seq_oracles())
     return q
 
 
@@ -212,3 +213,55 @@ m AS (SELECT global_step, micro_step, sum(sum_nll) / sum(n_valid) AS micro_loss
 SELECT global_step::BIGINT AS global_step, count(*)::BIGINT AS n_micro, round(avg(micro_loss), 6) AS mean_loss,
   round(arg_max(micro_loss, micro_step), 6) AS logged_loss FROM m GROUP BY global_step"""
     return q
+
+
+# ----------------------------------------------------------------- sequence twins
+def _softplus(x: str) -> str:
+    return f"(CASE WHEN ({x}) > 20 THEN ({x}) ELSE ln(1 + exp({x})) END)"
+
+
+def _recursive(ab_sql: str, h0: str, out: str = "h") -> str:
+    """Per-user sequential fold of h = a*h + b (twin of ``linear_recurrence``)."""
+    return f"""WITH RECURSIVE e AS (
+  SELECT user_id, event_id, a, b, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM ({ab_sql})
+), r AS (
+  SELECT user_id, event_id, rn, a * {h0} + b AS {out} FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.user_id, e.event_id, e.rn, e.a * r.{out} + e.b FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1
+)"""
+
+
+REC_AB = """SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 0.0 ELSE least(value / 300.0, 1.0) END AS a,
+  value / 7.0 AS b FROM events"""
+
+_ALPHA = f"greatest(least({_softplus('0.0')} / ({_softplus('value / 50.0')} + 0.001), 1.0), 0.0)"
+LIQ_AB = f"SELECT user_id, event_id, ts, 1.0 - {_ALPHA} AS a, {_ALPHA} * tanh((value - 50.0) / 50.0) AS b FROM events"
+
+
+def seq_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["linear_recurrence"] = _recursive(REC_AB, "1.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
+    q["liquid_filter"] = _recursive(LIQ_AB, "0.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
+    q["final_state"] = (
+        _recursive(LIQ_AB, "0.0")
+        + " SELECT user_id, count(*)::BIGINT AS n_rows, round(arg_max(h, rn), 6) AS h_final FROM r GROUP BY user_id"
+    )
+    q["trailing_mean"] = """SELECT user_id, event_id, round(m, 6) AS trailing_mean FROM (
+  SELECT user_id, event_id,
+    avg(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS m,
+    count(value) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 50 PRECEDING AND 1 PRECEDING) AS n
+  FROM events) WHERE n = 50"""
+    q["causal_softmax_mean"] = """SELECT user_id, event_id, round(
+    sum(exp(value / 100.0) * value) OVER w / sum(exp(value / 100.0)) OVER w, 6) AS attn
+FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    q["history_attention"] = """WITH e AS (
+  SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events
+), pr AS (
+  SELECT i.user_id, i.event_id, i.pos, (i.value / 100.0) * (j.value / 100.0) AS s, j.value AS v
+  FROM e i JOIN e j ON i.user_id = j.user_id AND j.pos <= i.pos AND j.pos > i.pos - 1024
+), m AS (SELECT *, max(s) OVER (PARTITION BY user_id, event_id) AS ms FROM pr)
+SELECT user_id, event_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(exp(s - ms)), 6) AS attn FROM m GROUP BY user_id, event_id, pos"""
+    q["gate_functions"] = f"""SELECT event_id, round({_softplus('value / 50.0')}, 6) AS softplus,
+  round(greatest(least(value / 100.0, 1.0), 0.0), 6) AS clamp, round(tanh((value - 50.0) / 50.0), 6) AS tanh,
+  round(1.0 / (1.0 + exp(-((value - 50.0) / 50.0))), 6) AS sigmoid FROM events"""
+    return q

@@ -247,3 +247,69 @@ def q_accumulate_steps(spark, sf):
     plan = sampling.batch_plan(sampling.seeded_shuffle(documents(spark, sf, ("doc_id",))))
     st = evaluation.accumulate_steps(ce, plan)
     return st.select("global_step", "n_micro", F.round("mean_loss", 6).alias("mean_loss"), F.round("logged_loss", 6).alias("logged_loss"))
+
+
+# --------------------------------------------------------------------------- sequences
+from textkiln.functions.gates import clamp, sigmoid, softplus  # noqa: E402
+from textkiln.operators import sequence  # noqa: E402
+
+EVENT_ORDER = ["ts", "event_id"]
+
+
+def events(spark, sf) -> DataFrame:
+    return spark.read.parquet(table_path(sf, "events")).select("event_id", "ts", "user_id", "event_type", "value")
+
+
+def recurrence_inputs():
+    """Fixture gates on ``events``: errors reset the state (a = 0), large values keep
+    it (a = 1). Divisors with non-terminating decimals keep rounded results away
+    from exact decimal ties, where engines may round either way."""
+    a = F.when(F.col("event_type") == "error", F.lit(0.0)).otherwise(F.least(F.col("value") / 300.0, F.lit(1.0)))
+    return a, F.col("value") / 7.0
+
+
+def q_linear_recurrence(spark, sf):
+    a, b = recurrence_inputs()
+    r = sequence.linear_recurrence(events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0)
+    return r.select("user_id", "event_id", F.round("h", 6).alias("h"))
+
+
+def liquid(spark, sf) -> DataFrame:
+    v = F.col("value")
+    return sequence.liquid_filter(events(spark, sf), "user_id", EVENT_ORDER, v / 50.0, (v - 50.0) / 50.0)
+
+
+def q_liquid_filter(spark, sf):
+    return liquid(spark, sf).select("user_id", "event_id", F.round("h", 6).alias("h"))
+
+
+def q_final_state(spark, sf):
+    f = sequence.final_state(liquid(spark, sf), "user_id", EVENT_ORDER)
+    return f.select("user_id", "n_rows", F.round("h_final", 6).alias("h_final"))
+
+
+def q_trailing_mean(spark, sf):
+    t = sequence.trailing_mean(events(spark, sf), "user_id", EVENT_ORDER, "value")
+    return t.select("user_id", "event_id", F.round("trailing_mean", 6).alias("trailing_mean"))
+
+
+def q_causal_softmax_mean(spark, sf):
+    c = sequence.causal_softmax_mean(events(spark, sf), "user_id", EVENT_ORDER, F.col("value") / 100.0, F.col("value"))
+    return c.select("user_id", "event_id", F.round("attn", 6).alias("attn"))
+
+
+def q_history_attention(spark, sf):
+    v = F.col("value")
+    h = sequence.history_attention(events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v)
+    return h.select("user_id", "event_id", "pos", F.round("attn", 6).alias("attn"))
+
+
+def q_gate_functions(spark, sf):
+    v = F.col("value")
+    return events(spark, sf).select(
+        "event_id",
+        F.round(softplus(v / 50.0), 6).alias("softplus"),
+        F.round(clamp(v / 100.0), 6).alias("clamp"),
+        F.round(F.tanh((v - 50.0) / 50.0), 6).alias("tanh"),
+        F.round(sigmoid((v - 50.0) / 50.0), 6).alias("sigmoid"),
+    )
