@@ -103,6 +103,7 @@ SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
   {arr_md5('list_slice(tokens, len(tokens) - least(len(tokens), 1024) + 1, len(tokens))')} AS ctx_md5 FROM doc_tok"""
     q.update(eval_oracles())
     q.update(seq_oracles())
+    q.update(gen_oracles())
     return q
 
 
@@ -265,3 +266,58 @@ SELECT user_id, event_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(e
   round(greatest(least(value / 100.0, 1.0), 0.0), 6) AS clamp, round(tanh((value - 50.0) / 50.0), 6) AS tanh,
   round(1.0 / (1.0 + exp(-((value - 50.0) / 50.0))), 6) AS sigmoid FROM events"""
     return q
+
+
+# ----------------------------------------------------------------- vector & generation twins
+GREEDY = f"""ustar AS (SELECT tok AS u, c AS uc FROM uni ORDER BY c DESC, tok LIMIT 1
+), bp AS (
+  SELECT big.ctx, big.nxt, 0.9::DOUBLE * big.c / cx.total + 0.1::DOUBLE * ((coalesce(uni.c, 0) + 1)::DOUBLE / (st.n + st.v)::DOUBLE) AS p
+  FROM big JOIN cx USING (ctx) LEFT JOIN uni ON uni.tok = big.nxt CROSS JOIN st
+), bb AS (
+  SELECT ctx, nxt AS bn, p AS bpv, has_u FROM (
+    SELECT *, row_number() OVER (PARTITION BY ctx ORDER BY p DESC, nxt) AS r,
+      max((nxt = (SELECT u FROM ustar))::INTEGER) OVER (PARTITION BY ctx) AS has_u FROM bp) WHERE r = 1
+), pu AS (SELECT u, 0.1::DOUBLE * ((uc + 1)::DOUBLE / (st.n + st.v)::DOUBLE) AS p_u FROM ustar CROSS JOIN st
+), g AS (
+  SELECT ctx, CASE WHEN has_u = 1 OR bpv > p_u OR (bpv = p_u AND bn < u) THEN bn ELSE u END AS nxt,
+    CASE WHEN has_u = 1 OR bpv > p_u OR (bpv = p_u AND bn < u) THEN bpv ELSE p_u END AS p
+  FROM bb CROSS JOIN pu)"""
+
+
+def gen_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["embedding_lookup"] = f"""WITH {DOC_TOKENS},
+t AS (SELECT doc_id, unnest(tokens) AS token FROM doc_tok)
+SELECT doc_id, count(*)::BIGINT AS n_tokens, round(sum(e.embedding[1]), 6) AS sum_first, round(sum(e.embedding[-1]), 6) AS sum_last
+FROM t JOIN embeddings e ON e.vec_id = t.token % 500 GROUP BY doc_id"""
+    q["rms_norm"] = """WITH r AS (
+  SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) / len(embedding) + 1e-5)) AS r
+  FROM embeddings)
+SELECT vec_id, round(list_sum(r), 6) AS rms_sum, round(sqrt(list_sum(list_transform(r, lambda x: x * x))), 6) AS rms_l2 FROM r"""
+    q["dot"] = """SELECT a.vec_id, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) AS dot
+FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
+    q["mips_topk"] = """SELECT query_id, rank, cand_id, round(score, 6) AS score FROM (
+  SELECT a.vec_id AS query_id, b.vec_id AS cand_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
+    row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::BIGINT AS rank
+  FROM embeddings a CROSS JOIN embeddings b) WHERE rank <= 5"""
+    q["greedy_next"] = f"WITH {MODEL}, {GREEDY} SELECT ctx, nxt AS next, round(p, 6) AS p FROM g"
+    q["softmax_temperature"] = f"""WITH {MODEL},
+z AS (SELECT ctx, nxt, ln(c) / 0.8 AS z FROM big),
+e AS (SELECT ctx, nxt, exp(z - max(z) OVER (PARTITION BY ctx)) AS e FROM z)
+SELECT ctx, nxt AS next, round(e / sum(e) OVER (PARTITION BY ctx), 6) AS prob FROM e"""
+    u = f"(({u32(seeded_key('samp', str(SEED), 'ctx', 'nxt'))})::DOUBLE + 0.5) / 4294967296.0"
+    q["temperature_sample"] = f"""WITH {MODEL}
+SELECT ctx, arg_max(nxt, ln(c) / 0.8 - ln(-ln({u}))) AS sampled_next FROM big GROUP BY ctx"""
+    q["batch_generate"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
+pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+  FROM conversations WHERE role = 'user'),
+gen AS (
+  SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
+  UNION ALL
+  SELECT gen.prompt_id, gen.n_prompt, gen.step + 1, coalesce(g.nxt, pu.u)::INTEGER, list_append(gen.out, coalesce(g.nxt, pu.u)::INTEGER)
+  FROM gen LEFT JOIN g ON g.ctx = gen.last CROSS JOIN pu
+  WHERE gen.step < 80 AND NOT list_contains(gen.out, {EOT})
+)
+SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
+FROM gen GROUP BY prompt_id"""
+    return q

@@ -313,3 +313,84 @@ def q_gate_functions(spark, sf):
         F.round(F.tanh((v - 50.0) / 50.0), 6).alias("tanh"),
         F.round(sigmoid((v - 50.0) / 50.0), 6).alias("sigmoid"),
     )
+
+
+# --------------------------------------------------------------------------- vectors & generation
+from textkiln.constants import MAX_NEW_CHAT, USER_PREFIX, USER_SUFFIX  # noqa: E402
+from textkiln.functions.vectors import dot, l2_norm, rms_norm  # noqa: E402
+from textkiln.operators import generation, vectors  # noqa: E402
+
+EMB_ROWS = 500  # fixture: token ids map onto the 500-row vector table by pmod
+
+
+def embeddings(spark, sf) -> DataFrame:
+    return spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding")
+
+
+def q_embedding_lookup(spark, sf):
+    t = doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("token"))
+    t = t.withColumn("vec_id", F.pmod(F.col("token"), F.lit(EMB_ROWS)).cast("bigint"))
+    g = vectors.embedding_lookup(t, embeddings(spark, sf))
+    return g.groupBy("doc_id").agg(
+        F.count(F.lit(1)).alias("n_tokens"),
+        F.round(F.sum(F.element_at("embedding", 1)), 6).alias("sum_first"),
+        F.round(F.sum(F.element_at("embedding", -1)), 6).alias("sum_last"),
+    )
+
+
+def q_rms_norm(spark, sf):
+    e = embeddings(spark, sf).withColumn("r", rms_norm(F.col("embedding")))
+    return e.select(
+        "vec_id",
+        F.round(F.aggregate("r", F.lit(0.0), lambda a, x: a + x), 6).alias("rms_sum"),
+        F.round(l2_norm(F.col("r")), 6).alias("rms_l2"),
+    )
+
+
+def q_dot(spark, sf):
+    e = embeddings(spark, sf)
+    nb = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("next_embedding"))
+    return e.join(nb, "vec_id").select("vec_id", F.round(dot(F.col("embedding"), F.col("next_embedding")), 6).alias("dot"))
+
+
+def q_mips_topk(spark, sf):
+    e = embeddings(spark, sf)
+    top = vectors.mips_topk(
+        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")),
+        e.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("c_vec")),
+        k=5,
+    )
+    return top.select("query_id", F.col("rank").cast("bigint").alias("rank"), "cand_id", F.round("score", 6).alias("score"))
+
+
+def q_greedy_next(spark, sf):
+    g = generation.greedy_next(fit_model(spark, sf))
+    return g.select("ctx", "next", F.round("p", 6).alias("p"))
+
+
+def q_softmax_temperature(spark, sf):
+    m = fit_model(spark, sf)
+    s = generation.softmax_temperature(m.bigram, ["ctx"], F.log(F.col("count")))
+    return s.select("ctx", "next", F.round("prob", 6).alias("prob"))
+
+
+def q_temperature_sample(spark, sf):
+    m = fit_model(spark, sf)
+    return generation.temperature_sample(m.bigram, ["ctx"], "next", "count")
+
+
+def chat_prompts(spark, sf) -> DataFrame:
+    """User turns of the conversations, in the chat template, as prompts."""
+    u = conversations(spark, sf).where(F.col("role") == "user")
+    text = F.concat(F.lit(USER_PREFIX), F.coalesce("text", F.lit("")), F.lit(USER_SUFFIX))
+    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), tokens.encode(text, "hashed").alias("tokens"))
+
+
+def q_batch_generate(spark, sf):
+    g = generation.batch_generate_greedy(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_CHAT)
+    return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
+
+
+def q_batch_generate_sampled(spark, sf):
+    g = generation.batch_generate_sampled(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_CHAT)
+    return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
