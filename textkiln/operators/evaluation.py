@@ -159,20 +159,43 @@ def window_membership(positions: DataFrame, key_cols: list[str], length_col: str
     return positions.select(*key_cols, "pos", F.explode(allm).alias("_m")).select(*key_cols, "pos", "_m.i", "_m.role")
 
 
-def sliding_perplexity(scored: DataFrame, lengths: DataFrame, key_cols: list[str], length_col: str = "L", stride: int = STRIDE, max_len: int = SEQ_LEN) -> DataFrame:
-    """Perplexity per sequence: ``exp(sum_w mean_nll(w) * trg_len(w) / L)``.
-
-    ``scored`` has ``(*keys, pos, nll)`` for target positions (pos >= 1). Each
-    position belongs to exactly one target window, so the per-window means are a
-    single grouped aggregate; a window with no target (L = 1) gives NULL.
-    """
+def window_nll(scored: DataFrame, lengths: DataFrame, key_cols: list[str], length_col: str = "L", stride: int = STRIDE, max_len: int = SEQ_LEN) -> DataFrame:
+    """Built-in window scorer: every window of ``sliding_windows`` with the mean NLL
+    of its targets (NULL when it has none). ``scored`` has ``(*keys, pos, nll)``.
+    Each target position belongs to exactly one window, so this is one grouped
+    aggregate joined to the window list -- no per-window Python."""
     per_win = (
         scored.where(F.col("pos") >= 1)
         .groupBy(*key_cols, (F.floor(F.col("pos") / stride) * stride).cast("bigint").alias("i"))
         .agg(F.avg("nll").alias("mean_nll"), F.count("nll").alias("n_targets"))
     )
     wins = sliding_windows(lengths, key_cols, length_col, stride, max_len)
-    j = wins.join(per_win, [*key_cols, "i"], "left")
+    return wins.join(per_win, [*key_cols, "i"], "left")
+
+
+def batch_score(windows: DataFrame, scorer, schema: str) -> DataFrame:
+    """Run any ``pandas.DataFrame -> pandas.DataFrame`` scorer over Arrow batches
+    of windows (e.g. a model that needs Python); the built-in scorer is ``window_nll``."""
+
+    def run(batches):
+        for pdf in batches:
+            yield scorer(pdf)
+
+    return windows.mapInPandas(run, schema)
+
+
+def window_inputs(seqs: DataFrame, key_cols: list[str], tokens_col: str = "tokens", stride: int = STRIDE, max_len: int = SEQ_LEN) -> DataFrame:
+    """Windows with their input chunk ``tokens[begin:end]`` and ``trg_len``."""
+    lengths = seqs.select(*key_cols, tokens_col, F.size(tokens_col).cast("bigint").alias("L"))
+    w = sliding_windows(lengths, key_cols + [tokens_col], "L", stride, max_len)
+    chunk = F.slice(tokens_col, (F.col("begin_loc") + 1).cast("int"), (F.col("end_loc") - F.col("begin_loc")).cast("int"))
+    return w.select(*key_cols, "i", "begin_loc", "end_loc", "trg_len", chunk.alias("input_chunk"))
+
+
+def sliding_perplexity(scored: DataFrame, lengths: DataFrame, key_cols: list[str], length_col: str = "L", stride: int = STRIDE, max_len: int = SEQ_LEN) -> DataFrame:
+    """Perplexity per sequence: ``exp(sum_w mean_nll(w) * trg_len(w) / L)``; a
+    window without targets (L = 1) makes it NULL."""
+    j = window_nll(scored, lengths, key_cols, length_col, stride, max_len)
     return j.groupBy(*key_cols).agg(
         F.first(length_col).alias("n_tokens"),
         F.count(F.lit(1)).alias("n_windows"),

@@ -104,6 +104,7 @@ SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
     q.update(eval_oracles())
     q.update(seq_oracles())
     q.update(gen_oracles())
+    q.update(misc_oracles(q))
     return q
 
 
@@ -321,3 +322,24 @@ gen AS (
 SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
 FROM gen GROUP BY prompt_id"""
     return q
+
+
+def misc_oracles(base: dict[str, str]) -> dict[str, str]:
+    q: dict[str, str] = {}
+    q["stream_prepare"] = base["corpus_training_rows"]
+    q["stream_liquid_filter"] = base["liquid_filter"]
+    q["training_rows_sink"] = f"""{CORPUS_ROWS}
+SELECT doc_id, ({u32(seeded_key('shard', str(SEED), '0', 'doc_id'))} % 2)::INTEGER AS shard, len(input_ids)::BIGINT AS row_len,
+  {arr_md5('input_ids')} AS ids_md5, {arr_md5('labels')} AS labels_md5 FROM built"""
+    q["resume_remaining"] = f"""SELECT doc_id, shuffle_rank, global_step::BIGINT AS global_step FROM (
+  SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1)::BIGINT AS shuffle_rank FROM documents)
+  CROSS JOIN LATERAL (SELECT (shuffle_rank // 2) // 64 + 1 AS global_step) WHERE global_step > 3 AND global_step <= 25000"""
+    q["batch_score"] = f"""WITH {MODEL}, {DOC_TOKENS},
+dtoks AS (SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS tok FROM doc_tok),
+pr AS (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok AS nxt FROM dtoks),
+sc AS (SELECT * FROM {scored('(SELECT * FROM pr WHERE ctx IS NOT NULL)')}),
+w AS (SELECT doc_id, len(tokens) AS L, unnest(range(0, len(tokens), 512)) AS i FROM doc_tok),
+pw AS (SELECT doc_id, (pos // 512) * 512 AS i, avg(nll) AS m FROM sc GROUP BY ALL)
+SELECT doc_id, i::BIGINT AS i, (least(i + 512, L) - i)::BIGINT AS trg_len, round(m, 6) AS mean_nll FROM w LEFT JOIN pw USING (doc_id, i)"""
+    q["bpe_roundtrip"] = "SELECT doc_id, true AS roundtrip_ok FROM documents WHERE length(coalesce(text, '')) > 0"
+    return q

@@ -394,3 +394,72 @@ def q_batch_generate(spark, sf):
 def q_batch_generate_sampled(spark, sf):
     g = generation.batch_generate_sampled(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_CHAT)
     return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
+
+
+# --------------------------------------------------------------------------- streams, sinks, resume, scoring, BPE
+from textkiln.session import checkpoint_dir  # noqa: E402
+from textkiln.sources import sinks  # noqa: E402
+from textkiln.streaming import corpus_stream, liquid_state  # noqa: E402
+
+EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
+
+
+def q_stream_prepare(spark, sf):
+    s = corpus_stream.corpus_stream(spark, sf, "documents.parquet")
+    rows = corpus_stream.run_to_table(corpus_stream.stream_prepare(s, tokenizer="hashed"), name="stream-prepare")
+    return rows.select(
+        "doc_id",
+        "n_tokens",
+        F.col("crop_start").cast("bigint").alias("crop_start"),
+        count_valid(F.col("labels")).cast("bigint").alias("n_targets"),
+        F.size("input_ids").cast("bigint").alias("row_len"),
+        array_md5(F.col("input_ids")).alias("ids_md5"),
+        array_md5(F.col("labels")).alias("labels_md5"),
+    )
+
+
+def q_stream_liquid_filter(spark, sf):
+    ev = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    v = F.col("value")
+    out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-liquid")
+    return out.select("user_id", "event_id", F.round("h", 6).alias("h"))
+
+
+def q_training_rows_sink(spark, sf):
+    import uuid
+
+    rows = sampling.shard(corpus_rows(spark, sf), 2).select("doc_id", "shard", "input_ids", "labels")
+    path = f"{checkpoint_dir(spark).rstrip('/')}/training-rows-{uuid.uuid4().hex}"
+    sinks.write_training_rows(rows, path)
+    back = spark.read.parquet(path)
+    return back.select(
+        "doc_id",
+        F.col("shard").cast("int").alias("shard"),
+        F.size("input_ids").cast("bigint").alias("row_len"),
+        array_md5(F.col("input_ids")).alias("ids_md5"),
+        array_md5(F.col("labels")).alias("labels_md5"),
+    )
+
+
+def q_resume_remaining(spark, sf):
+    plan = sampling.batch_plan(sampling.seeded_shuffle(documents(spark, sf, ("doc_id",))))
+    ledger = plan.where(F.col("global_step") <= 3).select("doc_id")  # ids a previous run consumed
+    return sinks.remaining(plan, ledger).select("doc_id", "shuffle_rank", "global_step")
+
+
+def q_batch_score(spark, sf):
+    m = fit_model(spark, sf)
+    d = _doc_lengths(spark, sf)
+    scored = evaluation.score_pairs(evaluation.next_token_pairs(d, ["doc_id"]), m, "bigram")
+    w = evaluation.window_nll(scored, d.select("doc_id", "L"), ["doc_id"])
+    return w.select("doc_id", "i", "trg_len", F.round("mean_nll", 6).alias("mean_nll"))
+
+
+def q_bpe_encode(spark, sf):
+    d = doc_tokens(spark, sf, "bpe")
+    return d.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), array_md5(F.col("tokens")).alias("tokens_md5"))
+
+
+def q_bpe_roundtrip(spark, sf):
+    d = doc_tokens(spark, sf, "bpe")
+    return d.select("doc_id", (tokens.decode(F.col("tokens")) == F.col("text")).alias("roundtrip_ok"))
