@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textkiln.constants import IGNORE, SEQ_LEN, STRIDE
+from textkiln.session import checkpoint_dir
 
 
 # --------------------------------------------------------------------------- pairs
@@ -76,14 +77,27 @@ class NGramModel:
 
 
 def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str] | None = None) -> NGramModel:
-    """Fit add-one unigram and interpolated bigram counts on token arrays."""
-    keys = key_cols or ["doc_id"]
-    uni = train.select(F.explode(tokens_col).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("count"))
-    big = (
-        next_token_pairs(train, keys, tokens_col)
-        .groupBy("ctx", "next")
+    """Fit add-one unigram and interpolated bigram counts on token arrays.
+
+    One pass: every position becomes ``(ctx, next)`` (ctx NULL for a row's first
+    token), counted with a partial + final hash aggregate. The count table is
+    checkpointed to the shared folder (it feeds several joins); unigram and
+    context totals are aggregates of it.
+    """
+    t = F.col(tokens_col)
+    n = F.size(t)
+    ext = F.concat(F.array(F.lit(None).cast("int")), t)
+    pairs = F.zip_with(F.slice(ext, 1, n), t, lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
+    counts = (
+        train.where(n > 0)
+        .select(F.explode(pairs).alias("_p"))
+        .groupBy(F.col("_p.ctx").alias("ctx"), F.col("_p.next").alias("next"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
+    checkpoint_dir(train.sparkSession)
+    counts = counts.checkpoint(eager=True)
+    uni = counts.groupBy(F.col("next").alias("token")).agg(F.sum("count").alias("count"))
+    big = counts.where(F.col("ctx").isNotNull())
     ctx = big.groupBy("ctx").agg(F.sum("count").alias("total"))
     # two scalars of the fitted model: total tokens and vocabulary (+1 for unseen)
     st = uni.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()

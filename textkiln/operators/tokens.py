@@ -86,10 +86,27 @@ def decode(ids: Column) -> Column:
     return bpe_decode_udf(ids)
 
 
+def _encode_batches(text_col: str, out: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        enc = encoder()
+        for pdf in batches:
+            pdf[out] = [enc.encode_ordinary(t) if isinstance(t, str) else [] for t in pdf[text_col]]
+            yield pdf
+
+    return run
+
+
 def tokenize(df: DataFrame, text_col: str = "text", out: str = "tokens", tokenizer: str = "bpe") -> DataFrame:
     """Add ``out`` = token ids. NULL or empty text is filtered natively first, so
-    the Python UDF never sees rows that cannot produce a token."""
+    the tokenizer never sees rows that cannot produce a token.
+
+    BPE runs as ``mapInPandas``: a filter on its output (``drop_empty``) cannot be
+    pushed below it, so the tokenizer runs exactly once per row, after any
+    repartition that spreads the scan."""
     nonempty = df.where(F.length(F.coalesce(F.col(text_col), F.lit(""))) > 0)
+    if tokenizer == "bpe":
+        schema = T.StructType(nonempty.schema.fields + [T.StructField(out, T.ArrayType(T.IntegerType()))])
+        return nonempty.mapInPandas(_encode_batches(text_col, out), schema)
     return nonempty.withColumn(out, encode(F.col(text_col), tokenizer))
 
 

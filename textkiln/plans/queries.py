@@ -23,7 +23,12 @@ def documents(spark: SparkSession, sf: str, cols=("doc_id", "text", "lang", "sou
 
 
 def doc_tokens(spark: SparkSession, sf: str, tokenizer: str = "hashed") -> DataFrame:
-    return tokens.drop_empty(tokens.tokenize(documents(spark, sf), tokenizer=tokenizer))
+    """Tokenized, non-empty documents. The hashed tokenizer yields at least one
+    piece for any non-empty text, so the native text filter inside ``tokenize``
+    already drops empty rows; a filter on the token column would be rewritten by
+    Catalyst into a second evaluation of the tokenizer expression."""
+    t = tokens.tokenize(documents(spark, sf), tokenizer=tokenizer)
+    return tokens.drop_empty(t) if tokenizer == "bpe" else t
 
 
 def conversations(spark: SparkSession, sf: str) -> DataFrame:
@@ -79,7 +84,7 @@ def q_pretokenize(spark, sf):
 
 
 def q_drop_empty(spark, sf):
-    return doc_tokens(spark, sf).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
+    return tokens.drop_empty(doc_tokens(spark, sf)).select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"))
 
 
 def q_token_counts(spark, sf):
@@ -463,3 +468,15 @@ def q_bpe_encode(spark, sf):
 def q_bpe_roundtrip(spark, sf):
     d = doc_tokens(spark, sf, "bpe")
     return d.select("doc_id", (tokens.decode(F.col("tokens")) == F.col("text")).alias("roundtrip_ok"))
+
+
+def q_corpus_training_rows_bpe(spark, sf):
+    r = corpus_rows(spark, sf, "bpe")
+    return r.select(
+        "doc_id",
+        "n_tokens",
+        F.col("crop_start").cast("bigint").alias("crop_start"),
+        count_valid(F.col("labels")).cast("bigint").alias("n_targets"),
+        array_md5(F.col("input_ids")).alias("ids_md5"),
+        array_md5(F.col("labels")).alias("labels_md5"),
+    )

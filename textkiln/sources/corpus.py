@@ -27,14 +27,25 @@ def table_path(sf_dir: str, name: str) -> str:
     return f"{sf_dir.rstrip('/')}/{name}.parquet"
 
 
+def balanced(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Spread a scan over the session's parallelism when its files give fewer
+    splits (e.g. one huge row group); text work after the scan is per row and
+    would otherwise run in a few tasks. A scan of many files is left alone."""
+    target = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)
+
+
 def corpus_scan(spark: SparkSession, path: str, columns=("doc_id", "text"), schema: str = DOCUMENT_SCHEMA) -> DataFrame:
     """Read a corpus with a declared schema; only ``columns`` reach the scan."""
-    return spark.read.schema(schema).parquet(path).select(*columns)
+    df = spark.read.schema(schema).parquet(path).select(*columns)
+    return balanced(df, columns[0]) if "text" in columns else df
 
 
 def chat_scan(spark: SparkSession, path: str) -> DataFrame:
     """Conversations in long form ``(conv_id, turn, role, text)``."""
-    return spark.read.schema(CONVERSATION_SCHEMA).parquet(path)
+    return balanced(spark.read.schema(CONVERSATION_SCHEMA).parquet(path), "conv_id")
 
 
 def nest_conversations(turns: DataFrame) -> DataFrame:
