@@ -17,6 +17,7 @@ from textkiln.constants import EOT, IGNORE, SEQ_LEN, USER_PREFIX, USER_SUFFIX
 from textkiln.functions.arrays import append_eot, count_valid, pad_to, repeat_ignore
 from textkiln.operators.ranking import running_sum
 from textkiln.operators.tokens import encode
+from textkiln.session import checkpoint_dir, materialize
 
 ROLES = ("user", "assistant")
 
@@ -63,6 +64,9 @@ def chat_training_rows(
     segs = loss_mask(chat_template(conversations), tokenizer).select(
         conv_col, turn_col, "seg_ids", "seg_labels", F.size("seg_ids").cast("bigint").alias("n")
     )
+    # the running offset reads the turns twice (block totals and rows); cut the
+    # lineage so the tokenizer runs once per turn
+    segs = materialize(segs, "chat-turns")
     segs = running_sum(
         segs, "n", [turn_col], F.floor(F.col(turn_col) / turn_block), partition_cols=[conv_col], out="tok_offset"
     )

@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textkiln.constants import IGNORE, SEQ_LEN, STRIDE
-from textkiln.session import checkpoint_dir
+from textkiln.session import checkpoint_dir, materialize
 
 
 # --------------------------------------------------------------------------- pairs
@@ -94,8 +94,7 @@ def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str]
         .groupBy(F.col("_p.ctx").alias("ctx"), F.col("_p.next").alias("next"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
-    checkpoint_dir(train.sparkSession)
-    counts = counts.checkpoint(eager=True)
+    counts = materialize(counts, "ngram-counts")
     uni = counts.groupBy(F.col("next").alias("token")).agg(F.sum("count").alias("count"))
     big = counts.where(F.col("ctx").isNotNull())
     ctx = big.groupBy("ctx").agg(F.sum("count").alias("total"))

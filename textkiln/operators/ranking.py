@@ -32,17 +32,25 @@ def running_sum(
     """
     pcols = list(partition_cols)
     val = value if isinstance(value, Column) else F.col(value)
-    d = df.withColumn("_blk", block).withColumn("_val", val.cast("bigint"))
-    totals = d.groupBy(*pcols, "_blk").agg(F.sum("_val").alias("_blk_total"))
+    upper = 0 if inclusive else -1
+    blk = Window.partitionBy(*pcols, "_blk")
+    # one exchange on (keys, block): running sum within the block and the block total
+    d = (
+        df.withColumn("_blk", block)
+        .withColumn("_val", val.cast("bigint"))
+        .withColumn("_within", F.coalesce(F.sum("_val").over(blk.orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)), F.lit(0).cast("bigint")))
+        .withColumn("_blk_total", F.sum("_val").over(blk))
+    )
+    # block totals come from the same exchange (reused), so upstream work runs once
+    totals = d.groupBy(*pcols, "_blk").agg(F.first("_blk_total").alias("_blk_total"))
     wb = Window.partitionBy(*pcols).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     bases = totals.select(
         *pcols, "_blk", F.coalesce(F.sum("_blk_total").over(wb), F.lit(0).cast("bigint")).alias("_blk_base")
     )
     joined = d.join(bases, [*pcols, "_blk"], "inner")
-    upper = 0 if inclusive else -1
-    wr = Window.partitionBy(*pcols, "_blk").orderBy(*order_cols).rowsBetween(Window.unboundedPreceding, upper)
-    within = F.coalesce(F.sum("_val").over(wr), F.lit(0).cast("bigint"))
-    return joined.withColumn(out, (F.col("_blk_base") + within).cast("bigint")).drop("_blk", "_blk_base", "_val")
+    return joined.withColumn(out, (F.col("_blk_base") + F.col("_within")).cast("bigint")).drop(
+        "_blk", "_blk_base", "_val", "_within", "_blk_total"
+    )
 
 
 def id_block(col: str, width: int = 4096) -> Column:

@@ -29,7 +29,7 @@ from pyspark.sql import types as T
 
 from textkiln.constants import SEQ_LEN, SMOOTH_WINDOW, TAU_FLOOR
 from textkiln.functions.gates import clamp, softplus
-from textkiln.session import checkpoint_dir
+from textkiln.session import checkpoint_dir, materialize
 
 
 def segmented_scan(seg: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -90,7 +90,7 @@ def linear_recurrence(
         [f for f in d.schema.fields if f.name not in ("_a", "_b")]
         + [T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType()), T.StructField("_pid", T.IntegerType())]
     )
-    local = d.mapInPandas(_local_scan(key), schema).checkpoint(eager=True)
+    local = materialize(d.mapInPandas(_local_scan(key), schema), "scan-blocks")
 
     order = F.struct(*[F.col(c) for c in order_cols])
     summ = local.groupBy("_pid").agg(

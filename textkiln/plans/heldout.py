@@ -14,6 +14,7 @@ from textkiln.constants import EVAL_PREFIX_CHARS
 from textkiln.operators.evaluation import next_token_pairs
 from textkiln.operators.ranking import id_block, running_sum
 from textkiln.operators.tokens import encode
+from textkiln.session import checkpoint_dir, materialize
 from textkiln.sources.corpus import HELDOUT_SCHEMA, concat_prefix, corpus_scan, table_path, whitespace_pieces
 
 
@@ -23,6 +24,9 @@ def heldout_pieces(texts: DataFrame, id_col: str = "item_id", tokenizer: str = "
     pieces = whitespace_pieces(segs, unicode_ws=(tokenizer == "bpe"))
     pieces = pieces.withColumn("tokens", encode(F.col("text"), tokenizer))
     pieces = running_sum(pieces, F.size("tokens"), ["piece"], id_block("piece"), out="tok_offset")
+    # the piece table is read by three consumers (pairs, lengths, the shifted self-join);
+    # its size is bounded by the character limit. Cut the lineage once.
+    pieces = materialize(pieces, "heldout-pieces")
     prev = pieces.select((F.col("piece") + 1).alias("piece"), F.element_at("tokens", -1).alias("prev_last"))
     return pieces.join(prev, "piece", "left")
 

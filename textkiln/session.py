@@ -48,3 +48,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
         d = tempfile.mkdtemp(prefix="textkiln-ckpt-")
     spark.sparkContext.setCheckpointDir(d)
     return spark.sparkContext.getCheckpointDir() or d
+
+
+def materialize(df, name: str = "stage"):
+    """Cut lineage by writing ``df`` as a parquet table in the shared checkpoint
+    folder and reading it back (columnar and compressed; faster than an RDD
+    checkpoint). Survives executor loss: the table lives in shared storage."""
+    import uuid
+
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
