@@ -88,9 +88,10 @@ def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str]
     n = F.size(t)
     ext = F.concat(F.array(F.lit(None).cast("int")), t)
     pairs = F.zip_with(F.slice(ext, 1, n), t, lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
+    # no filter on the token column here: Catalyst would push it below any
+    # repartition of the input and evaluate the tokenizer twice
     counts = (
-        train.where(n > 0)
-        .select(F.explode(pairs).alias("_p"))
+        train.select(F.explode(pairs).alias("_p"))
         .groupBy(F.col("_p.ctx").alias("ctx"), F.col("_p.next").alias("next"))
         .agg(F.count(F.lit(1)).alias("count"))
     )

@@ -200,7 +200,7 @@ def q_window_membership(spark, sf):
 
 def q_sliding_perplexity(spark, sf):
     m = fit_model(spark, sf)
-    items = tokens.drop_empty(tokens.tokenize(heldout.heldout_texts(spark, sf), tokenizer="hashed"))
+    items = tokens.tokenize(heldout.heldout_texts(spark, sf), tokenizer="hashed")
     pairs = evaluation.score_pairs(evaluation.next_token_pairs(items, ["item_id"]), m, "bigram")
     lengths = items.select("item_id", F.size("tokens").cast("bigint").alias("L"))
     ppl = evaluation.sliding_perplexity(pairs, lengths, ["item_id"])
