@@ -77,3 +77,14 @@ def test_causal_softmax_mean(spark):
         w = np.exp(np.array([rows[j][2] / 10.0 for j in range(i + 1)]))
         want = float((w * np.array([rows[j][2] for j in range(i + 1)])).sum() / w.sum())
         assert abs(got[i] - want) < 1e-9
+
+
+def test_trailing_mean_chunks_with_halo(spark):
+    rows = [(1, i, float((i * 37) % 101)) for i in range(700)] + [(2, i, float(i)) for i in range(60)]
+    df = spark.createDataFrame(rows, "k long, o long, v double")
+    got = {(r.k, r.o): r.trailing_mean for r in sequence.trailing_mean(df, "k", ["o"], "v", chunk=64).collect()}
+    for k in (1, 2):
+        vals = [v for kk, o, v in rows if kk == k]
+        want = {(k, i): sum(vals[i - 50 : i]) / 50 for i in range(50, len(vals))}
+        assert {kk: v for kk, v in got.items() if kk[0] == k}.keys() == want.keys()
+        assert all(abs(got[x] - want[x]) < 1e-9 for x in want)

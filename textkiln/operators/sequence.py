@@ -145,12 +145,28 @@ def final_state(states: DataFrame, key: str, order_cols: list[str], h: str = "h"
     return states.groupBy(key).agg(F.count(F.lit(1)).alias("n_rows"), F.max_by(F.col(h), order).alias("h_final"))
 
 
-def trailing_mean(df: DataFrame, key: str, order_cols: list[str], value: str, window: int = SMOOTH_WINDOW, out: str = "trailing_mean") -> DataFrame:
+def trailing_mean(
+    df: DataFrame, key: str, order_cols: list[str], value: str, window: int = SMOOTH_WINDOW, out: str = "trailing_mean", chunk: int = 4096
+) -> DataFrame:
     """Mean of the ``window`` values before each row (current row excluded),
-    emitted only where a full frame exists."""
-    w = Window.partitionBy(key).orderBy(*order_cols).rowsBetween(-window, -1)
-    d = df.withColumn("_n", F.count(value).over(w)).withColumn(out, F.avg(value).over(w))
-    return d.where(F.col("_n") == window).drop("_n")
+    emitted only where a full frame exists.
+
+    A plain window per key would put a hot key in one task. Rows get their
+    position per key from the blocked scan, are cut into chunks of ``chunk``
+    positions, and each chunk also receives the ``window`` rows before it (a
+    halo); the window then runs per (key, chunk), at most ``chunk + window``
+    rows, with the same arithmetic as one window over the whole key."""
+    d = row_positions(df, key, order_cols)
+    c = F.floor(F.col("pos") / chunk).cast("bigint")
+    halo = (F.col("pos") % chunk) >= (chunk - window)
+    copies = F.when(
+        halo,
+        F.array(F.struct(c.alias("chunk"), F.lit(True).alias("own")), F.struct((c + 1).alias("chunk"), F.lit(False).alias("own"))),
+    ).otherwise(F.array(F.struct(c.alias("chunk"), F.lit(True).alias("own"))))
+    rep = d.withColumn("_c", F.explode(copies)).withColumn("chunk", F.col("_c.chunk")).withColumn("_own", F.col("_c.own")).drop("_c")
+    w = Window.partitionBy(key, "chunk").orderBy("pos").rowsBetween(-window, -1)
+    r = rep.withColumn("_n", F.count(value).over(w)).withColumn(out, F.avg(value).over(w))
+    return r.where(F.col("_own") & (F.col("_n") == window)).drop("_n", "_own", "chunk", "pos")
 
 
 def causal_softmax_mean(df: DataFrame, key: str, order_cols: list[str], score: Column, value: Column, shift: float = 0.0, out: str = "attn") -> DataFrame:
