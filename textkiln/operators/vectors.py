@@ -21,17 +21,31 @@ from textkiln.constants import VOCAB_SIZE
 
 
 def embedding_lookup(
-    ids: DataFrame, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", max_broadcast_rows: int = VOCAB_SIZE
+    ids: DataFrame,
+    table: DataFrame,
+    id_col: str = "vec_id",
+    vec_col: str = "embedding",
+    max_broadcast_rows: int = VOCAB_SIZE,
+    table_rows: int | None = None,
 ) -> DataFrame:
     """Gather the vector of every row's ``id_col``. The table is broadcast only
     when its row count is within ``max_broadcast_rows`` (a vocabulary-sized
     table); a larger one goes through a shuffled join."""
     t = table.select(id_col, vec_col)
-    if t.count() <= max_broadcast_rows:
+    n = table_rows if table_rows is not None else t.count()
+    if n <= max_broadcast_rows:
         t = F.broadcast(t)
     return ids.join(t, id_col, "inner")
 
 
+def hashed_lookup(ids: DataFrame, token_col: str, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Map token ids onto a table of ``n`` vectors (ids 0..n-1) by ``token mod n``
+    and gather them: every vector of the table is reachable."""
+    n = table.count()
+    mapped = ids.withColumn(id_col, F.pmod(F.col(token_col), F.lit(max(n, 1))).cast("bigint"))
+    return embedding_lookup(mapped, table, id_col, vec_col, table_rows=n)
+
+
 def _tile_topk(k: int):
     def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
         if qpdf.empty or cpdf.empty:

@@ -290,7 +290,7 @@ def gen_oracles() -> dict[str, str]:
     q["embedding_lookup"] = f"""WITH {DOC_TOKENS},
 t AS (SELECT doc_id, unnest(tokens) AS token FROM doc_tok)
 SELECT doc_id, count(*)::BIGINT AS n_tokens, round(sum(e.embedding[1]), 6) AS sum_first, round(sum(e.embedding[-1]), 6) AS sum_last
-FROM t JOIN embeddings e ON e.vec_id = t.token % 500 GROUP BY doc_id"""
+FROM t JOIN embeddings e ON e.vec_id = t.token % (SELECT count(*) FROM embeddings) GROUP BY doc_id"""
     q["rms_norm"] = """WITH r AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) / len(embedding) + 1e-5)) AS r
   FROM embeddings)

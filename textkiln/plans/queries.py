@@ -325,17 +325,13 @@ from textkiln.constants import MAX_NEW_CHAT, USER_PREFIX, USER_SUFFIX  # noqa: E
 from textkiln.functions.vectors import dot, l2_norm, rms_norm  # noqa: E402
 from textkiln.operators import generation, vectors  # noqa: E402
 
-EMB_ROWS = 500  # fixture: token ids map onto the 500-row vector table by pmod
-
-
 def embeddings(spark, sf) -> DataFrame:
     return spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding")
 
 
 def q_embedding_lookup(spark, sf):
     t = doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("token"))
-    t = t.withColumn("vec_id", F.pmod(F.col("token"), F.lit(EMB_ROWS)).cast("bigint"))
-    g = vectors.embedding_lookup(t, embeddings(spark, sf))
+    g = vectors.hashed_lookup(t, "token", embeddings(spark, sf))
     return g.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
         F.round(F.sum(F.element_at("embedding", 1)), 6).alias("sum_first"),
