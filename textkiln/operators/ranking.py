@@ -58,7 +58,7 @@ def id_block(col: str, width: int = 4096) -> Column:
     return F.floor(F.col(col) / F.lit(width))
 
 
-def global_rank(df: DataFrame, sort_key: str, tie_col: str, prefix_chars: int = 3, out: str = "rank") -> DataFrame:
+def global_rank(df: DataFrame, sort_key: str, tie_col: str, prefix_chars: int = 4, out: str = "rank") -> DataFrame:
     """0-based rank of rows ordered by a hex ``sort_key`` string, then ``tie_col``.
 
     Blocks are the first ``prefix_chars`` hex digits (16**prefix_chars blocks),

@@ -12,7 +12,7 @@ precedes its first visible character and ends at its last visible character.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from textkiln.constants import EVAL_JOIN_SEP, EVAL_PREFIX_CHARS
@@ -76,15 +76,28 @@ def concat_prefix(
 ) -> DataFrame:
     """Segments ``(seg_id, seg_start, segment)`` whose concatenation in ``seg_id``
     order equals ``sep.join(texts)[:limit]``. The separator is attached in front
-    of every text but the first."""
+    of every text but the first.
+
+    Only block totals of ``length + len(sep)`` are shuffled for the whole corpus;
+    blocks that start past the limit are dropped before any per-document window,
+    and the kept blocks are bounded by the limit (each text adds at least the
+    separator), which is what allows broadcasting them."""
+    sl = len(sep)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    d = df.select(F.col(id_col).alias("seg_id"), text.alias("_t"))
-    d = running_sum(d, F.length("_t") + F.lit(len(sep)), ["seg_id"], id_block("seg_id", block_width), out="_off")
+    d = df.select(F.col(id_col).alias("seg_id"), text.alias("_t")).withColumn("_blk", id_block("seg_id", block_width))
+    d = d.withColumn("_w", (F.length("_t") + F.lit(sl)).cast("bigint"))
+    totals = d.groupBy("_blk").agg(F.sum("_w").alias("_bt"))
+    wb = Window.orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    bases = totals.select("_blk", F.coalesce(F.sum("_bt").over(wb), F.lit(0).cast("bigint")).alias("_bb"))
+    bases = bases.where(F.col("_bb") < limit + sl)
+    kept = d.join(F.broadcast(bases), "_blk")
+    wr = Window.partitionBy("_blk").orderBy("seg_id").rowsBetween(Window.unboundedPreceding, -1)
+    kept = kept.withColumn("_off", F.col("_bb") + F.coalesce(F.sum("_w").over(wr), F.lit(0).cast("bigint")))
     first = F.col("_off") == 0
     seg = F.when(first, F.col("_t")).otherwise(F.concat(F.lit(sep), F.col("_t")))
-    start = F.when(first, F.lit(0)).otherwise(F.col("_off") - F.lit(len(sep))).cast("bigint")
-    d = d.select("seg_id", start.alias("seg_start"), seg.alias("_seg")).where(F.col("seg_start") < limit)
-    return d.select("seg_id", "seg_start", F.expr(f"substring(_seg, 1, int({limit} - seg_start))").alias("segment"))
+    start = F.when(first, F.lit(0)).otherwise(F.col("_off") - F.lit(sl)).cast("bigint")
+    kept = kept.select("seg_id", start.alias("seg_start"), seg.alias("_seg")).where(F.col("seg_start") < limit)
+    return kept.select("seg_id", "seg_start", F.expr(f"substring(_seg, 1, int({limit} - seg_start))").alias("segment"))
 
 
 def whitespace_pieces(segments: DataFrame, unicode_ws: bool = False, block_width: int = 4096) -> DataFrame:
