@@ -110,24 +110,35 @@ def score_pairs(pairs: DataFrame, model: NGramModel, kind: str = "bigram", lam:
     bigram: ``lam * c(ctx, next) / c(ctx) + (1 - lam) * q(next)``, or ``q(next)``
     when the context was never seen; unigram: ``q(next) = (c + 1) / (N + V)``.
     """
+    if kind not in ("unigram", "bigram"):
+        raise ValueError(kind)
+    d = score_models(pairs, model, [kind], lam)
+    return d.withColumnRenamed(f"p_{kind}", "p").withColumnRenamed(f"nll_{kind}", "nll")
+
+
+def score_models(pairs: DataFrame, model: NGramModel, kinds: list[str], lam: float = 0.9) -> DataFrame:
+    """Add ``p_<kind>`` and ``nll_<kind>`` for several models in one pass: the
+    unigram and context tables (one row per vocabulary id at most) are
+    broadcast; the bigram table, unbounded, is a shuffled join (AQE splits a
+    hot pair)."""
     uni = F.broadcast(model.unigram.select(F.col("token").alias("next"), F.col("count").alias("_c_uni")))
     d = pairs.join(uni, "next", "left")
     q = model.unigram_prob(F.col("_c_uni"))
-    if kind == "unigram":
-        p = q
-        d = d.withColumn("p", F.when(F.col("next").isNotNull(), p))
-    elif kind == "bigram":
+    has_next = F.col("next").isNotNull()
+    if "bigram" in kinds:
         ctx = F.broadcast(model.context.select("ctx", F.col("total").alias("_c_ctx")))
         big = model.bigram.select("ctx", "next", F.col("count").alias("_c_big"))
         d = d.join(ctx, "ctx", "left").join(big, ["ctx", "next"], "left")
-        p = F.when(
-            F.col("_c_ctx").isNotNull(),
-            F.lit(lam) * F.coalesce(F.col("_c_big"), F.lit(0)) / F.col("_c_ctx") + F.lit(round(1.0 - lam, 12)) * q,
-        ).otherwise(q)
-        d = d.withColumn("p", F.when(F.col("next").isNotNull(), p)).drop("_c_ctx", "_c_big")
-    else:
-        raise ValueError(kind)
-    return d.withColumn("nll", -F.log(F.col("p"))).drop("_c_uni")
+    for kind in kinds:
+        if kind == "unigram":
+            p = q
+        else:
+            p = F.when(
+                F.col("_c_ctx").isNotNull(),
+                F.lit(lam) * F.coalesce(F.col("_c_big"), F.lit(0)) / F.col("_c_ctx") + F.lit(round(1.0 - lam, 12)) * q,
+            ).otherwise(q)
+        d = d.withColumn(f"p_{kind}", F.when(has_next, p)).withColumn(f"nll_{kind}", -F.log(F.col(f"p_{kind}")))
+    return d.drop(*[c for c in ("_c_uni", "_c_ctx", "_c_big") if c in d.columns])
 
 
 def masked_cross_entropy(rows: DataFrame, model: NGramModel, key_cols: list[str], kind: str = "bigram") -> DataFrame:

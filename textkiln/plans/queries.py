@@ -208,23 +208,24 @@ def q_sliding_perplexity(spark, sf):
 
 
 def model_results(spark, sf, tokenizer="hashed") -> DataFrame:
+    """Unigram vs bigram on the joined held-out prefix: both scored in one pass,
+    unpivoted to ``(model, seq, pos, nll)``, one grouped perplexity per model."""
     m = fit_model(spark, sf, tokenizer)
     pieces = heldout.heldout_pieces(heldout.heldout_texts(spark, sf), tokenizer=tokenizer)
-    pairs = heldout.heldout_pairs(pieces)
+    scored = evaluation.score_models(heldout.heldout_pairs(pieces), m, ["unigram", "bigram"])
+    long = scored.select("seq", "pos", F.expr("stack(2, 'unigram', nll_unigram, 'bigram', nll_bigram) AS (model, nll)"))
     lengths = heldout.heldout_length(pieces)
-    out = []
-    for kind, table in (("unigram", m.unigram), ("bigram", m.bigram)):
-        ppl = evaluation.sliding_perplexity(evaluation.score_pairs(pairs, m, kind), lengths, ["seq"])
-        out.append(
-            ppl.select(
-                F.lit(kind).alias("model"),
-                F.round("ppl", 6).alias("ppl"),
-                F.col("n_tokens").alias("eval_tokens"),
-                "n_windows",
-                F.lit(table.count()).cast("bigint").alias("model_entries"),
-            )
-        )
-    return evaluation.model_comparison(out)
+    lengths = lengths.select(F.explode(F.array(F.lit("unigram"), F.lit("bigram"))).alias("model"), "seq", "L")
+    ppl = evaluation.sliding_perplexity(long, lengths, ["model", "seq"])
+    entries = {"unigram": m.unigram.count(), "bigram": m.bigram.count()}
+    per_model = ppl.select(
+        "model",
+        F.round("ppl", 6).alias("ppl"),
+        F.col("n_tokens").alias("eval_tokens"),
+        "n_windows",
+        F.when(F.col("model") == "unigram", F.lit(entries["unigram"])).otherwise(F.lit(entries["bigram"])).cast("bigint").alias("model_entries"),
+    )
+    return evaluation.model_comparison([per_model])
 
 
 def q_model_comparison(spark, sf):
