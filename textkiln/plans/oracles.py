@@ -237,15 +237,15 @@ REC_AB = """SELECT user_id, event_id, ts, CASE WHEN event_type = 'error' THEN 0.
   value / 7.0 AS b FROM events"""
 
 _ALPHA = f"greatest(least({_softplus('0.0')} / ({_softplus('value / 50.0')} + 0.001), 1.0), 0.0)"
-LIQ_AB = f"SELECT user_id, event_id, ts, 1.0 - {_ALPHA} AS a, {_ALPHA} * tanh((value - 50.0) / 50.0) AS b FROM events"
+LIQUID_AB = f"SELECT user_id, event_id, ts, 1.0 - {_ALPHA} AS a, {_ALPHA} * tanh((value - 50.0) / 50.0) AS b FROM events"
 
 
 def seq_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["linear_recurrence"] = _recursive(REC_AB, "1.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
-    q["liquid_filter"] = _recursive(LIQ_AB, "0.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
+    q["liquid_filter"] = _recursive(LIQUID_AB, "0.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
     q["final_state"] = (
-        _recursive(LIQ_AB, "0.0")
+        _recursive(LIQUID_AB, "0.0")
         + " SELECT user_id, count(*)::BIGINT AS n_rows, round(arg_max(h, rn), 6) AS h_final FROM r GROUP BY user_id"
     )
     q["trailing_mean"] = """SELECT user_id, event_id, round(m, 6) AS trailing_mean FROM (
