@@ -103,3 +103,42 @@ def packing_report(rows: DataFrame, tokens_col: str = "n_tokens", seq_len: int =
         F.round(F.col("n_pad") / (F.col("n_rows") * seq_len), 6).alias("pad_share"),
         F.round(F.col("n_targets") / (F.col("n_rows") * seq_len), 6).alias("target_share"),
     )
+
+
+def multi_epoch_plan(
+    rows: DataFrame,
+    epochs: int,
+    id_col: str = "doc_id",
+    batch_size: int = BATCH_SIZE,
+    grad_accum: int = GRAD_ACCUM,
+    seed: int = SEED,
+) -> DataFrame:
+    """Batch plan over several epochs, each with its own seeded permutation.
+
+    The micro-step counter continues across epochs (an epoch has
+    ``ceil(N / batch_size)`` micro-steps, its last batch possibly short), so a
+    global step may span two epochs and the number of steps can exceed the
+    per-epoch estimate ``(ceil(N / batch) // accum) * epochs``."""
+    import math
+
+    n = rows.select(id_col).count()
+    per_epoch = math.ceil(n / batch_size)
+    ids = rows.select(id_col)
+    plans = [
+        seeded_shuffle(ids, id_col, seed=seed, epoch=e).withColumn("epoch", F.lit(e)) for e in range(epochs)
+    ]
+    d = plans[0]
+    for p in plans[1:]:
+        d = d.unionByName(p)
+    micro = (F.col("epoch") * per_epoch + F.floor(F.col("shuffle_rank") / batch_size)).cast("bigint")
+    d = d.withColumn("micro_step", micro)
+    return d.withColumn("global_step", (F.floor(F.col("micro_step") / grad_accum) + 1).cast("bigint")).withColumn(
+        "planned_steps", F.lit((per_epoch // grad_accum) * epochs).cast("bigint")
+    )
+
+
+def in_shuffled_order(ranked: DataFrame, rank_col: str = "shuffle_rank", num_partitions: int | None = None) -> DataFrame:
+    """Lay rows out in rank order for a sink: a range shuffle on the rank, then a
+    sort inside each partition (no global single-task sort)."""
+    n = num_partitions or int(ranked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return ranked.repartitionByRange(n, rank_col).sortWithinPartitions(rank_col)

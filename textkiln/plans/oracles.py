@@ -10,7 +10,7 @@ DOC_TOKENS = f"""doc_tokens AS (
   FROM documents WHERE length(coalesce(text, '')) > 0
 ), doc_tok AS (SELECT * FROM doc_tokens WHERE len(tokens) > 0)"""
 
-CHAT_ROWS = f"""WITH seg AS (
+CHAT_CTE = f"""WITH seg AS (
   SELECT conv_id, turn, role,
     CASE WHEN role = 'user' THEN {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")}
          WHEN role = 'assistant' THEN list_append({hashed_ids('text')}, {EOT})
@@ -28,7 +28,9 @@ CHAT_ROWS = f"""WITH seg AS (
 ), padded AS (
   SELECT conv_id, total_tokens, len(ids) AS n_tokens, {pad('ids', 1024, EOT)} AS input_ids, {pad('labels', 1024, -100)} AS labels
   FROM cut
-)
+)"""
+
+CHAT_ROWS = CHAT_CTE + f"""
 SELECT conv_id, n_tokens::BIGINT AS n_tokens, total_tokens::BIGINT AS total_tokens,
   {count_valid('labels')}::BIGINT AS n_targets, total_tokens > 1024 AS truncated,
   {count_valid('labels')} = 0 AS zero_target,
@@ -105,6 +107,7 @@ SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
     q.update(seq_oracles())
     q.update(gen_oracles())
     q.update(misc_oracles(q))
+    q.update(plan_oracles())
     return q
 
 
@@ -343,3 +346,33 @@ pw AS (SELECT doc_id, (pos // 512) * 512 AS i, avg(nll) AS m FROM sc GROUP BY AL
 SELECT doc_id, i::BIGINT AS i, (least(i + 512, L) - i)::BIGINT AS trg_len, round(m, 6) AS mean_nll FROM w LEFT JOIN pw USING (doc_id, i)"""
     q["bpe_roundtrip"] = "SELECT doc_id, true AS roundtrip_ok FROM documents WHERE length(coalesce(text, '')) > 0"
     return q
+
+
+def plan_oracles() -> dict[str, str]:
+    q: dict[str, str] = {}
+    parts = []
+    for e in (0, 1):
+        key = f"md5({seeded_key('shuf', str(SEED), str(e), 'conv_id')})"
+        parts.append(
+            f"SELECT conv_id, {e} AS epoch, (row_number() OVER (ORDER BY {key}, conv_id) - 1) AS shuffle_rank FROM c"
+        )
+    q["chat_batch_plan"] = f"""WITH c AS (SELECT DISTINCT conv_id FROM conversations),
+n AS (SELECT (count(*) + 1) // 2 AS per_epoch FROM c),
+r AS ({parts[0]} UNION ALL {parts[1]})
+SELECT conv_id, epoch::BIGINT AS epoch, shuffle_rank::BIGINT AS shuffle_rank,
+  (epoch * per_epoch + shuffle_rank // 2)::BIGINT AS micro_step,
+  ((epoch * per_epoch + shuffle_rank // 2) // 16 + 1)::BIGINT AS global_step,
+  ((per_epoch // 16) * 2)::BIGINT AS planned_steps
+FROM r CROSS JOIN n"""
+    q["chat_packing_report"] = CHAT_CTE + f""",
+a AS (
+  SELECT count(*)::BIGINT AS n_rows, sum(least(total_tokens, 1024))::BIGINT AS n_tokens,
+    sum(greatest(1024 - total_tokens, 0))::BIGINT AS n_pad, sum({count_valid('labels')})::BIGINT AS n_targets,
+    sum((total_tokens > 1024)::INTEGER)::BIGINT AS n_cropped
+  FROM padded
+)
+SELECT n_rows, n_tokens, n_pad, n_targets, n_cropped, (n_rows * 1024)::BIGINT AS token_budget,
+  ((n_rows + 1) // 2)::BIGINT AS micro_steps, (((n_rows + 1) // 2) // 16)::BIGINT AS global_steps,
+  round(n_pad / (n_rows * 1024), 6) AS pad_share, round(n_targets / (n_rows * 1024), 6) AS target_share
+FROM a"""
+    return q

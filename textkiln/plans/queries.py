@@ -477,3 +477,21 @@ def q_corpus_training_rows_bpe(spark, sf):
         array_md5(F.col("input_ids")).alias("ids_md5"),
         array_md5(F.col("labels")).alias("labels_md5"),
     )
+
+
+def q_chat_batch_plan(spark, sf):
+    """Instruction-tuning plan: two epochs over the conversations, batch 2,
+    accumulation 16, micro-steps continuing across epochs."""
+    from textkiln.constants import CHAT_GRAD_ACCUM
+
+    convs = conversations(spark, sf).select("conv_id").distinct()
+    p = sampling.multi_epoch_plan(convs, 2, id_col="conv_id", grad_accum=CHAT_GRAD_ACCUM)
+    return p.select("conv_id", F.col("epoch").cast("bigint").alias("epoch"), "shuffle_rank", "micro_step", "global_step", "planned_steps")
+
+
+def q_chat_packing_report(spark, sf):
+    """Token budget of the instruction-tuning rows (accumulation 16)."""
+    from textkiln.constants import CHAT_GRAD_ACCUM
+
+    rows = chat.chat_training_rows(conversations(spark, sf), tokenizer="hashed")
+    return sampling.packing_report(rows, tokens_col="total_tokens", grad_accum=CHAT_GRAD_ACCUM)
