@@ -108,6 +108,7 @@ SELECT doc_id, least(len(tokens), 1024)::BIGINT AS n_ctx,
     q.update(gen_oracles())
     q.update(misc_oracles(q))
     q.update(plan_oracles())
+    q.update(hot_oracles(q))
     return q
 
 
@@ -376,3 +377,16 @@ SELECT n_rows, n_tokens, n_pad, n_targets, n_cropped, (n_rows * 1024)::BIGINT AS
   round(n_pad / (n_rows * 1024), 6) AS pad_share, round(n_targets / (n_rows * 1024), 6) AS target_share
 FROM a"""
     return q
+
+
+HOT_EVENTS = "(SELECT * REPLACE (CASE WHEN event_id % 3 = 0 THEN 0 ELSE user_id END AS user_id) FROM events)"
+
+
+def hot_oracles(base: dict[str, str]) -> dict[str, str]:
+    """The same twins over the skewed derivation of ``events``."""
+    q: dict[str, str] = {}
+    hot_ab = REC_AB.replace("FROM events", f"FROM {HOT_EVENTS}")
+    q["linear_recurrence_hot_key"] = _recursive(hot_ab, "1.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
+    q["history_attention_hot_key"] = base["history_attention"].replace("FROM events", f"FROM {HOT_EVENTS}")
+    q["trailing_mean_hot_key"] = base["trailing_mean"].replace("FROM events", f"FROM {HOT_EVENTS}")
+    return q

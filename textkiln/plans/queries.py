@@ -495,3 +495,28 @@ def q_chat_packing_report(spark, sf):
 
     rows = chat.chat_training_rows(conversations(spark, sf), tokenizer="hashed")
     return sampling.packing_report(rows, tokens_col="total_tokens", grad_accum=CHAT_GRAD_ACCUM)
+
+
+# --------------------------------------------------------------------------- skew: one user holds a third of the rows
+def hot_events(spark, sf) -> DataFrame:
+    """``events`` with every third event moved to user 0: one key then holds a
+    third of all rows (the skew the sequence operators must split)."""
+    e = events(spark, sf)
+    return e.withColumn("user_id", F.when(F.col("event_id") % 3 == 0, F.lit(0).cast("bigint")).otherwise(F.col("user_id")))
+
+
+def q_linear_recurrence_hot_key(spark, sf):
+    a, b = recurrence_inputs()
+    r = sequence.linear_recurrence(hot_events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0)
+    return r.select("user_id", "event_id", F.round("h", 6).alias("h"))
+
+
+def q_history_attention_hot_key(spark, sf):
+    v = F.col("value")
+    h = sequence.history_attention(hot_events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v)
+    return h.select("user_id", "event_id", "pos", F.round("attn", 6).alias("attn"))
+
+
+def q_trailing_mean_hot_key(spark, sf):
+    t = sequence.trailing_mean(hot_events(spark, sf), "user_id", EVENT_ORDER, "value")
+    return t.select("user_id", "event_id", F.round("trailing_mean", 6).alias("trailing_mean"))
