@@ -43,3 +43,21 @@ def test_entry_and_registry(spark):
     rows_only = {k for k in qs if k not in sqls}
     assert rows_only <= {"chat_training_rows_bpe", "model_comparison_bpe", "batch_generate_sampled", "bpe_encode", "corpus_training_rows_bpe"}
     assert set(sqls) <= set(qs)
+
+
+def test_stream_prepare_equals_batch(spark, tmp_path):
+    from textkiln.operators import sampling, tokens
+
+    rows = [(i, ("word " * (i * 97 % 1500)) + f"end{i}", "en", "s", 0) for i in range(12)] + [(99, None, "en", "s", 0)]
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    d = tmp_path / "docs"
+    df = spark.createDataFrame(rows, schema)
+    df.where("doc_id < 6").coalesce(1).write.parquet(str(d / "p1"))
+    df.where("doc_id >= 6").coalesce(1).write.parquet(str(d / "p2"))
+    s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(d))
+    got = {r.doc_id: (list(r.input_ids), list(r.labels), r.crop_start) for r in corpus_stream.run_to_table(corpus_stream.stream_prepare(s, "bpe"), name="t-prep").collect()}
+    want = {
+        r.doc_id: (list(r.input_ids), list(r.labels), r.crop_start)
+        for r in sampling.crop_or_pad(tokens.drop_empty(tokens.tokenize(df, tokenizer="bpe"))).collect()
+    }
+    assert got == want and 99 not in got
