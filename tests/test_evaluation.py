@@ -75,3 +75,20 @@ def test_masked_cross_entropy_null_without_targets(spark):
     # p(2|1) = 0.9 * 1/1 + 0.1 * 3/9; p(3|2) = 0.9 * 2/2 + 0.1 * 3/9
     want = -(math.log(0.9 + 0.1 * 3 / 9) + math.log(0.9 + 0.1 * 3 / 9)) / 2
     assert abs(got[0].mean_nll - want) < 1e-12
+
+
+def test_batch_score_runs_any_scorer_over_window_inputs(spark):
+    toks = list(range(1, 1300))
+    seqs = spark.createDataFrame([(7, toks)], "doc_id long, tokens array<int>")
+    w = evaluation.window_inputs(seqs, ["doc_id"])
+
+    def scorer(pdf):
+        return pdf.assign(n_in=pdf["input_chunk"].map(len), first=pdf["input_chunk"].map(lambda a: int(a[0])))[
+            ["doc_id", "i", "trg_len", "n_in", "first"]
+        ]
+
+    out = {r.i: r for r in evaluation.batch_score(w, scorer, "doc_id long, i long, trg_len long, n_in long, first long").collect()}
+    assert sorted(out) == [0, 512, 1024]
+    assert (out[0].n_in, out[0].first) == (512, 1)
+    assert (out[512].n_in, out[512].first) == (1024, 1)
+    assert (out[1024].n_in, out[1024].first, out[1024].trg_len) == (787, 513, 275)

@@ -78,13 +78,19 @@ def linear_recurrence(
     h0: float = 0.0,
     out: str = "h",
     num_partitions: int | None = None,
+    carry: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out`` = h_t of ``h_t = a_t h_{t-1} + b_t`` per ``key`` in ``order_cols``
-    order, starting from ``h0`` before each key's first row."""
+    order, starting from ``h0`` before each key's first row.
+
+    ``carry`` names the other input columns to keep (default: all). The Python
+    scan is opaque to column pruning, so callers that need only the state pass
+    ``carry=[]`` and nothing else crosses into Python or the checkpoint table."""
     spark = df.sparkSession
     checkpoint_dir(spark)
     P = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    d = df.withColumn("_a", a.cast("double")).withColumn("_b", b.cast("double"))
+    keep = [c for c in df.columns if c not in (key, *order_cols)] if carry is None else list(carry)
+    d = df.select(key, *order_cols, *keep, a.cast("double").alias("_a"), b.cast("double").alias("_b"))
     d = d.repartitionByRange(P, key, *order_cols).sortWithinPartitions(key, *order_cols)
     schema = T.StructType(
         [f for f in d.schema.fields if f.name not in ("_a", "_b")]
@@ -133,10 +139,12 @@ def liquid_gates(x_tau: Column, x_in: Column, log_dt: float = 0.0) -> tuple[Colu
     return F.lit(1.0) - alpha, alpha * F.tanh(x_in)
 
 
-def liquid_filter(df: DataFrame, key: str, order_cols: list[str], x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, out: str = "h") -> DataFrame:
+def liquid_filter(
+    df: DataFrame, key: str, order_cols: list[str], x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, out: str = "h", carry: list[str] | None = None
+) -> DataFrame:
     """Adaptive smoothing: the liquid cell's gates feeding ``linear_recurrence``."""
     a, b = liquid_gates(x_tau, x_in, log_dt)
-    return linear_recurrence(df, key, order_cols, a, b, h0, out)
+    return linear_recurrence(df, key, order_cols, a, b, h0, out, carry=carry)
 
 
 def final_state(states: DataFrame, key: str, order_cols: list[str], h: str = "h") -> DataFrame:
@@ -156,7 +164,7 @@ def trailing_mean(
     positions, and each chunk also receives the ``window`` rows before it (a
     halo); the window then runs per (key, chunk), at most ``chunk + window``
     rows, with the same arithmetic as one window over the whole key."""
-    d = row_positions(df, key, order_cols)
+    d = row_positions(df.select(key, *order_cols, value), key, order_cols)
     c = F.floor(F.col("pos") / chunk).cast("bigint")
     halo = (F.col("pos") % chunk) >= (chunk - window)
     copies = F.when(
@@ -176,7 +184,7 @@ def causal_softmax_mean(df: DataFrame, key: str, order_cols: list[str], score: C
     wexp = F.exp(score - F.lit(shift))
     d = df.withColumn("_w", wexp).withColumn("_wv", wexp * value)
     d = linear_recurrence(d, key, order_cols, F.lit(1.0), F.col("_w"), 0.0, "_num_den")
-    d = linear_recurrence(d, key, order_cols, F.lit(1.0), F.col("_wv"), 0.0, "_num")
+    d = linear_recurrence(d, key, order_cols, F.lit(1.0), F.col("_wv"), 0.0, "_num", carry=[c for c in d.columns if c not in (key, *order_cols, "_w")])
     return d.withColumn(out, F.col("_num") / F.col("_num_den")).drop("_w", "_wv", "_num", "_num_den")
 
 

@@ -276,13 +276,13 @@ def recurrence_inputs():
 
 def q_linear_recurrence(spark, sf):
     a, b = recurrence_inputs()
-    r = sequence.linear_recurrence(events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0)
+    r = sequence.linear_recurrence(events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0, carry=[])
     return r.select("user_id", "event_id", F.round("h", 6).alias("h"))
 
 
 def liquid(spark, sf) -> DataFrame:
     v = F.col("value")
-    return sequence.liquid_filter(events(spark, sf), "user_id", EVENT_ORDER, v / 50.0, (v - 50.0) / 50.0)
+    return sequence.liquid_filter(events(spark, sf), "user_id", EVENT_ORDER, v / 50.0, (v - 50.0) / 50.0, carry=[])
 
 
 def q_liquid_filter(spark, sf):
@@ -300,7 +300,8 @@ def q_trailing_mean(spark, sf):
 
 
 def q_causal_softmax_mean(spark, sf):
-    c = sequence.causal_softmax_mean(events(spark, sf), "user_id", EVENT_ORDER, F.col("value") / 100.0, F.col("value"))
+    e = events(spark, sf).select("user_id", "ts", "event_id", "value")
+    c = sequence.causal_softmax_mean(e, "user_id", EVENT_ORDER, F.col("value") / 100.0, F.col("value"))
     return c.select("user_id", "event_id", F.round("attn", 6).alias("attn"))
 
 
@@ -507,7 +508,7 @@ def hot_events(spark, sf) -> DataFrame:
 
 def q_linear_recurrence_hot_key(spark, sf):
     a, b = recurrence_inputs()
-    r = sequence.linear_recurrence(hot_events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0)
+    r = sequence.linear_recurrence(hot_events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0, carry=[])
     return r.select("user_id", "event_id", F.round("h", 6).alias("h"))
 
 
