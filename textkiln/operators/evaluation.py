@@ -81,7 +81,7 @@ def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str]
 
     One pass: every position becomes ``(ctx, next)`` (ctx NULL for a row's first
     token), counted with a partial + final hash aggregate. The count table is
-    checkpointed to the shared folder (it feeds several joins); unigram and
+    written as a table in the shared checkpoint folder (it feeds several joins); unigram and
     context totals are aggregates of it.
     """
     t = F.col(tokens_col)

@@ -7,8 +7,8 @@ key in a blocked scan that splits hot keys:
    so a key holding a third of all rows is spread over many partitions;
 2. per partition, a vectorized segmented doubling scan (numpy, Arrow batches)
    gives each row the composed map ``(A, B)`` of its key's rows in that
-   partition up to it; the result is checkpointed so every later read sees
-   the same partitions;
+   partition up to it; the result is written as a table in the shared
+   checkpoint folder so every later read sees the same partitions;
 3. one summary row per partition (first key, last key, last row's ``(A, B)``)
    is folded in partition order -- at most P rows -- into the state carried
    into each partition's first key;
