@@ -408,7 +408,9 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 
 
 def q_stream_prepare(spark, sf):
-    s = corpus_stream.corpus_stream(spark, sf, "documents.parquet")
+    from textkiln.sources.corpus import DOCUMENT_SCHEMA
+
+    s = corpus_stream.table_stream(spark, table_path(sf, "documents"), DOCUMENT_SCHEMA)
     rows = corpus_stream.run_to_table(corpus_stream.stream_prepare(s, tokenizer="hashed"), name="stream-prepare")
     return rows.select(
         "doc_id",
@@ -422,7 +424,7 @@ def q_stream_prepare(spark, sf):
 
 
 def q_stream_liquid_filter(spark, sf):
-    ev = spark.readStream.schema(EVENTS_SCHEMA).option("pathGlobFilter", "events.parquet").parquet(sf)
+    ev = corpus_stream.table_stream(spark, table_path(sf, "events"), EVENTS_SCHEMA)
     v = F.col("value")
     out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-liquid")
     return out.select("user_id", "event_id", F.round("h", 6).alias("h"))

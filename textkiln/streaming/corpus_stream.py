@@ -28,6 +28,17 @@ def corpus_stream(spark: SparkSession, directory: str, file_glob: str = "*.parqu
     )
 
 
+def table_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
+    """Stream a table given as a folder of parquet files (the usual layout) or,
+    for a single local parquet file, as that one file of its folder."""
+    import os
+
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
+    if os.path.isfile(path):
+        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path) or ".")
+    return reader.parquet(path)
+
+
 def stream_prepare(stream: DataFrame, tokenizer: str = "bpe", seed: int = 42, epoch: int = 0) -> DataFrame:
     """Streaming training rows: the batch operators applied row by row."""
     t = tokens.drop_empty(tokens.tokenize(stream.select("doc_id", "text"), tokenizer=tokenizer))
