@@ -365,6 +365,10 @@ SELECT conv_id, epoch::BIGINT AS epoch, shuffle_rank::BIGINT AS shuffle_rank,
   ((epoch * per_epoch + shuffle_rank // 2) // 16 + 1)::BIGINT AS global_step,
   ((per_epoch // 16) * 2)::BIGINT AS planned_steps
 FROM r CROSS JOIN n"""
+    q["corpus_training_plan"] = f"""{CORPUS_ROWS}
+SELECT b.doc_id, r.shuffle_rank, ({u32(seeded_key('shard', str(SEED), '0', 'b.doc_id'))} % 2)::INTEGER AS shard,
+  b.crop_start::BIGINT AS crop_start, {arr_md5('b.input_ids')} AS ids_md5, {arr_md5('b.labels')} AS labels_md5
+FROM built b JOIN (SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1)::BIGINT AS shuffle_rank FROM doc_tok) r USING (doc_id)"""
     q["chat_packing_report"] = CHAT_CTE + f""",
 a AS (
   SELECT count(*)::BIGINT AS n_rows, sum(least(total_tokens, 1024))::BIGINT AS n_tokens,

@@ -523,3 +523,18 @@ def q_history_attention_hot_key(spark, sf):
 def q_trailing_mean_hot_key(spark, sf):
     t = sequence.trailing_mean(hot_events(spark, sf), "user_id", EVENT_ORDER, "value")
     return t.select("user_id", "event_id", F.round("trailing_mean", 6).alias("trailing_mean"))
+
+
+def q_corpus_training_plan(spark, sf):
+    """End-to-end corpus plan (tokenize, shuffle, shard, crop/pad) as written rows."""
+    from textkiln.plans import training
+
+    r = training.corpus_rows(documents(spark, sf), tokenizer="hashed", num_shards=2)
+    return r.select(
+        "doc_id",
+        "shuffle_rank",
+        "shard",
+        F.col("crop_start").cast("bigint").alias("crop_start"),
+        array_md5(F.col("input_ids")).alias("ids_md5"),
+        array_md5(F.col("labels")).alias("labels_md5"),
+    )
