@@ -61,3 +61,20 @@ def test_stream_prepare_equals_batch(spark, tmp_path):
         for r in sampling.crop_or_pad(tokens.drop_empty(tokens.tokenize(df, tokenizer="bpe"))).collect()
     }
     assert got == want and 99 not in got
+
+
+def test_foreach_batch_sink_is_idempotent(spark, tmp_path):
+    schema = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+    d = tmp_path / "docs"
+    rows = [(i, f"text number {i} " * (i + 1), "en", "s", 0) for i in range(9)]
+    df = spark.createDataFrame(rows, schema)
+    for k in range(3):
+        df.where(f"doc_id % 3 = {k}").coalesce(1).write.parquet(str(d / f"p{k}"))
+    out, ck = str(tmp_path / "out"), str(tmp_path / "ck")
+    for _ in range(2):  # a restart from the same checkpoint must not duplicate rows
+        s = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(d))
+        q = corpus_stream.write_rows_stream(corpus_stream.stream_prepare(s, "hashed"), out, ck)
+        q.awaitTermination()
+    back = spark.read.parquet(out)
+    assert sorted(r.doc_id for r in back.collect()) == list(range(9))
+    assert back.select("batch_id").distinct().count() == 3

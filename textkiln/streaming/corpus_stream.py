@@ -61,3 +61,19 @@ def run_to_table(df: DataFrame, output_mode: str = "append", name: str = "stream
     )
     q.awaitTermination()
     return spark.read.schema(df.schema).parquet(f"{base}/out")
+
+
+def write_rows_stream(rows: DataFrame, path: str, checkpoint_location: str, available_now: bool = True):
+    """Stream training rows to ``path/batch_id=<n>`` with ``foreachBatch``.
+
+    Each micro-batch overwrites its own folder, so a batch replayed after a
+    failure (same id, same input offsets from the checkpoint) rewrites the same
+    rows instead of appending duplicates. Returns the started query."""
+
+    def sink(batch: DataFrame, batch_id: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path.rstrip('/')}/batch_id={batch_id}")
+
+    w = rows.writeStream.foreachBatch(sink).option("checkpointLocation", checkpoint_location)
+    if available_now:
+        w = w.trigger(availableNow=True)
+    return w.start()
