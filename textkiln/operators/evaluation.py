@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.constants import IGNORE, SEQ_LEN, STRIDE
+from textkiln.constants import IGNORE, SEQ_LEN, STRIDE, VOCAB_SIZE
 from textkiln.session import checkpoint_dir, materialize
 
 
@@ -75,6 +75,12 @@ class NGramModel:
     def unigram_prob(self, count: Column) -> Column:
         return (F.coalesce(count, F.lit(0)) + F.lit(1)) / F.lit(float(self.n_tokens + self.vocab))
 
+    def per_token(self, df: DataFrame) -> DataFrame:
+        """Broadcast a per-token table (unigram, context totals) when the fitted
+        model's distinct-token count, which bounds its rows, is vocabulary-sized;
+        otherwise leave the join to the planner."""
+        return F.broadcast(df) if self.vocab - 1 <= VOCAB_SIZE else df
+
 
 def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str] | None = None) -> NGramModel:
     """Fit add-one unigram and interpolated bigram counts on token arrays.
@@ -121,12 +127,12 @@ def score_models(pairs: DataFrame, model: NGramModel, kinds: list[str], lam: flo
     unigram and context tables (one row per vocabulary id at most) are
     broadcast; the bigram table, unbounded, is a shuffled join (AQE splits a
     hot pair)."""
-    uni = F.broadcast(model.unigram.select(F.col("token").alias("next"), F.col("count").alias("_c_uni")))
+    uni = model.per_token(model.unigram.select(F.col("token").alias("next"), F.col("count").alias("_c_uni")))
     d = pairs.join(uni, "next", "left")
     q = model.unigram_prob(F.col("_c_uni"))
     has_next = F.col("next").isNotNull()
     if "bigram" in kinds:
-        ctx = F.broadcast(model.context.select("ctx", F.col("total").alias("_c_ctx")))
+        ctx = model.per_token(model.context.select("ctx", F.col("total").alias("_c_ctx")))
         big = model.bigram.select("ctx", "next", F.col("count").alias("_c_big"))
         d = d.join(ctx, "ctx", "left").join(big, ["ctx", "next"], "left")
     for kind in kinds:

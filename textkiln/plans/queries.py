@@ -157,8 +157,8 @@ def q_next_token_pairs(spark, sf):
 
 def q_ngram_fit(spark, sf):
     m = fit_model(spark, sf)
-    uni = F.broadcast(m.unigram.select(F.col("token").alias("next"), F.col("count").alias("c_uni")))
-    b = m.bigram.join(F.broadcast(m.context), "ctx").join(uni, "next", "left")
+    uni = m.per_token(m.unigram.select(F.col("token").alias("next"), F.col("count").alias("c_uni")))
+    b = m.bigram.join(m.per_token(m.context), "ctx").join(uni, "next", "left")
     p = F.lit(0.9) * F.col("count") / F.col("total") + F.lit(0.1) * m.unigram_prob(F.col("c_uni"))
     return b.groupBy("ctx").agg(
         F.first("total").cast("bigint").alias("n_ctx"),
