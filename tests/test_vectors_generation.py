@@ -12,8 +12,8 @@ def test_topk_ties_smallest_id_and_tiles(spark):
     c = spark.createDataFrame(vecs, "cand_id long, c_vec array<double>")
     M = np.array([v for _, v in vecs])
     S = M @ M.T
-    for tile in (1000, 7):
-        got = vectors.mips_topk(q, c, k=3, tile_rows=tile).collect()
+    for tile, bcast in ((1000, 0), (7, 0), (1000, 10_000)):
+        got = vectors.mips_topk(q, c, k=3, tile_rows=tile, max_broadcast_rows=bcast).collect()
         by_q = {}
         for r in got:
             by_q.setdefault(r.query_id, []).append((r.rank, r.cand_id))
@@ -60,3 +60,9 @@ def test_softmax_and_sample_within_groups(spark):
     assert abs(p[10] - a / (a + b)) < 1e-12 and p[12] == 1.0
     s = {r.g: r.sampled_item for r in generation.temperature_sample(df, ["g"], "item", "w").collect()}
     assert s[2] == 12 and s[1] in (10, 11)
+
+
+def test_exact_topk_ties():
+    S = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
+    assert vectors.exact_topk(S, 2).tolist() == [[1, 2], [0, 1]]
+    assert vectors.exact_topk(S, 4).tolist() == [[1, 2, 4, 3], [0, 1, 2, 3]]

@@ -1,11 +1,17 @@
 """Vector tables: id -> vector lookup and exact inner-product top-k.
 
-``mips_topk`` is a blocked matrix product: queries are cut into tiles and
-candidates into blocks (tile counts follow the table sizes), each query tile
-meets each candidate block in one cogrouped task (numpy matmul on Arrow
-batches), every task keeps only its per-query top-k, and a bounded window
-(blocks * k rows per query) merges them. No group holds more than one tile
-and one block; no (query, candidate) pair is ever emitted as a row.
+``mips_topk`` has two physical forms behind one size check:
+
+* candidates within ``max_broadcast_rows`` (a vocabulary-sized table, the case
+  of scoring hidden states against token embeddings): the candidate matrix is
+  broadcast once and queries stream through ``mapInPandas`` in sub-chunks --
+  no shuffle and no replication of the query side;
+* larger candidate tables: a blocked matrix product. Queries are cut into
+  tiles and candidates into blocks (counts follow the table sizes), each query
+  tile meets each candidate block in one cogrouped task, every task keeps only
+  its per-query top-k, and a bounded window (blocks * k rows per query) merges.
+
+No (query, candidate) pair is ever emitted as a row.
 """
 
 from __future__ import annotations
@@ -69,11 +75,63 @@ def _tile_topk(k: int):
     return run
 
 
-def mips_topk(queries: DataFrame, cands: DataFrame, k: int = 5, tile_rows: int = 4096) -> DataFrame:
+def exact_topk(S: np.ndarray, k: int) -> np.ndarray:
+    """Column indices of the ``k`` largest entries per row of ``S``, ordered by
+    score descending then column ascending (columns are in id order), exact on
+    ties at the boundary; argpartition keeps it linear in the row length."""
+    kk = min(k, S.shape[1])
+    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
+    kth = np.take_along_axis(S, part, 1).min(axis=1)[:, None]
+    gt = S > kth
+    eq = S == kth
+    need = kk - gt.sum(axis=1, keepdims=True)
+    sel = gt | (eq & (np.cumsum(eq, axis=1) <= need))
+    cols = np.nonzero(sel)[1].reshape(S.shape[0], kk)  # each row: kk columns in id order
+    scores = np.take_along_axis(S, cols, 1)
+    order = np.argsort(-scores, axis=1, kind="stable")
+    return np.take_along_axis(cols, order, 1)
+
+
+def _broadcast_topk(bc, k: int, chunk: int):
+    def run(batches):
+        ids, C = bc.value
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            qids = pdf["query_id"].to_numpy()
+            Q = np.stack(pdf["q_vec"].to_numpy()).astype(np.float64)
+            for s in range(0, len(qids), chunk):
+                S = Q[s : s + chunk] @ C.T
+                top = exact_topk(S, k)
+                rows = np.repeat(np.arange(S.shape[0]), top.shape[1])
+                cols = top.ravel()
+                yield pd.DataFrame(
+                    {
+                        "query_id": qids[s : s + chunk][rows],
+                        "cand_id": ids[cols],
+                        "score": S[rows, cols],
+                        "rank": np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), S.shape[0]),
+                    }
+                )
+
+    return run
+
+
+def mips_topk(
+    queries: DataFrame, cands: DataFrame, k: int = 5, tile_rows: int = 4096, max_broadcast_rows: int = VOCAB_SIZE, chunk: int = 256
+) -> DataFrame:
     """For every query vector, the ``k`` candidates with the largest inner product
     (ties: smaller id first). ``queries(query_id, q_vec)``, ``cands(cand_id, c_vec)``."""
+    n_c = cands.count()
+    if n_c <= max_broadcast_rows:
+        # bounded by the check above: at most max_broadcast_rows vectors
+        pdf = cands.select("cand_id", "c_vec").toPandas().sort_values("cand_id", kind="stable")
+        C = np.stack(pdf["c_vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
+        bc = queries.sparkSession.sparkContext.broadcast((pdf["cand_id"].to_numpy(), C))
+        schema = "query_id long, cand_id long, score double, rank int"
+        return queries.select("query_id", "q_vec").mapInPandas(_broadcast_topk(bc, k, chunk), schema)
     q_tiles = max(1, math.ceil(queries.count() / tile_rows))
-    c_blocks = max(1, math.ceil(cands.count() / tile_rows))
+    c_blocks = max(1, math.ceil(n_c / tile_rows))
     q = queries.select(
         F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)).alias("qt"),
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint"))).alias("cb"),
