@@ -10,7 +10,11 @@ def test_corpus_plan_writes_shards_in_shuffled_order(spark, tmp_path, enc):
     back = spark.read.parquet(out).collect()
     assert sorted(r.doc_id for r in back) == list(range(40))
     assert {r.shard for r in back} <= {0, 1, 2}
-    assert sorted(r.shuffle_rank for r in back) == list(range(40))
+    ranks = {r.doc_id: r.shuffle_rank for r in training.corpus_plan(df).collect()}
+    assert sorted(ranks) == list(range(42)) and sorted(ranks.values()) == list(range(42))
+    # the shuffle key orders rows exactly as the integer rank does
+    keys = sorted((r.shuffle_key, r.doc_id) for r in back)
+    assert [d for _, d in keys] == sorted([r.doc_id for r in back], key=lambda d: ranks[d])
     for r in back:
         assert len(r.input_ids) == SEQ_LEN and len(r.labels) == SEQ_LEN
         ids = enc.encode_ordinary(texts[r.doc_id])

@@ -529,8 +529,10 @@ def q_corpus_training_plan(spark, sf):
     """End-to-end corpus plan (tokenize, shuffle, shard, crop/pad) as written rows."""
     from textkiln.plans import training
 
-    r = training.corpus_rows(documents(spark, sf), tokenizer="hashed", num_shards=2)
-    return r.select(
+    docs = documents(spark, sf)
+    r = training.corpus_rows(docs, tokenizer="hashed", num_shards=2)
+    ranks = training.corpus_plan(docs).select("doc_id", "shuffle_rank")
+    return r.join(ranks, "doc_id").select(
         "doc_id",
         "shuffle_rank",
         "shard",

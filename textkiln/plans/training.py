@@ -1,10 +1,13 @@
 """End-to-end training-row plans.
 
-``corpus_training_rows``: corpus -> tokens -> drop empty -> seeded shuffle ->
-shard -> crop or pad -> rows in shuffled order (range shuffle) -> parquet,
-one folder per shard. ``chat_training_rows_plan``: conversations -> masked,
-truncated, padded rows -> seeded order -> parquet. Both are one Spark job each
-apart from the shuffle rank's small block table; nothing passes the driver.
+``corpus_rows``: corpus -> tokens -> drop empty -> crop or pad -> shard, with
+the seeded shuffle key attached. ``write_corpus_rows`` lays the rows out in
+shuffled order with a single range shuffle on that key (the integer rank is
+not needed for the layout) and writes one folder per shard. The integer
+shuffle rank and the batch plan depend only on the ids, so ``corpus_plan``
+computes them on the narrow id column: the wide rows (two 1024-id arrays each)
+cross the network once. ``chat_rows`` / ``write_chat_rows`` do the same for
+conversations. Nothing passes the driver.
 """
 
 from __future__ import annotations
@@ -13,31 +16,48 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textkiln.constants import SEED
+from textkiln.functions.hashing import seeded_hash_hex
 from textkiln.operators import chat, sampling, tokens
 from textkiln.sources import sinks
 
 
+def shuffle_key(id_col: str, seed: int = SEED, epoch: int = 0):
+    """The seeded key whose order (then the id) is the shuffled order."""
+    return seeded_hash_hex("shuf", seed, epoch, F.col(id_col))
+
+
 def corpus_rows(corpus: DataFrame, tokenizer: str = "bpe", num_shards: int = 2, seed: int = SEED, epoch: int = 0) -> DataFrame:
-    """``doc_id, shuffle_rank, shard, crop_start, input_ids, labels`` for one epoch."""
+    """``doc_id, shuffle_key, shard, crop_start, input_ids, labels`` for one epoch."""
     t = tokens.drop_empty(tokens.tokenize(corpus.select("doc_id", "text"), tokenizer=tokenizer))
-    rows = sampling.crop_or_pad(t, seed=seed, epoch=epoch).drop("tokens", "text")
-    rows = sampling.shard(sampling.seeded_shuffle(rows, seed=seed, epoch=epoch), num_shards, seed=seed, epoch=epoch)
-    return rows.select("doc_id", "shuffle_rank", "shard", "crop_start", "input_ids", "labels")
+    rows = sampling.crop_or_pad(t, seed=seed, epoch=epoch)
+    rows = sampling.shard(rows, num_shards, seed=seed, epoch=epoch).withColumn("shuffle_key", shuffle_key("doc_id", seed, epoch))
+    return rows.select("doc_id", "shuffle_key", "shard", "crop_start", "input_ids", "labels")
+
+
+def corpus_plan(corpus: DataFrame, seed: int = SEED, epoch: int = 0, **plan_args) -> DataFrame:
+    """Shuffle rank, micro-step and global step per document, on ids only."""
+    ranked = sampling.seeded_shuffle(corpus.select("doc_id"), seed=seed, epoch=epoch)
+    return sampling.batch_plan(ranked, **plan_args)
+
+
+def in_key_order(rows: DataFrame, key: str, id_col: str, num_partitions: int | None = None) -> DataFrame:
+    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartitionByRange(n, key, id_col).sortWithinPartitions(key, id_col)
 
 
 def write_corpus_rows(corpus: DataFrame, path: str, tokenizer: str = "bpe", num_shards: int = 2, seed: int = SEED, epoch: int = 0) -> None:
-    """Write one epoch of training rows, laid out in shuffled order per shard."""
-    rows = sampling.in_shuffled_order(corpus_rows(corpus, tokenizer, num_shards, seed, epoch))
+    """Write one epoch of training rows, in shuffled order within each shard."""
+    rows = in_key_order(corpus_rows(corpus, tokenizer, num_shards, seed, epoch), "shuffle_key", "doc_id")
     sinks.write_training_rows(rows, path)
 
 
 def chat_rows(conversations: DataFrame, tokenizer: str = "bpe", seed: int = SEED, epoch: int = 0) -> DataFrame:
-    """``conv_id, shuffle_rank, input_ids, labels, n_targets, zero_target`` for one epoch."""
+    """``conv_id, shuffle_key, input_ids, labels, n_targets, zero_target`` for one epoch."""
     rows = chat.chat_training_rows(conversations, tokenizer=tokenizer)
-    ranked = sampling.seeded_shuffle(rows, id_col="conv_id", seed=seed, epoch=epoch)
-    return ranked.select("conv_id", "shuffle_rank", "input_ids", "labels", "n_targets", "zero_target")
+    rows = rows.withColumn("shuffle_key", shuffle_key("conv_id", seed, epoch))
+    return rows.select("conv_id", "shuffle_key", "input_ids", "labels", "n_targets", "zero_target")
 
 
 def write_chat_rows(conversations: DataFrame, path: str, tokenizer: str = "bpe", seed: int = SEED, epoch: int = 0) -> None:
-    rows = sampling.in_shuffled_order(chat_rows(conversations, tokenizer, seed, epoch)).withColumn("shard", F.lit(0))
+    rows = in_key_order(chat_rows(conversations, tokenizer, seed, epoch), "shuffle_key", "conv_id").withColumn("shard", F.lit(0))
     sinks.write_training_rows(rows, path)
