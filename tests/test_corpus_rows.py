@@ -1,4 +1,3 @@
-from pyspark.sql import functions as F
 
 from textkiln.constants import EOT, IGNORE, SEQ_LEN
 from textkiln.operators import sampling, tokens

@@ -17,7 +17,7 @@ from textkiln.constants import EOT, IGNORE, SEQ_LEN, USER_PREFIX, USER_SUFFIX
 from textkiln.functions.arrays import append_eot, count_valid, pad_to, repeat_ignore
 from textkiln.operators.ranking import running_sum
 from textkiln.operators.tokens import encode
-from textkiln.session import checkpoint_dir, materialize
+from textkiln.session import materialize
 
 ROLES = ("user", "assistant")
 

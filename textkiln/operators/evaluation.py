@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from textkiln.constants import IGNORE, SEQ_LEN, STRIDE, VOCAB_SIZE
-from textkiln.session import checkpoint_dir, materialize
+from textkiln.session import materialize
 
 
 # --------------------------------------------------------------------------- pairs

@@ -14,7 +14,7 @@ from textkiln.constants import EVAL_PREFIX_CHARS
 from textkiln.operators.evaluation import next_token_pairs
 from textkiln.operators.ranking import id_block, running_sum
 from textkiln.operators.tokens import encode
-from textkiln.session import checkpoint_dir, materialize
+from textkiln.session import materialize
 from textkiln.sources.corpus import HELDOUT_SCHEMA, concat_prefix, corpus_scan, table_path, whitespace_pieces
 
 
