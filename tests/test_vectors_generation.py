@@ -29,14 +29,14 @@ def test_greedy_generation_equals_step_loop(spark):
     u = generation.unigram_argmax(m)
     prompts = spark.createDataFrame([(0, [1]), (1, [7]), (2, [42]), (3, [9, 5])], "prompt_id long, tokens array<int>")
     got = {r.prompt_id: list(r.generated) for r in generation.batch_generate_greedy(prompts, m, 20).collect()}
+    full = {r.prompt_id: list(r.generated) for r in generation.batch_generate_greedy(prompts, m, 20, stop_at_eot=False).collect()}
     for pid, toks in [(0, [1]), (1, [7]), (2, [42]), (3, [9, 5])]:
         out, last = [], toks[-1]
         for _ in range(20):
             last = g.get(last, u)
             out.append(last)
-            if last == EOT:
-                break
-        assert got[pid] == out
+        cut = out[: out.index(EOT) + 1] if EOT in out else out
+        assert got[pid] == cut and full[pid] == out
 
 
 def test_sampled_generation_stops_and_follows_observed(spark):
@@ -66,3 +66,16 @@ def test_exact_topk_ties():
     S = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
     assert vectors.exact_topk(S, 2).tolist() == [[1, 2], [0, 1]]
     assert vectors.exact_topk(S, 4).tolist() == [[1, 2, 4, 3], [0, 1, 2, 3]]
+
+
+def test_k_draws_without_replacement(spark):
+    rows = [(g, i, float(1 + (i * 7 + g) % 5)) for g in range(3) for i in range(10)]
+    df = spark.createDataFrame(rows, "g long, item long, w double")
+    d = generation.temperature_sample(df, ["g"], "item", "w", k=4).collect()
+    one = {r.g: r.sampled_item for r in generation.temperature_sample(df, ["g"], "item", "w").collect()}
+    by_g = {}
+    for r in d:
+        by_g.setdefault(r.g, {})[r.draw] = r.item
+    for g in range(3):
+        assert sorted(by_g[g]) == [1, 2, 3, 4] and len(set(by_g[g].values())) == 4
+        assert by_g[g][1] == one[g]  # the first draw is the single draw

@@ -313,6 +313,22 @@ SELECT ctx, nxt AS next, round(e / sum(e) OVER (PARTITION BY ctx), 6) AS prob FR
     u = f"(({u32(seeded_key('samp', str(SEED), 'ctx', 'nxt'))})::DOUBLE + 0.5) / 4294967296.0"
     q["temperature_sample"] = f"""WITH {MODEL}
 SELECT ctx, arg_max(nxt, ln(c) / 0.8 - ln(-ln({u}))) AS sampled_next FROM big GROUP BY ctx"""
+    q["temperature_sample_k"] = f"""WITH {MODEL}
+SELECT ctx, draw, nxt AS next FROM (
+  SELECT ctx, nxt, row_number() OVER (PARTITION BY ctx ORDER BY ln(c) / 0.8 - ln(-ln({u})) DESC, nxt)::BIGINT AS draw FROM big
+) WHERE draw <= 4"""
+    q["batch_generate_speed"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
+pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+  FROM conversations WHERE role = 'user'),
+gen AS (
+  SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
+  UNION ALL
+  SELECT gen.prompt_id, gen.n_prompt, gen.step + 1, coalesce(g.nxt, pu.u)::INTEGER, list_append(gen.out, coalesce(g.nxt, pu.u)::INTEGER)
+  FROM gen LEFT JOIN g ON g.ctx = gen.last CROSS JOIN pu
+  WHERE gen.step < 100
+)
+SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
+FROM gen GROUP BY prompt_id"""
     q["batch_generate"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
 pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
   FROM conversations WHERE role = 'user'),

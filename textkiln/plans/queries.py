@@ -540,3 +540,17 @@ def q_corpus_training_plan(spark, sf):
         array_md5(F.col("input_ids")).alias("ids_md5"),
         array_md5(F.col("labels")).alias("labels_md5"),
     )
+
+
+def q_temperature_sample_k(spark, sf):
+    """Four draws without replacement per context (top-4 Gumbel keys)."""
+    m = fit_model(spark, sf)
+    return generation.temperature_sample(m.bigram, ["ctx"], "next", "count", k=4).select("ctx", F.col("draw").cast("bigint").alias("draw"), "next")
+
+
+def q_batch_generate_speed(spark, sf):
+    """The speed-run setting: greedy, 100 new tokens, EOT does not stop."""
+    from textkiln.constants import MAX_NEW_SPEED
+
+    g = generation.batch_generate_greedy(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_SPEED, stop_at_eot=False)
+    return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
