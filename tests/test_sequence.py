@@ -88,3 +88,16 @@ def test_trailing_mean_chunks_with_halo(spark):
         want = {(k, i): sum(vals[i - 50 : i]) / 50 for i in range(50, len(vals))}
         assert {kk: v for kk, v in got.items() if kk[0] == k}.keys() == want.keys()
         assert all(abs(got[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_history_attention_vectors(spark):
+    rng = np.random.default_rng(11)
+    rows = [(1, o, [float(x) for x in rng.normal(size=3)]) for o in range(9)]
+    df = spark.createDataFrame(rows, "k long, o long, x array<double>")
+    got = {r.o: r.attn for r in sequence.history_attention(df, "k", ["o"], F.col("x"), F.col("x"), F.element_at("x", 2), span=3, dim=3).collect()}
+    X = np.array([r[2] for r in rows])
+    for i in range(9):
+        js = list(range(max(0, i - 2), i + 1))
+        s = np.array([X[i] @ X[j] / np.sqrt(3) for j in js])
+        w = np.exp(s - s.max())
+        assert abs(got[i] - float((w * X[js, 1]).sum() / w.sum())) < 1e-9

@@ -194,16 +194,23 @@ def row_positions(df: DataFrame, key: str, order_cols: list[str], out: str = "po
     return d.withColumn(out, (F.col("_cnt") - 1).cast("bigint")).drop("_cnt")
 
 
+def _as_matrix(col: pd.Series) -> np.ndarray:
+    """Scalars become a one-column matrix, arrays a row per vector."""
+    if len(col) and isinstance(col.iloc[0], (list, np.ndarray)):
+        return np.stack(col.to_numpy()).astype(np.float64)
+    return col.to_numpy(np.float64).reshape(-1, 1)
+
+
 def _attend(key: str, span: int, scale: float):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pos = pdf["pos"].to_numpy()
-        q = pdf["_q"].to_numpy(np.float64)
-        k = pdf["_k"].to_numpy(np.float64)
+        q = _as_matrix(pdf["_q"])
+        k = _as_matrix(pdf["_k"])
         v = pdf["_v"].to_numpy(np.float64)
         own = pdf["_own"].to_numpy(bool)
         qi, pi = q[own], pos[own]
-        s = np.outer(qi, k) * scale
+        s = (qi @ k.T) * scale
         band = (pos[None, :] <= pi[:, None]) & (pos[None, :] > pi[:, None] - span)
         s = np.where(band, s, -np.inf)
         s = s - s.max(axis=1, keepdims=True)
@@ -225,7 +232,8 @@ def history_attention(
     dim: int = 1,
 ) -> DataFrame:
     """Causal scaled-dot-product attention over each row's last ``span`` rows
-    (itself included) within its key: ``softmax_j(q_i k_j / sqrt(dim)) . v_j``.
+    (itself included) within its key: ``softmax_j(q_i . k_j / sqrt(dim)) v_j``.
+    ``q`` and ``k`` are numbers (dim = 1) or equal-length arrays (pass ``dim``).
 
     Rows are cut into chunks of ``span`` positions; each chunk is grouped with a
     copy of the chunk before it (the halo), so every group holds at most

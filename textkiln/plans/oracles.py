@@ -267,6 +267,13 @@ FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN
   FROM e i JOIN e j ON i.user_id = j.user_id AND j.pos <= i.pos AND j.pos > i.pos - 1024
 ), m AS (SELECT *, max(s) OVER (PARTITION BY user_id, event_id) AS ms FROM pr)
 SELECT user_id, event_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(exp(s - ms)), 6) AS attn FROM m GROUP BY user_id, event_id, pos"""
+    q["history_attention_vectors"] = """WITH e AS (
+  SELECT label, vec_id, embedding::DOUBLE[] AS x, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS pos FROM embeddings
+), pr AS (
+  SELECT i.label, i.vec_id, i.pos, list_dot_product(i.x, j.x) / 8.0 AS s, j.x[1] AS v
+  FROM e i JOIN e j ON i.label = j.label AND j.pos <= i.pos AND j.pos > i.pos - 1024
+), m AS (SELECT *, max(s) OVER (PARTITION BY label, vec_id) AS ms FROM pr)
+SELECT label, vec_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(exp(s - ms)), 6) AS attn FROM m GROUP BY label, vec_id, pos"""
     q["gate_functions"] = f"""SELECT event_id, round({_softplus('value / 50.0')}, 6) AS softplus,
   round(greatest(least(value / 100.0, 1.0), 0.0), 6) AS clamp, round(tanh((value - 50.0) / 50.0), 6) AS tanh,
   round(1.0 / (1.0 + exp(-((value - 50.0) / 50.0))), 6) AS sigmoid FROM events"""

@@ -554,3 +554,11 @@ def q_batch_generate_speed(spark, sf):
 
     g = generation.batch_generate_greedy(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_SPEED, stop_at_eot=False)
     return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
+
+
+def q_history_attention_vectors(spark, sf):
+    """Attention with 64-wide queries and keys: per label, in vec_id order, each
+    vector attends over itself and the vectors before it (v = first component)."""
+    e = spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding", "label")
+    h = sequence.history_attention(e, "label", ["vec_id"], F.col("embedding"), F.col("embedding"), F.element_at("embedding", 1), dim=64)
+    return h.select("label", "vec_id", "pos", F.round("attn", 6).alias("attn"))
