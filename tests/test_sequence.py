@@ -101,3 +101,17 @@ def test_history_attention_vectors(spark):
         s = np.array([X[i] @ X[j] / np.sqrt(3) for j in js])
         w = np.exp(s - s.max())
         assert abs(got[i] - float((w * X[js, 1]).sum() / w.sum())) < 1e-9
+
+
+def test_vector_recurrence_equals_loop(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, o, [float(x) for x in rng.uniform(0, 1, 3)], [float(x) for x in rng.normal(size=3)]) for k in (1, 2) for o in range(40)]
+    df = spark.createDataFrame(rows, "k long, o long, a array<double>, b array<double>")
+    got = {(r.k, r.o): r.h for r in sequence.linear_recurrence(df, "k", ["o"], F.col("a"), F.col("b"), h0=0.5, num_partitions=7, carry=[]).collect()}
+    for k in (1, 2):
+        h = np.full(3, 0.5)
+        for kk, o, a, b in rows:
+            if kk != k:
+                continue
+            h = np.array(a) * h + np.array(b)
+            assert np.allclose(got[(k, o)], h, atol=1e-12)

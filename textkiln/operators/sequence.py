@@ -40,6 +40,8 @@ def segmented_scan(seg: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     n, step = len(A), 1
     while step < n:
         same = seg[step:] == seg[:-step]
+        if A.ndim > 1:  # vectors: the same segment test for every dimension
+            same = same[:, None]
         nb = np.where(same, A[step:] * B[:-step] + B[step:], B[step:])
         na = np.where(same, A[step:] * A[:-step], A[step:])
         A[step:], B[step:] = na, nb
@@ -58,13 +60,19 @@ def _local_scan(key: str):
                 continue
             keys = pdf[key].to_numpy()
             seg = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
-            A, B = segmented_scan(seg, pdf["_a"].to_numpy(), pdf["_b"].to_numpy())
+            vec = pdf["_a"].dtype == object
+            a = np.stack(pdf["_a"].to_numpy()) if vec else pdf["_a"].to_numpy()
+            b = np.stack(pdf["_b"].to_numpy()) if vec else pdf["_b"].to_numpy()
+            A, B = segmented_scan(seg, a, b)
             if carry is not None and keys[0] == carry[0]:
                 m = seg == 0
                 B[m] = A[m] * carry[2] + B[m]
                 A[m] = A[m] * carry[1]
-            carry = (keys[-1], A[-1], B[-1])
-            yield pdf.drop(columns=["_a", "_b"]).assign(_A=A, _B=B, _pid=np.int32(pid))
+            carry = (keys[-1], A[-1].copy(), B[-1].copy())
+            out = pdf.drop(columns=["_a", "_b"])
+            out["_A"] = list(A) if vec else A
+            out["_B"] = list(B) if vec else B
+            yield out.assign(_pid=np.int32(pid))
 
     return run
 
@@ -81,7 +89,9 @@ def linear_recurrence(
     carry: list[str] | None = None,
 ) -> DataFrame:
     """Add ``out`` = h_t of ``h_t = a_t h_{t-1} + b_t`` per ``key`` in ``order_cols``
-    order, starting from ``h0`` before each key's first row.
+    order, starting from ``h0`` before each key's first row. ``a`` and ``b`` are
+    numbers, or equal-length arrays for an elementwise recurrence over vector
+    dimensions (the state is then an array).
 
     ``carry`` names the other input columns to keep (default: all). The Python
     scan is opaque to column pruning, so callers that need only the state pass
@@ -90,12 +100,23 @@ def linear_recurrence(
     checkpoint_dir(spark)
     P = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     keep = [c for c in df.columns if c not in (key, *order_cols)] if carry is None else list(carry)
-    d = df.select(key, *order_cols, *keep, a.cast("double").alias("_a"), b.cast("double").alias("_b"))
+    probe = df.select(a.alias("_a"))
+    vec = isinstance(probe.schema["_a"].dataType, T.ArrayType)
+    num = T.ArrayType(T.DoubleType()) if vec else T.DoubleType()
+    d = df.select(key, *order_cols, *keep, a.cast(num).alias("_a"), b.cast(num).alias("_b"))
     d = d.repartitionByRange(P, key, *order_cols).sortWithinPartitions(key, *order_cols)
     schema = T.StructType(
         [f for f in d.schema.fields if f.name not in ("_a", "_b")]
-        + [T.StructField("_A", T.DoubleType()), T.StructField("_B", T.DoubleType()), T.StructField("_pid", T.IntegerType())]
+        + [T.StructField("_A", num), T.StructField("_B", num), T.StructField("_pid", T.IntegerType())]
     )
+
+    def affine(A_, h_, B_):  # A * h + B, elementwise for vectors
+        if vec:
+            return F.zip_with(F.zip_with(A_, h_, lambda x, y: x * y), B_, lambda x, y: x + y)
+        return A_ * h_ + B_
+
+    def h0_like(A_):
+        return F.array_repeat(F.lit(float(h0)), F.size(A_)) if vec else F.lit(float(h0))
     local = materialize(d.mapInPandas(_local_scan(key), schema), "scan-blocks")
 
     order = F.struct(*[F.col(c) for c in order_cols])
@@ -105,17 +126,18 @@ def linear_recurrence(
     )
     parts = summ.agg(F.sort_array(F.collect_list(F.struct("_pid", "first_key", "last"))).alias("ps"))
     key_type = dict(d.dtypes)[key]
+    h_sql = "array<double>" if vec else "double"
     init = F.struct(
         F.lit(None).cast(key_type).alias("k"),
-        F.lit(None).cast("double").alias("h"),
-        F.array().cast(f"array<struct<pid:int,ck:{key_type},ch:double>>").alias("out"),
+        F.lit(None).cast(h_sql).alias("h"),
+        F.array().cast(f"array<struct<pid:int,ck:{key_type},ch:{h_sql}>>").alias("out"),
     )
 
     def step(acc, p):
         cont = acc["k"].isNotNull() & (acc["k"] == p["first_key"])
         carry_in = F.when(cont, acc["h"])
-        start = F.when((p["last"]["k"] == p["first_key"]) & cont, acc["h"]).otherwise(F.lit(h0))
-        h_end = p["last"]["A"] * start + p["last"]["B"]
+        start = F.when((p["last"]["k"] == p["first_key"]) & cont, acc["h"]).otherwise(h0_like(p["last"]["A"]))
+        h_end = affine(p["last"]["A"], start, p["last"]["B"])
         entry = F.struct(p["_pid"].alias("pid"), p["first_key"].alias("ck"), carry_in.alias("ch"))
         return F.struct(p["last"]["k"].alias("k"), h_end.alias("h"), F.array_append(acc["out"], entry).alias("out"))
 
@@ -126,8 +148,8 @@ def linear_recurrence(
     )
     # at most one carry per partition: a proven bound for the broadcast
     j = local.join(F.broadcast(carries), "_pid", "left")
-    start = F.when((F.col("_ck") == F.col(key)) & F.col("_ch").isNotNull(), F.col("_ch")).otherwise(F.lit(h0))
-    return j.withColumn(out, F.col("_A") * start + F.col("_B")).drop("_A", "_B", "_pid", "_ck", "_ch")
+    start = F.when((F.col("_ck") == F.col(key)) & F.col("_ch").isNotNull(), F.col("_ch")).otherwise(h0_like(F.col("_A")))
+    return j.withColumn(out, affine(F.col("_A"), start, F.col("_B"))).drop("_A", "_B", "_pid", "_ck", "_ch")
 
 
 def liquid_gates(x_tau: Column, x_in: Column, log_dt: float = 0.0) -> tuple[Column, Column]:

@@ -274,6 +274,19 @@ SELECT user_id, event_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(e
   FROM e i JOIN e j ON i.label = j.label AND j.pos <= i.pos AND j.pos > i.pos - 1024
 ), m AS (SELECT *, max(s) OVER (PARTITION BY label, vec_id) AS ms FROM pr)
 SELECT label, vec_id, pos::BIGINT AS pos, round(sum(exp(s - ms) * v) / sum(exp(s - ms)), 6) AS attn FROM m GROUP BY label, vec_id, pos"""
+    alpha_x = f"greatest(least({_softplus('0.0')} / ({_softplus('x / 2.0')} + 0.001), 1.0), 0.0)"
+    q["liquid_filter_vectors"] = f"""WITH RECURSIVE e AS (
+  SELECT label, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS rn,
+    list_transform(embedding::DOUBLE[], lambda x: 1.0 - {alpha_x}) AS a,
+    list_transform(embedding::DOUBLE[], lambda x: {alpha_x} * tanh(x)) AS b
+  FROM embeddings
+), r AS (
+  SELECT label, vec_id, rn, list_transform(range(1, len(a) + 1), lambda i: a[i] * 0.0 + b[i]) AS h FROM e WHERE rn = 1
+  UNION ALL
+  SELECT e.label, e.vec_id, e.rn, list_transform(range(1, len(e.a) + 1), lambda i: e.a[i] * r.h[i] + e.b[i])
+  FROM r JOIN e ON e.label = r.label AND e.rn = r.rn + 1
+)
+SELECT label, vec_id, round(list_sum(h), 6) AS h_sum, round(h[1], 6) AS h_first FROM r"""
     q["gate_functions"] = f"""SELECT event_id, round({_softplus('value / 50.0')}, 6) AS softplus,
   round(greatest(least(value / 100.0, 1.0), 0.0), 6) AS clamp, round(tanh((value - 50.0) / 50.0), 6) AS tanh,
   round(1.0 / (1.0 + exp(-((value - 50.0) / 50.0))), 6) AS sigmoid FROM events"""

@@ -562,3 +562,18 @@ def q_history_attention_vectors(spark, sf):
     e = spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding", "label")
     h = sequence.history_attention(e, "label", ["vec_id"], F.col("embedding"), F.col("embedding"), F.element_at("embedding", 1), dim=64)
     return h.select("label", "vec_id", "pos", F.round("attn", 6).alias("attn"))
+
+
+def q_liquid_filter_vectors(spark, sf):
+    """The liquid cell on 64-wide vectors, elementwise over dimensions (as over
+    hidden dimensions): per label in vec_id order, gates from x / 2 and x."""
+    e = spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding", "label")
+    a = F.transform("embedding", lambda x: sequence.liquid_gates(x / 2.0, x)[0])
+    b = F.transform("embedding", lambda x: sequence.liquid_gates(x / 2.0, x)[1])
+    r = sequence.linear_recurrence(e, "label", ["vec_id"], a, b, h0=0.0, carry=[])
+    return r.select(
+        "label",
+        "vec_id",
+        F.round(F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x), 6).alias("h_sum"),
+        F.round(F.element_at("h", 1), 6).alias("h_first"),
+    )
