@@ -190,7 +190,7 @@ SELECT item_id, n_tokens, n_windows, n_targets, round(ppl, 6) AS ppl FROM {perpl
     parts = []
     for kind, table in (("unigram", "uni"), ("bigram", "big")):
         parts.append(
-            f"""SELECT '{kind}' AS model, round(ppl, 6) AS ppl, n_tokens AS eval_tokens, n_windows,
+            f"""SELECT '{kind}' AS model, round(ppl, 6) AS ppl, printf('%.2f', ppl) AS ppl_text, n_tokens AS eval_tokens, n_windows,
   (SELECT count(*) FROM {table})::BIGINT AS model_entries
 FROM {perplexity(f"(SELECT 0 AS seq, * FROM {scored('(SELECT * FROM hpairs WHERE ctx IS NOT NULL)', kind)})", '(SELECT 0 AS seq, count(*) AS L FROM hp)', 'seq')}"""
         )

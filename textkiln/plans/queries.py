@@ -221,6 +221,7 @@ def model_results(spark, sf, tokenizer="hashed") -> DataFrame:
     per_model = ppl.select(
         "model",
         F.round("ppl", 6).alias("ppl"),
+        F.format_string("%.2f", "ppl").alias("ppl_text"),  # the printed report's 2 decimals
         F.col("n_tokens").alias("eval_tokens"),
         "n_windows",
         F.when(F.col("model") == "unigram", F.lit(entries["unigram"])).otherwise(F.lit(entries["bigram"])).cast("bigint").alias("model_entries"),
