@@ -223,7 +223,7 @@ def _as_matrix(col: pd.Series) -> np.ndarray:
     return col.to_numpy(np.float64).reshape(-1, 1)
 
 
-def _attend(key: str, span: int, scale: float):
+def _attend(key: str, span: int, dim: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pos = pdf["pos"].to_numpy()
@@ -232,7 +232,7 @@ def _attend(key: str, span: int, scale: float):
         v = pdf["_v"].to_numpy(np.float64)
         own = pdf["_own"].to_numpy(bool)
         qi, pi = q[own], pos[own]
-        s = (qi @ k.T) * scale
+        s = (qi @ k.T) / np.sqrt(dim or q.shape[1])
         band = (pos[None, :] <= pi[:, None]) & (pos[None, :] > pi[:, None] - span)
         s = np.where(band, s, -np.inf)
         s = s - s.max(axis=1, keepdims=True)
@@ -251,11 +251,12 @@ def history_attention(
     k: Column,
     v: Column,
     span: int = SEQ_LEN,
-    dim: int = 1,
+    dim: int | None = None,
 ) -> DataFrame:
     """Causal scaled-dot-product attention over each row's last ``span`` rows
     (itself included) within its key: ``softmax_j(q_i . k_j / sqrt(dim)) v_j``.
-    ``q`` and ``k`` are numbers (dim = 1) or equal-length arrays (pass ``dim``).
+    ``q`` and ``k`` are numbers or equal-length arrays; ``dim`` defaults to their
+    width.
 
     Rows are cut into chunks of ``span`` positions; each chunk is grouped with a
     copy of the chunk before it (the halo), so every group holds at most
@@ -272,5 +273,5 @@ def history_attention(
     )
     key_type = dict(df.select(key).dtypes)[key]
     schema = f"{key} {key_type}, pos bigint, attn double"
-    att = rep.groupBy(key, "chunk").applyInPandas(_attend(key, span, 1.0 / float(np.sqrt(dim))), schema)
+    att = rep.groupBy(key, "chunk").applyInPandas(_attend(key, span, dim), schema)
     return d.drop("_q", "_k", "_v").join(att, [key, "pos"])
