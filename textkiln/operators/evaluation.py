@@ -71,6 +71,7 @@ class NGramModel:
     context: DataFrame
     n_tokens: int
     vocab: int
+    n_bigrams: int = 0
 
     def unigram_prob(self, count: Column) -> Column:
         return (F.coalesce(count, F.lit(0)) + F.lit(1)) / F.lit(float(self.n_tokens + self.vocab))
@@ -105,9 +106,12 @@ def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str]
     uni = counts.groupBy(F.col("next").alias("token")).agg(F.sum("count").alias("count"))
     big = counts.where(F.col("ctx").isNotNull())
     ctx = big.groupBy("ctx").agg(F.sum("count").alias("total"))
-    # two scalars of the fitted model: total tokens and vocabulary (+1 for unseen)
-    st = uni.agg(F.sum("count").alias("n"), F.count(F.lit(1)).alias("v")).first()
-    return NGramModel(uni, big, ctx, int(st["n"] or 0), int(st["v"] or 0) + 1)
+    # scalars of the fitted model in one pass: total tokens, vocabulary (+1 for
+    # unseen tokens) and the number of distinct (ctx, next) pairs
+    st = counts.agg(
+        F.sum("count").alias("n"), F.countDistinct("next").alias("v"), F.count("ctx").alias("b")
+    ).first()
+    return NGramModel(uni, big, ctx, int(st["n"] or 0), int(st["v"] or 0) + 1, int(st["b"] or 0))
 
 
 def score_pairs(pairs: DataFrame, model: NGramModel, kind: str = "bigram", lam: float = 0.9) -> DataFrame:

@@ -217,7 +217,7 @@ def model_results(spark, sf, tokenizer="hashed") -> DataFrame:
     lengths = heldout.heldout_length(pieces)
     lengths = lengths.select(F.explode(F.array(F.lit("unigram"), F.lit("bigram"))).alias("model"), "seq", "L")
     ppl = evaluation.sliding_perplexity(long, lengths, ["model", "seq"])
-    entries = {"unigram": m.unigram.count(), "bigram": m.bigram.count()}
+    entries = {"unigram": m.vocab - 1, "bigram": m.n_bigrams}
     per_model = ppl.select(
         "model",
         F.round("ppl", 6).alias("ppl"),
