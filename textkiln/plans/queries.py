@@ -11,11 +11,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.constants import SEQ_LEN
+from textkiln.constants import MAX_NEW_CHAT, SEQ_LEN, USER_PREFIX, USER_SUFFIX
 from textkiln.functions.arrays import array_md5, count_valid
+from textkiln.functions.gates import clamp, sigmoid, softplus
 from textkiln.functions.text import pretokenize
-from textkiln.operators import chat, sampling, tokens
-from textkiln.sources.corpus import chat_scan, corpus_scan, nest_conversations, table_path
+from textkiln.functions.vectors import dot, l2_norm, rms_norm
+from textkiln.operators import chat, evaluation, generation, sampling, sequence, tokens, vectors
+from textkiln.plans import heldout
+from textkiln.session import checkpoint_dir
+from textkiln.sources import sinks
+from textkiln.sources.corpus import chat_scan, concat_prefix, corpus_scan, nest_conversations, table_path
+from textkiln.streaming import corpus_stream, liquid_state
 
 
 def documents(spark: SparkSession, sf: str, cols=("doc_id", "text", "lang", "source")) -> DataFrame:
@@ -138,9 +144,6 @@ def q_tail_context(spark, sf):
 
 
 # --------------------------------------------------------------------------- evaluation
-from textkiln.operators import evaluation  # noqa: E402
-from textkiln.plans import heldout  # noqa: E402
-from textkiln.sources.corpus import concat_prefix  # noqa: E402
 
 
 def fit_model(spark, sf, tokenizer="hashed") -> evaluation.NGramModel:
@@ -257,8 +260,6 @@ def q_accumulate_steps(spark, sf):
 
 
 # --------------------------------------------------------------------------- sequences
-from textkiln.functions.gates import clamp, sigmoid, softplus  # noqa: E402
-from textkiln.operators import sequence  # noqa: E402
 
 EVENT_ORDER = ["ts", "event_id"]
 
@@ -324,9 +325,6 @@ def q_gate_functions(spark, sf):
 
 
 # --------------------------------------------------------------------------- vectors & generation
-from textkiln.constants import MAX_NEW_CHAT, USER_PREFIX, USER_SUFFIX  # noqa: E402
-from textkiln.functions.vectors import dot, l2_norm, rms_norm  # noqa: E402
-from textkiln.operators import generation, vectors  # noqa: E402
 
 def embeddings(spark, sf) -> DataFrame:
     return spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding")
@@ -401,9 +399,6 @@ def q_batch_generate_sampled(spark, sf):
 
 
 # --------------------------------------------------------------------------- streams, sinks, resume, scoring, BPE
-from textkiln.session import checkpoint_dir  # noqa: E402
-from textkiln.sources import sinks  # noqa: E402
-from textkiln.streaming import corpus_stream, liquid_state  # noqa: E402
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
