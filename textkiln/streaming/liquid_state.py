@@ -22,7 +22,7 @@ from textkiln.operators.sequence import liquid_gates, segmented_scan
 STATE_SCHEMA = "h double, last_ts_us long, last_event_id long, n_late long"
 
 
-def _fold(h0: float):
+def _fold(h0: float, emit_late: bool):
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(batches), ignore_index=True)
         if state.exists:
@@ -34,6 +34,11 @@ def _fold(h0: float):
         if last_ts is not None:
             after = (pdf["_ts_us"] > last_ts) | ((pdf["_ts_us"] == last_ts) & (pdf["event_id"] > last_id))
             n_late += int((~after).sum())
+            late = pdf[~after]
+            if emit_late and not late.empty:
+                yield pd.DataFrame(
+                    {"user_id": late["user_id"].to_numpy(), "event_id": late["event_id"].to_numpy(), "ts": late["ts"].to_numpy(), "h": np.nan, "late": True}
+                )
             pdf = pdf[after]
         if pdf.empty:
             state.update((float(h), last_ts, last_id, int(n_late)))
@@ -42,20 +47,26 @@ def _fold(h0: float):
         hs = A * h + B
         last = pdf.iloc[-1]
         state.update((float(hs[-1]), int(last["_ts_us"]), int(last["event_id"]), int(n_late)))
-        yield pd.DataFrame({"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "h": hs})
+        yield pd.DataFrame(
+            {"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "h": hs, "late": False}
+        )
 
     return run
 
 
-def stream_liquid_filter(events: DataFrame, x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, watermark: str = "1 hour") -> DataFrame:
+def stream_liquid_filter(
+    events: DataFrame, x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, watermark: str = "1 hour", emit_late: bool = False
+) -> DataFrame:
     """Streaming liquid filter per ``user_id`` over ``(ts, event_id)`` order.
 
     ``events`` needs ``user_id, event_id, ts`` (TIMESTAMP or TIMESTAMP_NTZ).
-    Output (append): ``user_id, event_id, ts, h`` for every row applied.
+    Output (append): ``user_id, event_id, ts, h, late`` for every row applied;
+    with ``emit_late`` the dropped late rows are also emitted (``late`` true,
+    ``h`` NaN) so they can be counted downstream.
     """
     a, b = liquid_gates(x_tau, x_in, log_dt)
     d = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
     d = d.select("user_id", "event_id", "ts", a.alias("_a"), b.alias("_b"))
     return d.groupBy("user_id").applyInPandasWithState(
-        _fold(h0), "user_id long, event_id long, ts timestamp, h double", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        _fold(h0, emit_late), "user_id long, event_id long, ts timestamp, h double, late boolean", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
     )
