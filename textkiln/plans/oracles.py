@@ -63,6 +63,8 @@ def oracles() -> dict[str, str]:
   string_agg(role, ',' ORDER BY turn) AS roles,
   md5(string_agg(text, chr(1) ORDER BY turn)) AS content_md5
 FROM conversations GROUP BY conv_id"""
+    q["chat_roundtrip"] = """SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1)::BIGINT AS turn, role, text
+FROM conversations"""
     q["chat_template"] = """SELECT conv_id, turn, role,
   CASE WHEN role = 'user' THEN 'User: ' || coalesce(text, '') || chr(10) || 'Assistant: ' ELSE coalesce(text, '') END AS segment
 FROM conversations WHERE role IN ('user', 'assistant')"""

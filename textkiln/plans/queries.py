@@ -20,7 +20,7 @@ from textkiln.operators import chat, evaluation, generation, sampling, sequence,
 from textkiln.plans import heldout
 from textkiln.session import checkpoint_dir
 from textkiln.sources import sinks
-from textkiln.sources.corpus import chat_scan, concat_prefix, corpus_scan, nest_conversations, table_path
+from textkiln.sources.corpus import chat_scan, concat_prefix, corpus_scan, nest_conversations, table_path, unnest_conversations
 from textkiln.streaming import corpus_stream, liquid_state
 
 
@@ -77,6 +77,11 @@ def q_chat_scan(spark, sf):
     )
 
 
+def q_chat_roundtrip(spark, sf):
+    """Nested -> long: each message at its position in the conversation."""
+    return unnest_conversations(nest_conversations(conversations(spark, sf))).select("conv_id", "turn", "role", "text")
+
+
 def q_chat_template(spark, sf):
     t = chat.chat_template(chat.role_route(conversations(spark, sf)))
     return t.select("conv_id", "turn", "role", "segment")
