@@ -448,4 +448,9 @@ def hot_oracles(base: dict[str, str]) -> dict[str, str]:
     q["linear_recurrence_hot_key"] = _recursive(hot_ab, "1.0") + " SELECT user_id, event_id, round(h, 6) AS h FROM r"
     q["history_attention_hot_key"] = base["history_attention"].replace("FROM events", f"FROM {HOT_EVENTS}")
     q["trailing_mean_hot_key"] = base["trailing_mean"].replace("FROM events", f"FROM {HOT_EVENTS}")
+    hot_conv = (
+        "(SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id, "
+        "CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + turn ELSE turn END AS turn, role, text FROM conversations)"
+    )
+    q["chat_training_rows_hot_key"] = base["chat_training_rows"].replace("FROM conversations", f"FROM {hot_conv}", 1)
     return q

@@ -578,3 +578,21 @@ def q_liquid_filter_vectors(spark, sf):
         F.round(F.aggregate("h", F.lit(0.0), lambda acc, x: acc + x), 6).alias("h_sum"),
         F.round(F.element_at("h", 1), 6).alias("h_first"),
     )
+
+
+def hot_conversations(spark, sf) -> DataFrame:
+    """``conversations`` with every third conversation's turns appended to
+    conversation 0 (turn = conv_id * 1000 + turn keeps them ordered): one key
+    then holds about a third of all turns."""
+    c = conversations(spark, sf)
+    hot = F.col("conv_id") % 3 == 0
+    return c.select(
+        F.when(hot, F.lit(0).cast("bigint")).otherwise(F.col("conv_id")).alias("conv_id"),
+        F.when(hot, F.col("conv_id") * 1000 + F.col("turn")).otherwise(F.col("turn")).alias("turn"),
+        "role",
+        "text",
+    )
+
+
+def q_chat_training_rows_hot_key(spark, sf):
+    return _chat_report(chat.chat_training_rows(hot_conversations(spark, sf), tokenizer="hashed"))
