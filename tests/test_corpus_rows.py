@@ -53,3 +53,25 @@ def test_tail_context(spark):
     df = spark.createDataFrame([(list(range(2000)),), ([1, 2],)], "t array<int>")
     out = df.select(sampling.tail_context("t").alias("c")).collect()
     assert list(out[0].c) == list(range(976, 2000)) and list(out[1].c) == [1, 2]
+
+
+def test_multi_epoch_plan_continues_micro_steps(spark):
+    df = spark.range(0, 7).withColumnRenamed("id", "doc_id")
+    rows = sampling.multi_epoch_plan(df, 2, batch_size=2, grad_accum=3).collect()
+    assert len(rows) == 14
+    per_epoch = 4  # ceil(7 / 2): the last batch of an epoch holds one row
+    for r in rows:
+        assert r.micro_step == r.epoch * per_epoch + r.shuffle_rank // 2
+        assert r.global_step == r.micro_step // 3 + 1
+    assert {r.planned_steps for r in rows} == {(per_epoch // 3) * 2}
+    assert max(r.global_step for r in rows) == 3  # more steps than planned (2)
+    e0 = {r.doc_id: r.shuffle_rank for r in rows if r.epoch == 0}
+    e1 = {r.doc_id: r.shuffle_rank for r in rows if r.epoch == 1}
+    assert sorted(e0.values()) == sorted(e1.values()) == list(range(7)) and e0 != e1
+
+
+def test_in_shuffled_order_sorts_each_partition(spark):
+    df = sampling.seeded_shuffle(spark.range(0, 500).withColumnRenamed("id", "doc_id"))
+    parts = sampling.in_shuffled_order(df, num_partitions=5).rdd.glom().map(lambda rows: [r.shuffle_rank for r in rows]).collect()
+    flat = [x for p in parts for x in p]
+    assert flat == list(range(500))
