@@ -336,12 +336,17 @@ def embeddings(spark, sf) -> DataFrame:
 
 
 def q_embedding_lookup(spark, sf):
+    """Gather per token; only the two reported components are gathered (array
+    elements cannot be pruned through a join, so the small side is projected)."""
     t = doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("token"))
-    g = vectors.hashed_lookup(t, "token", embeddings(spark, sf))
+    feats = embeddings(spark, sf).select(
+        "vec_id", F.struct(F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last")).alias("feat")
+    )
+    g = vectors.hashed_lookup(t, "token", feats, vec_col="feat")
     return g.groupBy("doc_id").agg(
         F.count(F.lit(1)).alias("n_tokens"),
-        F.round(F.sum(F.element_at("embedding", 1)), 6).alias("sum_first"),
-        F.round(F.sum(F.element_at("embedding", -1)), 6).alias("sum_last"),
+        F.round(F.sum("feat.first"), 6).alias("sum_first"),
+        F.round(F.sum("feat.last"), 6).alias("sum_last"),
     )
 
 
