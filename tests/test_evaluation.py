@@ -92,3 +92,24 @@ def test_batch_score_runs_any_scorer_over_window_inputs(spark):
     assert (out[0].n_in, out[0].first) == (512, 1)
     assert (out[512].n_in, out[512].first) == (1024, 1)
     assert (out[1024].n_in, out[1024].first, out[1024].trg_len) == (787, 513, 275)
+
+
+def test_joined_corpus_hashed_pieces_match_whole_text(spark):
+    import hashlib
+
+    import regex
+
+    from textkiln.constants import EOT, PIECE_PATTERN
+
+    texts = ["  lead in", "trail \t ", "", " \n ", "mid dle's 42!", "\n\n", "end  "]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "item_id long, text string")
+    joined = "\n\n".join(texts)
+    pat = regex.compile(PIECE_PATTERN, flags=regex.ASCII)  # ASCII \\s, Unicode \\p{L}: as Java and RE2
+
+    def ids(s):
+        return [int(hashlib.md5(p.encode()).hexdigest()[:8], 16) % EOT for p in pat.findall(s)]
+
+    for limit in (10_000, 23, 31):
+        pieces = heldout.heldout_pieces(df, tokenizer="hashed", limit=limit)
+        got = [t for r in pieces.orderBy("piece").collect() for t in r.tokens]
+        assert got == ids(joined[:limit])
