@@ -1,4 +1,6 @@
 
+from pyspark.sql import functions as F
+
 from textkiln.constants import EOT, IGNORE, SEQ_LEN
 from textkiln.operators import sampling, tokens
 
@@ -75,3 +77,19 @@ def test_in_shuffled_order_sorts_each_partition(spark):
     parts = sampling.in_shuffled_order(df, num_partitions=5).rdd.glom().map(lambda rows: [r.shuffle_rank for r in rows]).collect()
     flat = [x for p in parts for x in p]
     assert flat == list(range(500))
+
+
+def test_token_counts_and_packing_report(spark):
+    from textkiln.operators import tokens as tk
+
+    df = spark.createDataFrame(
+        [(1, "en", "a", [1] * 10), (2, "en", "a", [2] * 2000), (3, "fr", "b", [3] * 1024)],
+        "doc_id long, lang string, source string, tokens array<int>",
+    )
+    counts = {(r.lang, r.source): (r.n_docs, r.n_tokens, r.max_tokens) for r in tk.token_counts(df).collect()}
+    assert counts == {("en", "a"): (2, 2010, 2000), ("fr", "b"): (1, 1024, 1024)}
+    rows = sampling.crop_or_pad(df).withColumn("n_tokens", F.size("tokens").cast("bigint"))
+    rep = sampling.packing_report(rows, batch_size=2, grad_accum=1).first()
+    assert (rep.n_rows, rep.n_tokens, rep.n_pad, rep.n_cropped) == (3, 10 + 1024 + 1024, 1014, 1)
+    assert rep.n_targets == 9 + 1023 + 1023 and rep.token_budget == 3 * 1024
+    assert (rep.micro_steps, rep.global_steps) == (2, 2)
