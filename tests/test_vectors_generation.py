@@ -79,3 +79,16 @@ def test_k_draws_without_replacement(spark):
     for g in range(3):
         assert sorted(by_g[g]) == [1, 2, 3, 4] and len(set(by_g[g].values())) == 4
         assert by_g[g][1] == one[g]  # the first draw is the single draw
+
+
+def test_cdf_sampler_follows_observed_distribution(spark):
+    train = spark.createDataFrame([(0, [1, 2, 1, 3, 1, 2, 1, 2, EOT])], "doc_id long, tokens array<int>")
+    m = evaluation.ngram_fit(train)
+    prompts = spark.createDataFrame([(i, [1]) for i in range(300)], "prompt_id long, tokens array<int>")
+    out = generation.batch_generate_sampled_cdf(prompts, m, 6, checkpoint_every=3).collect()
+    allowed = {1: {2, 3}, 2: {1, EOT}, 3: {1}}
+    for r in out:
+        seq = [1] + list(r.generated)
+        assert all(b in allowed[a] for a, b in zip(seq, seq[1:]))
+    share = sum(1 for r in out if r.generated[0] == 2) / len(out)
+    assert abs(share - 3**1.25 / (3**1.25 + 1)) < 0.08

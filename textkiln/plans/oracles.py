@@ -367,6 +367,29 @@ gen AS (
   WHERE gen.step < 80 AND NOT list_contains(gen.out, {EOT})
 )
 SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
+FROM gen GROUP BY prompt_id"""
+    udraw = f"(({u32(seeded_key('cdf', str(SEED), 'gen.prompt_id', 'gen.step'))})::DOUBLE + 0.5) / 4294967296.0"
+    q["batch_generate_sampled_cdf"] = f"""WITH RECURSIVE {MODEL},
+ustar AS (SELECT tok AS u FROM uni ORDER BY c DESC, tok LIMIT 1),
+cdf AS (
+  SELECT ctx, nxt,
+    coalesce(sum(pow(c::DOUBLE, 1.25)) OVER (PARTITION BY ctx ORDER BY nxt ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0)
+      / sum(pow(c::DOUBLE, 1.25)) OVER (PARTITION BY ctx) AS lo
+  FROM big
+),
+pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+  FROM conversations WHERE role = 'user'),
+gen AS (
+  SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
+  UNION ALL
+  SELECT gen.prompt_id, gen.n_prompt, gen.step + 1, coalesce(p.nxt, (SELECT u FROM ustar))::INTEGER,
+    list_append(gen.out, coalesce(p.nxt, (SELECT u FROM ustar))::INTEGER)
+  FROM gen LEFT JOIN LATERAL (
+    SELECT nxt FROM cdf WHERE cdf.ctx = gen.last AND cdf.lo <= {udraw} ORDER BY cdf.lo DESC LIMIT 1
+  ) p ON true
+  WHERE gen.step < 80 AND NOT list_contains(gen.out, {EOT})
+)
+SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
 FROM gen GROUP BY prompt_id"""
     q["batch_generate"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
 pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t

@@ -601,3 +601,10 @@ def hot_conversations(spark, sf) -> DataFrame:
 
 def q_chat_training_rows_hot_key(spark, sf):
     return _chat_report(chat.chat_training_rows(hot_conversations(spark, sf), tokenizer="hashed"))
+
+
+def q_batch_generate_sampled_cdf(spark, sf):
+    """Temperature generation by inverse CDF (one uniform per prompt and step):
+    each step touches one bucket of candidates instead of all continuations."""
+    g = generation.batch_generate_sampled_cdf(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_CHAT)
+    return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
