@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -120,3 +122,48 @@ def running_sums(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -
         on = on & inner[g].eqNullSafe(carry[f"_c_{g}"])
     joined = inner.join(F.broadcast(carry), on, "left")
     return joined.select(*[F.col(c) for c in df.columns], *[(F.col(t) + F.coalesce(F.col(f"c{t}"), F.lit(0))).alias(k) for k, t in tmp.items()])
+
+
+class TokenTable(dict):
+    """Number of every distinct token seen, with rows of values computed once per token.
+
+    ``values(tokens)`` returns an array with one row per new token. The table
+    starts anew after ``CACHE_WORDS`` tokens, which bounds a task's memory and
+    changes no value.
+    """
+
+    def __init__(self, values: Callable[[list], np.ndarray], limit: int = CACHE_WORDS):
+        super().__init__()
+        self.compute, self.limit, self.new = values, limit, []
+        self.rows: np.ndarray | None = None
+        self.used = 0
+
+    def __missing__(self, token):
+        self.new.append(token)
+        self[token] = at = len(self)
+        return at
+
+    def look_up(self, texts: list[list]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Token numbers of all token lists in a row, the lists' lengths, and the table of values by number."""
+        if len(self) > self.limit:
+            self.clear()
+            self.rows, self.used = None, 0
+        sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+        ids = np.fromiter(map(self.__getitem__, chain.from_iterable(texts)), np.int64, int(sizes.sum()))
+        if self.new or self.rows is None:
+            fresh, self.new = self.compute(self.new), []
+            if self.rows is None:
+                self.rows = fresh
+            else:
+                if self.used + len(fresh) > len(self.rows):
+                    self.rows = np.concatenate([self.rows[: self.used], np.empty((max(len(fresh), self.used),) + self.rows.shape[1:], self.rows.dtype)])
+                self.rows[self.used : self.used + len(fresh)] = fresh
+            self.used += len(fresh)
+        return ids, sizes, self.rows
+
+
+def segment_sums(values: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Sums of consecutive runs of ``values`` (rows) with the given sizes; empty runs give zero."""
+    total = np.concatenate([np.zeros((1,) + values.shape[1:]), np.cumsum(values, axis=0, dtype=np.float64)])
+    ends = np.cumsum(sizes)
+    return total[ends] - total[ends - sizes]
