@@ -2,6 +2,44 @@
 
 from __future__ import annotations
 
+from textkiln.llm import repetition as rep
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+
+def _windows(size: int) -> str:
+    """Positions covered by windows of ``size`` words that recur in their text (``w``: rid, ws, n)."""
+    return f"""
+      SELECT DISTINCT rid, unnest(range(i, i + {size})) AS p FROM (
+        SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + {size - 1}], ' ')) AS times
+        FROM (SELECT rid, ws, unnest(range(1, n - {size - 2})) AS i FROM w WHERE n >= {size}))
+      WHERE times > 1"""
+
+
+OP6 = f"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, ws, len(ws) AS n FROM (SELECT rid, regexp_extract_all(text, '{_WORD}') AS ws FROM d)),
+three AS (SELECT rid, count(*) AS c FROM ({_windows(rep.WINDOW)}) GROUP BY rid),
+wide AS (SELECT rid, count(*) AS c FROM ({_windows(rep.MIN_REPEAT)}) GROUP BY rid),
+-- a repeat of more than MAX_REPEAT words is a window of MAX_REPEAT + 1 words that recurs; its words are covered
+far AS (SELECT DISTINCT rid FROM (
+  SELECT rid, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + {rep.MAX_REPEAT}], ' ')) AS times
+  FROM (SELECT rid, ws, unnest(range(1, n - {rep.MAX_REPEAT - 1})) AS i FROM w JOIN wide USING (rid) WHERE c > {rep.MAX_REPEAT}))
+  WHERE times > 1),
+l AS (SELECT rid, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
+m AS (
+  SELECT d.rid, doc_id, w.n AS n_words,
+    coalesce(list_sum(list_transform(w.ws, lambda x: length(x))), 0)::BIGINT AS word_chars,
+    (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines,
+    coalesce(three.c, 0) AS n_repeat_words, coalesce(wide.c, 0) AS covered_words, far.rid IS NOT NULL AS far
+  FROM d JOIN w USING (rid) JOIN l USING (rid) LEFT JOIN three USING (rid) LEFT JOIN wide USING (rid) LEFT JOIN far USING (rid)),
+b AS (SELECT *, n_words < {rep.MIN_WORDS} OR 100 * n_repeat_words > {rep.MAX_WINDOW_SHARE} * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, covered_words, base_failed,
+  NOT base_failed AND 100 * covered_words <= {rep.MAX_COVERED} * n_words AND NOT far AS kept
+FROM b
+"""
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    return {"op6_quality_repetition": OP6}

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textkiln.llm import langid, simhash, toxicity
+from textkiln.llm import langid, repetition, simhash, toxicity
 from textkiln.llm.common import table
 
 
@@ -18,6 +18,12 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op6_quality_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts, repetition and verdict of every document."""
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "covered_words"]
+    return repetition.judge(table(spark, sf_dir, "documents")).select("doc_id", *counts, "base_failed", "kept")
+
+
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Predicted language of every document."""
     return langid.identify(table(spark, sf_dir, "documents"))
