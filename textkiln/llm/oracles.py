@@ -8,17 +8,19 @@ _WORD = r"[^\x20\x09-\x0D]+"
 
 
 def _windows(size: int) -> str:
-    """Positions covered by windows of ``size`` words that recur in their text (``w``: rid, ws, n)."""
+    """Positions covered by windows of ``size`` words that recur in their text (``u``: rid, i, word)."""
+    words = " || ' ' || ".join(["word"] + [f"lead(word, {k}) OVER r" for k in range(1, size)])
     return f"""
       SELECT DISTINCT rid, unnest(range(i, i + {size})) AS p FROM (
-        SELECT rid, i, count(*) OVER (PARTITION BY rid, array_to_string(ws[i:i + {size - 1}], ' ')) AS times
-        FROM (SELECT rid, ws, unnest(range(1, n - {size - 2})) AS i FROM w WHERE n >= {size}))
+        SELECT rid, i, count(*) OVER (PARTITION BY rid, ws) AS times
+        FROM (SELECT rid, i, {words} AS ws FROM u WINDOW r AS (PARTITION BY rid ORDER BY i)) WHERE ws IS NOT NULL)
       WHERE times > 1"""
 
 
 OP6 = f"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, ws, len(ws) AS n FROM (SELECT rid, regexp_extract_all(text, '{_WORD}') AS ws FROM d)),
+u AS (SELECT rid, unnest(range(1, n + 1)) AS i, unnest(ws) AS word FROM w),
 three AS (SELECT rid, count(*) AS c FROM ({_windows(rep.WINDOW)}) GROUP BY rid),
 wide AS (SELECT rid, count(*) AS c FROM ({_windows(rep.MIN_REPEAT)}) GROUP BY rid),
 -- a repeat of more than MAX_REPEAT words is a window of MAX_REPEAT + 1 words that recurs; its words are covered
