@@ -3,11 +3,18 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from textkiln.llm import langid, repetition, simhash, toxicity
+from textkiln.llm import decontamination, langid, repetition, simhash, toxicity
 from textkiln.llm.common import table
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold test items, with the share of the item's words that tiles cover."""
+    found = decontamination.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "covered", "item_words", F.size("tiles").alias("n_tiles"), F.round(F.col("covered") / F.col("item_words"), 4).alias("coverage"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, fingerprint and component_id of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
