@@ -59,20 +59,20 @@ def map_texts(
     ``SLICE_ROWS`` rows at a time, so memory follows the texts of one slice.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in {f for f, _ in fields}]
-    src = df.select(*[F.col(f"`{c}`") for c in keep], F.col(f"`{text}`").alias("_text_in"))
+    names = [*keep, *([] if text in keep else [text])]
+    src = df.select(*[F.col(f"`{c}`") for c in names])
     schema = T.StructType([src.schema[c] for c in keep] + [T.StructField(n, t, True) for n, t in fields])
     types = [_arrow_type(t) for _, t in fields]
-    names = keep + [n for n, _ in fields]
-    k = len(keep)
+    k, at_text, out = len(keep), names.index(text), keep + [n for n, _ in fields]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
             for at in range(0, whole.num_rows, SLICE_ROWS):
                 part = whole.slice(at, SLICE_ROWS)
-                made = work(part.column(k).to_pylist())
+                made = work(part.column(at_text).to_pylist())
                 cols = [part.column(i) for i in range(k)] + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
-                yield pa.RecordBatch.from_arrays(cols, names=names)
+                yield pa.RecordBatch.from_arrays(cols, names=out)
 
     return src.mapInArrow(run, schema)
 

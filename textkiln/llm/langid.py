@@ -266,8 +266,8 @@ def _step(counted: DataFrame, names: list[str], probs: np.ndarray) -> np.ndarray
     return new / new.sum(axis=0)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` with ``lang_pred`` and ``score``, the posterior of the best language (equal priors).
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """``docs`` with the predicted language and its posterior (equal priors), in columns ``names``.
 
     Only the text is read. A null text, one without a letter, or an empty
     model gives ``und`` with score 0; ties go to the first language by name.
@@ -275,8 +275,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
     shared = docs.sparkSession.sparkContext.broadcast((model.langs, model.pieces, model.probs))
 
     def make():
-        langs, names, probs = shared.value
-        pieces = Pieces(names)
+        langs, vocab, probs = shared.value
+        pieces = Pieces(vocab)
 
         def values(tokens: list[str]) -> np.ndarray:
             # one column per language, then the number of letter runs
@@ -300,7 +300,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
 
         return work
 
-    return map_texts(docs, text, [("lang_pred", T.StringType()), ("score", T.DoubleType())], make, keep)
+    return map_texts(docs, text, [(names[0], T.StringType()), (names[1], T.DoubleType())], make, keep)
 
 
 def identify(docs: DataFrame, vocabulary_path: str = VOCABULARY, folds: int = 3, held: int = 1, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

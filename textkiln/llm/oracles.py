@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from textkiln.llm import poisson_mix as mix
 from textkiln.llm import repetition as rep
+from textkiln.plans.sqlparts import seeded_key, u32
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -43,5 +45,22 @@ FROM b
 """
 
 
+OP8 = f"""
+WITH s AS (SELECT source, sum(coalesce(strlen(text), 0) + 1)::DOUBLE AS b FROM documents GROUP BY source),
+r AS (SELECT source, pow(b, {mix.POWER}) / sum(pow(b, {mix.POWER})) OVER () * {mix.EPOCHS} * sum(b) OVER () / b AS rate FROM s),
+p AS (SELECT source, greatest(ceil(rate / {mix.LARGEST_MEAN}), 1)::INTEGER AS parts, rate / greatest(ceil(rate / {mix.LARGEST_MEAN}), 1) AS mean FROM r),
+c AS (
+  SELECT source, k, sum(exp(-mean + k * ln(mean) - lgamma(k + 1))) OVER (PARTITION BY source ORDER BY k) AS cdf
+  FROM (SELECT *, unnest(range(0, ceil(mean + 12 * sqrt(mean) + 24)::INTEGER + 1)) AS k FROM p)),
+d AS (SELECT row_number() OVER () AS rid, doc_id, source, coalesce(doc_id::VARCHAR, 't' || md5(coalesce(text, ''))) AS key FROM documents),
+u AS (
+  SELECT rid, source, ({u32(seeded_key("mix", str(mix.SEED), "key", "j"))} + 0.5) / 4294967296.0 AS u
+  FROM (SELECT rid, d.source, key, unnest(range(1, parts + 1)) AS j FROM d JOIN p ON d.source IS NOT DISTINCT FROM p.source)),
+n AS (SELECT rid, count(c.k) AS n FROM u LEFT JOIN c ON u.source IS NOT DISTINCT FROM c.source AND c.cdf < u.u GROUP BY rid),
+x AS (SELECT doc_id, source, key, unnest(range(0, n))::INTEGER AS copy FROM d JOIN n USING (rid))
+SELECT doc_id, source, copy, substr(md5({seeded_key("order", str(mix.SEED), "key", "copy")}), 1, 16) AS shuffle_key FROM x
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op6_quality_repetition": OP6}
+    return {"op8_poisson_mixing": OP8, "op6_quality_repetition": OP6}

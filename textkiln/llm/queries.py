@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.llm import decontamination, langid, repetition, simhash, toxicity
+from textkiln.llm import decontamination, hilbert_shards, langid, poisson_mix, repetition, simhash, toxicity
 from textkiln.llm.common import table
 
 
@@ -36,5 +36,15 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op8_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The copies of every document in the mixture, with their shuffle keys."""
+    return poisson_mix.mix(table(spark, sf_dir, "documents")).select("doc_id", "source", "copy", "shuffle_key")
+
+
+def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of every document along the curve."""
+    return hilbert_shards.shard_rows(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
