@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+from textkiln.llm import license_scan as lic
 from textkiln.llm import poisson_mix as mix
 from textkiln.llm import repetition as rep
-from textkiln.plans.sqlparts import seeded_key, u32
+from textkiln.plans.sqlparts import lit, seeded_key, u32
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,5 +63,78 @@ SELECT doc_id, source, copy, substr(md5({seeded_key("order", str(mix.SEED), "key
 """
 
 
+OP1 = """
+WITH t AS (
+  SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, c) AS pos FROM (
+    SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, md5(coalesce(role, '') || chr(31) || coalesce(text, '')) AS c FROM conversations)),
+l AS (SELECT conv_id, list(c ORDER BY pos) AS cs FROM t GROUP BY conv_id),
+p AS (SELECT DISTINCT cs[1:k] AS pre FROM (SELECT cs, unnest(range(1, len(cs))) AS k FROM l)),
+m AS (SELECT min(conv_id) AS conv_id, len(cs) AS n_turns FROM l ANTI JOIN p ON l.cs = p.pre GROUP BY cs)
+SELECT t.conv_id, turn, pos, n_turns, '<|im_start|>' || role || chr(10) || text || '<|im_end|>' || chr(10) AS rendered
+FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
+"""
+
+_TEMPLATES = ", ".join(f"({i}, {lit(name)}, {lit(text)})" for i, (name, text) in enumerate(lic.TEMPLATES))
+
+OP4 = f"""
+WITH f AS (
+  SELECT doc_id, text, concat_ws('/', source, 'p' || (doc_id // 5000)) AS above, 'd' || (doc_id // 500) AS d,
+    (doc_id // 20) % 25 = 0 AS licence, (doc_id // 500) % 10 = 0 AS tenth FROM documents),
+files AS (
+  SELECT doc_id, text, CASE WHEN licence AND tenth THEN above || '/LICENSE' WHEN licence THEN above || '/' || d || '/LICENSE'
+    ELSE above || '/' || d || '/' || doc_id || '.txt' END AS path FROM f),
+found AS (
+  SELECT doc_id, path, md5(block) AS block, block AS text FROM (
+    SELECT doc_id, path, unnest(list_distinct(list_concat(
+      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(lic.MARKER)})),
+      CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), {lit(lic.LICENCE_FILE)}) AND regexp_matches(text, {lit(lic.MARKER)}) THEN [text] ELSE [] END))) AS block
+    FROM files)),
+blocks AS (SELECT block, any_value(text) AS text, count(*) AS n FROM found GROUP BY block),
+tpl(template, license, text) AS (VALUES {_TEMPLATES}),
+bt AS (SELECT block, term, 1 + ln(count(*)) AS tf FROM (SELECT block, unnest(regexp_extract_all(lower(text), {lit(lic.TERM)})) AS term FROM blocks) GROUP BY ALL),
+tt AS (SELECT template, license, term, 1 + ln(count(*)) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {lit(lic.TERM)})) AS term FROM tpl) GROUP BY ALL),
+total AS (SELECT coalesce(sum(n), 0) + (SELECT count(*) FROM tpl) AS t FROM blocks),
+idf AS (
+  SELECT term, ln((1 + any_value(t)) / (1 + sum(n))) + 1 AS idf
+  FROM (SELECT term, n FROM bt JOIN blocks USING (block) UNION ALL SELECT term, 1 FROM tt), total GROUP BY term),
+w AS (SELECT block, term, tf * idf AS w FROM bt JOIN idf USING (term)),
+v AS (SELECT template, license, term, tf * idf AS v FROM tt JOIN idf USING (term)),
+scored AS (
+  SELECT block, license, round(sum(w * v) / (any_value(bn) * any_value(tn)), 6) AS score
+  FROM w JOIN v USING (term) JOIN (SELECT template, sqrt(sum(v * v)) AS tn FROM v GROUP BY template) USING (template)
+  JOIN (SELECT block, sqrt(sum(w * w)) AS bn FROM w GROUP BY block) USING (block)
+  GROUP BY block, template, license),
+best AS (SELECT block, license, score FROM scored WHERE score >= {lic.LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY block ORDER BY score DESC, license) = 1),
+own AS (SELECT doc_id, path, license, score FROM found JOIN best USING (block) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1),
+declared AS (
+  SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), {lit(lic.LICENCE_FILE)})
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+inherited AS (
+  SELECT files.doc_id, files.path, declared.dir, declared.license FROM files JOIN declared
+    ON declared.dir = '' OR starts_with(regexp_replace(files.path, '/?[^/]*$', '') || '/', declared.dir || '/')
+  QUALIFY row_number() OVER (PARTITION BY files.doc_id, files.path ORDER BY length(declared.dir) DESC) = 1)
+SELECT files.doc_id, files.path, own.license AS own_license, own.score AS own_score, coalesce(own.license, inherited.license) AS license,
+  CASE WHEN own.license IS NOT NULL THEN 'own' ELSE inherited.dir END AS licensed_by
+FROM files LEFT JOIN own USING (doc_id, path) LEFT JOIN inherited USING (doc_id, path)
+"""
+
+
+def _record(html: str) -> str:
+    head = "'WARC/1.0' || chr(13) || chr(10) || 'WARC-Type: response' || chr(13) || chr(10) || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Length: '"
+    end = "chr(13) || chr(10) || chr(13) || chr(10)"
+    return f"({head} || strlen(coalesce({html}, '')) || {end} || coalesce({html}, '') || {end})"
+
+
+OP10 = f"""
+WITH r AS (
+  SELECT page_id, regexp_extract(url, '^[a-z]+://([^/]+)', 1) AS archive, strlen({_record("html")}) AS length, {u32(seeded_key("damage", "page_id"))} AS damage,
+    sha256({_record("html")}) AS digest_a, sha256({_record("('~' || substring(html, 2))")}) AS bad FROM pages),
+o AS (SELECT *, sum(length) OVER (PARTITION BY archive ORDER BY page_id NULLS FIRST, digest_a ROWS UNBOUNDED PRECEDING) - length AS pos FROM r)
+SELECT archive, pos::BIGINT AS "offset", page_id AS record_id, CASE WHEN damage % 131 = 1 THEN 'missing' ELSE 'altered' END AS status,
+  digest_a, CASE WHEN damage % 131 = 1 THEN NULL ELSE bad END AS digest_b
+FROM o WHERE damage % 131 = 1 OR (damage % 97 = 0 AND bad <> digest_a)
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op8_poisson_mixing": OP8, "op6_quality_repetition": OP6}
+    return {"op1_chat_snapshots": OP1, "op4_license_scan": OP4, "op10_merkle_audit": OP10, "op8_poisson_mixing": OP8, "op6_quality_repetition": OP6}

@@ -5,8 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.llm import decontamination, hilbert_shards, langid, poisson_mix, repetition, simhash, toxicity
-from textkiln.llm.common import table
+from textkiln.functions.hashing import seeded_u32
+from textkiln.llm import chat_snapshots, decontamination, hilbert_shards, langid, license_scan, merkle_audit, poisson_mix, repetition, simhash, toxicity
+from textkiln.llm.common import cut, in_order, running_sums, table
+
+
+def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rendered turns of the maximal conversations."""
+    return chat_snapshots.collapse(table(spark, sf_dir, "conversations")).select("conv_id", "turn", "pos", "n_turns", "rendered")
 
 
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,6 +26,25 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def document_files(docs: DataFrame) -> DataFrame:
+    """Documents as files of a derived tree: source, then runs of 5,000 and of 500 ids.
+
+    In every run of 500 ids one document of each source is that directory's
+    LICENSE; in every tenth run it is the LICENSE of the directory above.
+    """
+    run, top = F.floor(F.col("doc_id") / 500), F.floor(F.col("doc_id") / 5000)
+    above = F.concat_ws("/", "source", F.concat(F.lit("p"), top))
+    here = F.concat_ws("/", above, F.concat(F.lit("d"), run))
+    licence = F.floor(F.col("doc_id") / 20) % 25 == 0
+    path = F.when(licence & (run % 10 == 0), F.concat(above, F.lit("/LICENSE"))).when(licence, F.concat(here, F.lit("/LICENSE")))
+    return docs.select("doc_id", path.otherwise(F.concat(here, F.lit("/"), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("path"), "text")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence of every document, its own or inherited."""
+    return license_scan.scan(document_files(table(spark, sf_dir, "documents")))
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity score of every document."""
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -46,5 +71,33 @@ def op9_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert_shards.shard_rows(table(spark, sf_dir, "documents"))
 
 
+def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Two replicas of the pages as WARC records, one archive a host, in the order of page_id.
+
+    In the second replica some records have another first character and some
+    are lost, as hashed from the page's id.
+    """
+    damage = seeded_u32("damage", F.col("page_id"))
+    good = merkle_audit.warc_record(F.col("url"), F.col("html"))
+    bad = merkle_audit.warc_record(F.col("url"), F.concat(F.lit("~"), F.expr("substring(html, 2)")))
+    records = pages.select(
+        F.regexp_extract("url", "^[a-z]+://([^/]+)", 1).alias("archive"),
+        "page_id",
+        F.octet_length(good).cast("long").alias("length"),
+        F.sha2(good, 256).alias("digest_a"),
+        F.when(damage % 131 != 1, F.when(damage % 97 == 0, F.sha2(bad, 256)).otherwise(F.sha2(good, 256))).alias("digest_b"),
+    )
+    ordered = in_order(records, [F.col("archive"), F.col("page_id"), F.col("digest_a")], "warc-records")
+    placed = cut(running_sums(ordered, ["archive"], {"end": F.col("length")}), "warc-offsets")
+    one = placed.select("archive", (F.col("end") - F.col("length")).alias("offset"), "length", F.col("page_id").alias("record_id"), "digest_a", "digest_b")
+    return one.withColumnRenamed("digest_a", "digest"), one.where("digest_b is not null").withColumnRenamed("digest_b", "digest")
+
+
+def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Places at which a damaged replica of the pages differs."""
+    first, second = page_replicas(table(spark, sf_dir, "pages"))
+    return merkle_audit.audit(first, second)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
