@@ -44,8 +44,8 @@ def rolling(ids: np.ndarray, size: int) -> np.ndarray:
     out = np.zeros(max(0, len(ids) - size + 1), np.uint64)
     mixed = (ids.astype(np.uint64) + np.uint64(1)) * _BASE
     mixed ^= mixed >> np.uint64(29)
-    for k in range(size):
-        out = out * _BASE + mixed[k : len(ids) - size + 1 + k]
+    for k in range(size if len(out) else 0):
+        out = out * _BASE + mixed[k : len(out) + k]
     return out
 
 

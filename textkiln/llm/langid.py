@@ -154,15 +154,15 @@ def log_likelihoods(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.n
     for at, codes, sizes in _blocks(words):
         long = codes.shape[1] > PADDED[-1]
         alpha = {0: np.ones((len(at), probs.shape[1]))}
-        scale, last = 0.0, 0
+        scale, last = np.zeros(probs.shape[1]), 0
         for start, end, rows, found in pieces.arcs(codes, sizes):
             if start != last:
                 done = np.flatnonzero(sizes == start)
                 out[at[done]] = np.log(alpha[start][done]) + scale
                 alpha.pop(last)
                 last = start
-                if long and start % 16 == 0:
-                    top = alpha[start].max()
+                if long and start % 16 == 0:  # one word, rescaled by language
+                    top = alpha[start][0]
                     alpha = {k: v / top for k, v in alpha.items()}
                     scale += np.log(top)
             into = alpha.get(end)

@@ -64,13 +64,13 @@ def with_distribution(rates: DataFrame) -> DataFrame:
 
 
 def copies(key: Column, seed: int = SEED) -> Column:
-    """Poisson count of a row with columns ``parts`` and ``cdf``: per part, the entries below the hashed number."""
+    """Poisson count of a row with columns ``_mix_parts`` and ``_mix_cdf``: per part, the entries below the hashed number."""
 
     def draw(j: Column) -> Column:
         u = uniform01("mix", F.lit(str(seed)), key, j)
-        return F.size(F.filter(F.col("cdf"), lambda c: c < u))
+        return F.size(F.filter(F.col("_mix_cdf"), lambda c: c < u))
 
-    return F.aggregate(F.transform(F.sequence(F.lit(1), F.col("parts")), draw), F.lit(0), lambda a, x: a + x)
+    return F.aggregate(F.transform(F.sequence(F.lit(1), F.col("_mix_parts")), draw), F.lit(0), lambda a, x: a + x)
 
 
 def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", seed: int = SEED, names: tuple[str, str] = ("copy", "shuffle_key"), **how) -> DataFrame:
@@ -82,11 +82,11 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     number of copies; rows without one draw by their text. An empty table
     gives an empty result. Columns of ``docs`` with the new names are replaced.
     """
-    rates = with_distribution(source_rates(docs, source, text, **how)).select(F.col("source").alias("_source"), "parts", "cdf")
+    rates = with_distribution(source_rates(docs, source, text, **how)).select(F.col("source").alias("_mix_source"), F.col("parts").alias("_mix_parts"), F.col("cdf").alias("_mix_cdf"))
     own = [F.col(f"d.`{c}`") for c in docs.columns if c not in names]
     key = document_key(F.col(f"d.`{doc_id}`"), F.col(f"d.`{text}`"))
-    joined = docs.alias("d").join(checked_broadcast(rates), F.col(f"d.`{source}`").eqNullSafe(F.col("_source")))
-    counted = joined.select(*own, key.alias("_key"), copies(key, seed).alias("_n")).where("_n > 0")
-    exploded = counted.withColumn(names[0], F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
-    keyed = exploded.withColumn(names[1], F.substring(seeded_hash_hex("order", F.lit(str(seed)), F.col("_key"), F.col(names[0])), 1, 16)).drop("_key", "_n")
+    joined = docs.alias("d").join(checked_broadcast(rates), F.col(f"d.`{source}`").eqNullSafe(F.col("_mix_source")))
+    counted = joined.select(*own, key.alias("_mix_key"), copies(key, seed).alias("_mix_n")).where("_mix_n > 0")
+    exploded = counted.withColumn(names[0], F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
+    keyed = exploded.withColumn(names[1], F.substring(seeded_hash_hex("order", F.lit(str(seed)), F.col("_mix_key"), F.col(names[0])), 1, 16)).drop("_mix_key", "_mix_n")
     return keyed.repartition(names[1]).sortWithinPartitions(names[1])
