@@ -1,5 +1,9 @@
 """Running offsets and global ranks without a one-partition window.
 
+``in_order`` and ``running_totals`` work for any order: rows are range-
+partitioned on the whole sort key, summed inside their partition, and what
+earlier partitions hold of a key is added (fewer rows than partitions).
+
 A window over all rows of a key (or over the whole table when there is no key)
 puts that key into one task. Here the order is cut into blocks by a monotone
 ``block`` expression: block totals are summed first (a small table), their
@@ -14,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from textkiln.session import materialize
+
 
 def running_sum(
     df: DataFrame,
@@ -47,12 +53,57 @@ def running_sum(
     bases = totals.select(
         *pcols, "_blk", F.coalesce(F.sum("_blk_total").over(wb), F.lit(0).cast("bigint")).alias("_blk_base")
     )
-    joined = d.join(bases, [*pcols, "_blk"], "inner")
+    bases = bases.select(*[F.col(c).alias(f"_b_{c}") for c in pcols], F.col("_blk").alias("_b_blk"), "_blk_base")
+    on = d["_blk"].eqNullSafe(F.col("_b_blk"))
+    for c in pcols:
+        on = on & d[c].eqNullSafe(F.col(f"_b_{c}"))
+    joined = d.join(bases, on, "inner").drop("_b_blk", *[f"_b_{c}" for c in pcols])
     return joined.withColumn(out, (F.col("_blk_base") + F.col("_within")).cast("bigint")).drop(
         "_blk", "_blk_base", "_val", "_within", "_blk_total"
     )
 
 
+def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "ordered") -> DataFrame:
+    """Rows in the global order of ``order``, cut to a table with ``_pid`` and ``_idx``.
+
+    ``_pid`` numbers the range partitions in order and ``_idx`` the rows inside
+    one. The range partitioner samples the whole sort key, so no single value
+    of a leading column can gather in one task. The table makes the numbering
+    stable for every later use.
+    """
+    mid = F.monotonically_increasing_id()
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    return materialize(ranged.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1))), name)
+
+
+def running_totals(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
+    """Running sums inside each group, in the order of an ``in_order`` table.
+
+    The order must start with the group's columns. Every value of ``sums`` is
+    summed up to and including the row. Window groups are (group, partition)
+    pairs; what earlier partitions hold of a group is added afterwards. Only
+    groups that cross a partition border need that, so the joined table has
+    fewer rows than there are partitions and is broadcast. Group columns may
+    be null (one group).
+    """
+    tmp = {k: f"_s_{i}" for i, k in enumerate(sums)}
+    w = Window.partitionBy("_pid", *group).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
+    inner = df.select("*", *[F.sum(v).over(w).alias(tmp[k]) for k, v in sums.items()])
+    totals = df.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"t{tmp[k]}") for k, v in sums.items()])
+    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
+    before = wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    carry = (
+        totals.withColumn("_n", F.count(F.lit(1)).over(wg))
+        .where("_n > 1")
+        .select(F.col("_pid").alias("_cp"), *[F.col(g).alias(f"_c_{g}") for g in group], *[F.sum(f"t{t}").over(before).alias(f"c{t}") for t in tmp.values()])
+    )
+    on = inner["_pid"] == carry["_cp"]
+    for g in group:
+        on = on & inner[g].eqNullSafe(carry[f"_c_{g}"])
+    joined = inner.join(F.broadcast(carry), on, "left")
+    return joined.select(*[F.col(c) for c in df.columns], *[(F.col(t) + F.coalesce(F.col(f"c{t}"), F.lit(0))).alias(k) for k, t in tmp.items()])
+
+
 def id_block(col: str, width: int = 4096) -> Column:
     """Block of a numeric order column: ``floor(col / width)``."""
     return F.floor(F.col(col) / F.lit(width))
