@@ -29,7 +29,7 @@ def test_chat_rows_match_turn_by_turn_encoding(spark, enc):
     }
     rows = [(c, t, r, x) for c, ts in convs.items() for t, r, x in ts]
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
-    got = {r.conv_id: r for r in chat_training_rows(df, tokenizer="bpe", turn_block=2).collect()}
+    got = {r.conv_id: r for r in chat_training_rows(df, tokenizer="bpe").collect()}
     assert set(got) == set(convs)
     for c, turns in convs.items():
         ids, labels, total = _expected(enc, turns)
@@ -42,3 +42,12 @@ def test_chat_rows_match_turn_by_turn_encoding(spark, enc):
     tail = list(got[3].labels)
     n3 = got[3].n_tokens
     assert all(x == IGNORE for x in tail[n3 - 3 : n3])  # conversation ending on a user turn
+
+
+def test_a_conversation_of_thousands_of_empty_turns(spark):
+    rows = [(1, t, "system", "be nice") for t in range(5000)] + [(1, 5000, "user", "hi"), (1, 5001, "assistant", "hello"), (None, 0, "user", "no id")]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: r for r in chat_training_rows(df, tokenizer="hashed").collect()}
+    alone = {r.conv_id: r for r in chat_training_rows(df.where("role <> 'system'"), tokenizer="hashed").collect()}
+    assert set(got) == {1, None}
+    assert got[1].input_ids == alone[1].input_ids and got[1].n_targets == alone[1].n_targets > 0

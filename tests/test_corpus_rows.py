@@ -93,3 +93,31 @@ def test_token_counts_and_packing_report(spark):
     assert (rep.n_rows, rep.n_tokens, rep.n_pad, rep.n_cropped) == (3, 10 + 1024 + 1024, 1014, 1)
     assert rep.n_targets == 9 + 1023 + 1023 and rep.token_budget == 3 * 1024
     assert (rep.micro_steps, rep.global_steps) == (2, 2)
+
+
+def test_all_rows_cover_every_token(spark):
+    df = spark.createDataFrame([(1, list(range(10))), (2, list(range(8))), (3, [])], "doc_id long, tokens array<int>")
+    rows = sorted(sampling.all_rows(df, seq_len=4).collect(), key=lambda r: (r.doc_id, r.row_no))
+    assert [(r.doc_id, r.row_no) for r in rows] == [(1, 0), (1, 1), (1, 2), (2, 0), (2, 1)]
+    for d in (1, 2):
+        assert [x for r in rows if r.doc_id == d for x in r.labels if x != -100] == list(range(10 if d == 1 else 8))
+    assert all(len(r.input_ids) == len(r.labels) == 4 for r in rows)
+
+
+def test_a_plan_without_a_last_step_covers_every_row(spark):
+    ranked = sampling.seeded_shuffle(spark.range(0, 1000).withColumnRenamed("id", "doc_id"))
+    plan = sampling.batch_plan(ranked, batch_size=1, grad_accum=1).collect()
+    assert len(plan) == 1000 and max(r.global_step for r in plan) == 1000 and all(r.step_complete for r in plan)
+
+
+def test_joined_corpus_with_hashed_ids(spark):
+    import hashlib
+
+    from textkiln.sources.corpus import concat_prefix
+
+    rows = [(hashlib.md5(str(i).encode()).hexdigest(), "t" * (i % 7) + str(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "item_id string, text string").repartition(6)
+    whole = "\n\n".join(t for _, t in sorted(rows))
+    for limit in (None, 500):
+        segs = sorted(concat_prefix(df, limit=limit).collect(), key=lambda r: r.seg_id)
+        assert "".join(r.segment for r in segs) == whole[:limit]

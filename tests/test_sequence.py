@@ -115,3 +115,28 @@ def test_vector_recurrence_equals_loop(spark):
                 continue
             h = np.array(a) * h + np.array(b)
             assert np.allclose(got[(k, o)], h, atol=1e-12)
+
+
+def test_trailing_window_longer_than_a_chunk(spark):
+    df = spark.range(0, 12_000).selectExpr("1L AS k", "id AS o", "cast(id AS double) AS v")
+    out = sequence.trailing_mean(df, "k", ["o"], "v", window=5000).collect()
+    assert len(out) == 7000
+    assert all(abs(r.trailing_mean - (r.o - 5000 + r.o - 1) / 2) < 1e-6 for r in out)
+
+
+def test_causal_softmax_mean_of_large_scores_and_null_keys(spark):
+    rows = [(k, o, s, float(o)) for k in (None, 1) for o, s in enumerate([800.0, 801.0, -900.0, 2000.0, 1999.0, 0.0] * 20)]
+    df = spark.createDataFrame(rows, "k long, o long, s double, v double").repartition(7)
+    got = {(r.k, r.o): r.attn for r in sequence.causal_softmax_mean(df, "k", ["o"], F.col("s"), F.col("v")).collect()}
+    assert len(got) == len(rows)
+    for k in (None, 1):
+        own = [(s, v) for kk, _, s, v in rows if kk == k]
+        for i in range(len(own)):
+            w = np.exp(np.array([s for s, _ in own[: i + 1]]) - max(s for s, _ in own[: i + 1]))
+            assert abs(got[(k, i)] - float((w * [v for _, v in own[: i + 1]]).sum() / w.sum())) < 1e-9
+
+
+def test_null_keys_are_kept(spark):
+    df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (5, 1, 3.0)], "k long, o long, x double")
+    out = sequence.history_attention(df, "k", ["o"], F.col("x"), F.col("x"), F.col("x"), span=4).collect()
+    assert sorted((r.k is None, r.o, r.pos) for r in out) == [(False, 1, 0), (True, 1, 0), (True, 2, 1)]

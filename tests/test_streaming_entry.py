@@ -7,7 +7,7 @@ from textkiln.sources import sinks
 from textkiln.streaming import corpus_stream, liquid_state
 
 
-def test_stream_late_rows_dropped(spark, tmp_path):
+def test_stream_late_rows_are_flagged(spark, tmp_path):
     base = dt.datetime(2024, 1, 1)
     batch1 = [(i, base + dt.timedelta(minutes=i), 7, float(i)) for i in range(5)]
     batch2 = [(10, base + dt.timedelta(minutes=2), 7, 99.0), (11, base + dt.timedelta(minutes=9), 7, 1.0)]
@@ -18,19 +18,56 @@ def test_stream_late_rows_dropped(spark, tmp_path):
     ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(d))
     v = F.col("value")
     out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, v / 50.0 - 1), name="t-late").collect()
-    # the second file's minute-2 row arrives after minute 4 was applied: late, dropped
-    assert sorted(r.event_id for r in out) == [0, 1, 2, 3, 4, 11]
+    # the second file's minute-2 row arrives after minute 4 was applied: late
+    assert sorted(r.event_id for r in out) == [0, 1, 2, 3, 4, 10, 11]
+    assert [r.event_id for r in out if r.late] == [10]
+    out = [r for r in out if not r.late]
     # equal to the batch filter over the rows that were applied
     kept = spark.createDataFrame([r for r in batch1 + batch2 if r[0] != 10], schema)
     want = {r.ts: r.h for r in sequence.liquid_filter(kept, "user_id", ["ts", "event_id"], v / 50.0, v / 50.0 - 1).collect()}
     assert all(abs(r.h - want[r.ts.replace(tzinfo=None)]) < 1e-12 for r in out)
 
 
-def test_resume_is_exact(spark):
-    plan = spark.range(0, 100).withColumnRenamed("id", "doc_id")
-    ledger = spark.range(0, 100, 3).withColumnRenamed("id", "doc_id")
-    rest = {r.doc_id for r in sinks.remaining(plan, ledger).collect()}
-    assert rest == {i for i in range(100) if i % 3}
+def test_resume_is_exact(spark, tmp_path):
+    plan = spark.range(0, 100).selectExpr("id AS doc_id", "id DIV 10 AS global_step")
+    path = str(tmp_path / "ledger")
+    sinks.write_ledger(plan.where("global_step < 4"), path, epoch=0)
+    sinks.write_ledger(plan.where("global_step < 1"), path, epoch=1)
+    ledger = spark.read.parquet(path)
+    left = lambda e: sorted(r.doc_id for r in sinks.remaining(plan, ledger, e).collect())
+    assert left(0) == list(range(40, 100)) and left(1) == list(range(10, 100)) and left(2) == list(range(100))
+
+
+def test_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    base = dt.datetime(2024, 1, 1)
+    schema = "event_id long, ts timestamp_ntz, user_id long, value double"
+    rows = [(i, base + dt.timedelta(minutes=i), i % 2, float(i)) for i in range(12)]
+    d, run = tmp_path / "ev", str(tmp_path / "run")
+    v = F.col("value")
+
+    def go():
+        ev = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(str(d))
+        return corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, v / 50.0 - 1), base=run).collect()
+
+    spark.createDataFrame(rows[:5], schema).coalesce(1).write.parquet(str(d / "a"))
+    assert len(go()) == 5
+    spark.createDataFrame(rows[5:], schema).coalesce(1).write.parquet(str(d / "b"))
+    out = go()  # a new query on the same folder: state and offsets are carried on
+    assert sorted(r.event_id for r in out) == list(range(12)) and not any(r.late for r in out)
+    want = {r.event_id: r.h for r in sequence.liquid_filter(spark.createDataFrame(rows, schema), "user_id", ["ts", "event_id"], v / 50.0, v / 50.0 - 1).collect()}
+    assert all(abs(r.h - want[r.event_id]) < 1e-12 for r in out)
+
+
+def test_a_bad_training_row_fails_the_write(spark, tmp_path):
+    import pytest
+
+    good = spark.createDataFrame([([1] * 4, [1] * 4, 0)], "input_ids array<int>, labels array<int>, shard int")
+    bad = spark.createDataFrame([([1] * 2, [1] * 4, 0)], good.schema)
+    assert sinks.checked_rows(good, 4).count() == 1
+    with pytest.raises(Exception, match="not 4 long"):
+        sinks.checked_rows(bad, 4).write.parquet(str(tmp_path / "bad"))
+    with pytest.raises(Exception, match="not 1024 long"):
+        sinks.write_training_rows(bad, str(tmp_path / "rows"))
 
 
 def test_entry_and_registry(spark):
@@ -41,7 +78,7 @@ def test_entry_and_registry(spark):
     assert set(df.columns) >= {"conv_id", "n_tokens", "n_targets", "truncated", "zero_target"}
     qs, sqls = E.queries(), E.oracle_sql()
     rows_only = {k for k in qs if k not in sqls}
-    assert rows_only <= {"chat_training_rows_bpe", "model_comparison_bpe", "batch_generate_sampled", "bpe_encode", "corpus_training_rows_bpe"}
+    assert rows_only <= {"chat_training_rows_bpe", "model_comparison_bpe", "batch_generate_sampled", "bpe_encode", "corpus_training_rows_bpe"} | {k for k in qs if k.startswith(("op", "pipeline"))}
     assert set(sqls) <= set(qs)
 
 

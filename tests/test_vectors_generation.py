@@ -5,15 +5,15 @@ from textkiln.constants import EOT
 from textkiln.operators import evaluation, generation, vectors
 
 
-def test_topk_ties_smallest_id_and_tiles(spark):
+def test_topk_ties_smallest_id_and_blocks(spark):
     rng = np.random.default_rng(5)
     vecs = [(i, [float(x) for x in rng.integers(-2, 3, size=4)]) for i in range(60)]
     q = spark.createDataFrame(vecs, "query_id long, q_vec array<double>")
     c = spark.createDataFrame(vecs, "cand_id long, c_vec array<double>")
     M = np.array([v for _, v in vecs])
     S = M @ M.T
-    for tile, bcast in ((1000, 0), (7, 0), (1000, 10_000)):
-        got = vectors.mips_topk(q, c, k=3, tile_rows=tile, max_broadcast_rows=bcast).collect()
+    for size in (32, 700, 1 << 20):
+        got = vectors.mips_topk(q, c, k=3, block_bytes=size).collect()
         by_q = {}
         for r in got:
             by_q.setdefault(r.query_id, []).append((r.rank, r.cand_id))
@@ -62,10 +62,17 @@ def test_softmax_and_sample_within_groups(spark):
     assert s[2] == 12 and s[1] in (10, 11)
 
 
-def test_exact_topk_ties():
-    S = np.array([[1.0, 3.0, 3.0, 2.0, 3.0], [0.0, 0.0, 0.0, 0.0, 0.0]])
-    assert vectors.exact_topk(S, 2).tolist() == [[1, 2], [0, 1]]
-    assert vectors.exact_topk(S, 4).tolist() == [[1, 2, 4, 3], [0, 1, 2, 3]]
+def test_topk_without_queries(spark):
+    q = spark.createDataFrame([], "query_id long, q_vec array<double>")
+    c = spark.createDataFrame([(1, [1.0])], "cand_id long, c_vec array<double>")
+    assert vectors.mips_topk(q, c, 4).count() == 0
+
+
+def test_lookup_of_any_ids(spark):
+    table = spark.createDataFrame([(10, [1.0]), (11, [2.0]), (99, [3.0])], "vec_id long, embedding array<double>")
+    ids = spark.createDataFrame([(t,) for t in range(7)], "token int")
+    got = sorted((r.token, r.embedding[0]) for r in vectors.hashed_lookup(ids, "token", table).collect())
+    assert got == [(t, float(t % 3 + 1)) for t in range(7)]
 
 
 def test_k_draws_without_replacement(spark):

@@ -3,9 +3,9 @@
 Each turn is tokenized on its own and the segments are concatenated in turn
 order (encoding the joined string would merge pieces across the seam). Only
 the head of a conversation survives truncation, so the running token offset
-of every turn is computed first (blocked, see ``ranking``) and turns that start
-past the row length never reach the per-conversation aggregate: the collected
-group is bounded by the row length however long the conversation is.
+of every turn is computed first (see ``ranking``) and turns that start past the
+row length or hold no token never reach the per-conversation aggregate: the
+collected group is bounded by the row length however long the conversation is.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from textkiln.constants import EOT, IGNORE, SEQ_LEN, USER_PREFIX, USER_SUFFIX
 from textkiln.functions.arrays import append_eot, count_valid, pad_to, repeat_ignore
-from textkiln.operators.ranking import running_sum
+from textkiln.operators.ranking import in_order, running_totals
 from textkiln.operators.tokens import encode
 from textkiln.session import materialize
 
@@ -54,34 +54,34 @@ def chat_training_rows(
     seq_len: int = SEQ_LEN,
     conv_col: str = "conv_id",
     turn_col: str = "turn",
-    turn_block: int = 256,
 ) -> DataFrame:
-    """One fixed-length training row per conversation (long-form input).
+    """One fixed-length training row per conversation (long-form input with unique
+    turns). Roles other than user and assistant are left out first; a conversation
+    without any token gives a row of padding only.
 
     Output: conv_id, input_ids, labels (both ``seq_len`` long), n_tokens (before
     padding), total_tokens (before truncation), n_targets, truncated, zero_target.
     """
-    segs = loss_mask(chat_template(conversations), tokenizer).select(
-        conv_col, turn_col, "seg_ids", "seg_labels", F.size("seg_ids").cast("bigint").alias("n")
-    )
-    # the running offset reads the turns twice (block totals and rows); cut the
-    # lineage so the tokenizer runs once per turn
-    segs = materialize(segs, "chat-turns")
-    segs = running_sum(
-        segs, "n", [turn_col], F.floor(F.col(turn_col) / turn_block), partition_cols=[conv_col], out="tok_offset"
-    )
-    room = F.lit(seq_len) - F.col("tok_offset")
-    kept = F.when(
-        room > 0,
-        F.struct(
-            F.col(turn_col).alias("turn"),
-            F.slice("seg_ids", 1, room.cast("int")).alias("ids"),
-            F.slice("seg_labels", 1, room.cast("int")).alias("labels"),
-        ),
-    )
-    conv = segs.groupBy(conv_col).agg(
-        F.sort_array(F.collect_list(kept)).alias("parts"), F.sum("n").cast("bigint").alias("total_tokens")
+    segs = loss_mask(chat_template(role_route(conversations)), tokenizer)
+    # only ids and role are kept: labels follow from them after the cut. The lineage
+    # is cut so that the tokenizer runs once per turn, where the scan has put it
+    segs = materialize(segs.select(conv_col, turn_col, "role", "seg_ids", F.size("seg_ids").cast("bigint").alias("n")).where("n > 0"), "chat-turns")
+    # running offsets are sums over narrow rows; a hot conversation spreads over
+    # the range partitions of (conversation, turn)
+    order = in_order(segs.select(conv_col, turn_col, "role", "n"), [conv_col, turn_col, "role", "n"], "chat-sizes")
+    offsets = running_totals(order, [conv_col], {"_end": F.col("n")}).withColumn("tok_offset", F.col("_end") - F.col("n"))
+    totals = conversations.select(conv_col).distinct().join(
+        order.groupBy(F.col(conv_col).alias("_c")).agg(F.sum("n").cast("bigint").alias("_total")), F.col(conv_col).eqNullSafe(F.col("_c")), "left"
     )
+    totals = totals.select(conv_col, F.coalesce("_total", F.lit(0).cast("bigint")).alias("total_tokens"))
+    # the turns that still have room: at most ``seq_len`` a conversation, as each holds a token
+    room = offsets.where(F.col("tok_offset") < seq_len).select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.col("role").alias("_r"), "tok_offset", F.col("n").alias("_n"))
+    same = segs[conv_col].eqNullSafe(room["_c"]) & segs[turn_col].eqNullSafe(room["_t"]) & (segs["role"] == room["_r"]) & (segs["n"] == room["_n"])
+    left = F.lit(seq_len) - F.col("tok_offset")
+    cut = F.slice("seg_ids", 1, left.cast("int"))
+    part = F.struct(F.col("tok_offset"), cut.alias("ids"), F.when(F.col("role") == "user", repeat_ignore(cut)).otherwise(cut).alias("labels"))
+    parts = segs.join(room, same).groupBy(F.col(conv_col).alias("_c")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    conv = totals.join(parts, F.col(conv_col).eqNullSafe(F.col("_c")), "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<tok_offset:bigint,ids:array<int>,labels:array<int>>>)")))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     labels = F.flatten(F.transform("parts", lambda p: p["labels"]))
     rows = conv.select(conv_col, ids.alias("ids"), labels.alias("lbl"), "total_tokens")

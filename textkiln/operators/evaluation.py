@@ -49,12 +49,12 @@ def next_token_pairs(
 
 def label_pairs(rows: DataFrame, key_cols: list[str], ids_col: str = "input_ids", labels_col: str = "labels") -> DataFrame:
     """Shifted training pairs ``(ctx = ids[t-1], next = labels[t])`` whose label is
-    not IGNORE; a row without any keeps one NULL pair so its loss is NULL."""
+    not IGNORE."""
     ids, lab = F.col(ids_col), F.col(labels_col)
     n = F.greatest(F.size(ids) - 1, F.lit(0))
     zipped = F.zip_with(F.slice(ids, 1, n), F.slice(lab, 2, n), lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
     valid = F.filter(zipped, lambda p: p["next"] != IGNORE)
-    return rows.select(*key_cols, F.explode_outer(valid).alias("_p")).select(*key_cols, "_p.ctx", "_p.next")
+    return rows.select(*key_cols, F.explode(valid).alias("_p")).select(*key_cols, "_p.ctx", "_p.next")
 
 
 # --------------------------------------------------------------------------- n-gram model
@@ -154,9 +154,14 @@ def score_models(pairs: DataFrame, model: NGramModel, kinds: list[str], lam: flo
 def masked_cross_entropy(rows: DataFrame, model: NGramModel, key_cols: list[str], kind: str = "bigram") -> DataFrame:
     """Per training row: valid targets, summed and mean NLL (NULL when no target)."""
     s = score_pairs(label_pairs(rows, key_cols), model, kind)
-    return s.groupBy(*key_cols).agg(
-        F.count("nll").alias("n_valid"), F.sum("nll").alias("sum_nll"), F.avg("nll").alias("mean_nll")
-    )
+    sums = s.groupBy(*key_cols).agg(F.count("nll").alias("n_valid"), F.sum("nll").alias("sum_nll"), F.avg("nll").alias("mean_nll"))
+    # rows without a target have no pair, so no null pairs have to meet in the model's joins
+    keys = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)])
+    on = F.lit(True)
+    for i, k in enumerate(key_cols):
+        on = on & F.col(f"_k{i}").eqNullSafe(F.col(k))
+    joined = keys.join(sums, on, "left")
+    return joined.select(*[F.col(f"_k{i}").alias(k) for i, k in enumerate(key_cols)], F.coalesce("n_valid", F.lit(0).cast("bigint")).alias("n_valid"), "sum_nll", "mean_nll")
 
 
 # --------------------------------------------------------------------------- windows
@@ -251,6 +256,14 @@ def model_comparison(results: list[DataFrame]) -> DataFrame:
     return u.withColumn("best", F.col("ppl") == F.min("ppl").over(w))
 
 
+def metric_pivot(results: DataFrame, metrics: list[str], model_col: str = "model") -> DataFrame:
+    """Report with one row per metric and one column per model (the models bound the
+    columns)."""
+    pairs = F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(m).cast("double").alias("value")) for m in metrics]))
+    long = results.select(model_col, pairs.alias("p")).select(model_col, "p.metric", "p.value")
+    return long.groupBy("metric").pivot(model_col).agg(F.first("value"))
+
+
 def accumulate_steps(row_losses: DataFrame, plan: DataFrame, key: str = "doc_id") -> DataFrame:
     """Gradient-accumulation view of a loss series: a micro-step's loss is the
     mean over the valid tokens of its rows together; a global step reports the

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.constants import BATCH_SIZE, EOT, GRAD_ACCUM, IGNORE, SEED, SEQ_LEN, STEPS_PER_EPOCH
+from textkiln.constants import BATCH_SIZE, EOT, GRAD_ACCUM, IGNORE, SEED, SEQ_LEN
 from textkiln.functions.arrays import count_valid, pad_to, tail
 from textkiln.functions.hashing import seeded_hash_hex, seeded_u32
 from textkiln.operators.ranking import global_rank
@@ -51,6 +51,17 @@ def crop_or_pad(
     return d.withColumn("input_ids", ids).withColumn("labels", labels)
 
 
+def all_rows(df: DataFrame, tokens: str = "tokens", seq_len: int = SEQ_LEN) -> DataFrame:
+    """Training rows that cover every token: consecutive runs of ``seq_len`` tokens
+    as rows ``row_no`` = 0, 1, ...; only a document's last row is padded. The
+    crop of ``crop_or_pad`` is the other option: one row a document and epoch."""
+    size = F.size(tokens)
+    starts = F.sequence(F.lit(0), F.greatest(size - 1, F.lit(0)), F.lit(seq_len))
+    d = df.withColumn("row_no", F.explode(F.when(size > 0, F.transform(starts, lambda x: F.floor(x / seq_len).cast("bigint")))))
+    run = F.slice(tokens, (F.col("row_no") * seq_len + 1).cast("int"), seq_len)
+    return d.withColumn("input_ids", pad_to(run, seq_len, EOT)).withColumn("labels", pad_to(run, seq_len, IGNORE))
+
+
 def head_truncate(col: str, seq_len: int = SEQ_LEN):
     return F.slice(col, 1, seq_len)
 
@@ -65,19 +76,22 @@ def batch_plan(
     rank_col: str = "shuffle_rank",
     batch_size: int = BATCH_SIZE,
     grad_accum: int = GRAD_ACCUM,
-    max_steps: int = STEPS_PER_EPOCH,
+    max_steps: int | None = None,
+    n_rows: int | None = None,
 ) -> DataFrame:
-    """Micro-step and global step of every row in shuffled order; rows past
-    ``max_steps`` are cut; ``step_complete`` flags whether the step got all its rows."""
+    """Micro-step and global step of every row in shuffled order.
+
+    ``step_complete`` tells whether the step gets all its rows: ranks count
+    from 0 without gaps, so it follows from the number of rows (``n_rows``, by
+    default counted on the ranks). ``max_steps`` stops training early: rows of
+    later steps are left out; without it every row is planned."""
     micro = F.floor(F.col(rank_col) / batch_size).cast("bigint")
     d = ranked.withColumn("micro_step", micro).withColumn(
         "global_step", (F.floor(F.col("micro_step") / grad_accum) + 1).cast("bigint")
     )
-    d = d.where(F.col("global_step") <= max_steps)
-    # at most max_steps rows: a proven bound for the broadcast
-    sizes = d.groupBy("global_step").agg(F.count(F.lit(1)).alias("_step_rows"))
-    d = d.join(F.broadcast(sizes), "global_step")
-    return d.withColumn("step_complete", F.col("_step_rows") == batch_size * grad_accum).drop("_step_rows")
+    n = n_rows if n_rows is not None else ranked.count()
+    d = d.withColumn("step_complete", F.col("global_step") * F.lit(batch_size * grad_accum) <= F.lit(n))
+    return d if max_steps is None else d.where(F.col("global_step") <= max_steps)
 
 
 def packing_report(rows: DataFrame, tokens_col: str = "n_tokens", seq_len: int = SEQ_LEN, batch_size: int = BATCH_SIZE, grad_accum: int = GRAD_ACCUM) -> DataFrame:

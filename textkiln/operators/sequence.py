@@ -27,8 +27,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textkiln.constants import SEQ_LEN, SMOOTH_WINDOW, TAU_FLOOR
+from textkiln.constants import SMOOTH_WINDOW, TAU_FLOOR
 from textkiln.functions.gates import clamp, softplus
+from textkiln.operators.ranking import in_order, running_totals
 from textkiln.session import checkpoint_dir, materialize
 
 
@@ -182,10 +183,11 @@ def trailing_mean(
     emitted only where a full frame exists.
 
     A plain window per key would put a hot key in one task. Rows get their
-    position per key from the blocked scan, are cut into chunks of ``chunk``
-    positions, and each chunk also receives the ``window`` rows before it (a
+    position per key, are cut into chunks of ``chunk`` positions (at least
+    ``window``), and each chunk also receives the ``window`` rows before it (a
     halo); the window then runs per (key, chunk), at most ``chunk + window``
     rows, with the same arithmetic as one window over the whole key."""
+    chunk = max(chunk, window)  # the halo then lies in the chunk before
     d = row_positions(df.select(key, *order_cols, value), key, order_cols)
     c = F.floor(F.col("pos") / chunk).cast("bigint")
     halo = (F.col("pos") % chunk) >= (chunk - window)
@@ -199,21 +201,84 @@ def trailing_mean(
     return r.where(F.col("_own") & (F.col("_n") == window)).drop("_n", "_own", "chunk", "pos")
 
 
-def causal_softmax_mean(df: DataFrame, key: str, order_cols: list[str], score: Column, value: Column, shift: float = 0.0, out: str = "attn") -> DataFrame:
-    """``sum_{j<=i} e^{s_j} v_j / sum_{j<=i} e^{s_j}`` per key (scores bounded by the
-    caller; ``shift`` is subtracted before ``exp``). Both running sums are linear
-    recurrences with a = 1, so they go through the blocked scan."""
-    wexp = F.exp(score - F.lit(shift))
-    d = df.withColumn("_w", wexp).withColumn("_wv", wexp * value)
-    d = linear_recurrence(d, key, order_cols, F.lit(1.0), F.col("_w"), 0.0, "_num_den")
-    d = linear_recurrence(d, key, order_cols, F.lit(1.0), F.col("_wv"), 0.0, "_num", carry=[c for c in d.columns if c not in (key, *order_cols, "_w")])
-    return d.withColumn(out, F.col("_num") / F.col("_num_den")).drop("_w", "_wv", "_num", "_num_den")
+def softmax_scan(seg: np.ndarray, score: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Running ``(m, l, s)`` within runs of equal ``seg``: the largest score so far, and
+    the sums of ``exp(score - m)`` and ``exp(score - m) * value`` (log-depth doubling;
+    the combination rescales both sides to the larger maximum)."""
+    m, l, s = score.astype(np.float64).copy(), np.ones(len(score)), value.astype(np.float64).copy()
+    step = 1
+    while step < len(m):
+        same = seg[step:] == seg[:-step]
+        top = np.where(same, np.maximum(m[step:], m[:-step]), m[step:])
+        here = np.exp(m[step:] - top)
+        back = np.where(same, np.exp(np.where(same, m[:-step], top) - top), 0.0)
+        l_new, s_new = l[step:] * here + l[:-step] * back, s[step:] * here + s[:-step] * back
+        m[step:], l[step:], s[step:] = top, l_new, s_new
+        step *= 2
+    return m, l, s
+
+
+def _local_softmax(key: str):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        carry = None  # (key, m, l, s) of the previous batch's last row
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            keys = pdf[key]
+            same = (keys == keys.shift()) | (keys.isna() & keys.shift().isna())
+            seg = np.cumsum(~same.to_numpy()[1:], dtype=np.int64)
+            seg = np.concatenate([[0], seg])
+            m, l, s = softmax_scan(seg, pdf["_score"].to_numpy(), pdf["_value"].to_numpy())
+            first, last = keys.iloc[0], keys.iloc[-1]
+            if carry is not None and (first == carry[0] or (pd.isna(first) and pd.isna(carry[0]))):
+                at = seg == 0
+                top = np.maximum(m[at], carry[1])
+                here, back = np.exp(m[at] - top), np.exp(carry[1] - top)
+                l[at], s[at], m[at] = l[at] * here + carry[2] * back, s[at] * here + carry[3] * back, top
+            carry = (last, m[-1], l[-1], s[-1])
+            yield pdf.drop(columns=["_score", "_value"]).assign(_m=m, _l=l, _s=s)
+
+    return run
+
+
+def causal_softmax_mean(df: DataFrame, key: str, order_cols: list[str], score: Column, value: Column, out: str = "attn") -> DataFrame:
+    """``sum_{j<=i} e^{s_j} v_j / sum_{j<=i} e^{s_j}`` per key, for scores of any size.
+
+    One scan per range partition carries the running maximum with both sums;
+    what earlier partitions hold of a key (at most one row each) is combined in
+    afterwards. Rows with a null key form one sequence."""
+    named = df.select("*", score.cast("double").alias("_score"), value.cast("double").alias("_value"))
+    rows = named.repartitionByRange(key, *order_cols).sortWithinPartitions(key, *order_cols)
+    mid = F.monotonically_increasing_id()
+    rows = rows.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1)))
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_score", "_value")] + [T.StructField(c, T.DoubleType()) for c in ("_m", "_l", "_s")])
+    local = materialize(rows.mapInPandas(_local_softmax(key), schema), "softmax-blocks")
+    # what each partition holds of a key that crosses a border: fewer rows than partitions
+    ends = local.groupBy("_pid", key).agg(F.max_by(F.struct("_m", "_l", "_s"), "_idx").alias("e"))
+    w = Window.partitionBy(key)
+    earlier = F.collect_list("e").over(w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
+    spans = ends.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("before", earlier).where((F.col("_n") > 1) & (F.size("before") > 0))
+
+    def merge(a, b):
+        top = F.greatest(a["_m"], b["_m"])
+        x, y = F.exp(a["_m"] - top), F.exp(b["_m"] - top)
+        return F.struct(top.alias("_m"), (a["_l"] * x + b["_l"] * y).alias("_l"), (a["_s"] * x + b["_s"] * y).alias("_s"))
+
+    start = F.struct(F.lit(float("-inf")).alias("_m"), F.lit(0.0).alias("_l"), F.lit(0.0).alias("_s"))
+    carry = spans.select(F.col("_pid").alias("_cp"), F.col(key).alias("_ck"), F.aggregate("before", start, merge).alias("_c"))
+    j = local.join(F.broadcast(carry), (F.col("_pid") == F.col("_cp")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
+    c = F.coalesce(F.col("_c"), start)
+    top = F.greatest(F.col("_m"), c["_m"])
+    x, y = F.exp(F.col("_m") - top), F.exp(c["_m"] - top)
+    mean = (F.col("_s") * x + c["_s"] * y) / (F.col("_l") * x + c["_l"] * y)
+    return j.select(*[F.col(f"`{k}`") for k in df.columns], mean.alias(out))
 
 
 def row_positions(df: DataFrame, key: str, order_cols: list[str], out: str = "pos") -> DataFrame:
-    """0-based position of each row within its key (blocked scan, hot keys split)."""
-    d = linear_recurrence(df, key, order_cols, F.lit(1.0), F.lit(1.0), 0.0, "_cnt")
-    return d.withColumn(out, (F.col("_cnt") - 1).cast("bigint")).drop("_cnt")
+    """0-based position of each row within its key (range partitions, so hot keys are
+    split; rows with a null key are numbered like any other)."""
+    d = running_totals(in_order(df, [key, *order_cols], "positions"), [key], {"_cnt": F.lit(1)})
+    return d.withColumn(out, (F.col("_cnt") - 1).cast("bigint")).drop("_cnt", "_pid", "_idx")
 
 
 def _as_matrix(col: pd.Series) -> np.ndarray:
@@ -223,7 +288,7 @@ def _as_matrix(col: pd.Series) -> np.ndarray:
     return col.to_numpy(np.float64).reshape(-1, 1)
 
 
-def _attend(key: str, span: int, dim: int | None):
+def _attend(columns: list[str], span: int, dim: int | None):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("pos")
         pos = pdf["pos"].to_numpy()
@@ -237,8 +302,7 @@ def _attend(key: str, span: int, dim: int | None):
         s = np.where(band, s, -np.inf)
         s = s - s.max(axis=1, keepdims=True)
         w = np.exp(s)
-        att = (w * v[None, :]).sum(axis=1) / w.sum(axis=1)
-        return pd.DataFrame({key: pdf[key].to_numpy()[own], "pos": pi, "attn": att})
+        return pdf.loc[own, columns].assign(attn=(w * v[None, :]).sum(axis=1) / w.sum(axis=1))
 
     return run
 
@@ -250,17 +314,19 @@ def history_attention(
     q: Column,
     k: Column,
     v: Column,
-    span: int = SEQ_LEN,
+    *,
+    span: int,
     dim: int | None = None,
 ) -> DataFrame:
     """Causal scaled-dot-product attention over each row's last ``span`` rows
     (itself included) within its key: ``softmax_j(q_i . k_j / sqrt(dim)) v_j``.
     ``q`` and ``k`` are numbers or equal-length arrays; ``dim`` defaults to their
-    width.
+    width. The caller states ``span``: rows further back are not looked at.
 
     Rows are cut into chunks of ``span`` positions; each chunk is grouped with a
     copy of the chunk before it (the halo), so every group holds at most
     ``2 * span`` rows however hot the key, and no pair is ever emitted as a row.
+    The order columns travel with the rows, so nothing is joined back.
     """
     d = row_positions(df.select(key, *order_cols, q.alias("_q"), k.alias("_k"), v.alias("_v")), key, order_cols)
     chunk = F.floor(F.col("pos") / span).cast("bigint")
@@ -268,10 +334,7 @@ def history_attention(
         F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
         F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own")),
     )
-    rep = d.select(key, "pos", "_q", "_k", "_v", F.explode(both).alias("_c")).select(
-        key, "pos", "_q", "_k", "_v", F.col("_c.chunk").alias("chunk"), F.col("_c.own").alias("_own")
-    )
-    key_type = dict(df.select(key).dtypes)[key]
-    schema = f"{key} {key_type}, pos bigint, attn double"
-    att = rep.groupBy(key, "chunk").applyInPandas(_attend(key, span, dim), schema)
-    return d.drop("_q", "_k", "_v").join(att, [key, "pos"])
+    rep = d.withColumn("_c", F.explode(both)).withColumn("chunk", F.col("_c.chunk")).withColumn("_own", F.col("_c.own")).drop("_c")
+    columns = [key, *order_cols, "pos"]
+    schema = T.StructType([*[d.schema[c] for c in columns], T.StructField("attn", T.DoubleType())])
+    return rep.groupBy(key, "chunk").applyInPandas(_attend(columns, span, dim), schema)

@@ -1,153 +1,86 @@
 """Vector tables: id -> vector lookup and exact inner-product top-k.
 
-``mips_topk`` has two physical forms behind one size check:
-
-* candidates within ``max_broadcast_rows`` (a vocabulary-sized table, the case
-  of scoring hidden states against token embeddings): the candidate matrix is
-  broadcast once and queries stream through ``mapInPandas`` in sub-chunks --
-  no shuffle and no replication of the query side;
-* larger candidate tables: a blocked matrix product. Queries are cut into
-  tiles and candidates into blocks (counts follow the table sizes), each query
-  tile meets each candidate block in one cogrouped task, every task keeps only
-  its per-query top-k, and a bounded window (blocks * k rows per query) merges.
-
-No (query, candidate) pair is ever emitted as a row.
+``mips_topk`` takes a stated set of queries against a candidate table of any
+size: queries are shipped to the candidates in blocks of bounded bytes, every
+candidate partition keeps its best ``k`` a query, and a window over partitions
+times ``k`` rows a query merges them. Candidates never move before that, and no
+(query, candidate) pair is ever emitted as a row.
 """
 
 from __future__ import annotations
 
-import math
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from textkiln.constants import VOCAB_SIZE
+from textkiln.operators.ranking import in_order, running_totals
 
+#: Bytes of one block of query vectors (8 a component).
+QUERY_BYTES = 32 << 20
 
-def embedding_lookup(
-    ids: DataFrame,
-    table: DataFrame,
-    id_col: str = "vec_id",
-    vec_col: str = "embedding",
-    max_broadcast_rows: int = VOCAB_SIZE,
-    table_rows: int | None = None,
-) -> DataFrame:
-    """Gather the vector of every row's ``id_col``. The table is broadcast only
-    when its row count is within ``max_broadcast_rows`` (a vocabulary-sized
-    table); a larger one goes through a shuffled join."""
-    t = table.select(id_col, vec_col)
-    n = table_rows if table_rows is not None else t.count()
-    if n <= max_broadcast_rows:
-        t = F.broadcast(t)
-    return ids.join(t, id_col, "inner")
+
+def embedding_lookup(ids: DataFrame, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+    """Gather the vector of every row's ``id_col`` (an id the table lacks gives a null
+    vector). The planner picks the join: AQE broadcasts a table whose measured size
+    is small and splits hot ids otherwise."""
+    return ids.join(table.select(id_col, vec_col), id_col, "left")
 
 
 def hashed_lookup(ids: DataFrame, token_col: str, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
-    """Map token ids onto a table of ``n`` vectors (ids 0..n-1) by ``token mod n``
-    and gather them: every vector of the table is reachable."""
+    """Map token ids onto a table of ``n`` vectors by ``token mod n``, counted in id
+    order, and gather them: every vector is reachable whatever the ids are."""
+    rows = in_order(table.select(id_col, vec_col), [id_col], "vectors")
+    slots = running_totals(rows, [], {"_slot": F.lit(1)}).select((F.col("_slot") - 1).alias("_slot"), id_col, vec_col)
     n = table.count()
-    mapped = ids.withColumn(id_col, F.pmod(F.col(token_col), F.lit(max(n, 1))).cast("bigint"))
-    return embedding_lookup(mapped, table, id_col, vec_col, table_rows=n)
-
-
-def _tile_topk(k: int):
-    def run(qpdf: pd.DataFrame, cpdf: pd.DataFrame) -> pd.DataFrame:
-        if qpdf.empty or cpdf.empty:
-            return pd.DataFrame({"query_id": [], "cand_id": [], "score": []})
-        cpdf = cpdf.sort_values("cand_id")
-        Q = np.stack(qpdf["q_vec"].to_numpy()).astype(np.float64)
-        C = np.stack(cpdf["c_vec"].to_numpy()).astype(np.float64)
-        S = Q @ C.T
-        kk = min(k, S.shape[1])
-        top = np.argsort(-S, axis=1, kind="stable")[:, :kk]  # stable: ties keep the smaller id first
-        rows = np.repeat(np.arange(S.shape[0]), kk)
-        cols = top.ravel()
-        return pd.DataFrame(
-            {
-                "query_id": qpdf["query_id"].to_numpy()[rows],
-                "cand_id": cpdf["cand_id"].to_numpy()[cols],
-                "score": S[rows, cols],
-            }
-        )
+    mapped = ids.withColumn("_at", F.pmod(F.col(token_col), F.lit(max(n, 1))).cast("bigint"))
+    return mapped.join(slots, F.col("_at") == F.col("_slot")).drop("_at", "_slot")
+
+
+def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(ids, matrix) of the queries, in blocks of at most ``block_bytes`` (one vector at least)."""
+    ids, vecs, size = [], [], 0
+    for row in queries.select("query_id", "q_vec").toLocalIterator():
+        if vecs and size + 8 * len(row[1]) > block_bytes:
+            yield np.array(ids), np.array(vecs, np.float64)
+            ids, vecs, size = [], [], 0
+        ids.append(row[0])
+        vecs.append(row[1])
+        size += 8 * len(row[1])
+    if vecs:
+        yield np.array(ids), np.array(vecs, np.float64)
 
-    return run
 
+def _partition_topk(shared, k: int, rows: int = 2048):
+    import pandas as pd
 
-def exact_topk(S: np.ndarray, k: int) -> np.ndarray:
-    """Column indices of the ``k`` largest entries per row of ``S``, ordered by
-    score descending then column ascending (columns are in id order), exact on
-    ties at the boundary; argpartition keeps it linear in the row length."""
-    kk = min(k, S.shape[1])
-    part = np.argpartition(-S, kk - 1, axis=1)[:, :kk]
-    kth = np.take_along_axis(S, part, 1).min(axis=1)[:, None]
-    gt = S > kth
-    eq = S == kth
-    need = kk - gt.sum(axis=1, keepdims=True)
-    sel = gt | (eq & (np.cumsum(eq, axis=1) <= need))
-    cols = np.nonzero(sel)[1].reshape(S.shape[0], kk)  # each row: kk columns in id order
-    scores = np.take_along_axis(S, cols, 1)
-    order = np.argsort(-scores, axis=1, kind="stable")
-    return np.take_along_axis(cols, order, 1)
-
-
-def _broadcast_topk(bc, k: int, chunk: int):
     def run(batches):
-        ids, C = bc.value
+        qids, Q = shared.value
+        best_s = np.zeros((len(qids), 0))
+        best_c = np.zeros((len(qids), 0), np.int64)
         for pdf in batches:
-            if pdf.empty:
-                continue
-            qids = pdf["query_id"].to_numpy()
-            Q = np.stack(pdf["q_vec"].to_numpy()).astype(np.float64)
-            for s in range(0, len(qids), chunk):
-                S = Q[s : s + chunk] @ C.T
-                top = exact_topk(S, k)
-                rows = np.repeat(np.arange(S.shape[0]), top.shape[1])
-                cols = top.ravel()
-                yield pd.DataFrame(
-                    {
-                        "query_id": qids[s : s + chunk][rows],
-                        "cand_id": ids[cols],
-                        "score": S[rows, cols],
-                        "rank": np.tile(np.arange(1, top.shape[1] + 1, dtype=np.int32), S.shape[0]),
-                    }
-                )
+            for at in range(0, len(pdf), rows):
+                part = pdf.iloc[at : at + rows]
+                S = np.concatenate([best_s, Q @ np.stack(part["c_vec"].to_numpy()).astype(np.float64).T], axis=1)
+                C = np.concatenate([best_c, np.broadcast_to(part["cand_id"].to_numpy(np.int64), (len(qids), len(part)))], axis=1)
+                order = np.lexsort((C, -S), axis=1)[:, :k]
+                best_s, best_c = np.take_along_axis(S, order, 1), np.take_along_axis(C, order, 1)
+        kk = best_s.shape[1]
+        yield pd.DataFrame({"query_id": np.repeat(qids, kk), "cand_id": best_c.ravel(), "score": best_s.ravel()})
 
     return run
 
 
-def mips_topk(
-    queries: DataFrame, cands: DataFrame, k: int = 5, tile_rows: int = 4096, max_broadcast_rows: int = VOCAB_SIZE, chunk: int = 256
-) -> DataFrame:
+def mips_topk(queries: DataFrame, cands: DataFrame, k: int = 5, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """For every query vector, the ``k`` candidates with the largest inner product
     (ties: smaller id first). ``queries(query_id, q_vec)``, ``cands(cand_id, c_vec)``."""
-    n_c = cands.count()
-    if n_c <= max_broadcast_rows:
-        # bounded by the check above: at most max_broadcast_rows vectors
-        pdf = cands.select("cand_id", "c_vec").toPandas().sort_values("cand_id", kind="stable")
-        C = np.stack(pdf["c_vec"].to_numpy()).astype(np.float64) if len(pdf) else np.zeros((0, 0))
-        bc = queries.sparkSession.sparkContext.broadcast((pdf["cand_id"].to_numpy(), C))
-        schema = "query_id long, cand_id long, score double, rank int"
-        return queries.select("query_id", "q_vec").mapInPandas(_broadcast_topk(bc, k, chunk), schema)
-    q_tiles = max(1, math.ceil(queries.count() / tile_rows))
-    c_blocks = max(1, math.ceil(n_c / tile_rows))
-    q = queries.select(
-        F.pmod(F.xxhash64("query_id"), F.lit(q_tiles)).alias("qt"),
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(c_blocks - 1).cast("bigint"))).alias("cb"),
-        "query_id",
-        "q_vec",
-    )
-    c = cands.select(
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_tiles - 1).cast("bigint"))).alias("qt"),
-        F.pmod(F.xxhash64("cand_id"), F.lit(c_blocks)).alias("cb"),
-        "cand_id",
-        "c_vec",
-    )
-    part = (
-        q.groupBy("qt", "cb")
-        .cogroup(c.groupBy("qt", "cb"))
-        .applyInPandas(_tile_topk(k), "query_id long, cand_id long, score double")
-    )
+    sc = queries.sparkSession.sparkContext
+    schema = "query_id long, cand_id long, score double"
+    c = cands.select("cand_id", "c_vec")
+    parts = [c.mapInPandas(_partition_topk(sc.broadcast(block), k), schema) for block in _query_blocks(queries, block_bytes)]
+    best = parts[0] if parts else queries.select("query_id", F.lit(None).cast("long").alias("cand_id"), F.lit(None).cast("double").alias("score")).where("false")
+    for p in parts[1:]:
+        best = best.unionByName(p)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
-    return part.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)

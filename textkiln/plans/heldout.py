@@ -10,23 +10,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.constants import EVAL_PREFIX_CHARS
 from textkiln.operators.evaluation import next_token_pairs
-from textkiln.operators.ranking import id_block, running_sum
+from textkiln.operators.ranking import in_order, running_totals
 from textkiln.operators.tokens import encode
 from textkiln.session import materialize
 from textkiln.sources.corpus import HELDOUT_SCHEMA, concat_prefix, corpus_scan, table_path, whitespace_pieces
 
 
-def heldout_pieces(texts: DataFrame, id_col: str = "item_id", tokenizer: str = "bpe", limit: int = EVAL_PREFIX_CHARS) -> DataFrame:
-    """``(piece, text, tokens, tok_offset, prev_last)`` of the joined, cut corpus."""
+def heldout_pieces(texts: DataFrame, id_col: str = "item_id", tokenizer: str = "bpe", limit: int | None = None) -> DataFrame:
+    """``(piece, text, tokens, tok_offset, prev_last)`` of the joined corpus (its first
+    ``limit`` characters, or all of it)."""
     segs = concat_prefix(texts, id_col, "text", limit)
     pieces = whitespace_pieces(segs, unicode_ws=(tokenizer == "bpe"))
     pieces = pieces.withColumn("tokens", encode(F.col("text"), tokenizer))
-    pieces = running_sum(pieces, F.size("tokens"), ["piece"], id_block("piece"), out="tok_offset")
-    # the piece table is read by three consumers (pairs, lengths, the shifted self-join);
-    # its size is bounded by the character limit. Cut the lineage once.
+    # the piece table is read by several consumers (offsets, pairs, lengths, the
+    # shifted self-join): cut the lineage once, so the tokenizer runs once
     pieces = materialize(pieces, "heldout-pieces")
+    sizes = in_order(pieces.select("piece", F.size("tokens").cast("bigint").alias("_n")), ["piece"], "heldout-sizes")
+    offsets = running_totals(sizes, [], {"_end": F.col("_n")}).select("piece", (F.col("_end") - F.col("_n")).alias("tok_offset"))
+    pieces = pieces.join(offsets, "piece")
     prev = pieces.select((F.col("piece") + 1).alias("piece"), F.element_at("tokens", -1).alias("prev_last"))
     return pieces.join(prev, "piece", "left")
 

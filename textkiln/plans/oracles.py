@@ -53,6 +53,14 @@ rows AS (
 )"""
 
 
+BLANKED = "(SELECT * REPLACE (CASE WHEN doc_id % 5 = 0 THEN '' ELSE text END AS text) FROM documents)"
+
+ALL_ROWS = f"""{DOC_TOKENS},
+cuts AS (SELECT doc_id, tokens, unnest(range(0, ((len(tokens) + 1023) // 1024)::BIGINT)) AS row_no FROM doc_tok),
+runs AS (SELECT doc_id, row_no, list_slice(tokens, row_no * 1024 + 1, row_no * 1024 + 1024) AS t FROM cuts),
+lp AS (SELECT doc_id, row_no, t[k - 1] AS ctx, t[k] AS nxt FROM (SELECT doc_id, row_no, t, unnest(range(2, len(t) + 1)) AS k FROM runs))"""
+
+
 def oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["chat_training_rows"] = CHAT_ROWS
@@ -83,12 +91,15 @@ FROM doc_tok GROUP BY lang, source"""
 SELECT doc_id, n_tokens::BIGINT AS n_tokens, crop_start::BIGINT AS crop_start, {count_valid('labels')}::BIGINT AS n_targets,
   len(input_ids)::BIGINT AS row_len, {arr_md5('input_ids')} AS ids_md5, {arr_md5('labels')} AS labels_md5
 FROM built"""
-    q["batch_plan"] = f"""WITH r AS (
-  SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1)::BIGINT AS shuffle_rank FROM documents
-), p AS (
-  SELECT doc_id, shuffle_rank, shuffle_rank // 2 AS micro_step, (shuffle_rank // 2) // 64 + 1 AS global_step FROM r
-), s AS (SELECT *, count(*) OVER (PARTITION BY global_step) AS step_rows FROM p WHERE global_step <= 25000)
+    def plan(texts: str) -> str:
+        return f"""WITH k AS (SELECT doc_id FROM {texts} WHERE length(text) > 0),
+r AS (SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1)::BIGINT AS shuffle_rank FROM k),
+p AS (SELECT doc_id, shuffle_rank, shuffle_rank // 2 AS micro_step, (shuffle_rank // 2) // 64 + 1 AS global_step FROM r),
+s AS (SELECT *, count(*) OVER (PARTITION BY global_step) AS step_rows FROM p)
 SELECT doc_id, shuffle_rank, micro_step::BIGINT AS micro_step, global_step::BIGINT AS global_step, step_rows = 128 AS step_complete FROM s"""
+
+    q["batch_plan"] = plan("documents")
+    q["batch_plan_with_empty"] = plan(BLANKED)
     q["packing_report"] = f"""{CORPUS_ROWS},
 a AS (
   SELECT count(*)::BIGINT AS n_rows, sum(least(n_tokens, 1024))::BIGINT AS n_tokens,
@@ -138,7 +149,7 @@ def scored(rel: str, kind: str = "bigram") -> str:
   LEFT JOIN big ON big.ctx = r.ctx AND big.nxt = r.nxt)"""
 
 
-HELDOUT = f"""j AS (SELECT left(string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY item_id), 200000) AS s FROM benchmark
+HELDOUT = f"""j AS (SELECT string_agg(coalesce(text, ''), chr(10) || chr(10) ORDER BY item_id) AS s FROM benchmark
 ), ht AS (SELECT {hashed_ids('s')} AS t FROM j
 ), hp AS (SELECT generate_subscripts(t, 1) - 1 AS pos, unnest(t) AS tok FROM ht
 ), hpairs AS (SELECT pos, lag(tok) OVER (ORDER BY pos) AS ctx, tok AS nxt FROM hp)"""
@@ -167,12 +178,26 @@ FROM big JOIN cx USING (ctx) LEFT JOIN uni ON uni.tok = big.nxt CROSS JOIN st GR
     q["next_token_nll"] = f"""WITH {MODEL}, {HELDOUT},
 pr AS (SELECT pos, ctx, nxt FROM hpairs WHERE ctx IS NOT NULL)
 SELECT pos::BIGINT AS pos, ctx, nxt AS next, round(nll, 6) AS nll FROM {scored('pr')}"""
-    q["masked_cross_entropy"] = f"""{CORPUS_ROWS}, {MODEL},
-lp AS (SELECT doc_id, input_ids[k - 1] AS ctx, labels[k] AS nxt
-  FROM (SELECT doc_id, input_ids, labels, unnest(range(2, 1025)) AS k FROM built) WHERE labels[k] <> -100),
+    q["masked_cross_entropy"] = f"""WITH {ALL_ROWS}, {MODEL},
 s AS {scored('lp')}
-SELECT b.doc_id, count(s.nll)::BIGINT AS n_valid, round(avg(s.nll), 6) AS mean_nll
-FROM built b LEFT JOIN s USING (doc_id) GROUP BY b.doc_id"""
+SELECT b.doc_id, b.row_no, count(s.nll)::BIGINT AS n_valid, round(avg(s.nll), 6) AS mean_nll
+FROM runs b LEFT JOIN s USING (doc_id, row_no) GROUP BY b.doc_id, b.row_no"""
+    chat_ce = f"""{CHAT_CTE}, {MODEL},
+lp AS (SELECT conv_id, input_ids[k - 1] AS ctx, labels[k] AS nxt
+  FROM (SELECT conv_id, input_ids, labels, unnest(range(2, 1025)) AS k FROM padded) WHERE labels[k] <> -100),
+s AS {scored('lp')},
+ce AS (SELECT b.conv_id, count(s.nll) AS n_valid, sum(s.nll) AS sum_nll, avg(s.nll) AS mean_nll FROM padded b LEFT JOIN s USING (conv_id) GROUP BY b.conv_id)"""
+    q["chat_masked_cross_entropy"] = f"{chat_ce} SELECT conv_id, n_valid::BIGINT AS n_valid, round(mean_nll, 6) AS mean_nll FROM ce"
+    ranks = " UNION ALL ".join(
+        f"SELECT conv_id, {e} AS epoch, (row_number() OVER (ORDER BY md5({seeded_key('shuf', str(SEED), str(e), 'conv_id')}), conv_id) - 1) AS rk FROM ce" for e in (0, 1)
+    )
+    q["loss_curve"] = f"""{chat_ce},
+r AS ({ranks}),
+p AS (SELECT conv_id, epoch * (SELECT (count(*) + 1) // 2 FROM ce) + rk // 2 AS micro_step FROM r),
+m AS (SELECT micro_step, micro_step // 16 + 1 AS global_step, sum(sum_nll) / sum(n_valid) AS loss FROM p JOIN ce USING (conv_id) GROUP BY micro_step),
+g AS (SELECT global_step, arg_max(loss, micro_step) AS logged FROM m GROUP BY global_step),
+t AS (SELECT global_step, logged, avg(logged) OVER w AS smoothed, count(logged) OVER w AS n FROM g WINDOW w AS (ORDER BY global_step ROWS BETWEEN 3 PRECEDING AND 1 PRECEDING))
+SELECT global_step::BIGINT AS global_step, round(logged, 6) AS logged_loss, round(smoothed, 6) AS smoothed FROM t WHERE n = 3"""
     q["sliding_windows"] = f"""WITH {DOC_TOKENS},
 w AS (SELECT doc_id, len(tokens) AS L, unnest(range(0, len(tokens), 512)) AS i FROM doc_tok)
 SELECT doc_id, i::BIGINT AS i, greatest(i + 512 - 1024, 0)::BIGINT AS begin_loc, least(i + 512, L)::BIGINT AS end_loc,
@@ -210,16 +235,18 @@ SELECT seg_id, seg_start::BIGINT AS seg_start, length(left(seg, (200000 - seg_st
   md5(left(seg, (200000 - seg_start)::INTEGER)) AS segment_md5
 FROM s WHERE seg_start < 200000"""
     q["heldout_tokens"] = f"WITH {HELDOUT} SELECT pos::BIGINT AS pos, tok AS token FROM hp"
-    q["accumulate_steps"] = f"""{CORPUS_ROWS}, {MODEL},
-lp AS (SELECT doc_id, input_ids[k - 1] AS ctx, labels[k] AS nxt
-  FROM (SELECT doc_id, input_ids, labels, unnest(range(2, 1025)) AS k FROM built) WHERE labels[k] <> -100),
+    row_id = "doc_id || '-' || row_no"
+    q["accumulate_steps"] = f"""WITH {ALL_ROWS}, {MODEL},
 s AS {scored('lp')},
-ce AS (SELECT b.doc_id, count(s.nll) AS n_valid, sum(s.nll) AS sum_nll FROM built b LEFT JOIN s USING (doc_id) GROUP BY b.doc_id),
-r AS (SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1) AS rk FROM documents),
-p AS (SELECT doc_id, rk // 2 AS micro_step, (rk // 2) // 64 + 1 AS global_step FROM r),
-m AS (SELECT global_step, micro_step, sum(sum_nll) / sum(n_valid) AS micro_loss FROM p JOIN ce USING (doc_id) WHERE global_step <= 25000 GROUP BY ALL)
+ce AS (SELECT b.doc_id, b.row_no, count(s.nll) AS n_valid, sum(s.nll) AS sum_nll FROM runs b LEFT JOIN s USING (doc_id, row_no) GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (ORDER BY md5({seeded_key('shuf', str(SEED), '0', row_id)}), {row_id}) - 1 AS rk FROM ce),
+m AS (SELECT (rk // 2) // 64 + 1 AS global_step, rk // 2 AS micro_step, sum(sum_nll) / sum(n_valid) AS micro_loss FROM r GROUP BY ALL)
 SELECT global_step::BIGINT AS global_step, count(*)::BIGINT AS n_micro, round(avg(micro_loss), 6) AS mean_loss,
   round(arg_max(micro_loss, micro_step), 6) AS logged_loss FROM m GROUP BY global_step"""
+    q["model_metrics"] = f"""WITH c AS ({q['model_comparison']})
+SELECT metric, max(value) FILTER (model = 'unigram') AS unigram, max(value) FILTER (model = 'bigram') AS bigram
+FROM (SELECT model, unnest(['ppl', 'eval_tokens', 'n_windows', 'model_entries']) AS metric,
+  unnest([ppl, eval_tokens::DOUBLE, n_windows::DOUBLE, model_entries::DOUBLE]) AS value FROM c) GROUP BY metric"""
     return q
 
 
@@ -262,6 +289,11 @@ def seq_oracles() -> dict[str, str]:
     q["causal_softmax_mean"] = """SELECT user_id, event_id, round(
     sum(exp(value / 100.0) * value) OVER w / sum(exp(value / 100.0)) OVER w, 6) AS attn
 FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"""
+    q["causal_softmax_mean_large_scores"] = """WITH e AS (
+  SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS rn FROM events),
+t AS (SELECT *, max(value) OVER (PARTITION BY user_id ORDER BY rn) * 10.0 AS top FROM e)
+SELECT i.user_id, i.event_id, round(sum(exp(j.value * 10.0 - i.top) * j.value) / sum(exp(j.value * 10.0 - i.top)), 6) AS attn
+FROM t i JOIN e j ON i.user_id = j.user_id AND j.rn <= i.rn GROUP BY i.user_id, i.event_id"""
     q["history_attention"] = """WITH e AS (
   SELECT user_id, event_id, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS pos FROM events
 ), pr AS (
@@ -315,7 +347,8 @@ def gen_oracles() -> dict[str, str]:
     q: dict[str, str] = {}
     q["embedding_lookup"] = f"""WITH {DOC_TOKENS},
 t AS (SELECT doc_id, unnest(tokens) AS token FROM doc_tok)
-SELECT doc_id, count(*)::BIGINT AS n_tokens, round(sum(e.embedding[1]), 6) AS sum_first, round(sum(e.embedding[-1]), 6) AS sum_last
+SELECT doc_id, count(*)::BIGINT AS n_tokens, round(sum(e.embedding[1]), 6) AS sum_first, round(sum(e.embedding[-1]), 6) AS sum_last,
+  round(sum(list_sum(e.embedding::DOUBLE[])), 5) AS sum_all
 FROM t JOIN embeddings e ON e.vec_id = t.token % (SELECT count(*) FROM embeddings) GROUP BY doc_id"""
     q["rms_norm"] = """WITH r AS (
   SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)) / len(embedding) + 1e-5)) AS r
@@ -326,7 +359,7 @@ FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1"""
     q["mips_topk"] = """SELECT query_id, rank, cand_id, round(score, 6) AS score FROM (
   SELECT a.vec_id AS query_id, b.vec_id AS cand_id, list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) AS score,
     row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]) DESC, b.vec_id)::BIGINT AS rank
-  FROM embeddings a CROSS JOIN embeddings b) WHERE rank <= 5"""
+  FROM embeddings a CROSS JOIN embeddings b WHERE a.vec_id % 20 = 0) WHERE rank <= 5"""
     q["greedy_next"] = f"WITH {MODEL}, {GREEDY} SELECT ctx, nxt AS next, round(p, 6) AS p FROM g"
     q["softmax_temperature"] = f"""WITH {MODEL},
 z AS (SELECT ctx, nxt, ln(c) / 0.8 AS z FROM big),
@@ -340,7 +373,7 @@ SELECT ctx, draw, nxt AS next FROM (
   SELECT ctx, nxt, row_number() OVER (PARTITION BY ctx ORDER BY ln(c) / 0.8 - ln(-ln({u})) DESC, nxt)::BIGINT AS draw FROM big
 ) WHERE draw <= 4"""
     q["batch_generate_speed"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
-pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
   FROM conversations WHERE role = 'user'),
 gen AS (
   SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
@@ -354,7 +387,7 @@ FROM gen GROUP BY prompt_id"""
     draw = f"(({u32(seeded_key('gen', str(SEED), 'gen.prompt_id', 'gen.step', 'nxt'))})::DOUBLE + 0.5) / 4294967296.0"
     q["batch_generate_sampled"] = f"""WITH RECURSIVE {MODEL},
 ustar AS (SELECT tok AS u FROM uni ORDER BY c DESC, tok LIMIT 1),
-pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
   FROM conversations WHERE role = 'user'),
 gen AS (
   SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
@@ -377,7 +410,7 @@ cdf AS (
       / sum(pow(c::DOUBLE, 1.25)) OVER (PARTITION BY ctx) AS lo
   FROM big
 ),
-pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
   FROM conversations WHERE role = 'user'),
 gen AS (
   SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
@@ -392,7 +425,7 @@ gen AS (
 SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
 FROM gen GROUP BY prompt_id"""
     q["batch_generate"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
-pr AS (SELECT conv_id * 1000 + turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
   FROM conversations WHERE role = 'user'),
 gen AS (
   SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
@@ -409,13 +442,24 @@ FROM gen GROUP BY prompt_id"""
 def misc_oracles(base: dict[str, str]) -> dict[str, str]:
     q: dict[str, str] = {}
     q["stream_prepare"] = base["corpus_training_rows"]
-    q["stream_liquid_filter"] = base["liquid_filter"]
+    q["stream_liquid_filter"] = base["liquid_filter"].replace("round(h, 6) AS h FROM r", "round(h, 6) AS h, false AS late FROM r")
+    q["write_corpus_rows"] = f"""{CORPUS_ROWS.replace("FROM documents WHERE", f"FROM {BLANKED} WHERE")}
+SELECT doc_id, {SHUF_KEY} AS shuffle_key, ({u32(seeded_key('shard', str(SEED), '0', 'doc_id'))} % 2)::INTEGER AS shard, crop_start::BIGINT AS crop_start,
+  {arr_md5('input_ids')} AS ids_md5, {arr_md5('labels')} AS labels_md5 FROM built"""
     q["training_rows_sink"] = f"""{CORPUS_ROWS}
 SELECT doc_id, ({u32(seeded_key('shard', str(SEED), '0', 'doc_id'))} % 2)::INTEGER AS shard, len(input_ids)::BIGINT AS row_len,
   {arr_md5('input_ids')} AS ids_md5, {arr_md5('labels')} AS labels_md5 FROM built"""
-    q["resume_remaining"] = f"""SELECT doc_id, shuffle_rank, global_step::BIGINT AS global_step FROM (
-  SELECT doc_id, (row_number() OVER (ORDER BY {SHUF_KEY}, doc_id) - 1)::BIGINT AS shuffle_rank FROM documents)
-  CROSS JOIN LATERAL (SELECT (shuffle_rank // 2) // 64 + 1 AS global_step) WHERE global_step > 3 AND global_step <= 25000"""
+    left = []
+    for epoch, stop in ((0, 3), (1, 1)):
+        key = f"md5({seeded_key('shuf', str(SEED), str(epoch), 'doc_id')})"
+        left.append(f"""SELECT {epoch}::INTEGER AS epoch, doc_id, shuffle_rank, global_step::BIGINT AS global_step FROM (
+  SELECT doc_id, (row_number() OVER (ORDER BY {key}, doc_id) - 1)::BIGINT AS shuffle_rank FROM documents WHERE length(text) > 0)
+  CROSS JOIN LATERAL (SELECT (shuffle_rank // 2) // 64 + 1 AS global_step) WHERE global_step > {stop}""")
+    q["resume_remaining"] = " UNION ALL ".join(left)
+    q["batch_score_python"] = f"""WITH {DOC_TOKENS},
+w AS (SELECT doc_id, tokens, len(tokens) AS L, unnest(range(0, len(tokens), 512)) AS i FROM doc_tok),
+c AS (SELECT doc_id, i, list_slice(tokens, greatest(i - 512, 0) + 1, least(i + 512, L)) AS x FROM w)
+SELECT doc_id, i::BIGINT AS i, round(len(list_distinct(x)) / len(x), 6) AS distinct FROM c"""
     q["batch_score"] = f"""WITH {MODEL}, {DOC_TOKENS},
 dtoks AS (SELECT doc_id, generate_subscripts(tokens, 1) - 1 AS pos, unnest(tokens) AS tok FROM doc_tok),
 pr AS (SELECT doc_id, pos, lag(tok) OVER (PARTITION BY doc_id ORDER BY pos) AS ctx, tok AS nxt FROM dtoks),
@@ -473,7 +517,7 @@ def hot_oracles(base: dict[str, str]) -> dict[str, str]:
     q["trailing_mean_hot_key"] = base["trailing_mean"].replace("FROM events", f"FROM {HOT_EVENTS}")
     hot_conv = (
         "(SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id, "
-        "CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000 + turn ELSE turn END AS turn, role, text FROM conversations)"
+        "CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000000000 + turn ELSE turn END AS turn, role, text FROM conversations)"
     )
     q["chat_training_rows_hot_key"] = base["chat_training_rows"].replace("FROM conversations", f"FROM {hot_conv}", 1)
     return q

@@ -17,8 +17,8 @@ from textkiln.functions.gates import clamp, sigmoid, softplus
 from textkiln.functions.text import pretokenize
 from textkiln.functions.vectors import dot, l2_norm, rms_norm
 from textkiln.operators import chat, evaluation, generation, sampling, sequence, tokens, vectors
-from textkiln.plans import heldout
-from textkiln.session import checkpoint_dir
+from textkiln.plans import heldout, training
+from textkiln.session import checkpoint_dir, materialize
 from textkiln.sources import sinks
 from textkiln.sources.corpus import chat_scan, concat_prefix, corpus_scan, nest_conversations, table_path, unnest_conversations
 from textkiln.streaming import corpus_stream, liquid_state
@@ -130,8 +130,19 @@ def q_corpus_training_rows(spark, sf):
 
 
 def q_batch_plan(spark, sf):
-    ranked = sampling.seeded_shuffle(documents(spark, sf, ("doc_id",)))
-    return sampling.batch_plan(ranked).select("doc_id", "shuffle_rank", "micro_step", "global_step", "step_complete")
+    plan = training.corpus_plan(documents(spark, sf, ("doc_id", "text")))
+    return plan.select("doc_id", "shuffle_rank", "micro_step", "global_step", "step_complete")
+
+
+def blanked(spark, sf) -> DataFrame:
+    """Documents with every fifth text empty: such rows get no place in a plan."""
+    d = documents(spark, sf, ("doc_id", "text"))
+    return d.withColumn("text", F.when(F.col("doc_id") % 5 == 0, F.lit("")).otherwise(F.col("text")))
+
+
+def q_batch_plan_with_empty(spark, sf):
+    plan = training.corpus_plan(blanked(spark, sf))
+    return plan.select("doc_id", "shuffle_rank", "micro_step", "global_step", "step_complete")
 
 
 def q_packing_report(spark, sf):
@@ -182,10 +193,41 @@ def q_next_token_nll(spark, sf):
     return s.select("pos", "ctx", "next", F.round("nll", 6).alias("nll"))
 
 
+def all_corpus_rows(spark, sf) -> DataFrame:
+    """Training rows that cover every token of every document."""
+    rows = sampling.all_rows(doc_tokens(spark, sf))
+    return rows.select(F.concat_ws("-", "doc_id", "row_no").alias("row_id"), "doc_id", "row_no", "input_ids", "labels")
+
+
 def q_masked_cross_entropy(spark, sf):
     m = fit_model(spark, sf)
-    ce = evaluation.masked_cross_entropy(corpus_rows(spark, sf), m, ["doc_id"])
-    return ce.select("doc_id", "n_valid", F.round("mean_nll", 6).alias("mean_nll"))
+    ce = evaluation.masked_cross_entropy(all_corpus_rows(spark, sf), m, ["doc_id", "row_no"])
+    return ce.select("doc_id", "row_no", "n_valid", F.round("mean_nll", 6).alias("mean_nll"))
+
+
+def q_chat_masked_cross_entropy(spark, sf):
+    """Loss over the assistant's tokens of every conversation's training row."""
+    m = fit_model(spark, sf)
+    rows = chat.chat_training_rows(conversations(spark, sf), tokenizer="hashed")
+    ce = evaluation.masked_cross_entropy(rows, m, ["conv_id"])
+    return ce.select("conv_id", "n_valid", F.round("mean_nll", 6).alias("mean_nll"))
+
+
+#: Steps of the smoothing window of the loss curve query.
+CURVE_WINDOW = 3
+
+
+def q_loss_curve(spark, sf):
+    """Two epochs of chat rows: losses, accumulation over 16 micro-steps, smoothed curve."""
+    from textkiln.constants import CHAT_GRAD_ACCUM
+
+    m = fit_model(spark, sf)
+    rows = materialize(chat.chat_training_rows(conversations(spark, sf), tokenizer="hashed").select("conv_id", "input_ids", "labels"), "curve-rows")
+    ce = evaluation.masked_cross_entropy(rows, m, ["conv_id"])
+    plan = sampling.multi_epoch_plan(rows, 2, id_col="conv_id", grad_accum=CHAT_GRAD_ACCUM)
+    steps = evaluation.accumulate_steps(ce, plan, key="conv_id").withColumn("run", F.lit("chat"))
+    curve = sequence.trailing_mean(steps.select("run", "global_step", "logged_loss"), "run", ["global_step"], "logged_loss", window=CURVE_WINDOW, out="smoothed")
+    return curve.select("global_step", F.round("logged_loss", 6).alias("logged_loss"), F.round("smoothed", 6).alias("smoothed"))
 
 
 def _doc_lengths(spark, sf):
@@ -224,17 +266,25 @@ def model_results(spark, sf, tokenizer="hashed") -> DataFrame:
     long = scored.select("seq", "pos", F.expr("stack(2, 'unigram', nll_unigram, 'bigram', nll_bigram) AS (model, nll)"))
     lengths = heldout.heldout_length(pieces)
     lengths = lengths.select(F.explode(F.array(F.lit("unigram"), F.lit("bigram"))).alias("model"), "seq", "L")
-    ppl = evaluation.sliding_perplexity(long, lengths, ["model", "seq"])
-    entries = {"unigram": m.vocab - 1, "bigram": m.n_bigrams}
-    per_model = ppl.select(
-        "model",
-        F.round("ppl", 6).alias("ppl"),
-        F.format_string("%.2f", "ppl").alias("ppl_text"),  # the printed report's 2 decimals
-        F.col("n_tokens").alias("eval_tokens"),
-        "n_windows",
-        F.when(F.col("model") == "unigram", F.lit(entries["unigram"])).otherwise(F.lit(entries["bigram"])).cast("bigint").alias("model_entries"),
-    )
-    return evaluation.model_comparison([per_model])
+    ppl = materialize(evaluation.sliding_perplexity(long, lengths, ["model", "seq"]), "model-results")
+    results = [
+        ppl.where(F.col("model") == name).select(
+            "model",
+            F.round("ppl", 6).alias("ppl"),
+            F.format_string("%.2f", "ppl").alias("ppl_text"),  # the printed report's 2 decimals
+            F.col("n_tokens").alias("eval_tokens"),
+            "n_windows",
+            F.lit(entries).cast("bigint").alias("model_entries"),
+        )
+        for name, entries in (("unigram", m.vocab - 1), ("bigram", m.n_bigrams))
+    ]
+    return evaluation.model_comparison(results)
+
+
+def q_model_metrics(spark, sf):
+    """The comparison as a report: a row per metric, a column per model."""
+    r = evaluation.metric_pivot(model_results(spark, sf), ["ppl", "eval_tokens", "n_windows", "model_entries"])
+    return r.select("metric", "unigram", "bigram")
 
 
 def q_model_comparison(spark, sf):
@@ -257,10 +307,12 @@ def q_heldout_tokens(spark, sf):
 
 
 def q_accumulate_steps(spark, sf):
+    """Losses of the rows that cover every token, in shuffled order."""
     m = fit_model(spark, sf)
-    ce = evaluation.masked_cross_entropy(corpus_rows(spark, sf), m, ["doc_id"])
-    plan = sampling.batch_plan(sampling.seeded_shuffle(documents(spark, sf, ("doc_id",))))
-    st = evaluation.accumulate_steps(ce, plan)
+    rows = materialize(all_corpus_rows(spark, sf), "step-rows")
+    ce = evaluation.masked_cross_entropy(rows, m, ["row_id"])
+    plan = sampling.batch_plan(sampling.seeded_shuffle(rows.select("row_id"), id_col="row_id"))
+    st = evaluation.accumulate_steps(ce, plan, key="row_id")
     return st.select("global_step", "n_micro", F.round("mean_loss", 6).alias("mean_loss"), F.round("logged_loss", 6).alias("logged_loss"))
 
 
@@ -312,9 +364,16 @@ def q_causal_softmax_mean(spark, sf):
     return c.select("user_id", "event_id", F.round("attn", 6).alias("attn"))
 
 
+def q_causal_softmax_mean_large_scores(spark, sf):
+    """Scores of hundreds and thousands, whose exponentials overflow."""
+    e = events(spark, sf).select("user_id", "ts", "event_id", "value")
+    c = sequence.causal_softmax_mean(e, "user_id", EVENT_ORDER, F.col("value") * 10.0, F.col("value"))
+    return c.select("user_id", "event_id", F.round("attn", 6).alias("attn"))
+
+
 def q_history_attention(spark, sf):
     v = F.col("value")
-    h = sequence.history_attention(events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v)
+    h = sequence.history_attention(events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v, span=SEQ_LEN)
     return h.select("user_id", "event_id", "pos", F.round("attn", 6).alias("attn"))
 
 
@@ -336,17 +395,19 @@ def embeddings(spark, sf) -> DataFrame:
 
 
 def q_embedding_lookup(spark, sf):
-    """Gather per token; only the two reported components are gathered (array
-    elements cannot be pruned through a join, so the small side is projected)."""
-    t = doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("token"))
-    feats = embeddings(spark, sf).select(
-        "vec_id", F.struct(F.element_at("embedding", 1).alias("first"), F.element_at("embedding", -1).alias("last")).alias("feat")
-    )
-    g = vectors.hashed_lookup(t, "token", feats, vec_col="feat")
-    return g.groupBy("doc_id").agg(
-        F.count(F.lit(1)).alias("n_tokens"),
-        F.round(F.sum("feat.first"), 6).alias("sum_first"),
-        F.round(F.sum("feat.last"), 6).alias("sum_last"),
+    """Sum of the vectors of every document's tokens: tokens are counted per document
+    first, so each distinct token meets its whole vector once."""
+    t = doc_tokens(spark, sf).select("doc_id", F.explode("tokens").alias("token")).groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
+    g = vectors.hashed_lookup(t, "token", embeddings(spark, sf))
+    sums = [F.sum(F.col("n") * F.element_at("embedding", i + 1)).alias(f"s{i}") for i in range(64)]
+    whole = g.groupBy("doc_id").agg(F.sum("n").cast("bigint").alias("n_tokens"), *sums)
+    total = F.array(*[F.col(f"s{i}") for i in range(64)])
+    return whole.select(
+        "doc_id",
+        "n_tokens",
+        F.round("s0", 6).alias("sum_first"),
+        F.round("s63", 6).alias("sum_last"),
+        F.round(F.aggregate(total, F.lit(0.0), lambda a, x: a + x), 5).alias("sum_all"),
     )
 
 
@@ -366,9 +427,10 @@ def q_dot(spark, sf):
 
 
 def q_mips_topk(spark, sf):
+    """Every vector whose id is divisible by 20 as a query, against all vectors."""
     e = embeddings(spark, sf)
     top = vectors.mips_topk(
-        e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")),
+        e.where(F.col("vec_id") % 20 == 0).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_vec")),
         e.select(F.col("vec_id").alias("cand_id"), F.col("embedding").alias("c_vec")),
         k=5,
     )
@@ -395,7 +457,7 @@ def chat_prompts(spark, sf) -> DataFrame:
     """User turns of the conversations, in the chat template, as prompts."""
     u = conversations(spark, sf).where(F.col("role") == "user")
     text = F.concat(F.lit(USER_PREFIX), F.coalesce("text", F.lit("")), F.lit(USER_SUFFIX))
-    return u.select((F.col("conv_id") * 1000 + F.col("turn")).alias("prompt_id"), tokens.encode(text, "hashed").alias("tokens"))
+    return u.select(F.concat_ws("-", "conv_id", "turn").alias("prompt_id"), tokens.encode(text, "hashed").alias("tokens"))
 
 
 def q_batch_generate(spark, sf):
@@ -416,7 +478,7 @@ EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type S
 def q_stream_prepare(spark, sf):
     from textkiln.sources.corpus import DOCUMENT_SCHEMA
 
-    s = corpus_stream.table_stream(spark, table_path(sf, "documents"), DOCUMENT_SCHEMA)
+    s = corpus_stream.corpus_stream(spark, corpus_stream.feed(documents(spark, sf, ("doc_id", "text", "lang", "source", "n_chars"))), schema=DOCUMENT_SCHEMA)
     rows = corpus_stream.run_to_table(corpus_stream.stream_prepare(s, tokenizer="hashed"), name="stream-prepare")
     return rows.select(
         "doc_id",
@@ -430,10 +492,12 @@ def q_stream_prepare(spark, sf):
 
 
 def q_stream_liquid_filter(spark, sf):
-    ev = corpus_stream.table_stream(spark, table_path(sf, "events"), EVENTS_SCHEMA)
+    """Files of later and later events, one a micro-batch: every key's state is carried on."""
+    log = spark.read.schema(EVENTS_SCHEMA).parquet(table_path(sf, "events"))
+    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(log, order="ts"), schema=EVENTS_SCHEMA)
     v = F.col("value")
     out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-liquid")
-    return out.select("user_id", "event_id", F.round("h", 6).alias("h"))
+    return out.select("user_id", "event_id", F.round("h", 6).alias("h"), "late")
 
 
 def q_training_rows_sink(spark, sf):
@@ -452,10 +516,36 @@ def q_training_rows_sink(spark, sf):
     )
 
 
+def q_write_corpus_rows(spark, sf):
+    """One epoch written in shuffled order within each shard, read back."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/corpus-rows-{uuid.uuid4().hex}"
+    training.write_corpus_rows(blanked(spark, sf), path, tokenizer="hashed")
+    return spark.read.parquet(path).select(
+        "doc_id",
+        "shuffle_key",
+        F.col("shard").cast("int").alias("shard"),
+        F.col("crop_start").cast("bigint").alias("crop_start"),
+        array_md5(F.col("input_ids")).alias("ids_md5"),
+        array_md5(F.col("labels")).alias("labels_md5"),
+    )
+
+
 def q_resume_remaining(spark, sf):
-    plan = sampling.batch_plan(sampling.seeded_shuffle(documents(spark, sf, ("doc_id",))))
-    ledger = plan.where(F.col("global_step") <= 3).select("doc_id")  # ids a previous run consumed
-    return sinks.remaining(plan, ledger).select("doc_id", "shuffle_rank", "global_step")
+    """A run stopped after 3 steps of epoch 0, resumed, and stopped after 1 step of
+    epoch 1: what its ledger leaves of either epoch."""
+    import uuid
+
+    path = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
+    docs = documents(spark, sf, ("doc_id", "text"))
+    out = None
+    for epoch, stop in ((0, 3), (1, 1)):
+        plan = training.corpus_plan(docs, epoch=epoch)
+        sinks.write_ledger(plan.where(F.col("global_step") <= stop), path, epoch)
+        left = sinks.remaining(plan, spark.read.parquet(path), epoch).select(F.lit(epoch).alias("epoch"), "doc_id", "shuffle_rank", "global_step")
+        out = left if out is None else out.unionByName(left)
+    return out
 
 
 def q_batch_score(spark, sf):
@@ -466,6 +556,19 @@ def q_batch_score(spark, sf):
     return w.select("doc_id", "i", "trg_len", F.round("mean_nll", 6).alias("mean_nll"))
 
 
+def q_batch_score_python(spark, sf):
+    """Any pandas scorer over the windows' input chunks, in Arrow batches; here the
+    share of distinct tokens among a window's inputs."""
+
+    def scorer(pdf):
+        share = [len(set(x)) / len(x) for x in pdf["input_chunk"]]
+        return pdf[["doc_id", "i"]].assign(distinct=share)
+
+    w = evaluation.window_inputs(doc_tokens(spark, sf).select("doc_id", "tokens"), ["doc_id"])
+    s = evaluation.batch_score(w.select("doc_id", "i", "input_chunk"), scorer, "doc_id long, i long, distinct double")
+    return s.select("doc_id", "i", F.round("distinct", 6).alias("distinct"))
+
+
 def q_bpe_encode(spark, sf):
     d = doc_tokens(spark, sf, "bpe")
     return d.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), array_md5(F.col("tokens")).alias("tokens_md5"))
@@ -522,7 +625,7 @@ def q_linear_recurrence_hot_key(spark, sf):
 
 def q_history_attention_hot_key(spark, sf):
     v = F.col("value")
-    h = sequence.history_attention(hot_events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v)
+    h = sequence.history_attention(hot_events(spark, sf), "user_id", EVENT_ORDER, v / 100.0, v / 100.0, v, span=SEQ_LEN)
     return h.select("user_id", "event_id", "pos", F.round("attn", 6).alias("attn"))
 
 
@@ -533,8 +636,6 @@ def q_trailing_mean_hot_key(spark, sf):
 
 def q_corpus_training_plan(spark, sf):
     """End-to-end corpus plan (tokenize, shuffle, shard, crop/pad) as written rows."""
-    from textkiln.plans import training
-
     docs = documents(spark, sf)
     r = training.corpus_rows(docs, tokenizer="hashed", num_shards=2)
     ranks = training.corpus_plan(docs).select("doc_id", "shuffle_rank")
@@ -566,7 +667,7 @@ def q_history_attention_vectors(spark, sf):
     """Attention with 64-wide queries and keys: per label, in vec_id order, each
     vector attends over itself and the vectors before it (v = first component)."""
     e = spark.read.parquet(table_path(sf, "embeddings")).select("vec_id", "embedding", "label")
-    h = sequence.history_attention(e, "label", ["vec_id"], F.col("embedding"), F.col("embedding"), F.element_at("embedding", 1), dim=64)
+    h = sequence.history_attention(e, "label", ["vec_id"], F.col("embedding"), F.col("embedding"), F.element_at("embedding", 1), span=SEQ_LEN, dim=64)
     return h.select("label", "vec_id", "pos", F.round("attn", 6).alias("attn"))
 
 
@@ -587,13 +688,13 @@ def q_liquid_filter_vectors(spark, sf):
 
 def hot_conversations(spark, sf) -> DataFrame:
     """``conversations`` with every third conversation's turns appended to
-    conversation 0 (turn = conv_id * 1000 + turn keeps them ordered): one key
+    conversation 0 (turn = conv_id * 10^9 + turn keeps them ordered): one key
     then holds about a third of all turns."""
     c = conversations(spark, sf)
     hot = F.col("conv_id") % 3 == 0
     return c.select(
         F.when(hot, F.lit(0).cast("bigint")).otherwise(F.col("conv_id")).alias("conv_id"),
-        F.when(hot, F.col("conv_id") * 1000 + F.col("turn")).otherwise(F.col("turn")).alias("turn"),
+        F.when(hot, F.col("conv_id") * 1_000_000_000 + F.col("turn")).otherwise(F.col("turn")).alias("turn"),
         "role",
         "text",
     )

@@ -28,26 +28,32 @@ def shuffle_key(id_col: str, seed: int = SEED, epoch: int = 0):
 
 def corpus_rows(corpus: DataFrame, tokenizer: str = "bpe", num_shards: int = 2, seed: int = SEED, epoch: int = 0) -> DataFrame:
     """``doc_id, shuffle_key, shard, crop_start, input_ids, labels`` for one epoch."""
-    t = tokens.drop_empty(tokens.tokenize(corpus.select("doc_id", "text"), tokenizer=tokenizer))
+    t = tokens.tokenize(corpus.select("doc_id", "text"), tokenizer=tokenizer)
+    if tokenizer == "bpe":  # the native tokenizer's own text filter already drops empty rows
+        t = tokens.drop_empty(t)
     rows = sampling.crop_or_pad(t, seed=seed, epoch=epoch)
     rows = sampling.shard(rows, num_shards, seed=seed, epoch=epoch).withColumn("shuffle_key", shuffle_key("doc_id", seed, epoch))
     return rows.select("doc_id", "shuffle_key", "shard", "crop_start", "input_ids", "labels")
 
 
 def corpus_plan(corpus: DataFrame, seed: int = SEED, epoch: int = 0, **plan_args) -> DataFrame:
-    """Shuffle rank, micro-step and global step per document, on ids only."""
-    ranked = sampling.seeded_shuffle(corpus.select("doc_id"), seed=seed, epoch=epoch)
+    """Shuffle rank, micro-step and global step per non-empty document, on ids only.
+
+    Empty documents give no training row, so they get no rank either."""
+    ids = corpus.where(F.length("text") > 0).select("doc_id")
+    ranked = sampling.seeded_shuffle(ids, seed=seed, epoch=epoch)
     return sampling.batch_plan(ranked, **plan_args)
 
 
-def in_key_order(rows: DataFrame, key: str, id_col: str, num_partitions: int | None = None) -> DataFrame:
-    n = num_partitions or int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartitionByRange(n, key, id_col).sortWithinPartitions(key, id_col)
+def in_key_order(rows: DataFrame, *order: str) -> DataFrame:
+    """Range shuffle and sort for a sink: with the shard first, a task writes to one
+    shard folder or, at a border, a few."""
+    return rows.repartitionByRange(*order).sortWithinPartitions(*order)
 
 
 def write_corpus_rows(corpus: DataFrame, path: str, tokenizer: str = "bpe", num_shards: int = 2, seed: int = SEED, epoch: int = 0) -> None:
     """Write one epoch of training rows, in shuffled order within each shard."""
-    rows = in_key_order(corpus_rows(corpus, tokenizer, num_shards, seed, epoch), "shuffle_key", "doc_id")
+    rows = in_key_order(corpus_rows(corpus, tokenizer, num_shards, seed, epoch), "shard", "shuffle_key", "doc_id")
     sinks.write_training_rows(rows, path)
 
 
@@ -59,5 +65,5 @@ def chat_rows(conversations: DataFrame, tokenizer: str = "bpe", seed: int = SEED
 
 
 def write_chat_rows(conversations: DataFrame, path: str, tokenizer: str = "bpe", seed: int = SEED, epoch: int = 0) -> None:
-    rows = in_key_order(chat_rows(conversations, tokenizer, seed, epoch), "shuffle_key", "conv_id").withColumn("shard", F.lit(0))
+    rows = in_key_order(chat_rows(conversations, tokenizer, seed, epoch).withColumn("shard", F.lit(0)), "shard", "shuffle_key", "conv_id")
     sinks.write_training_rows(rows, path)

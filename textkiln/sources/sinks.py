@@ -9,9 +9,14 @@ from textkiln.constants import SEQ_LEN
 
 
 def checked_rows(rows: DataFrame, seq_len: int = SEQ_LEN) -> DataFrame:
-    """Fail the job if any row's ids or labels are not ``seq_len`` long."""
-    ok = (F.size("input_ids") == seq_len) & (F.size("labels") == seq_len)
-    return rows.withColumn("_ok", F.assert_true(ok, F.lit(f"training row is not {seq_len} long"))).drop("_ok")
+    """Fail the job if any row's ids or labels are not ``seq_len`` long. The check
+    is part of the kept columns, so it cannot be pruned."""
+
+    def checked(col: str):
+        bad = F.raise_error(F.lit(f"{col} of a training row is not {seq_len} long"))
+        return F.when(F.size(col) == seq_len, F.col(col)).otherwise(bad)
+
+    return rows.withColumns({"input_ids": checked("input_ids"), "labels": checked("labels")})
 
 
 def write_training_rows(rows: DataFrame, path: str, shard_col: str = "shard", mode: str = "overwrite") -> None:
@@ -20,7 +25,13 @@ def write_training_rows(rows: DataFrame, path: str, shard_col: str = "shard", mo
     checked_rows(rows).write.mode(mode).partitionBy(shard_col).parquet(path)
 
 
-def remaining(planned: DataFrame, ledger: DataFrame, key: str = "doc_id") -> DataFrame:
-    """Rows of a plan not yet consumed: an anti join with the ledger of ids
-    already trained on (exact, unlike restoring counters)."""
-    return planned.join(ledger.select(key), key, "left_anti")
+def write_ledger(consumed: DataFrame, path: str, epoch: int, key: str = "doc_id") -> None:
+    """Append the rows of finished steps to the ledger: ``(epoch, global_step, id)``."""
+    consumed.select(F.lit(epoch).alias("epoch"), "global_step", F.col(key)).write.mode("append").parquet(path)
+
+
+def remaining(planned: DataFrame, ledger: DataFrame, epoch: int, key: str = "doc_id") -> DataFrame:
+    """Rows of an epoch's plan not yet consumed in that epoch: an anti join with the
+    ledger (exact, unlike restoring counters; other epochs do not count)."""
+    done = ledger.where(F.col("epoch") == epoch).select(F.col(key).alias("_done")).distinct()
+    return planned.join(done, F.col(key).eqNullSafe(F.col("_done")), "left_anti")

@@ -28,29 +28,43 @@ def corpus_stream(spark: SparkSession, directory: str, file_glob: str = "*.parqu
     )
 
 
-def table_stream(spark: SparkSession, path: str, schema: str, max_files_per_trigger: int = 1) -> DataFrame:
-    """Stream a table given as a folder of parquet files (the usual layout) or,
-    for a single local parquet file, as that one file of its folder."""
-    import os
-
-    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", max_files_per_trigger)
-    if os.path.isfile(path):
-        return reader.option("pathGlobFilter", os.path.basename(path)).parquet(os.path.dirname(path) or ".")
-    return reader.parquet(path)
+def feed(df: DataFrame, slices: int = 4, order: str | None = None) -> str:
+    """Write a table as a folder of files that arrive one after the other, for a
+    stream to read; returns the folder. With ``order`` every file holds a range of
+    that column and later files later ranges (as a log's files would), else rows
+    are spread over ``slices`` files at once."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    if order is None:
+        df.repartition(slices).write.parquet(path)
+        return path
+    borders = df.select(F.unix_micros(F.col(order).cast("timestamp")).alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.001)
+    t = F.unix_micros(F.col(order).cast("timestamp"))
+    for low, high in zip([None, *borders], [*borders, None]):
+        part = df if low is None else df.where(t >= F.lit(int(low)))
+        part = part if high is None else part.where(t < F.lit(int(high)))
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
 
 
 def stream_prepare(stream: DataFrame, tokenizer: str = "bpe", seed: int = 42, epoch: int = 0) -> DataFrame:
     """Streaming training rows: the batch operators applied row by row."""
-    t = tokens.drop_empty(tokens.tokenize(stream.select("doc_id", "text"), tokenizer=tokenizer))
+    t = tokens.tokenize(stream.select("doc_id", "text"), tokenizer=tokenizer)
+    if tokenizer == "bpe":  # the native tokenizer's own text filter already drops empty rows
+        t = tokens.drop_empty(t)
     rows = sampling.crop_or_pad(t, seed=seed, epoch=epoch)
     return rows.select("doc_id", F.size("tokens").cast("bigint").alias("n_tokens"), "crop_start", "input_ids", "labels")
 
 
-def run_to_table(df: DataFrame, output_mode: str = "append", name: str = "stream") -> DataFrame:
+def run_to_table(df: DataFrame, base: str | None = None, output_mode: str = "append", name: str = "stream") -> DataFrame:
     """Run a streaming DataFrame over all available input (``availableNow``) into
-    a parquet folder under the shared checkpoint folder; return it as a table."""
+    ``base/out`` with its checkpoint in ``base/state``; return the output as a table.
+
+    A later call with the same ``base`` goes on where the last one stopped, so
+    only new files are read and committed rows are never emitted again. Without
+    ``base`` a fresh folder under the shared checkpoint folder is used."""
     spark = df.sparkSession
-    base = f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    base = base or f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
     q = (
         df.writeStream.format("parquet")
         .outputMode(output_mode)

@@ -3,7 +3,7 @@
 State per key: ``h`` (the recurrence state), the ``(ts, event_id)`` of the
 last row applied, and a count of late rows. Spark gives no order inside a
 micro-batch, so each call sorts its rows; rows not after the stored position
-are late: counted and dropped. Gates ``(a, b)`` are native column expressions
+are late: counted and emitted flagged. Gates ``(a, b)`` are native column expressions
 computed before the stateful step; the Python function only folds.
 """
 
@@ -22,8 +22,11 @@ from textkiln.operators.sequence import liquid_gates, segmented_scan
 STATE_SCHEMA = "h double, last_ts_us long, last_event_id long, n_late long"
 
 
-def _fold(h0: float, emit_late: bool):
+def _fold(h0: float, emit_late: bool, idle_ms: int | None):
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches), ignore_index=True)
         if state.exists:
             h, last_ts, last_id, n_late = state.get
@@ -42,11 +45,15 @@ def _fold(h0: float, emit_late: bool):
             pdf = pdf[after]
         if pdf.empty:
             state.update((float(h), last_ts, last_id, int(n_late)))
+            if idle_ms:
+                state.setTimeoutDuration(idle_ms)
             return
         A, B = segmented_scan(np.zeros(len(pdf), dtype=np.int64), pdf["_a"].to_numpy(), pdf["_b"].to_numpy())
         hs = A * h + B
         last = pdf.iloc[-1]
         state.update((float(hs[-1]), int(last["_ts_us"]), int(last["event_id"]), int(n_late)))
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(
             {"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "h": hs, "late": False}
         )
@@ -55,18 +62,26 @@ def _fold(h0: float, emit_late: bool):
 
 
 def stream_liquid_filter(
-    events: DataFrame, x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, watermark: str = "1 hour", emit_late: bool = False
+    events: DataFrame, x_tau: Column, x_in: Column, log_dt: float = 0.0, h0: float = 0.0, emit_late: bool = True, idle_hours: float | None = None
 ) -> DataFrame:
     """Streaming liquid filter per ``user_id`` over ``(ts, event_id)`` order.
 
     ``events`` needs ``user_id, event_id, ts`` (TIMESTAMP or TIMESTAMP_NTZ).
-    Output (append): ``user_id, event_id, ts, h, late`` for every row applied;
-    with ``emit_late`` the dropped late rows are also emitted (``late`` true,
-    ``h`` NaN) so they can be counted downstream.
+    Output (append): ``user_id, event_id, ts, h, late`` for every row; rows that
+    come after a later one of their key cannot be applied and are emitted with
+    ``late`` true and ``h`` NaN (``emit_late=False`` only counts them in the
+    state). In a query that runs on, ``idle_hours`` drops the state of a key that
+    gets no row for so long; the key then starts anew. (Such a timeout keeps
+    asking for batches, so an ``availableNow`` run, which would never end, goes
+    without.)
     """
     a, b = liquid_gates(x_tau, x_in, log_dt)
-    d = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+    d = events.withColumn("ts", F.col("ts").cast("timestamp"))
     d = d.select("user_id", "event_id", "ts", a.alias("_a"), b.alias("_b"))
     return d.groupBy("user_id").applyInPandasWithState(
-        _fold(h0, emit_late), "user_id long, event_id long, ts timestamp, h double, late boolean", STATE_SCHEMA, "append", GroupStateTimeout.NoTimeout
+        _fold(h0, emit_late, int(idle_hours * 3_600_000) if idle_hours else None),
+        "user_id long, event_id long, ts timestamp, h double, late boolean",
+        STATE_SCHEMA,
+        "append",
+        GroupStateTimeout.ProcessingTimeTimeout if idle_hours else GroupStateTimeout.NoTimeout,
     )
