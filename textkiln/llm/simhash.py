@@ -159,7 +159,8 @@ def drop_near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "t
     once = kept.where("n = 1").select(F.col("doc_id").alias("_once"))
     again = kept.where("n > 1").select(F.col("doc_id").alias("_again"))
     cid = F.col(f"`{doc_id}`")
-    plain = docs.join(once, cid == F.col("_once"), "left_semi")
+    # the kept ids grow with the documents: a shuffled join at every size
+    plain = docs.join(once.hint("merge"), cid == F.col("_once"), "left_semi")
     rest = [c for c in docs.columns if c != doc_id]
     repeated = docs.join(again, cid == F.col("_again"), "left_semi").groupBy(cid).agg(F.min(F.struct(*[F.col(f"`{c}`") for c in rest])).alias("_row"))
     repeated = repeated.select(*[cid if c == doc_id else F.col("_row").getField(c).alias(c) for c in docs.columns])
