@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import cut, in_order, running_sums
+from textkiln.llm.common import cut, in_order, running_totals
 
 LANES = ["_l0", "_l1", "_l2", "_l3"]
 
@@ -25,10 +25,10 @@ def prefix_hashes(turns: DataFrame, name: str = "chat") -> DataFrame:
     conversation can be added up across partitions. Positions count from 1.
     """
     narrow = turns.select("conv_id", "_c", "_pid", "_idx")
-    placed = cut(running_sums(narrow, ["conv_id"], {"pos": F.lit(1)}), f"{name}-places")
+    placed = cut(running_totals(narrow, ["conv_id"], {"pos": F.lit(1)}), f"{name}-places")
     mixed = F.md5(F.concat_ws(":", F.col("pos").cast("string"), F.col("_c")))
     lanes = {lane: F.conv(F.substring(mixed, 1 + 8 * i, 8), 16, 10).cast("long") for i, lane in enumerate(LANES)}
-    return cut(running_sums(placed, ["conv_id"], lanes), f"{name}-prefixes")
+    return cut(running_totals(placed, ["conv_id"], lanes), f"{name}-prefixes")
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:

@@ -7,10 +7,11 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from textkiln.operators.ranking import in_order, running_totals  # noqa: F401
 from textkiln.session import materialize
 
 #: Rows of one Arrow batch turned into Python objects at a time.
@@ -83,47 +84,6 @@ def _arrow_type(t: T.DataType) -> pa.DataType:
     return to_arrow_type(t)
 
 
-def in_order(df: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
-    """Rows in the global order of ``order``, cut to a table with ``_pid`` and ``_idx``.
-
-    ``_pid`` numbers the range partitions in order and ``_idx`` the rows inside
-    one. The range partitioner samples the whole sort key, so no single value
-    of a leading column can gather in one task. The table makes the numbering
-    stable for every later use.
-    """
-    mid = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return cut(ranged.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1))), name)
-
-
-def running_sums(df: DataFrame, group: Sequence[str], sums: dict[str, Column]) -> DataFrame:
-    """Running sums inside each group, in the order of an ``in_order`` table.
-
-    The order must start with the group's columns. Every value of ``sums`` is
-    summed up to and including the row. Window groups are (group, partition)
-    pairs; what earlier partitions hold of a group is added afterwards. Only
-    groups that cross a partition border need that, so the joined table has
-    fewer rows than there are partitions and is broadcast. Group columns may
-    be null (one group).
-    """
-    tmp = {k: f"_s_{i}" for i, k in enumerate(sums)}
-    w = Window.partitionBy("_pid", *group).orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    inner = df.select("*", *[F.sum(v).over(w).alias(tmp[k]) for k, v in sums.items()])
-    totals = df.groupBy("_pid", *group).agg(*[F.sum(v).alias(f"t{tmp[k]}") for k, v in sums.items()])
-    wg = Window.partitionBy(*group) if group else Window.partitionBy(F.lit(0))
-    before = wg.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
-    carry = (
-        totals.withColumn("_n", F.count(F.lit(1)).over(wg))
-        .where("_n > 1")
-        .select(F.col("_pid").alias("_cp"), *[F.col(g).alias(f"_c_{g}") for g in group], *[F.sum(f"t{t}").over(before).alias(f"c{t}") for t in tmp.values()])
-    )
-    on = inner["_pid"] == carry["_cp"]
-    for g in group:
-        on = on & inner[g].eqNullSafe(carry[f"_c_{g}"])
-    joined = inner.join(F.broadcast(carry), on, "left")
-    return joined.select(*[F.col(c) for c in df.columns], *[(F.col(t) + F.coalesce(F.col(f"c{t}"), F.lit(0))).alias(k) for k, t in tmp.items()])
-
-
 class TokenTable(dict):
     """Number of every distinct token seen, with rows of values computed once per token.
 

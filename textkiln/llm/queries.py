@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from textkiln.functions.hashing import seeded_u32
 from textkiln.llm import chat_snapshots, decontamination, hilbert_shards, langid, license_scan, merkle_audit, poisson_mix, repetition, simhash, toxicity
-from textkiln.llm.common import cut, in_order, running_sums, table
+from textkiln.llm.common import cut, in_order, running_totals, table
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -88,7 +88,7 @@ def page_replicas(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
         F.when(damage % 131 != 1, F.when(damage % 97 == 0, F.sha2(bad, 256)).otherwise(F.sha2(good, 256))).alias("digest_b"),
     )
     ordered = in_order(records, [F.col("archive"), F.col("page_id"), F.col("digest_a")], "warc-records")
-    placed = cut(running_sums(ordered, ["archive"], {"end": F.col("length")}), "warc-offsets")
+    placed = cut(running_totals(ordered, ["archive"], {"end": F.col("length")}), "warc-offsets")
     one = placed.select("archive", (F.col("end") - F.col("length")).alias("offset"), "length", F.col("page_id").alias("record_id"), "digest_a", "digest_b")
     return one.withColumnRenamed("digest_a", "digest"), one.where("digest_b is not null").withColumnRenamed("digest_b", "digest")
 
