@@ -423,6 +423,35 @@ gen AS (
   WHERE gen.step < 80 AND NOT list_contains(gen.out, {EOT})
 )
 SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
+FROM gen GROUP BY prompt_id"""
+    train = MODEL[: MODEL.index("), tr AS")]
+    chat_model = MODEL.replace(
+        train, f"train AS (SELECT conv_id || '-' || turn AS doc_id, list_append({hashed_ids('text')}, {EOT}) AS t FROM conversations WHERE role = 'assistant'\n"
+    )
+    vdraw = f"(({u32(seeded_key('mixcdf', str(SEED), 'gen.prompt_id', 'gen.step'))})::DOUBLE + 0.5) / 4294967296.0"
+    before = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
+    q["batch_generate_interpolated"] = f"""WITH RECURSIVE {chat_model},
+bw AS (SELECT tok, (c + 1)::DOUBLE / (n + v) AS q, pow(0.1 * ((c + 1)::DOUBLE / (n + v)), 1.25) AS w FROM uni CROSS JOIN st),
+ucdf AS (SELECT tok, coalesce(sum(w) OVER (ORDER BY tok {before}), 0.0) / sum(w) OVER () AS lo FROM bw),
+ut AS (SELECT sum(w) AS s FROM bw),
+ex AS (SELECT big.ctx, nxt, pow(0.9 * big.c / cx.total + 0.1 * q, 1.25) - w AS e FROM big JOIN cx USING (ctx) JOIN bw ON bw.tok = big.nxt),
+ecdf AS (SELECT ctx, nxt, coalesce(sum(e) OVER (PARTITION BY ctx ORDER BY nxt {before}), 0.0) / sum(e) OVER (PARTITION BY ctx) AS lo FROM ex),
+et AS (SELECT ctx, sum(e) AS d FROM ex GROUP BY ctx),
+pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t
+  FROM conversations WHERE role = 'user'),
+gen AS (
+  SELECT prompt_id, len(t) AS n_prompt, 0 AS step, t[len(t)] AS last, []::INTEGER[] AS out FROM pr
+  UNION ALL
+  SELECT gen.prompt_id, gen.n_prompt, gen.step + 1, p.nxt::INTEGER, list_append(gen.out, p.nxt::INTEGER)
+  FROM gen LEFT JOIN et ON et.ctx = gen.last CROSS JOIN ut JOIN LATERAL (
+    (SELECT nxt FROM ecdf WHERE ecdf.ctx = gen.last AND {vdraw} * (s + d) < d AND ecdf.lo <= {vdraw} * (s + d) / d ORDER BY ecdf.lo DESC LIMIT 1)
+    UNION ALL
+    (SELECT tok AS nxt FROM ucdf WHERE {vdraw} * (s + coalesce(d, 0.0)) >= coalesce(d, 0.0)
+       AND ucdf.lo <= ({vdraw} * (s + coalesce(d, 0.0)) - coalesce(d, 0.0)) / s ORDER BY ucdf.lo DESC LIMIT 1)
+  ) p ON true
+  WHERE gen.step < 80 AND NOT list_contains(gen.out, {EOT})
+)
+SELECT prompt_id, any_value(n_prompt)::BIGINT AS n_prompt, len(arg_max(out, step))::BIGINT AS n_new, {arr_md5('arg_max(out, step)')} AS gen_md5
 FROM gen GROUP BY prompt_id"""
     q["batch_generate"] = f"""WITH RECURSIVE {MODEL}, {GREEDY},
 pr AS (SELECT conv_id || '-' || turn AS prompt_id, {hashed_ids("'User: ' || coalesce(text, '') || chr(10) || 'Assistant: '")} AS t

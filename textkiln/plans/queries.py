@@ -709,3 +709,15 @@ def q_batch_generate_sampled_cdf(spark, sf):
     each step touches one bucket of candidates instead of all continuations."""
     g = generation.batch_generate_sampled_cdf(chat_prompts(spark, sf), fit_model(spark, sf), MAX_NEW_CHAT)
     return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
+
+
+def chat_model(spark, sf) -> evaluation.NGramModel:
+    """A model of the assistant's turns, which end in EOT."""
+    segs = chat.loss_mask(chat.chat_template(conversations(spark, sf).where(F.col("role") == "assistant")), "hashed")
+    return evaluation.ngram_fit(segs.select(F.col("seg_ids").alias("tokens")))
+
+
+def q_batch_generate_interpolated(spark, sf):
+    """Answers sampled from the interpolated model at temperature 0.8; EOT ends them."""
+    g = generation.batch_generate_interpolated(chat_prompts(spark, sf), chat_model(spark, sf), MAX_NEW_CHAT)
+    return g.select("prompt_id", "n_prompt", F.size("generated").cast("bigint").alias("n_new"), array_md5(F.col("generated")).alias("gen_md5"))
