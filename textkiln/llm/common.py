@@ -7,6 +7,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -14,8 +15,10 @@ from pyspark.sql import types as T
 from textkiln.operators.ranking import in_order, running_totals  # noqa: F401
 from textkiln.session import materialize
 
-#: Rows of one Arrow batch turned into Python objects at a time.
+#: Rows of one Arrow batch turned into Python objects at a time, and bytes of their
+#: texts (a longer text is a slice of its own).
 SLICE_ROWS = 256
+SLICE_BYTES = 8 << 20
 #: Largest number of rows that ``checked_broadcast`` ships to every executor.
 BROADCAST_ROWS = 50_000
 #: Words remembered by one task before its cache is started anew.
@@ -57,7 +60,7 @@ def map_texts(
     ``make`` is called once per task and returns a function from a list of
     texts (None for null) to one list per field. ``keep`` names the columns
     that stay (all by default). Batches are turned into Python objects
-    ``SLICE_ROWS`` rows at a time, so memory follows the texts of one slice.
+    a slice at a time, so memory follows the texts of one slice.
     """
     keep = [c for c in (df.columns if keep is None else keep) if c not in {f for f, _ in fields}]
     names = [*keep, *([] if text in keep else [text])]
@@ -69,8 +72,8 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
         for whole in batches:
-            for at in range(0, whole.num_rows, SLICE_ROWS):
-                part = whole.slice(at, SLICE_ROWS)
+            for at, rows in _slices(whole.column(at_text)):
+                part = whole.slice(at, rows)
                 made = work(part.column(at_text).to_pylist())
                 cols = [part.column(i) for i in range(k)] + [pa.array(v, type=t) for v, t in zip(made, types, strict=True)]
                 yield pa.RecordBatch.from_arrays(cols, names=out)
@@ -78,6 +81,18 @@ def map_texts(
     return src.mapInArrow(run, schema)
 
 
+def _slices(texts: pa.Array) -> Iterator[tuple[int, int]]:
+    """(first row, rows) of the slices that are worked on at a time."""
+    total = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(texts):
+        before = int(total[at - 1]) if at else 0
+        end = int(np.searchsorted(total, before + SLICE_BYTES, "right"))
+        rows = min(max(end - at, 1), SLICE_ROWS)
+        yield at, rows
+        at += rows
+
+
 def _arrow_type(t: T.DataType) -> pa.DataType:
     from pyspark.sql.pandas.types import to_arrow_type
 
