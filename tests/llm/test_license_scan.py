@@ -48,3 +48,15 @@ def test_ties_go_to_the_first_name(spark):
     rows = [(1, "a/LICENSE", "Released under the MIT License.\nLicensed under the Apache License, Version 2.0."), (2, "a/x", PROSE)]
     got = {k[0]: v for k, v in run(spark, rows).items()}
     assert got[1][0] == got[2][1] == "Apache-2.0"
+
+
+def test_wrapped_headers_and_files_without_a_marker(spark):
+    bsd = "Redistribution and use in source and binary forms, with or without\nmodification, are permitted provided that the following conditions are met:\n"
+    mpl = "/* This Source Code Form is subject to the terms of the Mozilla Public\n * License, v. 2.0. If a copy of the MPL was not distributed with this\n * file, You can obtain one. */\nint main() { return 0; }"
+    gpl = "#!/usr/bin/python\n#\n# This program is free software: you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation, either version 3 of the License, or\n# (at your option) any later version.\nimport os\n"
+    lgpl = "; This library is free software; you can redistribute it\n; under the terms of the GNU Lesser General Public\n; License version 2.1.\n(define x 1)"
+    inside = "A first sentence. Redistribution and use in source and binary\nforms, with or without modification, are permitted provided that the\nfollowing conditions are met. " + "More prose comes here and goes on. " * 30
+    rows = [(1, "b/LICENSE", bsd.replace("\n", " ")), (2, "b/x", PROSE), (3, "m.c", mpl), (4, "g.py", gpl), (5, "l.scm", lgpl), (6, "h", "// " + bsd.replace("\n", "\r\n// ", 1)), (7, "i", inside), (8, "b2/LICENSE", "nothing but words")]
+    got = {k[0]: v for k, v in run(spark, rows).items()}
+    assert got[1] == ("BSD-3-Clause", "BSD-3-Clause", "own") and got[2] == (None, "BSD-3-Clause", "b")
+    assert [got[k][0] for k in (3, 4, 5, 6, 7, 8)] == ["MPL-2.0", "GPL-3.0", "LGPL-2.1", "BSD-3-Clause", "BSD-3-Clause", None]

@@ -1,12 +1,16 @@
 """Licence scan: sparse TF-IDF cosine to templates, then nearest-ancestor inheritance, built-in functions only.
 
-Header blocks of every file (its lines that speak of a licence) and the whole
-text of licence files are compared with templates. A file that states no
-licence takes that of the nearest ancestor directory with a licence file.
+Header blocks of every file (its lines that speak of a licence, its runs of
+adjacent lines and their sentences, however wrapped) and the whole text of every
+licence file are compared with templates. A file that states no licence takes
+that of the nearest ancestor directory with a licence file.
 """
 
 from __future__ import annotations
 
+import json
+import math
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,13 +18,21 @@ from textkiln.llm.common import cut
 
 #: Cosine from which a block states a template's licence.
 LEAST_COSINE = 0.6
-#: Lines that hold one of these are header blocks.
+#: Lines that hold one of these are header blocks, and the blocks that document frequencies count.
 MARKER = r"(?i)licen[cs]|copyright|spdx|public domain|all rights reserved|permission is hereby"
 #: Names of licence files.
 LICENCE_FILE = r"(?i)^(licen[cs]e|copying|notice)([._-].*)?$"
 #: Terms of a text: runs of letters, and numbers with their dots.
 TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
 
+#: Line beginnings of comments, and those that open one (its next lines may have any form).
+COMMENT = r"^\s*(?:\*|//|#|;|--|%|(?i:dnl|rem)\s)"
+OPENER = r"^\s*(?:/\*|<!--)"
+#: What is taken off a line's beginning.
+LEAD = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|(?i:dnl|rem)\s)?\s*"
+#: Words that tell little: not looked for as long as the others suffice to find every block.
+COMMON = "a an and any are as at be by can for found from has have i in is it may more not of on or other see that the this to under use was which will with work you".split()
+
 #: Statements that files make to name a licence.
 TEMPLATES = [
     ("MIT", "Released under the MIT License."),
@@ -63,25 +75,87 @@ def parent(path: Column) -> Column:
     return F.regexp_replace(path, "/?[^/]*$", "")
 
 
-def block_licenses(blocks: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
-    """(block, license, score) of the distinct blocks (block, text, n) that state a licence.
+def header_blocks(files: DataFrame) -> DataFrame:
+    """(doc_id, path, text): the runs of adjacent lines of ``files``, each as one line without comment signs.
+
+    A line without a term ends a run, and so does the change between comment
+    lines and others.
+    """
+    kind = lambda x: F.when(~x.rlike("[A-Za-z0-9]"), 0).when(x.rlike(OPENER), F.lit(None)).when(x.rlike(COMMENT), 1).otherwise(2)
+    rows = files.select("doc_id", "path", F.split("text", "\\r\\n|[\\r\\n\\f]").alias("_lines"))
+    rows = rows.withColumn("_kinds", F.transform("_lines", kind))
+    # looks at the line before in a column of its own: an expression would be computed anew for every line
+    breaks = lambda x, i: F.concat(F.when((i > 0) & (F.get("_kinds", i) != F.get("_kinds", i - 1)), "\f").otherwise(""), F.regexp_replace(x, LEAD, ""))
+    return rows.select("doc_id", "path", F.explode_outer(F.split(F.array_join(F.transform("_lines", breaks), " "), "\f")).alias("text"))
+
+
+def _needed(t: list, least: float) -> tuple[list[str], list[tuple[list[tuple[str, float]], float]]]:
+    """Terms of which a block that reaches ``least`` holds one, and each template's term weights with the least weight it shares.
 
-    Document frequencies count every block of the corpus (``n`` occurrences of
-    equal ones) and the templates; idf = ln((1 + N) / (1 + df)) + 1. Ties go to
-    the first licence by name.
+    A block's cosine to a template is at most |v of shared terms| / |v|. So a
+    template's terms can be left aside, common words first, while their
+    squares stay below ``least``^2 |v|^2.
     """
-    spark = blocks.sparkSession
-    known = templates(spark)
-    ours = cut(_terms(blocks, "block"), "license-terms")
-    theirs = _terms(known, "template")
-    total = (blocks.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
-    counted = ours.join(blocks.select("block", "n"), "block").select("term", "n").unionByName(theirs.select("term", F.lit(1).cast("long").alias("n")))
-    df = counted.groupBy("term").agg(F.sum("n").alias("df"))
+    by: dict[int, list[tuple[str, float]]] = {}
+    for r in t:
+        by.setdefault(r["template"], []).append((r["term"], r["v"] ** 2))
+    needed, tests = set(), []
+    for terms in by.values():
+        bound = (least - 1e-6) ** 2 * sum(v for _, v in terms)
+        left = bound
+        for term, v in sorted(terms, key=lambda x: (x[0] not in COMMON, x)):
+            if term in COMMON and v < left:
+                left -= v
+            else:
+                needed.add(term)
+        tests.append((sorted(terms), bound))
+    return sorted(needed), tests
+
+
+def _reaches(terms: Column, tests: list) -> Column:
+    """Whether a block's terms share enough weight with one of the templates to reach the least cosine."""
+    # one literal each, so the plan stays small
+    rows = F.from_json(F.lit(json.dumps([{"ts": [{"t": t, "v": v} for t, v in ts], "bound": bound} for ts, bound in tests])), "array<struct<ts: array<struct<t: string, v: double>>, bound: double>>")
+    shared = lambda x: F.aggregate(x["ts"], F.lit(0.0), lambda s, y: s + F.when(F.array_contains(terms, y["t"]), y["v"]).otherwise(0.0))
+    return F.exists(rows, lambda x: shared(x) >= x["bound"])
+
+
+def _near(rows: DataFrame, blocks: Column, needed: list[str], tests: list) -> DataFrame:
+    """(doc_id, path, text): the blocks of every row that could reach a template.
+
+    Terms leave the generator with their block: a filter on a plain column
+    would compute them anew for every template term.
+    """
+    words = lambda x: F.split(F.lit(" ".join(sorted(x))), " ")
+    looked = words({term for ts, _ in tests for term, _ in ts})
+    with_terms = F.transform(blocks, lambda x: F.struct(x.alias("text"), F.array_intersect(F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)), looked).alias("terms")))
+    each = rows.select("doc_id", "path", F.explode_outer(with_terms).alias("p"))  # the inner form computes its array twice
+    return each.where(F.arrays_overlap("p.terms", words(needed))).where(_reaches(F.col("p.terms"), tests)).select("doc_id", "path", "p.text")
+
+
+def _idf(marked: DataFrame, known: DataFrame) -> tuple[DataFrame, float]:
+    """(term, idf) of the blocks (block, text, n) that speak of a licence and the templates, and the idf of any other term.
+
+    Document frequencies count every such block of the corpus (``n``
+    occurrences of equal ones); idf = ln((1 + N) / (1 + df)) + 1.
+    """
+    total = (marked.agg(F.sum("n")).first()[0] or 0) + len(TEMPLATES)
+    ours = _terms(marked, "block").join(marked.select("block", "n"), "block").select("term", "n")
+    df = ours.unionByName(_terms(known, "template").select("term", F.lit(1).cast("long").alias("n"))).groupBy("term").agg(F.sum("n").alias("df"))
     idf = cut(df.select("term", (F.log(F.lit(1.0 + total) / (1 + F.col("df"))) + 1).alias("idf")), "license-idf")
-    weighted = ours.join(idf, "term").select("block", "term", (F.col("tf") * F.col("idf")).alias("w"))
-    t = theirs.join(idf, "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    return idf, math.log(1.0 + total) + 1
+
+
+def block_licenses(blocks: DataFrame, t: DataFrame, idf: DataFrame, rare: float, least: float = LEAST_COSINE) -> DataFrame:
+    """(block, license, score) of the distinct blocks (block, text) that state a licence.
+
+    ``t`` holds the weights of the templates' terms, ``rare`` the idf of a term
+    that ``idf`` lacks. Ties go to the first licence by name.
+    """
+    w = F.col("tf") * F.coalesce("idf", F.lit(rare))
+    weighted = _terms(blocks, "block").join(idf, "term", "left").select("block", "term", w.alias("w"))
     # as many rows as the fixed templates have terms
-    t = F.broadcast(t.join(known.select("template", "license"), "template"))
+    t = F.broadcast(t)
     size_t = F.broadcast(t.groupBy("template").agg(F.sqrt(F.sum(F.col("v") * F.col("v"))).alias("tn")))
     weighted = cut(weighted, "license-weights")
     size_b = weighted.groupBy("block").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("bn"))
@@ -103,12 +177,25 @@ def scan(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     """
     name = F.regexp_extract("path", "[^/]*$", 0)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MARKER))
-    whole = F.when(name.rlike(LICENCE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
-    marked = files.where(F.col("text").rlike(MARKER))
-    found = marked.select("doc_id", "path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("text"))
-    found = cut(found.select("doc_id", "path", F.md5("text").alias("block"), "text"), "license-blocks")
-    blocks = cut(found.groupBy("block").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "license-distinct")
-    stated = found.select("doc_id", "path", "block").join(block_licenses(blocks, least), "block")
+    none = F.array().cast("array<string>")
+    whole = F.when(F.coalesce(name.rlike(LICENCE_FILE), F.lit(False)), F.array("text")).otherwise(none)
+    given = files.where("text is not null")
+    speaks = given.where(F.col("text").rlike(MARKER)).select("doc_id", "path", F.explode(F.array_distinct(F.concat(lines, whole))).alias("text"))
+    speaks = cut(speaks.select("doc_id", "path", F.md5("text").alias("block"), "text"), "license-blocks")
+    marked = cut(speaks.groupBy("block").agg(F.first("text").alias("text"), F.count(F.lit(1)).alias("n")), "license-marked")
+    known = templates(files.sparkSession)
+    idf, rare = _idf(marked, known)
+    t = _terms(known, "template").join(idf, "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("v"))
+    t = cut(t.join(known.select("template", "license"), "template"), "license-templates")
+    needed, tests = _needed(t.collect(), least)
+    # header blocks and their sentences that could reach a template, and licence files that speak of no licence
+    runs = _near(header_blocks(given), F.array("text"), needed, tests)
+    parts = _near(runs, F.array_distinct(F.concat(F.array("text"), F.split("text", r"(?<=[.!?])\s+"))), needed, tests)
+    others = given.where(F.size(whole) > 0).where(~F.col("text").rlike(MARKER))
+    more = cut(parts.unionByName(others.select("doc_id", "path", "text")).select("doc_id", "path", F.md5("text").alias("block"), "text"), "license-runs")
+    found = speaks.unionByName(more)
+    blocks = cut(found.groupBy("block").agg(F.first("text").alias("text")), "license-distinct")
+    stated = found.select("doc_id", "path", "block").join(block_licenses(blocks, t, idf, rare, least), "block")
     best = stated.groupBy("doc_id", "path").agg(F.min(F.struct((-F.col("score")).alias("s"), "license")).alias("b"))
     own = cut(best.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), F.col("b.license").alias("own_license"), (-F.col("b.s")).alias("own_score")), "license-own")
     files = files.select("doc_id", "path").join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left").drop("_id", "_path")
