@@ -99,3 +99,24 @@ def test_cdf_sampler_follows_observed_distribution(spark):
         assert all(b in allowed[a] for a, b in zip(seq, seq[1:]))
     share = sum(1 for r in out if r.generated[0] == 2) / len(out)
     assert abs(share - 3**1.25 / (3**1.25 + 1)) < 0.08
+
+
+def test_topk_bounds_a_step_and_keeps_vectors_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def never(self, *a, **b):
+        raise AssertionError("vectors on the driver")
+
+    monkeypatch.setattr(DataFrame, "toLocalIterator", never)
+    rng = np.random.default_rng(3)
+    M = rng.integers(-3, 4, size=(5000, 3)).astype(float)
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(M.tolist())], "id long, v array<double>").coalesce(1)
+    q, c = df.selectExpr("id AS query_id", "v AS q_vec"), df.selectExpr("id AS cand_id", "v AS c_vec")
+    sizes = [r.c_n for r in vectors._pack(c, "cand_id", "c_vec", 1 << 30, "c_").select("c_n").collect()]
+    assert sum(sizes) == 5000 and max(sizes) <= vectors.BLOCK_ROWS
+    got = {}
+    for r in vectors.mips_topk(q, c, k=4).where("query_id % 97 = 0").collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.cand_id))
+    S = M @ M.T
+    for i in range(0, 5000, 97):
+        assert [x for _, x in sorted(got[i])] == np.lexsort((np.arange(5000), -S[i]))[:4].tolist()

@@ -1,24 +1,26 @@
 """Vector tables: id -> vector lookup and exact inner-product top-k.
 
-``mips_topk`` takes a stated set of queries against a candidate table of any
-size: queries are shipped to the candidates in blocks of bounded bytes, every
-candidate partition keeps its best ``k`` a query, and a window over partitions
-times ``k`` rows a query merges them. Candidates never move before that, and no
-(query, candidate) pair is ever emitted as a row.
+``mips_topk`` takes a query and a candidate table of any size: Spark packs both
+into blocks of bounded bytes and rows, pairs the blocks, and every pair of
+blocks yields the best ``k`` candidates of each of its queries, merged in the task
+and then by a window over partitions times ``k`` rows a query. No vector passes the driver, no
+score matrix exceeds one block pair, and no (query, candidate) pair is ever
+emitted as a row.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from textkiln.operators.ranking import in_order, running_totals
+from textkiln.session import materialize
 
-#: Bytes of one block of query vectors (8 a component).
+#: Bytes of one block of vectors (8 a component), and its rows at most: a step's scores are BLOCK_ROWS^2.
 QUERY_BYTES = 32 << 20
+BLOCK_ROWS = 2000
 
 
 def embedding_lookup(ids: DataFrame, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -38,49 +40,80 @@ def hashed_lookup(ids: DataFrame, token_col: str, table: DataFrame, id_col: str
     return mapped.join(slots, F.col("_at") == F.col("_slot")).drop("_at", "_slot")
 
 
-def _query_blocks(queries: DataFrame, block_bytes: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(ids, matrix) of the queries, in blocks of at most ``block_bytes`` (one vector at least)."""
-    ids, vecs, size = [], [], 0
-    for row in queries.select("query_id", "q_vec").toLocalIterator():
-        if vecs and size + 8 * len(row[1]) > block_bytes:
-            yield np.array(ids), np.array(vecs, np.float64)
-            ids, vecs, size = [], [], 0
-        ids.append(row[0])
-        vecs.append(row[1])
-        size += 8 * len(row[1])
-    if vecs:
-        yield np.array(ids), np.array(vecs, np.float64)
+def _pack(df: DataFrame, id_col: str, vec_col: str, block_bytes: int, pre: str, rows: int = BLOCK_ROWS) -> DataFrame:
+    """Blocks (``pre``n, ``pre``ids, ``pre``vecs) of the vectors of each partition of ``df``; vectors are packed as bytes.
+
+    A block holds at most ``rows`` vectors and ``block_bytes`` (one vector at
+    least). Rows without an id or vector are in no block.
+    """
 
+    def run(batches):
+        ids, vecs, size = [], [], 0
 
-def _partition_topk(shared, k: int, rows: int = 2048):
-    import pandas as pd
+        def block():
+            return pd.DataFrame({f"{pre}n": [len(ids)], f"{pre}ids": [np.array(ids, np.int64).tobytes()], f"{pre}vecs": [np.array(vecs, np.float64).tobytes()]})
 
+        for pdf in batches:
+            for i, v in zip(pdf["i"].to_numpy(), pdf["v"], strict=True):
+                if ids and (size + 8 * len(v) > block_bytes or len(ids) == rows):
+                    yield block()
+                    ids, vecs, size = [], [], 0
+                ids.append(i)
+                vecs.append(np.asarray(v, np.float64))
+                size += 8 * len(v)
+        if ids:
+            yield block()
+
+    src = df.select(F.col(id_col).cast("long").alias("i"), F.col(vec_col).alias("v")).where("i is not null and v is not null")
+    return src.mapInPandas(run, f"{pre}n long, {pre}ids binary, {pre}vecs binary")
+
+
+def _best(S: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, columns) of the ``k`` largest scores of every row, ties by smaller id."""
+    if S.shape[1] > k:
+        least = np.partition(S, S.shape[1] - k, axis=1)[:, S.shape[1] - k]
+        r, c = np.nonzero(S >= least[:, None])  # all that tie with the k-th as well
+    else:
+        r, c = np.nonzero(np.ones(S.shape, bool))
+    order = np.lexsort((ids[c], -S[r, c], r))
+    r, c = r[order], c[order]
+    first = np.searchsorted(r, np.arange(len(S)))
+    keep = np.arange(len(r)) - first[r] < k
+    return r[keep], c[keep]
+
+
+def _pair_topk(k: int):
     def run(batches):
-        qids, Q = shared.value
-        best_s = np.zeros((len(qids), 0))
-        best_c = np.zeros((len(qids), 0), np.int64)
+        qids, at, cand, score = None, *[np.zeros(0, np.int64)] * 2, np.zeros(0)  # best so far: rows of the query block
         for pdf in batches:
-            for at in range(0, len(pdf), rows):
-                part = pdf.iloc[at : at + rows]
-                S = np.concatenate([best_s, Q @ np.stack(part["c_vec"].to_numpy()).astype(np.float64).T], axis=1)
-                C = np.concatenate([best_c, np.broadcast_to(part["cand_id"].to_numpy(np.int64), (len(qids), len(part)))], axis=1)
-                order = np.lexsort((C, -S), axis=1)[:, :k]
-                best_s, best_c = np.take_along_axis(S, order, 1), np.take_along_axis(C, order, 1)
-        kk = best_s.shape[1]
-        yield pd.DataFrame({"query_id": np.repeat(qids, kk), "cand_id": best_c.ravel(), "score": best_s.ravel()})
+            for row in pdf.itertuples(index=False):
+                if qids is None or row.q_ids != qids:
+                    if qids is not None:
+                        yield pd.DataFrame({"query_id": np.frombuffer(qids, np.int64)[at], "cand_id": cand, "score": score})
+                    qids, at, cand, score = row.q_ids, *[np.zeros(0, np.int64)] * 2, np.zeros(0)
+                cids = np.frombuffer(row.c_ids, np.int64)
+                S = np.frombuffer(row.q_vecs).reshape(row.q_n, -1) @ np.frombuffer(row.c_vecs).reshape(row.c_n, -1).T
+                r, c = _best(S, cids, k)
+                at, cand, score = np.concatenate([at, r]), np.concatenate([cand, cids[c]]), np.concatenate([score, S[r, c]])
+                order = np.lexsort((cand, -score, at))
+                at, cand, score = at[order], cand[order], score[order]
+                keep = np.arange(len(at)) - np.searchsorted(at, at) < k
+                at, cand, score = at[keep], cand[keep], score[keep]
+        if qids is not None:
+            yield pd.DataFrame({"query_id": np.frombuffer(qids, np.int64)[at], "cand_id": cand, "score": score})
 
     return run
 
 
 def mips_topk(queries: DataFrame, cands: DataFrame, k: int = 5, block_bytes: int = QUERY_BYTES) -> DataFrame:
     """For every query vector, the ``k`` candidates with the largest inner product
-    (ties: smaller id first). ``queries(query_id, q_vec)``, ``cands(cand_id, c_vec)``."""
-    sc = queries.sparkSession.sparkContext
-    schema = "query_id long, cand_id long, score double"
-    c = cands.select("cand_id", "c_vec")
-    parts = [c.mapInPandas(_partition_topk(sc.broadcast(block), k), schema) for block in _query_blocks(queries, block_bytes)]
-    best = parts[0] if parts else queries.select("query_id", F.lit(None).cast("long").alias("cand_id"), F.lit(None).cast("double").alias("score")).where("false")
-    for p in parts[1:]:
-        best = best.unionByName(p)
+    (ties: smaller id first). ``queries(query_id, q_vec)``, ``cands(cand_id, c_vec)``.
+
+    Every query block meets every candidate block: that many products are what
+    an exact answer takes, and they spread over all pairs of blocks."""
+    q = _pack(queries, "query_id", "q_vec", block_bytes, "q_")
+    c = _pack(cands, "cand_id", "c_vec", block_bytes, "c_")
+    q, c = materialize(q, "mips-queries"), materialize(c, "mips-candidates")
+    best = q.hint("shuffle_replicate_nl").crossJoin(c).mapInPandas(_pair_topk(k), "query_id long, cand_id long, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("cand_id"))
     return best.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
