@@ -115,3 +115,25 @@ def test_foreach_batch_sink_is_idempotent(spark, tmp_path):
     back = spark.read.parquet(out)
     assert sorted(r.doc_id for r in back.collect()) == list(range(9))
     assert back.select("batch_id").distinct().count() == 3
+
+
+def test_feed_bounds_its_files_and_keeps_null_times(spark):
+    base = dt.datetime(2024, 1, 1)
+    rows = [(i, None if i % 50 == 7 else base + dt.timedelta(minutes=i * 37 % 300), 1 if i % 3 else i, float(i % 9)) for i in range(1000)]
+    schema = "event_id long, ts timestamp_ntz, user_id long, value double"
+    df = spark.createDataFrame(rows, schema)
+    path = corpus_stream.feed(df, order=["ts", "event_id"], rows=90)
+    got = spark.read.parquet(path).select("*", "_metadata.file_name", "_metadata.file_modification_time").collect()
+    assert sorted(r.event_id for r in got) == list(range(1000))
+    files = {}
+    for r in got:
+        files.setdefault((r.file_modification_time, r.file_name), []).append((r.ts or dt.datetime.min, r.event_id))
+    assert len(files) == 12 and max(map(len, files.values())) <= 90
+    runs = [sorted(files[f]) for f in sorted(files)]
+    assert [x for run in runs for x in run] == sorted(x for run in runs for x in run)
+    v = F.col("value")
+    ev = corpus_stream.corpus_stream(spark, path, schema=schema)
+    out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, v / 50.0 - 1), name="t-feed").collect()
+    want = {r.event_id: r.h for r in sequence.liquid_filter(df, "user_id", ["ts", "event_id"], v / 50.0, v / 50.0 - 1).collect()}
+    assert len(out) == 1000 and not any(r.late for r in out)
+    assert all(abs(r.h - want[r.event_id]) < 1e-9 for r in out)

@@ -494,7 +494,7 @@ def q_stream_prepare(spark, sf):
 def q_stream_liquid_filter(spark, sf):
     """Files of later and later events, one a micro-batch: every key's state is carried on."""
     log = spark.read.schema(EVENTS_SCHEMA).parquet(table_path(sf, "events"))
-    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(log, order="ts"), schema=EVENTS_SCHEMA)
+    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(log, order=["ts", "event_id"]), schema=EVENTS_SCHEMA)
     v = F.col("value")
     out = corpus_stream.run_to_table(liquid_state.stream_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-liquid")
     return out.select("user_id", "event_id", F.round("h", 6).alias("h"), "late")

@@ -9,14 +9,19 @@ restarted query never re-emits committed rows.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkiln.operators import sampling, tokens
+from textkiln.operators.ranking import in_order, running_totals
 from textkiln.session import checkpoint_dir
 from textkiln.sources.corpus import DOCUMENT_SCHEMA
 
+#: Rows of one file of a feed, and so of a micro-batch of one file.
+FEED_ROWS = 200_000
+
 
 def corpus_stream(spark: SparkSession, directory: str, file_glob: str = "*.parquet", schema: str = DOCUMENT_SCHEMA, max_files_per_trigger: int = 1) -> DataFrame:
     """Streaming scan of parquet corpus files (one file per micro-batch by default)."""
@@ -28,23 +33,28 @@ def corpus_stream(spark: SparkSession, directory: str, file_glob: str = "*.parqu
     )
 
 
-def feed(df: DataFrame, slices: int = 4, order: str | None = None) -> str:
+def feed(df: DataFrame, slices: int = 4, order: str | Sequence[str] | None = None, rows: int = FEED_ROWS) -> str:
     """Write a table as a folder of files that arrive one after the other, for a
-    stream to read; returns the folder. With ``order`` every file holds a range of
-    that column and later files later ranges (as a log's files would), else rows
-    are spread over ``slices`` files at once."""
+    stream to read; returns the folder. There are at least ``slices`` files, and as
+    many as it takes for about ``rows`` rows in each (exactly at most with ``order``).
+    With ``order`` every file holds a run of the table sorted by those columns and
+    later files later runs (as a log's files would); nulls are in the first."""
     spark = df.sparkSession
-    path = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
-    if order is None:
-        df.repartition(slices).write.parquet(path)
-        return path
-    borders = df.select(F.unix_micros(F.col(order).cast("timestamp")).alias("t")).approxQuantile("t", [k / slices for k in range(1, slices)], 0.001)
-    t = F.unix_micros(F.col(order).cast("timestamp"))
-    for low, high in zip([None, *borders], [*borders, None]):
-        part = df if low is None else df.where(t >= F.lit(int(low)))
-        part = part if high is None else part.where(t < F.lit(int(high)))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return path
+    base = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
+    total = df.count()
+    files = max(slices, -(-total // rows))
+    if order is None or not total:
+        df.repartition(files).write.parquet(base)
+        return base
+    keys = [order] if isinstance(order, str) else list(order)
+    ranked = running_totals(in_order(df, keys, "feed"), [], {"_rank": F.lit(1)})
+    size = -(-total // files)
+    staged = f"{base}-slices"
+    ranked.select(*df.columns, F.floor((F.col("_rank") - 1) / size).cast("int").alias("_slice")).write.partitionBy("_slice").parquet(staged)
+    # a file source takes files by their time, so each slice is written after the one before
+    for k in range(-(-total // size)):
+        spark.read.schema(df.schema).parquet(f"{staged}/_slice={k}").coalesce(1).write.mode("append").parquet(base)
+    return base
 
 
 def stream_prepare(stream: DataFrame, tokenizer: str = "bpe", seed: int = 42, epoch: int = 0) -> DataFrame:
