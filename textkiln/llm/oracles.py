@@ -136,5 +136,25 @@ FROM o WHERE damage % 131 = 1 OR (damage % 97 = 0 AND bad <> digest_a)
 """
 
 
+OP11 = """
+WITH v AS (
+  SELECT row_number() OVER () AS n, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+    list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+  FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.n, a.vec_id AS anchor_id, a.label, c.n AS cn, c.vec_id AS id, c.label AS c_label, list_dot_product(a.q, c.q)::BIGINT AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.n <> c.n),
+p AS (
+  SELECT n, anchor_id, label, id AS positive_id, score AS positive_score, row_number() OVER (PARTITION BY n ORDER BY score DESC, id) AS k
+  FROM s WHERE label = c_label),
+g AS (
+  SELECT p.anchor_id, positive_id, id AS negative_id, positive_score, score AS negative_score,
+    row_number() OVER (PARTITION BY p.n, k ORDER BY score DESC, id) AS rank
+  FROM p JOIN s ON p.n = s.n AND s.label <> c_label AND k <= 5 AND 80 * positive_score <= 100 * score AND score <= positive_score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM g WHERE rank <= 5
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_chat_snapshots": OP1, "op4_license_scan": OP4, "op10_merkle_audit": OP10, "op8_poisson_mixing": OP8, "op6_quality_repetition": OP6}
+    return {"op1_chat_snapshots": OP1, "op4_license_scan": OP4, "op10_merkle_audit": OP10, "op8_poisson_mixing": OP8, "op6_quality_repetition": OP6, "op11_hard_negatives": OP11}

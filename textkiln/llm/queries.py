@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkiln.functions.hashing import seeded_u32
-from textkiln.llm import chat_snapshots, decontamination, hilbert_shards, langid, license_scan, merkle_audit, poisson_mix, repetition, simhash, toxicity
+from textkiln.llm import chat_snapshots, decontamination, hard_negatives, hilbert_shards, langid, license_scan, merkle_audit, poisson_mix, repetition, simhash, toxicity
 from textkiln.llm.common import cut, in_order, running_totals, table
 
 
@@ -99,5 +99,13 @@ def op10_merkle_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_audit.audit(first, second)
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every anchor (ids divisible by 100) and positive among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.coalesce(F.col("vec_id") % 7 == 0, F.lit(False)), (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = vectors.select(F.col("vec_id").alias("id"), label.cast("long").alias("label"), hard_negatives.quantise(F.col("embedding")).alias("vector"))
+    return hard_negatives.mine(rows, F.col("id") % 100 == 0)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
