@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import checked_broadcast, cut, in_order, running_totals
+from textkiln.llm.common import checked_broadcast, cut, in_order, numbered, running_totals
 
 #: The largest primes whose symmetric residues fit one signed byte.
 PRIMES = (251, 241, 239, 233, 229, 227, 223, 211)
@@ -157,15 +157,6 @@ def _negatives(k: int, low: int, high: int):
     return run
 
 
-def _numbered(ordered: DataFrame) -> DataFrame:
-    """An ``in_order`` table with ``n``, the row's number in the whole order from 0."""
-    sizes = ordered.groupBy(F.col("_pid").alias("_p")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    # one row per range partition: a proven bound for the window and the broadcast
-    base = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_base"))
-    return ordered.join(F.broadcast(base), F.col("_pid") == F.col("_p")).select(*[c for c in ordered.columns if c not in ("_pid", "_idx")], (F.col("_base") + F.col("_idx")).alias("n"))
-
-
 def quantise(vector: Column, scale: int = 256) -> Column:
     """``floor(scale * x)`` of every component; null for a vector that is null or holds a null or non-finite component."""
     fine = F.forall(vector, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x.cast("double")) < F.lit(float("inf"))))
@@ -195,13 +186,13 @@ def mine(rows: DataFrame, is_anchor: Column, positives: int = 5, negatives: int
     size = some.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("anchor").cast("long")).alias("anchors"), F.max(F.size("vector")).alias("dim")).first()
     n, anchors, dim = size["n"], size["anchors"] or 0, max(1, size["dim"] or 0)
     padded = F.concat("vector", F.array_repeat(F.lit(0).cast("long"), F.lit(dim) - F.size("vector")))
-    numbered = _numbered(in_order(some.withColumn("vector", padded), [F.col("label"), F.col("id")], "negatives-rows"))
+    rows_n = numbered(in_order(some.withColumn("vector", padded), [F.col("label"), F.col("id")], "negatives-rows"))
     # groups are bounded in rows and bytes; beyond that there are several a core
     bound = max(1, min(group_rows, GROUP_BYTES // (8 * dim)))
     c_rows = max(1, min(bound, -(-n // (GROUPS_PER_CORE * spark.sparkContext.defaultParallelism))))
     a_groups, c_groups = max(1, -(-anchors // bound)), max(1, -(-n // c_rows))
-    every = numbered.select(F.floor(F.col("n") / c_rows).cast("long").alias("cg"), F.col("n").alias("c_n"), F.col("id").alias("c_id"), F.col("label").alias("c_label"), F.col("vector").alias("c_vec"))
-    own = in_order(numbered.where("anchor"), [F.col("n")], "negatives-anchors")
+    every = rows_n.select(F.floor(F.col("n") / c_rows).cast("long").alias("cg"), F.col("n").alias("c_n"), F.col("id").alias("c_id"), F.col("label").alias("c_label"), F.col("vector").alias("c_vec"))
+    own = in_order(rows_n.where("anchor"), [F.col("n")], "negatives-anchors")
     own = running_totals(own.drop("anchor"), [], {"at": F.lit(1)}).select(
         F.floor((F.col("at") - 1) / bound).cast("long").alias("ag"), F.col("n").alias("a_n"), F.col("id").alias("a_id"), F.col("label").alias("a_label"), F.col("vector").alias("a_vec")
     )

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from textkiln.llm import license_scan as lic
+from textkiln.llm import merkle_manifest as man
 from textkiln.llm import poisson_mix as mix
 from textkiln.llm import repetition as rep
 from textkiln.plans.sqlparts import lit, seeded_key, u32
@@ -156,5 +157,61 @@ SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_scor
 """
 
 
+def crc32_text(value: str) -> str:
+    """Unsigned CRC-32 of an ASCII text, bit by bit (the reflected polynomial 0xEDB88320)."""
+    bits = f"flatten(list_transform(range(1, len({value}) + 1), lambda i: [ascii(({value})[i])::BIGINT, 0, 0, 0, 0, 0, 0, 0]))"
+    step = "xor(xor(c, e) >> 1, 3988292384 * (xor(c, e) & 1))"
+    return f"xor(list_reduce({bits}, lambda c, e: {step}, 4294967295::BIGINT), 4294967295)"
+
+
+def _levels(first: str, name: str, count: int) -> str:
+    """CTEs of the nodes above ``first`` (g, pos, total, h), the siblings on each level, and what each group comes down to."""
+    fan, out = man.FANOUT, []
+    for k in range(count):
+        below = first if k == 0 else f"{name}{k}"
+        out.append(f"{name}{k + 1} AS (SELECT g, divide(pos, {fan}) AS pos, divide(any_value(total) + {fan - 1}, {fan}) AS total, sha256(string_agg(h, '' ORDER BY pos)) AS h FROM {below} WHERE total > 1 GROUP BY g, divide(pos, {fan}))")
+        sides = ", ".join(f"coalesce(string_agg(b.h, '' ORDER BY b.pos) FILTER (b.pos {op} a.pos), '') AS {side}" for op, side in (("<", "l"), (">", "r")))
+        out.append(f"{name}s{k} AS (SELECT a.g, a.pos, {sides} FROM {below} a JOIN {below} b ON a.g IS NOT DISTINCT FROM b.g AND divide(a.pos, {fan}) = divide(b.pos, {fan}) WHERE a.total > 1 GROUP BY a.g, a.pos)")
+    tops = " UNION ALL ".join(f"SELECT g, h FROM {x} WHERE total = 1" for x in [first, *(f"{name}{k + 1}" for k in range(count))])
+    return ",\n".join([*out, f"{name}top AS ({tops})"])
+
+
+def _climb(start: str, name: str, count: int, group: str, at: str) -> str:
+    """CTEs that fold ``f`` and gather ``proof`` of every row of ``start`` through the levels of ``name``."""
+    out = []
+    for k in range(count):
+        below = start if k == 0 else f"{name}w{k}"
+        out.append(
+            f"{name}w{k + 1} AS (SELECT w.* REPLACE (CASE WHEN s.l IS NULL THEN f ELSE sha256(s.l || f || s.r) END AS f, proof || coalesce(s.l || s.r, '') AS proof) "
+            f"FROM {below} w LEFT JOIN {name}s{k} s ON w.{group} IS NOT DISTINCT FROM s.g AND divide(w.{at}, {man.FANOUT**k}) = s.pos)"
+        )
+    return ",\n".join(out)
+
+
+def _leaf(text: str) -> str:
+    values = ["doc_id::VARCHAR", "source", "lang", "n_chars::VARCHAR", text]
+    return "sha256(" + " || ".join(f"coalesce(strlen({v}) || ':' || {v}, '-')" for v in values) + ")"
+
+
+#: Levels that the twin of op13 unrolls: 8^7 documents a language, 8^4 languages.
+_ROWS_UP, _GROUPS_UP = 7, 4
+_LOWERED = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+OP13 = f"""
+WITH d AS (
+  SELECT doc_id, lang AS g, {_leaf("text")} AS leaf,
+    CASE WHEN {crc32_text("doc_id::VARCHAR")} % 3 = 0 THEN {_leaf(_LOWERED)} ELSE {_leaf("text")} END AS shown FROM documents),
+a0 AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos, count(*) OVER (PARTITION BY g) AS total FROM d),
+{_levels("a0", "a", _ROWS_UP)},
+b0 AS (SELECT 0 AS g, g AS lang, h, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS pos, count(*) OVER () AS total FROM atop),
+{_levels("b0", "b", _GROUPS_UP)},
+w0 AS (
+  SELECT a0.doc_id, leaf, a0.g, a0.pos, b0.h AS subroot, b0.g AS top, b0.pos AS top_pos, btop.h AS root, shown AS f, '' AS proof
+  FROM a0 JOIN b0 ON a0.g IS NOT DISTINCT FROM b0.lang JOIN btop ON true),
+{_climb("w0", "a", _ROWS_UP, "g", "pos")},
+{_climb(f"aw{_ROWS_UP}", "b", _GROUPS_UP, "top", "top_pos")}
+SELECT doc_id, leaf, subroot, root, sha256(proof) AS proof_sha256, f AS folded_root, f = root AS verified FROM bw{_GROUPS_UP}
+"""
+
+
 def oracles() -> dict[str, str]:
-    return {"op1_chat_snapshots": OP1, "op4_license_scan": OP4, "op10_merkle_audit": OP10, "op8_poisson_mixing": OP8, "op6_quality_repetition": OP6, "op11_hard_negatives": OP11}
+    return {"op1_chat_snapshots": OP1, "op4_license_scan": OP4, "op10_merkle_audit": OP10, "op8_poisson_mixing": OP8, "op6_quality_repetition": OP6, "op11_hard_negatives": OP11, "op13_merkle_manifest": OP13}

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkiln.functions.hashing import seeded_u32
-from textkiln.llm import chat_snapshots, decontamination, hard_negatives, hilbert_shards, langid, license_scan, merkle_audit, poisson_mix, repetition, simhash, toxicity
-from textkiln.llm.common import cut, in_order, running_totals, table
+from textkiln.llm import chat_snapshots, decontamination, hard_negatives, hilbert_shards, langid, license_scan, merkle_audit, merkle_manifest, poisson_mix, repetition, simhash, toxicity
+from textkiln.llm.common import cut, in_order, is_third, running_totals, table
 
 
 def op1_chat_snapshots(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,5 +107,12 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and check of every document; a third of the texts are tampered with by lower-casing A-Z."""
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    lowered = F.translate("text", letters, letters.lower())
+    return merkle_manifest.verify_documents(table(spark, sf_dir, "documents"), is_third(F.col("doc_id"), 3, 0), lowered)
+
+
 def queries() -> dict:
     return {name: fn for name, fn in globals().items() if name.startswith("op") and callable(fn)}
