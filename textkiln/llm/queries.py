@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkiln.functions.hashing import seeded_u32
-from textkiln.llm import chat_snapshots, decontamination, hard_negatives, hilbert_shards, langid, license_scan, merkle_audit, merkle_manifest, poisson_mix, repetition, simhash, toxicity
+from textkiln.llm import chat_snapshots, decontamination, hard_negatives, hilbert_shards, langid, license_scan, merkle_audit, merkle_manifest, poisson_mix, quality_classifier, repetition, simhash, toxicity
 from textkiln.llm.common import cut, in_order, is_third, running_totals, table
 
 
@@ -107,6 +107,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hard_negatives.mine(rows, F.col("id") % 100 == 0)
 
 
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document."""
+    return quality_classifier.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Leaf, proof and check of every document; a third of the texts are tampered with by lower-casing A-Z."""
     letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
