@@ -32,7 +32,7 @@ WORD_GRAMS, SHAPE_GRAMS = 2, 3
 #: FTRL-proximal: learning rate, its smoothing, L1 and L2 penalties.
 ALPHA, BETA, L1, L2 = 1.0, 1.0, 0.05, 0.02
 #: Shards that train side by side, rounds after which their states are mixed, and passes of a round.
-SHARDS, ROUNDS, PASSES = 16, 4, 4
+SHARDS, ROUNDS, PASSES = 8, 2, 8
 THRESHOLD = 0.3
 
 _UPPER, _LOWER, _DIGIT, _AGAIN = (regex.compile(p, regex.V1) for p in (r"\p{Lu}+", r"[\p{L}--\p{Lu}]+", r"\p{N}+", r"([^\p{L}\p{N}])\1+"))
