@@ -9,7 +9,9 @@ the weights, through the logistic function.
 
 from __future__ import annotations
 
+import string
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -43,12 +45,29 @@ _SAME = np.uint64(xxhash.xxh64_intdigest("=", seed=1))
 
 def shape(word: str) -> str:
     """Runs of capitals, other letters, digits and of one sign as one character each: ``Word,`` is ``Aa,``."""
+    core = word.rstrip(string.punctuation)
+    if core.isalpha():  # the usual words need no pattern
+        kind = "a" if core.islower() else "Aa" if core[0].isupper() and core[1:].islower() else "A" if core.isascii() and core.isupper() else ""
+        if kind:
+            return kind + _signs(word[len(core) :])
     return _AGAIN.sub(r"\1+", _DIGIT.sub("0", _LOWER.sub("a", _UPPER.sub("A", word))))
 
 
+@lru_cache(4096)
+def _signs(tail: str) -> str:
+    return _AGAIN.sub(r"\1+", tail)
+
+
+@lru_cache(4096)
+def _shape_hash(form: str) -> int:
+    return xxhash.xxh64_intdigest(form, seed=1)
+
+
 def _hashes(words: list[str]) -> np.ndarray:
-    both = [(xxhash.xxh64_intdigest(w.lower()), xxhash.xxh64_intdigest(shape(w), seed=1)) for w in words]
-    return np.array(both, np.uint64).reshape(-1, 2)
+    out = np.empty((len(words), 2), np.uint64)
+    out[:, 0] = [xxhash.xxh64_intdigest(w.lower()) for w in words]
+    out[:, 1] = [_shape_hash(shape(w)) for w in words]
+    return out
 
 
 def _grams(hashes: np.ndarray, row: np.ndarray, longest: int, salt: int) -> tuple[np.ndarray, np.ndarray]:
