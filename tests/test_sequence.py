@@ -140,3 +140,68 @@ def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1, 1.0), (None, 2, 2.0), (5, 1, 3.0)], "k long, o long, x double")
     out = sequence.history_attention(df, "k", ["o"], F.col("x"), F.col("x"), F.col("x"), span=4).collect()
     assert sorted((r.k is None, r.o, r.pos) for r in out) == [(False, 1, 0), (True, 1, 0), (True, 2, 1)]
+
+
+ODD_KEYS = [None, 2**53, 2**53 + 1, -(2**62), 7]
+
+
+def _odd_rows():
+    rng = np.random.default_rng(11)
+    rows = [(k, o, float(rng.choice([0.0, 0.5, 1.0])), float(rng.normal())) for k in ODD_KEYS for o in range(25)]
+    rows = [(k, o, None if o % 7 == 3 else a, None if o % 11 == 5 else b) for k, o, a, b in rows]
+    return rows + [(99, 0, None, None), (99, 1, None, 2.0)]
+
+
+def test_null_and_large_keys_stay_apart(spark):
+    rows = _odd_rows()
+    df = spark.createDataFrame(rows, "k long, o long, a double, b double")
+    want, state = {}, {}
+    for k, o, a, b in sorted(rows, key=lambda r: r[1]):
+        h = state.get(k, 2.0)
+        state[k] = want[(k, o)] = h if a is None or b is None else a * h + b
+    for parts in (1, 3, 40):
+        got = sequence.linear_recurrence(df, "k", ["o"], F.col("a"), F.col("b"), h0=2.0, num_partitions=parts, carry=["a"])
+        assert got.columns == ["k", "o", "a", "h"]
+        out = {(r.k, r.o): r.h for r in got.collect()}
+        assert out.keys() == want.keys() and all(abs(out[x] - want[x]) < 1e-9 for x in want)
+
+
+def test_softmax_mean_of_null_and_large_keys(spark):
+    rows = _odd_rows()
+    df = spark.createDataFrame(rows, "k long, o long, a double, b double").repartition(5)
+    want, sums = {}, {}
+    for k, o, a, b in sorted(rows, key=lambda r: r[1]):
+        w, v = sums.get(k, (0.0, 0.0))
+        if a is not None and b is not None:
+            w, v = w + np.exp(a), v + np.exp(a) * b
+        sums[k] = (w, v)
+        want[(k, o)] = v / w if w else None
+    got = {(r.k, r.o): r.attn for r in sequence.causal_softmax_mean(df, "k", ["o"], F.col("a"), F.col("b")).collect()}
+    assert got.keys() == want.keys()
+    assert all((got[x] is None) == (want[x] is None) and (want[x] is None or abs(got[x] - want[x]) < 1e-9) for x in want)
+    assert got[(99, 0)] is None and got[(99, 1)] is None
+
+
+def test_text_and_double_keys_and_null_vectors(spark):
+    nan = float("nan")
+    rows = [(k, x, o) for k, x in (("a", nan), (None, 1.5), ("b", nan), ("", None)) for o in range(9)]
+    df = spark.createDataFrame(rows, "k string, x double, o long")
+    one = {(r.k, r.o): r.h for r in sequence.linear_recurrence(df, "k", ["o"], F.lit(1.0), F.lit(1.0), num_partitions=4).collect()}
+    assert one == {(k, o): o + 1.0 for k, _, o in rows}
+    two = sequence.linear_recurrence(df, "x", ["o", "k"], F.lit(1.0), F.lit(1.0), num_partitions=4).groupBy("x").agg(F.max("h").alias("h")).collect()
+    assert sorted(r.h for r in two) == [9.0, 9.0, 18.0]  # NaN is one key
+    vec = df.withColumn("v", F.when(F.col("o") % 3 != 1, F.array(F.lit(1.0), F.lit(2.0))))
+    got = {(r.k, r.o): r.h for r in sequence.linear_recurrence(vec, "k", ["o"], F.col("v"), F.col("v"), num_partitions=4, carry=[]).collect()}
+    for k in ("a", None, "b", ""):
+        h = np.zeros(2)
+        for o in range(9):
+            h = h if o % 3 == 1 else np.array([1.0, 2.0]) * h + [1.0, 2.0]
+            assert got[(k, o)] == list(h)
+
+
+def test_many_partitions_of_vector_states(spark):
+    n, width = 4000, 64
+    df = spark.range(n).select(F.lit(None).cast("long").alias("k"), F.col("id").alias("o"), F.array_repeat(F.lit(1.0), width).alias("a"), F.array_repeat(F.lit(1.0), width).alias("b"))
+    got = sequence.linear_recurrence(df, "k", ["o"], F.col("a"), F.col("b"), num_partitions=400, carry=[])
+    assert got.where(F.col("h")[0] != F.col("o") + 1).count() == 0 and got.where(F.size("h") != width).count() == 0
+    assert got.count() == n

@@ -55,32 +55,35 @@ def chat_training_rows(
     conv_col: str = "conv_id",
     turn_col: str = "turn",
 ) -> DataFrame:
-    """One fixed-length training row per conversation (long-form input with unique
-    turns). Roles other than user and assistant are left out first; a conversation
-    without any token gives a row of padding only.
+    """One fixed-length training row per conversation (long-form input). Roles other
+    than user and assistant are left out first; a conversation without any token
+    gives a row of padding only. Turns with one number follow each other by role,
+    length and content; a turn that is there twice counts twice.
 
     Output: conv_id, input_ids, labels (both ``seq_len`` long), n_tokens (before
     padding), total_tokens (before truncation), n_targets, truncated, zero_target.
     """
     segs = loss_mask(chat_template(role_route(conversations)), tokenizer)
     # only ids and role are kept: labels follow from them after the cut. The lineage
-    # is cut so that the tokenizer runs once per turn, where the scan has put it
-    segs = materialize(segs.select(conv_col, turn_col, "role", "seg_ids", F.size("seg_ids").cast("bigint").alias("n")).where("n > 0"), "chat-turns")
+    # is cut so that the tokenizer runs once per turn, where the scan has put it; the
+    # written table also keeps every row's number, which tells repeated turns apart
+    segs = segs.select(conv_col, turn_col, "role", "seg_ids", F.size("seg_ids").cast("bigint").alias("n")).where("n > 0")
+    segs = materialize(segs.withColumn("_row", F.monotonically_increasing_id()), "chat-turns")
     # running offsets are sums over narrow rows; a hot conversation spreads over
     # the range partitions of (conversation, turn)
-    order = in_order(segs.select(conv_col, turn_col, "role", "n"), [conv_col, turn_col, "role", "n"], "chat-sizes")
+    narrow = segs.select(conv_col, turn_col, "role", "n", F.xxhash64("seg_ids").alias("_hash"), "_row")
+    order = in_order(narrow, [conv_col, turn_col, "role", "n", "_hash", "_row"], "chat-sizes")
     offsets = running_totals(order, [conv_col], {"_end": F.col("n")}).withColumn("tok_offset", F.col("_end") - F.col("n"))
     totals = conversations.select(conv_col).distinct().join(
         order.groupBy(F.col(conv_col).alias("_c")).agg(F.sum("n").cast("bigint").alias("_total")), F.col(conv_col).eqNullSafe(F.col("_c")), "left"
     )
     totals = totals.select(conv_col, F.coalesce("_total", F.lit(0).cast("bigint")).alias("total_tokens"))
     # the turns that still have room: at most ``seq_len`` a conversation, as each holds a token
-    room = offsets.where(F.col("tok_offset") < seq_len).select(F.col(conv_col).alias("_c"), F.col(turn_col).alias("_t"), F.col("role").alias("_r"), "tok_offset", F.col("n").alias("_n"))
-    same = segs[conv_col].eqNullSafe(room["_c"]) & segs[turn_col].eqNullSafe(room["_t"]) & (segs["role"] == room["_r"]) & (segs["n"] == room["_n"])
+    room = offsets.where(F.col("tok_offset") < seq_len).select("_row", "tok_offset")
     left = F.lit(seq_len) - F.col("tok_offset")
     cut = F.slice("seg_ids", 1, left.cast("int"))
     part = F.struct(F.col("tok_offset"), cut.alias("ids"), F.when(F.col("role") == "user", repeat_ignore(cut)).otherwise(cut).alias("labels"))
-    parts = segs.join(room, same).groupBy(F.col(conv_col).alias("_c")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
+    parts = segs.join(room, "_row").groupBy(F.col(conv_col).alias("_c")).agg(F.sort_array(F.collect_list(part)).alias("parts"))
     conv = totals.join(parts, F.col(conv_col).eqNullSafe(F.col("_c")), "left").withColumn("parts", F.coalesce("parts", F.expr("cast(array() as array<struct<tok_offset:bigint,ids:array<int>,labels:array<int>>>)")))
     ids = F.flatten(F.transform("parts", lambda p: p["ids"]))
     labels = F.flatten(F.transform("parts", lambda p: p["labels"]))

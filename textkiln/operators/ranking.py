@@ -63,6 +63,19 @@ def running_sum(
     )
 
 
+def partitions_for(df: DataFrame) -> list[int]:
+    """``[n]`` where the inputs' bytes call for more partitions than the session's
+    number, at the advisory size each; otherwise empty (the session's number, which
+    AQE may lower). Read from the plan's statistics, without a job."""
+    spark = df.sparkSession
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    advisory = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(spark.conf.get("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64m"))
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    n = sum(x for x in sizes if x < 1 << 60) // advisory + 1  # an unknown size is stated as the largest number
+    return [n] if n > least else []
+
+
 def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "ordered") -> DataFrame:
     """Rows in the global order of ``order``, cut to a table with ``_pid`` and ``_idx``.
 
@@ -72,7 +85,7 @@ def in_order(df: DataFrame, order: Sequence[str | Column], name: str = "ordered"
     stable for every later use.
     """
     mid = F.monotonically_increasing_id()
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = df.repartitionByRange(*partitions_for(df), *order).sortWithinPartitions(*order)
     return materialize(ranged.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1))), name)
 
 

@@ -8,28 +8,33 @@ key in a blocked scan that splits hot keys:
 2. per partition, a vectorized segmented doubling scan (numpy, Arrow batches)
    gives each row the composed map ``(A, B)`` of its key's rows in that
    partition up to it; the result is written as a table in the shared
-   checkpoint folder so every later read sees the same partitions;
-3. one summary row per partition (first key, last key, last row's ``(A, B)``)
-   is folded in partition order -- at most P rows -- into the state carried
-   into each partition's first key;
-4. the carries (at most P rows, broadcast) are joined back: ``h = A * carry + B``.
+   checkpoint folder so every later read sees the same partitions. Keys stay
+   Arrow values throughout (no conversion can merge or change them) and are
+   compared null-safely;
+3. one summary row per partition (its last key's ``(A, B)``) streams through
+   the same scan in partition order, which gives the state carried into each
+   partition's first key; no list of summaries is built;
+4. the carries (at most one a partition, broadcast) are joined back:
+   ``h = A * carry + B``.
 
 The state never uses ``exp(sum(log a))``: ``a`` may be 0.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textkiln.constants import SMOOTH_WINDOW, TAU_FLOOR
 from textkiln.functions.gates import clamp, softplus
-from textkiln.operators.ranking import in_order, running_totals
+from textkiln.operators.ranking import in_order, partitions_for, running_totals
 from textkiln.session import checkpoint_dir, materialize
 
 
@@ -50,34 +55,90 @@ def segmented_scan(seg: np.ndarray, a: np.ndarray, b: np.ndarray) -> tuple[np.nd
     return A, B
 
 
-def _local_scan(key: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from pyspark import TaskContext
+def _after(carry, A: np.ndarray, B: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    return A * carry[0], A * carry[1] + B
 
-        pid = TaskContext.get().partitionId()
-        carry = None  # (key, A, B) of the previous batch's last row
-        for pdf in batches:
-            if pdf.empty:
+
+def key_starts(keys: pa.Array) -> np.ndarray:
+    """Whether each row's key differs from the one before it (the first row's does);
+    nulls equal each other, and so do NaNs."""
+    here, back = keys.slice(1), keys.slice(0, max(0, len(keys) - 1))
+    same = pc.or_(pc.fill_null(pc.equal(here, back), False), pc.and_(pc.is_null(here), pc.is_null(back)))
+    if pa.types.is_floating(keys.type):
+        same = pc.or_(same, pc.and_(pc.fill_null(pc.is_nan(here), False), pc.fill_null(pc.is_nan(back), False)))
+    return np.concatenate([np.ones(min(1, len(keys)), bool), ~same.to_numpy(zero_copy_only=False)])
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    """Numbers as an array, equal-length lists as a row each; a null is NaN."""
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+    return column.to_numpy(zero_copy_only=False)
+
+
+def _column(values: np.ndarray) -> pa.Array:
+    if values.ndim == 1:
+        return pa.array(values)
+    return pa.ListArray.from_arrays(pa.array(np.arange(0, values.size + 1, values.shape[1] or 1, dtype=np.int32)), pa.array(values.ravel()))
+
+
+def _scan(key: str, inputs: Sequence[str], outputs: Sequence[str], scan: Callable, after: Callable):
+    """Arrow map over rows sorted by ``key``: replaces ``inputs`` with ``outputs`` =
+    ``scan(segments, *inputs)``, where ``after(carry, *outputs)`` puts what a key had in
+    earlier batches before it. All other columns pass as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, carry = None, ()
+        for batch in batches:
+            if not batch.num_rows:
                 continue
-            keys = pdf[key].to_numpy()
-            seg = np.concatenate([[0], np.cumsum(keys[1:] != keys[:-1])])
-            vec = pdf["_a"].dtype == object
-            a = np.stack(pdf["_a"].to_numpy()) if vec else pdf["_a"].to_numpy()
-            b = np.stack(pdf["_b"].to_numpy()) if vec else pdf["_b"].to_numpy()
-            A, B = segmented_scan(seg, a, b)
-            if carry is not None and keys[0] == carry[0]:
-                m = seg == 0
-                B[m] = A[m] * carry[2] + B[m]
-                A[m] = A[m] * carry[1]
-            carry = (keys[-1], A[-1].copy(), B[-1].copy())
-            out = pdf.drop(columns=["_a", "_b"])
-            out["_A"] = list(A) if vec else A
-            out["_B"] = list(B) if vec else B
-            yield out.assign(_pid=np.int32(pid))
+            keys = batch.column(key)
+            seg = np.cumsum(key_starts(keys))
+            made = [x.copy() for x in scan(seg, *[_matrix(batch.column(c)) for c in inputs])]
+            if last is not None and not key_starts(pa.concat_arrays([last, keys.slice(0, 1)]))[1]:
+                first = seg == seg[0]
+                for x, y in zip(made, after(carry, *[m[first] for m in made]), strict=True):
+                    x[first] = y
+            last, carry = keys.slice(len(keys) - 1), tuple(x[-1].copy() for x in made)
+            names = [c for c in batch.schema.names if c not in inputs]
+            yield pa.RecordBatch.from_arrays([batch.column(c) for c in names] + [_column(x) for x in made], names=[*names, *outputs])
 
     return run
 
 
+def _scanned(rows: DataFrame, key: str, inputs: Sequence[str], outputs: Sequence[str], scan: Callable, after: Callable) -> DataFrame:
+    num = rows.schema[inputs[0]].dataType
+    schema = T.StructType([f for f in rows.schema.fields if f.name not in inputs] + [T.StructField(c, num) for c in outputs])
+    return rows.mapInArrow(_scan(key, inputs, outputs, scan, after), schema)
+
+
+def _ranged(df: DataFrame, key: str, order_cols: Sequence[str], parts: Sequence[int]) -> DataFrame:
+    """Rows range-partitioned and sorted by key and order, with ``_pid`` and ``_idx``."""
+    rows = df.repartitionByRange(*parts, key, *order_cols).sortWithinPartitions(key, *order_cols)
+    mid = F.monotonically_increasing_id()
+    return rows.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1)))
+
+
+def _carried(local: DataFrame, key: str, state: Sequence[str], scan: Callable, after: Callable) -> DataFrame:
+    """``(_cp, _ck, _c<state>)``: what earlier partitions hold of a partition's first key.
+
+    One row a partition, in partition order: a partition that holds a single
+    key goes on with the chain of the one before it, any other starts anew."""
+    ends = local.groupBy("_pid").agg(
+        F.min_by(F.struct(F.col(key).alias("k")), "_idx").alias("first"), F.max_by(F.struct(F.col(key).alias("k"), *state), "_idx").alias("last")
+    )
+    # windows and the scan run over one row a partition
+    w = Window.orderBy("_pid")
+    before = F.lag("last").over(w)
+    goes_on = F.coalesce(before.isNotNull() & before["k"].eqNullSafe(F.col("first.k")), F.lit(False))
+    ends = ends.withColumn("_on", goes_on)
+    chain = F.sum(F.when(F.col("_on") & F.col("first.k").eqNullSafe(F.col("last.k")), 0).otherwise(1)).over(w)
+    rows = ends.select("_pid", F.col("first.k").alias("_ck"), "_on", chain.alias("_chain"), *[F.col(f"last.{c}").alias(f"_e{c}") for c in state])
+    made = _scanned(rows, "_chain", [f"_e{c}" for c in state], [f"_s{c}" for c in state], scan, after)
+    into = F.lag(F.struct(*[F.col(f"_s{c}").alias(c) for c in state])).over(w)
+    return made.select(F.col("_pid").alias("_cp"), "_ck", F.when(F.col("_on"), into).alias("_c")).where("_c is not null").select("_cp", "_ck", *[F.col(f"_c.{c}").alias(f"_c{c}") for c in state])
+
+
 def linear_recurrence(
     df: DataFrame,
     key: str,
@@ -94,63 +155,39 @@ def linear_recurrence(
     numbers, or equal-length arrays for an elementwise recurrence over vector
     dimensions (the state is then an array).
 
+    Rows with a null key are one sequence. A row whose ``a`` or ``b`` is null
+    leaves the state as it is: its ``out`` is that of the row before it, or
+    ``h0``. Null components of a vector make NaN.
+
     ``carry`` names the other input columns to keep (default: all). The Python
     scan is opaque to column pruning, so callers that need only the state pass
     ``carry=[]`` and nothing else crosses into Python or the checkpoint table."""
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    P = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    checkpoint_dir(df.sparkSession)
     keep = [c for c in df.columns if c not in (key, *order_cols)] if carry is None else list(carry)
-    probe = df.select(a.alias("_a"))
-    vec = isinstance(probe.schema["_a"].dataType, T.ArrayType)
+    named = df.select(key, *order_cols, *keep, a.alias("_a"), b.alias("_b"))
+    vec = isinstance(named.schema["_a"].dataType, T.ArrayType)
     num = T.ArrayType(T.DoubleType()) if vec else T.DoubleType()
-    d = df.select(key, *order_cols, *keep, a.cast(num).alias("_a"), b.cast(num).alias("_b"))
-    d = d.repartitionByRange(P, key, *order_cols).sortWithinPartitions(key, *order_cols)
-    schema = T.StructType(
-        [f for f in d.schema.fields if f.name not in ("_a", "_b")]
-        + [T.StructField("_A", num), T.StructField("_B", num), T.StructField("_pid", T.IntegerType())]
-    )
+    still, none = F.lit(1.0), F.lit(0.0)
+    if vec:
+        some = named.where("_a is not null").select(F.size("_a")).first()
+        width = some[0] if some else 1
+        still, none = F.array_repeat(still, width), F.array_repeat(none, width)
+    missing = F.col("_a").isNull() | F.col("_b").isNull()
+    d = named.withColumns({"_a": F.when(missing, still).otherwise(F.col("_a").cast(num)), "_b": F.when(missing, none).otherwise(F.col("_b").cast(num))})
+    rows = _ranged(d, key, order_cols, [num_partitions] if num_partitions else partitions_for(d))
+    local = materialize(_scanned(rows, key, ["_a", "_b"], ["_A", "_B"], segmented_scan, _after), "scan-blocks")
+    carries = _carried(local, key, ["_A", "_B"], segmented_scan, _after)
+    # at most one carry per partition: a proven bound for the broadcast
+    j = local.join(F.broadcast(carries), (F.col("_pid") == F.col("_cp")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
 
     def affine(A_, h_, B_):  # A * h + B, elementwise for vectors
         if vec:
             return F.zip_with(F.zip_with(A_, h_, lambda x, y: x * y), B_, lambda x, y: x + y)
         return A_ * h_ + B_
 
-    def h0_like(A_):
-        return F.array_repeat(F.lit(float(h0)), F.size(A_)) if vec else F.lit(float(h0))
-    local = materialize(d.mapInPandas(_local_scan(key), schema), "scan-blocks")
-
-    order = F.struct(*[F.col(c) for c in order_cols])
-    summ = local.groupBy("_pid").agg(
-        F.min_by(F.col(key), F.struct(F.col(key), order)).alias("first_key"),
-        F.max_by(F.struct(F.col(key).alias("k"), F.col("_A").alias("A"), F.col("_B").alias("B")), F.struct(F.col(key), order)).alias("last"),
-    )
-    parts = summ.agg(F.sort_array(F.collect_list(F.struct("_pid", "first_key", "last"))).alias("ps"))
-    key_type = dict(d.dtypes)[key]
-    h_sql = "array<double>" if vec else "double"
-    init = F.struct(
-        F.lit(None).cast(key_type).alias("k"),
-        F.lit(None).cast(h_sql).alias("h"),
-        F.array().cast(f"array<struct<pid:int,ck:{key_type},ch:{h_sql}>>").alias("out"),
-    )
-
-    def step(acc, p):
-        cont = acc["k"].isNotNull() & (acc["k"] == p["first_key"])
-        carry_in = F.when(cont, acc["h"])
-        start = F.when((p["last"]["k"] == p["first_key"]) & cont, acc["h"]).otherwise(h0_like(p["last"]["A"]))
-        h_end = affine(p["last"]["A"], start, p["last"]["B"])
-        entry = F.struct(p["_pid"].alias("pid"), p["first_key"].alias("ck"), carry_in.alias("ch"))
-        return F.struct(p["last"]["k"].alias("k"), h_end.alias("h"), F.array_append(acc["out"], entry).alias("out"))
-
-    carries = (
-        parts.select(F.explode(F.aggregate("ps", init, step)["out"]).alias("c"))
-        .select(F.col("c.pid").alias("_pid"), F.col("c.ck").alias("_ck"), F.col("c.ch").alias("_ch"))
-        .where(F.col("_ch").isNotNull())
-    )
-    # at most one carry per partition: a proven bound for the broadcast
-    j = local.join(F.broadcast(carries), "_pid", "left")
-    start = F.when((F.col("_ck") == F.col(key)) & F.col("_ch").isNotNull(), F.col("_ch")).otherwise(h0_like(F.col("_A")))
-    return j.withColumn(out, affine(F.col("_A"), start, F.col("_B"))).drop("_A", "_B", "_pid", "_ck", "_ch")
+    begin = F.array_repeat(F.lit(float(h0)), F.size("_A")) if vec else F.lit(float(h0))
+    start = F.when(F.col("_cp").isNotNull(), affine(F.col("_c_A"), begin, F.col("_c_B"))).otherwise(begin)
+    return j.withColumn(out, affine(F.col("_A"), start, F.col("_B"))).drop("_A", "_B", "_pid", "_idx", "_cp", "_ck", "_c_A", "_c_B")
 
 
 def liquid_gates(x_tau: Column, x_in: Column, log_dt: float = 0.0) -> tuple[Column, Column]:
@@ -201,76 +238,65 @@ def trailing_mean(
     return r.where(F.col("_own") & (F.col("_n") == window)).drop("_n", "_own", "chunk", "pos")
 
 
+def _weight(m: np.ndarray, top: np.ndarray) -> np.ndarray:
+    """``exp(m - top)``, 0 for what holds no row (a maximum of minus infinity)."""
+    with np.errstate(invalid="ignore"):
+        return np.where(np.isneginf(m), 0.0, np.exp(m - top))
+
+
 def softmax_scan(seg: np.ndarray, score: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Running ``(m, l, s)`` within runs of equal ``seg``: the largest score so far, and
     the sums of ``exp(score - m)`` and ``exp(score - m) * value`` (log-depth doubling;
-    the combination rescales both sides to the larger maximum)."""
-    m, l, s = score.astype(np.float64).copy(), np.ones(len(score)), value.astype(np.float64).copy()
+    the combination rescales both sides to the larger maximum). A score of minus
+    infinity weighs nothing."""
+    gone = np.isneginf(score)
+    return _merge_scan(seg, score, np.where(gone, 0.0, 1.0), np.where(gone, 0.0, value))
+
+
+def _merge_scan(seg: np.ndarray, m: np.ndarray, l: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    m, l, s = (x.astype(np.float64).copy() for x in (m, l, s))
     step = 1
     while step < len(m):
         same = seg[step:] == seg[:-step]
-        top = np.where(same, np.maximum(m[step:], m[:-step]), m[step:])
-        here = np.exp(m[step:] - top)
-        back = np.where(same, np.exp(np.where(same, m[:-step], top) - top), 0.0)
+        back_m = np.where(same, m[:-step], -np.inf)
+        top = np.maximum(m[step:], back_m)
+        here, back = _weight(m[step:], top), _weight(back_m, top)
         l_new, s_new = l[step:] * here + l[:-step] * back, s[step:] * here + s[:-step] * back
         m[step:], l[step:], s[step:] = top, l_new, s_new
         step *= 2
     return m, l, s
 
 
-def _local_softmax(key: str):
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        carry = None  # (key, m, l, s) of the previous batch's last row
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            keys = pdf[key]
-            same = (keys == keys.shift()) | (keys.isna() & keys.shift().isna())
-            seg = np.cumsum(~same.to_numpy()[1:], dtype=np.int64)
-            seg = np.concatenate([[0], seg])
-            m, l, s = softmax_scan(seg, pdf["_score"].to_numpy(), pdf["_value"].to_numpy())
-            first, last = keys.iloc[0], keys.iloc[-1]
-            if carry is not None and (first == carry[0] or (pd.isna(first) and pd.isna(carry[0]))):
-                at = seg == 0
-                top = np.maximum(m[at], carry[1])
-                here, back = np.exp(m[at] - top), np.exp(carry[1] - top)
-                l[at], s[at], m[at] = l[at] * here + carry[2] * back, s[at] * here + carry[3] * back, top
-            carry = (last, m[-1], l[-1], s[-1])
-            yield pdf.drop(columns=["_score", "_value"]).assign(_m=m, _l=l, _s=s)
-
-    return run
+def _softmax_after(carry, m: np.ndarray, l: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    top = np.maximum(m, carry[0])
+    here, back = _weight(m, top), _weight(carry[0], top)
+    return top, l * here + carry[1] * back, s * here + carry[2] * back
 
 
 def causal_softmax_mean(df: DataFrame, key: str, order_cols: list[str], score: Column, value: Column, out: str = "attn") -> DataFrame:
     """``sum_{j<=i} e^{s_j} v_j / sum_{j<=i} e^{s_j}`` per key, for scores of any size.
 
     One scan per range partition carries the running maximum with both sums;
-    what earlier partitions hold of a key (at most one row each) is combined in
-    afterwards. Rows with a null key form one sequence."""
-    named = df.select("*", score.cast("double").alias("_score"), value.cast("double").alias("_value"))
-    rows = named.repartitionByRange(key, *order_cols).sortWithinPartitions(key, *order_cols)
-    mid = F.monotonically_increasing_id()
-    rows = rows.withColumn("_pid", F.shiftright(mid, 33).cast("int")).withColumn("_idx", mid.bitwiseAND(F.lit((1 << 33) - 1)))
-    schema = T.StructType([f for f in rows.schema.fields if f.name not in ("_score", "_value")] + [T.StructField(c, T.DoubleType()) for c in ("_m", "_l", "_s")])
-    local = materialize(rows.mapInPandas(_local_softmax(key), schema), "softmax-blocks")
-    # what each partition holds of a key that crosses a border: fewer rows than partitions
-    ends = local.groupBy("_pid", key).agg(F.max_by(F.struct("_m", "_l", "_s"), "_idx").alias("e"))
-    w = Window.partitionBy(key)
-    earlier = F.collect_list("e").over(w.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1))
-    spans = ends.withColumn("_n", F.count(F.lit(1)).over(w)).withColumn("before", earlier).where((F.col("_n") > 1) & (F.size("before") > 0))
-
-    def merge(a, b):
-        top = F.greatest(a["_m"], b["_m"])
-        x, y = F.exp(a["_m"] - top), F.exp(b["_m"] - top)
-        return F.struct(top.alias("_m"), (a["_l"] * x + b["_l"] * y).alias("_l"), (a["_s"] * x + b["_s"] * y).alias("_s"))
-
-    start = F.struct(F.lit(float("-inf")).alias("_m"), F.lit(0.0).alias("_l"), F.lit(0.0).alias("_s"))
-    carry = spans.select(F.col("_pid").alias("_cp"), F.col(key).alias("_ck"), F.aggregate("before", start, merge).alias("_c"))
+    what earlier partitions hold of a key (one row each) is combined in
+    afterwards. Rows with a null key form one sequence. A row whose score or
+    value is null weighs nothing: its mean is that of the rows before it, null
+    if there are none."""
+    missing = score.isNull() | value.isNull()
+    least = F.lit(float("-inf"))
+    named = df.select(
+        "*", F.when(missing, least).otherwise(score.cast("double")).alias("_m"), F.when(missing, 0.0).otherwise(value.cast("double")).alias("_v")
+    )
+    rows = _ranged(named, key, order_cols, partitions_for(named))
+    local = _scanned(rows, key, ["_m", "_v"], ["_M", "_L", "_S"], softmax_scan, _softmax_after)
+    local = materialize(local, "softmax-blocks")
+    state = ["_M", "_L", "_S"]
+    carry = _carried(local, key, state, _merge_scan, _softmax_after)
     j = local.join(F.broadcast(carry), (F.col("_pid") == F.col("_cp")) & F.col(key).eqNullSafe(F.col("_ck")), "left")
-    c = F.coalesce(F.col("_c"), start)
-    top = F.greatest(F.col("_m"), c["_m"])
-    x, y = F.exp(F.col("_m") - top), F.exp(c["_m"] - top)
-    mean = (F.col("_s") * x + c["_s"] * y) / (F.col("_l") * x + c["_l"] * y)
+    cm, cl, cs = F.coalesce("_c_M", least), F.coalesce("_c_L", F.lit(0.0)), F.coalesce("_c_S", F.lit(0.0))
+    top = F.greatest(F.col("_M"), cm)
+    x, y = (F.when(m == least, 0.0).otherwise(F.exp(m - top)) for m in (F.col("_M"), cm))
+    weight = F.col("_L") * x + cl * y
+    mean = F.when(weight != 0, (F.col("_S") * x + cs * y) / weight)
     return j.select(*[F.col(f"`{k}`") for k in df.columns], mean.alias(out))
 
 

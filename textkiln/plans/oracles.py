@@ -548,5 +548,13 @@ def hot_oracles(base: dict[str, str]) -> dict[str, str]:
         "(SELECT CASE WHEN conv_id % 3 = 0 THEN 0 ELSE conv_id END AS conv_id, "
         "CASE WHEN conv_id % 3 = 0 THEN conv_id * 1000000000 + turn ELSE turn END AS turn, role, text FROM conversations)"
     )
+    # a row with a null gate keeps the state: (a, b) = (1, 0); the recursion joins null users null-safely
+    odd = "(SELECT * REPLACE (CASE WHEN user_id % 5 <> 0 THEN user_id + 9007199254740992 END AS user_id, CASE WHEN event_id % 11 <> 5 THEN value END AS value) FROM events)"
+    for name, ab, h0 in (("linear_recurrence", REC_AB, "1.0"), ("liquid_filter", LIQUID_AB, "0.0")):
+        kept = f"SELECT * REPLACE (CASE WHEN a IS NULL OR b IS NULL THEN 1.0 ELSE a END AS a, CASE WHEN a IS NULL OR b IS NULL THEN 0.0 ELSE b END AS b) FROM ({ab.replace('FROM events', f'FROM {odd}')})"
+        q[f"{name}_odd_keys"] = _recursive(kept, h0).replace("e.user_id = r.user_id", "e.user_id IS NOT DISTINCT FROM r.user_id") + " SELECT coalesce(user_id::VARCHAR, 'none') AS user_key, event_id, round(h, 6) AS h FROM r"
+    q["causal_softmax_mean_odd_keys"] = base["causal_softmax_mean"].replace("FROM events", f"FROM {odd}").replace("SELECT user_id,", "SELECT coalesce(user_id::VARCHAR, 'none') AS user_key,", 1)
+    rep = "(SELECT * FROM conversations UNION ALL SELECT * FROM conversations WHERE conv_id % 3 = 0)"
+    q["chat_training_rows_repeated"] = base["chat_training_rows"].replace("FROM conversations", f"FROM {rep}")
     q["chat_training_rows_hot_key"] = base["chat_training_rows"].replace("FROM conversations", f"FROM {hot_conv}", 1)
     return q

@@ -704,6 +704,47 @@ def q_chat_training_rows_hot_key(spark, sf):
     return _chat_report(chat.chat_training_rows(hot_conversations(spark, sf), tokenizer="hashed"))
 
 
+def repeated_conversations(spark, sf) -> DataFrame:
+    """``conversations`` with every turn of every third conversation there twice."""
+    c = conversations(spark, sf)
+    return c.unionByName(c.where(F.col("conv_id") % 3 == 0))
+
+
+def q_chat_training_rows_repeated(spark, sf):
+    return _chat_report(chat.chat_training_rows(repeated_conversations(spark, sf), tokenizer="hashed"))
+
+
+# --------------------------------------------------------------------------- null and large keys, null values
+def odd_events(spark, sf) -> DataFrame:
+    """``events`` with a null user for every fifth user, ids above 2^53 for the others
+    (where doubles merge neighbours), and a null value for every eleventh event."""
+    user = F.when(F.col("user_id") % 5 != 0, F.col("user_id") + F.lit(2**53))
+    return events(spark, sf).withColumns({"user_id": user, "value": F.when(F.col("event_id") % 11 != 5, F.col("value"))})
+
+
+def user_key():
+    """The user as text, so that no comparison reads it as a double."""
+    return F.coalesce(F.col("user_id").cast("string"), F.lit("none")).alias("user_key")
+
+
+def q_linear_recurrence_odd_keys(spark, sf):
+    a, b = recurrence_inputs()
+    r = sequence.linear_recurrence(odd_events(spark, sf), "user_id", EVENT_ORDER, a, b, h0=1.0, carry=[])
+    return r.select(user_key(), "event_id", F.round("h", 6).alias("h"))
+
+
+def q_liquid_filter_odd_keys(spark, sf):
+    v = F.col("value")
+    f = sequence.liquid_filter(odd_events(spark, sf), "user_id", EVENT_ORDER, v / 50.0, (v - 50.0) / 50.0, carry=[])
+    return f.select(user_key(), "event_id", F.round("h", 6).alias("h"))
+
+
+def q_causal_softmax_mean_odd_keys(spark, sf):
+    e = odd_events(spark, sf).select("user_id", "ts", "event_id", "value")
+    c = sequence.causal_softmax_mean(e, "user_id", EVENT_ORDER, F.col("value") / 100.0, F.col("value"))
+    return c.select(user_key(), "event_id", F.round("attn", 6).alias("attn"))
+
+
 def q_batch_generate_sampled_cdf(spark, sf):
     """Temperature generation by inverse CDF (one uniform per prompt and step):
     each step touches one bucket of candidates instead of all continuations."""
