@@ -75,7 +75,16 @@ SELECT t.conv_id, turn, pos, n_turns, '<|im_start|>' || role || chr(10) || text
 FROM t JOIN m ON t.conv_id IS NOT DISTINCT FROM m.conv_id
 """
 
-_TEMPLATES = ", ".join(f"({i}, {lit(name)}, {lit(text)})" for i, (name, text) in enumerate(lic.TEMPLATES))
+
+
+def _list(values) -> str:
+    return "[" + ", ".join(_list(v) if isinstance(v, list) else lit(v) for v in values) + "]"
+
+
+_TEMPLATES = ", ".join(
+    f"({i}, {lit(name)}, {lit(text)}, {_list(needs)}::VARCHAR[][], {_list(bars)}::VARCHAR[], {weak})"
+    for i, ((name, text), (needs, bars, weak)) in enumerate(zip(lic.TEMPLATES, lic.rules(), strict=True))
+)
 
 OP4 = f"""
 WITH f AS (
@@ -84,32 +93,50 @@ WITH f AS (
 files AS (
   SELECT doc_id, text, CASE WHEN licence AND tenth THEN above || '/LICENSE' WHEN licence THEN above || '/' || d || '/LICENSE'
     ELSE above || '/' || d || '/' || doc_id || '.txt' END AS path FROM f),
+given AS (SELECT row_number() OVER () AS rid, doc_id, path, text FROM files WHERE text IS NOT NULL),
+direct AS (
+  SELECT rid, unnest(list_distinct(list_concat(
+    list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(lic.MARKER)})),
+    CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), {lit(lic.LICENCE_FILE)}) THEN [text] ELSE [] END))) AS text
+  FROM given),
+speaks AS (SELECT text FROM direct WHERE regexp_matches(text, {lit(lic.MARKER)})),
+-- header blocks: runs of adjacent lines of one kind, without comment signs
+ll AS (SELECT rid, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM (SELECT rid, string_split_regex(text, '\\r\\n|[\\r\\n\\f]') AS ls FROM given)),
+kinds AS (
+  SELECT *, CASE WHEN NOT regexp_matches(line, '[A-Za-z0-9]') THEN 0 WHEN regexp_matches(line, {lit(lic.OPENER)}) THEN NULL
+    WHEN regexp_matches(line, {lit(lic.COMMENT)}) THEN 1 ELSE 2 END AS kind FROM ll),
+cuts AS (SELECT *, coalesce(kind <> lag(kind) OVER (PARTITION BY rid ORDER BY i), false) AS cut FROM kinds),
+runs AS (
+  SELECT rid, string_agg(regexp_replace(line, {lit(lic.LEAD)}, ''), ' ' ORDER BY i) AS text
+  FROM (SELECT *, sum(cut::INTEGER) OVER (PARTITION BY rid ORDER BY i) AS run FROM cuts) GROUP BY rid, run),
+sentences AS (SELECT rid, unnest(string_split(regexp_replace(text, '([.!?])[ \\t]+', '\\1' || chr(12), 'g'), chr(12))) AS text FROM runs),
 found AS (
-  SELECT doc_id, path, md5(block) AS block, block AS text FROM (
-    SELECT doc_id, path, unnest(list_distinct(list_concat(
-      list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, {lit(lic.MARKER)})),
-      CASE WHEN regexp_matches(regexp_extract(path, '[^/]*$'), {lit(lic.LICENCE_FILE)}) AND regexp_matches(text, {lit(lic.MARKER)}) THEN [text] ELSE [] END))) AS block
-    FROM files)),
-blocks AS (SELECT block, any_value(text) AS text, count(*) AS n FROM found GROUP BY block),
-tpl(template, license, text) AS (VALUES {_TEMPLATES}),
+  SELECT DISTINCT rid, md5(text) AS block, text FROM (SELECT * FROM direct UNION ALL SELECT * FROM runs UNION ALL SELECT * FROM sentences)),
+blocks AS (SELECT block, any_value(text) AS text FROM found GROUP BY block),
+tpl(template, license, text, needs, bars, weak) AS (VALUES {_TEMPLATES}),
 bt AS (SELECT block, term, 1 + ln(count(*)) AS tf FROM (SELECT block, unnest(regexp_extract_all(lower(text), {lit(lic.TERM)})) AS term FROM blocks) GROUP BY ALL),
-tt AS (SELECT template, license, term, 1 + ln(count(*)) AS tf FROM (SELECT template, license, unnest(regexp_extract_all(lower(text), {lit(lic.TERM)})) AS term FROM tpl) GROUP BY ALL),
-total AS (SELECT coalesce(sum(n), 0) + (SELECT count(*) FROM tpl) AS t FROM blocks),
+tt AS (SELECT template, term, 1 + ln(count(*)) AS tf FROM (SELECT template, unnest(regexp_extract_all(lower(text), {lit(lic.TERM)})) AS term FROM tpl) GROUP BY ALL),
+total AS (SELECT (SELECT count(*) FROM speaks) + (SELECT count(*) FROM tpl) AS t),
 idf AS (
-  SELECT term, ln((1 + any_value(t)) / (1 + sum(n))) + 1 AS idf
-  FROM (SELECT term, n FROM bt JOIN blocks USING (block) UNION ALL SELECT term, 1 FROM tt), total GROUP BY term),
-w AS (SELECT block, term, tf * idf AS w FROM bt JOIN idf USING (term)),
-v AS (SELECT template, license, term, tf * idf AS v FROM tt JOIN idf USING (term)),
+  SELECT term, ln((1 + any_value(t)) / (1 + count(*))) + 1 AS idf
+  FROM (SELECT unnest(list_distinct(regexp_extract_all(lower(text), {lit(lic.TERM)}))) AS term FROM speaks UNION ALL SELECT term FROM tt), total GROUP BY term),
+w AS (SELECT block, bt.term, tf * coalesce(idf, ln(1 + t) + 1) AS w FROM bt LEFT JOIN idf USING (term), total),
+v AS (SELECT template, term, tf * idf AS v FROM tt JOIN idf USING (term)),
 scored AS (
-  SELECT block, license, round(sum(w * v) / (any_value(bn) * any_value(tn)), 6) AS score
+  SELECT block, template, round(sum(w * v) / (any_value(bn) * any_value(tn)), 6) AS score, any_value(told) AS told
   FROM w JOIN v USING (term) JOIN (SELECT template, sqrt(sum(v * v)) AS tn FROM v GROUP BY template) USING (template)
-  JOIN (SELECT block, sqrt(sum(w * w)) AS bn FROM w GROUP BY block) USING (block)
-  GROUP BY block, template, license),
-best AS (SELECT block, license, score FROM scored WHERE score >= {lic.LEAST_COSINE} QUALIFY row_number() OVER (PARTITION BY block ORDER BY score DESC, license) = 1),
-own AS (SELECT doc_id, path, license, score FROM found JOIN best USING (block) QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY score DESC, license) = 1),
+  JOIN (SELECT block, sqrt(sum(w * w)) AS bn, list(term) AS told FROM w GROUP BY block) USING (block)
+  GROUP BY block, template HAVING score >= {lic.LEAST_COSINE}),
+best AS (
+  SELECT block, license, weak, score FROM scored JOIN tpl USING (template)
+  WHERE len(list_filter(needs, lambda n: NOT list_has_any(n, told))) = 0 AND NOT list_has_any(bars, told)
+  QUALIFY row_number() OVER (PARTITION BY block ORDER BY weak, score DESC, license) = 1),
+own AS (
+  SELECT doc_id, path, license, weak, score FROM found JOIN best USING (block) JOIN given USING (rid)
+  QUALIFY row_number() OVER (PARTITION BY doc_id, path ORDER BY weak, score DESC, license) = 1),
 declared AS (
   SELECT regexp_replace(path, '/?[^/]*$', '') AS dir, license FROM own WHERE regexp_matches(regexp_extract(path, '[^/]*$'), {lit(lic.LICENCE_FILE)})
-  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY score DESC, license) = 1),
+  QUALIFY row_number() OVER (PARTITION BY dir ORDER BY weak, score DESC, license) = 1),
 inherited AS (
   SELECT files.doc_id, files.path, declared.dir, declared.license FROM files JOIN declared
     ON declared.dir = '' OR starts_with(regexp_replace(files.path, '/?[^/]*$', '') || '/', declared.dir || '/')
