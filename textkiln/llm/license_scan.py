@@ -31,50 +31,30 @@ COMMENT = r"^\s*(?:\*|//|#|;|--|%|(?i:dnl|rem)\s)"
 OPENER = r"^\s*(?:/\*|<!--)"
 #: What is taken off a line's beginning.
 LEAD = r"^\s*(?:/\*+|\*+/?|//+|#+|;+|--+|%+|<!--|(?i:dnl|rem)\s)?\s*"
-#: Words that tell little: not looked for as long as the others suffice to find every block.
-COMMON = "a an and any are as at be by can for found from has have i in is it may more not of on or other see that the this to under use was which will with work you".split()
-
 _MIT = (
     "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software "
     "without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit "
     "persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies "
     "or substantial portions of the Software."
 )
-_MIT_AS_IS = (
-    "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR "
-    "PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR "
-    "OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
-)
 _BSD = "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"
 _BSD_2 = (
     "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce "
     "the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."
 )
 _BSD_3 = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
-_BSD_AS_IS = (
-    "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF "
-    "MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, "
-    "SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
-    "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS "
-    "SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
-)
 _ISC = (
     "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission "
     "notice appear in all copies."
 )
-_ISC_AS_IS = (
-    "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT "
-    "SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF "
-    "CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
-)
 _GPL = "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation, either version {v} of the License, or (at your option) any later version."
 _LIBRARY = "This library is free software; you can redistribute it and/or modify it under the terms of the GNU {kind} as published by the Free Software Foundation; either version {v} of the License, or (at your option) any later version."
 _PLAIN, _LESSER, _AFFERO = "General Public License", "Lesser General Public License", "Affero General Public License"
 _CC = "This work is licensed under a Creative Commons {kind} 4.0 International License."
 
-#: What files say to name a licence: whole short texts, titles and standard headers of long ones, and short statements.
+#: What files say to name a licence: the granting paragraphs of short texts, titles and standard headers of long ones, and short statements.
 STATEMENTS = [
-    ("MIT", ["Released under the MIT License.", "Licensed under the MIT license. See LICENSE in the project root for license information.", "MIT License", f"{_MIT} {_MIT_AS_IS}", _MIT, f"MIT License {_MIT} {_MIT_AS_IS}"]),
+    ("MIT", ["Released under the MIT License.", "Licensed under the MIT license. See LICENSE in the project root for license information.", "MIT License", _MIT]),
     (
         "Apache-2.0",
         [
@@ -104,18 +84,18 @@ STATEMENTS = [
     ),
     ("LGPL-3.0", ["This work is licensed under the GNU Lesser General Public License, version 3.", _LIBRARY.format(kind=_LESSER, v=3), "GNU LESSER GENERAL PUBLIC LICENSE Version 3, 29 June 2007"]),
     ("AGPL-3.0", ["This work is licensed under the GNU Affero General Public License, version 3.", _GPL.format(kind=_AFFERO, v=3), "GNU AFFERO GENERAL PUBLIC LICENSE Version 3, 19 November 2007"]),
-    ("BSD-2-Clause", ["Licensed under the BSD 2-Clause License.", f"{_BSD}: {_BSD_2} {_BSD_AS_IS}", f"{_BSD}: {_BSD_2}"]),
+    ("BSD-2-Clause", ["Licensed under the BSD 2-Clause License.", f"{_BSD}: {_BSD_2}", _BSD_2]),
     (
         "BSD-3-Clause",
         [
             "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file.",
             _BSD,
             "Licensed under the BSD 3-Clause License.",
-            f"{_BSD}: {_BSD_2} {_BSD_3} {_BSD_AS_IS}",
             f"{_BSD}: {_BSD_2} {_BSD_3}",
+            _BSD_3,
         ],
     ),
-    ("ISC", ["Licensed under the ISC License.", "ISC License", f"{_ISC} {_ISC_AS_IS}", _ISC]),
+    ("ISC", ["Licensed under the ISC License.", "ISC License", _ISC]),
     (
         "MPL-2.0",
         [
@@ -144,13 +124,18 @@ TEMPLATES = [(name, text) for name, texts in STATEMENTS for text in texts] + [
 
 #: Terms that tell licences and their kinds apart.
 NAMES = "mit apache gnu gpl lgpl agpl lesser affero mozilla mpl eclipse epl bsl boost bsd isc creative commons cc cc0 nc noncommercial sa sharealike nd noderivatives unlicense".split()
+#: A block states a licence only with one of the key terms of the template (spellings of licence count as one).
+SPELLINGS = "license licensed licence licenced licenses licences".split()
+KEYS = [*SPELLINGS, "spdx", "permission", "redistribution", "redistributions", "endorse", "unencumbered", "domain"]
+#: Texts without this hold no key term.
+KEY = "(?i)licen[cs]|spdx|permission|redistribution|endorse|unencumbered|domain"
 
 
 def rules() -> list[tuple[list[list[str]], list[str], int]]:
     """What a block must hold to state each template: (terms, one of each list; terms it must not hold; weak).
 
-    Needed are the template's names and the numbers of its licence's name (a
-    version 2.0 may be written 2); barred are the names that no template of the
+    Needed are a key term, the template's names and the numbers of its
+    licence's name (a version 2.0 may be written 2); barred are the names that no template of the
     licence has. So a licence is not taken for another one whose statements
     read alike. A template that stands inside one of another licence is weak:
     it counts only where no other template is stated.
@@ -162,7 +147,8 @@ def rules() -> list[tuple[list[list[str]], list[str], int]]:
     out = []
     for (name, text), found in zip(TEMPLATES, terms, strict=True):
         numbers = [{x, re.sub(r"\.0$", "", x), x if "." in x else f"{x}.0"} for x in re.findall(r"[0-9]+(?:\.[0-9]+)*", name)]
-        needs = [[x] for x in sorted(found & set(NAMES))] + [sorted(x) for x in numbers if found & x]
+        keys = found & set(KEYS) | (set(SPELLINGS) if found & set(SPELLINGS) else set())
+        needs = [sorted(keys)] + [[x] for x in sorted(found & set(NAMES))] + [sorted(x) for x in numbers if found & x]
         weak = any(text in other and name != whose for whose, other in TEMPLATES)
         out.append((needs, sorted(set(NAMES) - own[name]), int(weak)))
     return out
@@ -200,27 +186,15 @@ def header_blocks(files: DataFrame) -> DataFrame:
     return rows.select("doc_id", "path", F.explode_outer(F.split(F.array_join(F.transform("_lines", breaks), " "), "\f")).alias("text"))
 
 
-def _needed(t: list, least: float) -> tuple[list[str], list[tuple[list[tuple[str, float]], float]]]:
-    """Terms of which a block that reaches ``least`` holds one, and each template's term weights with the least weight it shares.
+def _tests(t: list, least: float) -> list[tuple[list[tuple[str, float]], float]]:
+    """Each template's squared term weights, with the least sum that a block must share.
 
-    A block's cosine to a template is at most |v of shared terms| / |v|. So a
-    template's terms can be left aside, common words first, while their
-    squares stay below ``least``^2 |v|^2.
+    A block's cosine to a template is at most |v of shared terms| / |v|.
     """
     by: dict[int, list[tuple[str, float]]] = {}
     for r in t:
         by.setdefault(r["template"], []).append((r["term"], r["v"] ** 2))
-    needed, tests = set(), []
-    for terms in by.values():
-        bound = (least - 1e-6) ** 2 * sum(v for _, v in terms)
-        left = bound
-        for term, v in sorted(terms, key=lambda x: (x[0] not in COMMON, x)):
-            if term in COMMON and v < left:
-                left -= v
-            else:
-                needed.add(term)
-        tests.append((sorted(terms), bound))
-    return sorted(needed), tests
+    return [(sorted(terms), (least - 1e-6) ** 2 * sum(v for _, v in terms)) for terms in by.values()]
 
 
 def _reaches(terms: Column, tests: list) -> Column:
@@ -231,17 +205,17 @@ def _reaches(terms: Column, tests: list) -> Column:
     return F.exists(rows, lambda x: shared(x) >= x["bound"])
 
 
-def _near(rows: DataFrame, blocks: Column, needed: list[str], tests: list) -> DataFrame:
-    """(doc_id, path, text): the blocks of every row that could reach a template.
+def _near(rows: DataFrame, blocks: Column, tests: list) -> DataFrame:
+    """(doc_id, path, text): the blocks of every row that hold a key term and could reach a template.
 
     Terms leave the generator with their block: a filter on a plain column
     would compute them anew for every template term.
     """
     words = lambda x: F.split(F.lit(" ".join(sorted(x))), " ")
-    looked = words({term for ts, _ in tests for term, _ in ts})
-    with_terms = F.transform(blocks, lambda x: F.struct(x.alias("text"), F.array_intersect(F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)), looked).alias("terms")))
+    looked = words({term for ts, _ in tests for term, _ in ts} | set(KEYS))
+    with_terms = F.transform(F.filter(blocks, lambda x: x.rlike(KEY)), lambda x: F.struct(x.alias("text"), F.array_intersect(F.regexp_extract_all(F.lower(x), F.lit(TERM), F.lit(0)), looked).alias("terms")))
     each = rows.select("doc_id", "path", F.explode_outer(with_terms).alias("p"))  # the inner form computes its array twice
-    return each.where(F.arrays_overlap("p.terms", words(needed))).where(_reaches(F.col("p.terms"), tests)).select("doc_id", "path", "p.text")
+    return each.where(F.arrays_overlap("p.terms", words(KEYS))).where(_reaches(F.col("p.terms"), tests)).select("doc_id", "path", "p.text")
 
 
 def _idf(speaks: DataFrame, known: DataFrame) -> tuple[DataFrame, float]:
@@ -294,9 +268,11 @@ def scan(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     rows that share id and path share their blocks. Equal blocks are scored
     once. An empty table gives an empty result.
 
-    A block's cosine is at most the length of a template's terms that it
-    holds over that template's whole length; blocks that cannot reach ``least``
-    by that are left out where they lie, so no term of theirs is ever a row.
+    A block states a licence only with a key term, the names and the version
+    of the template (see ``rules``). Its cosine is at most the length of the
+    template's terms that it holds over that template's whole length; blocks
+    without a key term and blocks that cannot reach ``least`` by that are left
+    out where they lie, so no term of theirs is ever a row.
     """
     name = F.regexp_extract("path", "[^/]*$", 0)
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(MARKER))
@@ -308,12 +284,13 @@ def scan(files: DataFrame, least: float = LEAST_COSINE) -> DataFrame:
     idf, rare = _idf(given.where(F.col("text").rlike(MARKER)).select(F.explode(marked).alias("text")), known)
     t = _terms(known, "template").join(idf, "term").select("template", "term", (F.col("tf") * F.col("idf")).alias("v"))
     t = cut(t, "license-templates")
-    needed, tests = _needed(t.collect(), least)
+    tests = _tests(t.collect(), least)
     # lines, licence files, header blocks and their sentences that could reach a template
-    direct = given.select("doc_id", "path", F.array_distinct(F.concat(lines, whole)).alias("parts")).where(F.size("parts") > 0)
-    runs = _near(header_blocks(given), F.array("text"), needed, tests)
-    parts = _near(runs, F.array_distinct(F.concat(F.array("text"), F.split("text", r"(?<=[.!?])[ \t]+"))), needed, tests)
-    found = cut(_near(direct, F.col("parts"), needed, tests).unionByName(parts).select("doc_id", "path", F.md5("text").alias("block"), "text"), "license-blocks")
+    key = given.where(F.col("text").rlike(KEY))
+    direct = key.select("doc_id", "path", F.array_distinct(F.concat(lines, whole)).alias("parts")).where(F.size("parts") > 0)
+    runs = _near(header_blocks(key), F.array("text"), tests)
+    parts = _near(runs, F.array_distinct(F.concat(F.array("text"), F.split("text", r"(?<=[.!?])[ \t]+"))), tests)
+    found = cut(_near(direct, F.col("parts"), tests).unionByName(parts).select("doc_id", "path", F.md5("text").alias("block"), "text"), "license-blocks")
     blocks = found.groupBy("block").agg(F.first("text").alias("text"))
     stated = found.select("doc_id", "path", "block").join(block_licenses(blocks, t, known, idf, rare, least), "block")
     best = stated.groupBy("doc_id", "path").agg(F.min(_rank("score", "weak", "license")).alias("b"))
