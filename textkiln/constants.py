@@ -46,3 +46,6 @@ BPE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\
 # the same pattern without the look-ahead; RE2 (DuckDB) accepts it
 PIECE_PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+"""
 # ---------------------------------------------------------------------------
+
+#: Global steps after which the streamed batch plan (a query) ends.
+STREAM_STEPS = 5

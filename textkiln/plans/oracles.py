@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textkiln.constants import EOT, SEED
+from textkiln.constants import EOT, SEED, STREAM_STEPS
 from textkiln.plans.sqlparts import arr_md5, count_valid, hashed_ids, pad, seeded_key, u32
 
 DOC_TOKENS = f"""doc_tokens AS (
@@ -99,6 +99,7 @@ s AS (SELECT *, count(*) OVER (PARTITION BY global_step) AS step_rows FROM p)
 SELECT doc_id, shuffle_rank, micro_step::BIGINT AS micro_step, global_step::BIGINT AS global_step, step_rows = 128 AS step_complete FROM s"""
 
     q["batch_plan"] = plan("documents")
+    q["stream_batch_plan"] = f"SELECT doc_id, shuffle_rank, micro_step, global_step FROM ({plan('documents')}) WHERE global_step <= {STREAM_STEPS}"
     q["batch_plan_with_empty"] = plan(BLANKED)
     q["packing_report"] = f"""{CORPUS_ROWS},
 a AS (
@@ -471,6 +472,7 @@ FROM gen GROUP BY prompt_id"""
 def misc_oracles(base: dict[str, str]) -> dict[str, str]:
     q: dict[str, str] = {}
     q["stream_prepare"] = base["corpus_training_rows"]
+    q["stream_reordered"] = base["liquid_filter"].replace("round(h, 6) AS h FROM r", "round(h, 6) AS h, false AS late FROM r")
     q["stream_liquid_filter"] = base["liquid_filter"].replace("round(h, 6) AS h FROM r", "round(h, 6) AS h, false AS late FROM r")
     q["write_corpus_rows"] = f"""{CORPUS_ROWS.replace("FROM documents WHERE", f"FROM {BLANKED} WHERE")}
 SELECT doc_id, {SHUF_KEY} AS shuffle_key, ({u32(seeded_key('shard', str(SEED), '0', 'doc_id'))} % 2)::INTEGER AS shard, crop_start::BIGINT AS crop_start,

@@ -8,12 +8,15 @@ columns are reported as md5 fingerprints plus scalar statistics.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from textkiln.constants import MAX_NEW_CHAT, SEQ_LEN, USER_PREFIX, USER_SUFFIX
+from textkiln.constants import MAX_NEW_CHAT, SEED, SEQ_LEN, STREAM_STEPS, USER_PREFIX, USER_SUFFIX
 from textkiln.functions.arrays import array_md5, count_valid
 from textkiln.functions.gates import clamp, sigmoid, softplus
+from textkiln.functions.hashing import seeded_hash_hex, seeded_u32
 from textkiln.functions.text import pretokenize
 from textkiln.functions.vectors import dot, l2_norm, rms_norm
 from textkiln.operators import chat, evaluation, generation, sampling, sequence, tokens, vectors
@@ -21,7 +24,7 @@ from textkiln.plans import heldout, training
 from textkiln.session import checkpoint_dir, materialize
 from textkiln.sources import sinks
 from textkiln.sources.corpus import chat_scan, concat_prefix, corpus_scan, nest_conversations, table_path, unnest_conversations
-from textkiln.streaming import corpus_stream, liquid_state
+from textkiln.streaming import corpus_stream, event_time, liquid_state, step_stream
 
 
 def documents(spark: SparkSession, sf: str, cols=("doc_id", "text", "lang", "source")) -> DataFrame:
@@ -500,9 +503,33 @@ def q_stream_liquid_filter(spark, sf):
     return out.select("user_id", "event_id", F.round("h", 6).alias("h"), "late")
 
 
-def q_training_rows_sink(spark, sf):
-    import uuid
+def q_stream_reordered(spark, sf):
+    """Events that arrive up to an hour after their time, in files of arrival order:
+    the watermark and a reorder buffer give every key its rows in event order."""
+    log = spark.read.schema(EVENTS_SCHEMA).parquet(table_path(sf, "events"))
+    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(seeded_u32("arrival", F.col("event_id")), F.lit(3_600_000_000))
+    end = log.agg(F.max("ts").alias("ts"), F.max(arrival).alias("_arrival")).select(
+        *[(F.col("ts") + F.expr("INTERVAL 2 HOURS") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.schema.fields], (F.col("_arrival") + 1).alias("_arrival")
+    )  # a heartbeat at the end lets the last rows out
+    arrived = log.withColumn("_arrival", arrival).unionByName(end)
+    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(arrived, order=["_arrival", "event_id"]), schema=EVENTS_SCHEMA)
+    v = F.col("value")
+    with event_time.state_store(spark):
+        out = corpus_stream.run_to_table(event_time.stream_ordered_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-reordered")
+    return out.select("user_id", "event_id", F.round("h", 6).alias("h"), "late")
+
 
+def q_stream_batch_plan(spark, sf):
+    """Documents in shuffled order as a stream of files: steps are counted across
+    micro-batches, and the stream stops after a step."""
+    docs = documents(spark, sf, ("doc_id", "text")).where(F.length("text") > 0).select("doc_id", seeded_hash_hex("shuf", SEED, 0, F.col("doc_id")).alias("key"))
+    stream = corpus_stream.corpus_stream(spark, corpus_stream.feed(docs, order=["key", "doc_id"]), schema="doc_id BIGINT, key STRING")
+    base = f"{checkpoint_dir(spark).rstrip('/')}/stream-plan-{uuid.uuid4().hex}"
+    plan = step_stream.run_steps(stream, base, ["key", "doc_id"], max_steps=STREAM_STEPS)
+    return plan.select("doc_id", F.col("rank").alias("shuffle_rank"), "micro_step", "global_step")
+
+
+def q_training_rows_sink(spark, sf):
     rows = sampling.shard(corpus_rows(spark, sf), 2).select("doc_id", "shard", "input_ids", "labels")
     path = f"{checkpoint_dir(spark).rstrip('/')}/training-rows-{uuid.uuid4().hex}"
     sinks.write_training_rows(rows, path)
@@ -518,8 +545,6 @@ def q_training_rows_sink(spark, sf):
 
 def q_write_corpus_rows(spark, sf):
     """One epoch written in shuffled order within each shard, read back."""
-    import uuid
-
     path = f"{checkpoint_dir(spark).rstrip('/')}/corpus-rows-{uuid.uuid4().hex}"
     training.write_corpus_rows(blanked(spark, sf), path, tokenizer="hashed")
     return spark.read.parquet(path).select(
@@ -535,8 +560,6 @@ def q_write_corpus_rows(spark, sf):
 def q_resume_remaining(spark, sf):
     """A run stopped after 3 steps of epoch 0, resumed, and stopped after 1 step of
     epoch 1: what its ledger leaves of either epoch."""
-    import uuid
-
     path = f"{checkpoint_dir(spark).rstrip('/')}/ledger-{uuid.uuid4().hex}"
     docs = documents(spark, sf, ("doc_id", "text"))
     out = None

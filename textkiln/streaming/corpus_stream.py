@@ -49,14 +49,30 @@ def feed(df: DataFrame, slices: int = 4, order: str | Sequence[str] | None = Non
     keys = [order] if isinstance(order, str) else list(order)
     ranked = running_totals(in_order(df, keys, "feed"), [], {"_rank": F.lit(1)})
     size = -(-total // files)
-    staged = f"{base}-slices"
-    ranked.select(*df.columns, F.floor((F.col("_rank") - 1) / size).cast("int").alias("_slice")).write.partitionBy("_slice").parquet(staged)
-    # a file source takes files by their time, so each slice is written after the one before
-    for k in range(-(-total // size)):
-        spark.read.schema(df.schema).parquet(f"{staged}/_slice={k}").coalesce(1).write.mode("append").parquet(base)
+    # one job writes all slices, a task each; the folder lists them in order
+    used = -(-total // size)
+    slice_no = F.floor((F.col("_rank") - 1) / size).cast("int")
+    placed = ranked.repartitionById(used, slice_no).sortWithinPartitions("_rank").select(*[F.col(f"`{c}`") for c in df.columns])
+    placed.write.parquet(base)
+    in_listed_order(spark, base)
     return base
 
 
+def in_listed_order(spark: SparkSession, folder: str) -> None:
+    """Give a folder's data files ascending times in the order of their names: a file
+    source takes files by their time. Only metadata is touched (a store must allow it,
+    as HDFS and local folders do)."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = sorted((s.getPath().getName(), s) for s in fs.listStatus(path) if s.getPath().getName().startswith("part-"))
+    if not found:
+        return
+    last = max(s.getModificationTime() for _, s in found)
+    for k, (_, s) in enumerate(found):
+        fs.setTimes(s.getPath(), last - 1000 * (len(found) - k), -1)
+
+
 def stream_prepare(stream: DataFrame, tokenizer: str = "bpe", seed: int = 42, epoch: int = 0) -> DataFrame:
     """Streaming training rows: the batch operators applied row by row."""
     t = tokens.tokenize(stream.select("doc_id", "text"), tokenizer=tokenizer)
