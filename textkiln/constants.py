@@ -23,6 +23,8 @@ STEPS_PER_EPOCH = 25000
 CHAT_GRAD_ACCUM = 16
 # base shuffle seed; the per-epoch seed is SEED + 1000 * epoch + resume_step
 SEED = 42
+# rows of the shuffle buffer of a streamed corpus
+SHUFFLE_BUFFER = 1000
 # sampling temperature of prompt evaluation
 TEMPERATURE = 0.8
 # trailing mean window of the loss curve

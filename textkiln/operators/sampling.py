@@ -7,13 +7,15 @@ shards are disjoint and complete by construction.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textkiln.constants import BATCH_SIZE, EOT, GRAD_ACCUM, IGNORE, SEED, SEQ_LEN
+from textkiln.constants import BATCH_SIZE, EOT, GRAD_ACCUM, IGNORE, SEED, SEQ_LEN, SHUFFLE_BUFFER
 from textkiln.functions.arrays import count_valid, pad_to, tail
 from textkiln.functions.hashing import seeded_hash_hex, seeded_u32
-from textkiln.operators.ranking import global_rank
+from textkiln.operators.ranking import global_rank, in_order, numbered
 
 
 def seeded_shuffle(df: DataFrame, id_col: str = "doc_id", seed: int = SEED, epoch: int = 0, out: str = "shuffle_rank") -> DataFrame:
@@ -26,6 +28,24 @@ def seeded_shuffle(df: DataFrame, id_col: str = "doc_id", seed: int = SEED, epoc
     return global_rank(d, "_shuf", id_col, out=out).drop("_shuf")
 
 
+def buffered_shuffle(
+    df: DataFrame, order: Sequence[str | Column], id_col: str = "doc_id", buffer: int = SHUFFLE_BUFFER, seed: int = SEED, epoch: int = 0, out: str = "shuffle_rank"
+) -> DataFrame:
+    """Shuffle of a stream in the given order by a buffer: ``out`` = 0-based place.
+
+    A row at position ``p`` leaves at tick ``p + d``, where ``d`` in
+    ``[0, buffer)`` is drawn from its id; rows of one tick leave in the order of
+    their draws. So no row moves by ``buffer`` places or more, a buffer of 1
+    keeps the order, and a retry gives the same one. Positions and places are
+    counted over range partitions; only the order's columns, the id and the draw
+    are sorted. Rows without an id draw like any other."""
+    draw = seeded_u32("buffer", seed, epoch, F.coalesce(F.col(id_col).cast("string"), F.lit("none")))
+    placed = numbered(in_order(df.withColumn("_draw", draw), [*order, "_draw"], "buffer-order"), "_place")
+    tick = F.col("_place") + F.floor(F.col("_draw") * F.lit(buffer) / F.lit(1 << 32)).cast("long")
+    left = numbered(in_order(placed.withColumn("_tick", tick), ["_tick", "_draw", "_place"], "buffer-ticks"), out)
+    return left.drop("_draw", "_place", "_tick")
+
+
 def shard(df: DataFrame, num_shards: int, id_col: str = "doc_id", seed: int = SEED, epoch: int = 0, out: str = "shard") -> DataFrame:
     """Assign each row to one of ``num_shards`` workers."""
     return df.withColumn(out, F.pmod(seeded_u32("shard", seed, epoch, F.col(id_col)), F.lit(num_shards)).cast("int"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from textkiln.constants import EOT, SEED, STREAM_STEPS
+from textkiln.constants import EOT, SEED, SHUFFLE_BUFFER, STREAM_STEPS
 from textkiln.plans.sqlparts import arr_md5, count_valid, hashed_ids, pad, seeded_key, u32
 
 DOC_TOKENS = f"""doc_tokens AS (
@@ -99,6 +99,9 @@ s AS (SELECT *, count(*) OVER (PARTITION BY global_step) AS step_rows FROM p)
 SELECT doc_id, shuffle_rank, micro_step::BIGINT AS micro_step, global_step::BIGINT AS global_step, step_rows = 128 AS step_complete FROM s"""
 
     q["batch_plan"] = plan("documents")
+    q["buffered_shuffle"] = f"""WITH p AS (
+  SELECT doc_id, row_number() OVER (ORDER BY doc_id) - 1 AS place, {u32(seeded_key('buffer', str(SEED), '0', 'doc_id'))} AS draw FROM documents)
+SELECT doc_id, (row_number() OVER (ORDER BY place + floor(draw * {SHUFFLE_BUFFER}::DOUBLE / 4294967296), draw, place) - 1)::BIGINT AS shuffle_rank FROM p"""
     q["stream_batch_plan"] = f"SELECT doc_id, shuffle_rank, micro_step, global_step FROM ({plan('documents')}) WHERE global_step <= {STREAM_STEPS}"
     q["batch_plan_with_empty"] = plan(BLANKED)
     q["packing_report"] = f"""{CORPUS_ROWS},

@@ -529,6 +529,12 @@ def q_stream_batch_plan(spark, sf):
     return plan.select("doc_id", F.col("rank").alias("shuffle_rank"), "micro_step", "global_step")
 
 
+def q_buffered_shuffle(spark, sf):
+    """The corpus in id order, shuffled by a buffer of 1,000 rows."""
+    d = spark.read.parquet(table_path(sf, "documents")).select("doc_id")
+    return sampling.buffered_shuffle(d, ["doc_id"])
+
+
 def q_training_rows_sink(spark, sf):
     rows = sampling.shard(corpus_rows(spark, sf), 2).select("doc_id", "shard", "input_ids", "labels")
     path = f"{checkpoint_dir(spark).rstrip('/')}/training-rows-{uuid.uuid4().hex}"
