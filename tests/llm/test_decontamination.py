@@ -91,3 +91,21 @@ def test_odd_rows(spark, frame):
     assert D.leaks(frame([]), bench).count() == 0
     assert D.leaks(frame(ODD), bench.where("false")).count() == 0
     assert D.drop_contaminated(frame(ODD), bench.where("false")).count() == len(ODD)
+
+
+def test_items_of_a_few_words_are_one_tile(spark, frame):
+    rows = [
+        (1, "here is a Short, four word item! and more", "en", "a"),
+        (2, "short four word things and word item", "en", "a"),
+        (3, "x short four", "en", "a"),
+        (4, "word item", "en", "a"),
+        (5, "lonely lonely", "en", "a"),
+        (6, "short four word item short four word item", "en", "a"),
+    ]
+    bench = spark.createDataFrame([(10, "short four word item"), (11, "Lonely?"), (12, "!!"), (13, ""), (14, "four word"), (15, "short four word item")], "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, r.covered, r.item_words, [tuple(t) for t in r.tiles]) for r in D.leaks(frame(rows), bench).collect())
+    want = [(1, 10, 4, 4, [(3, 0, 4)]), (1, 14, 2, 2, [(4, 0, 2)]), (1, 15, 4, 4, [(3, 0, 4)]), (2, 14, 2, 2, [(1, 0, 2)]), (5, 11, 1, 1, [(0, 0, 1)])]
+    want += [(6, 10, 4, 4, [(0, 0, 4)]), (6, 14, 2, 2, [(1, 0, 2)]), (6, 15, 4, 4, [(0, 0, 4)])]
+    assert got == sorted(want)
+    assert {r.doc_id for r in D.drop_contaminated(frame(rows), bench).collect()} == {3, 4}
+    assert D.drop_contaminated(frame(ODD), bench).count() == len(ODD)

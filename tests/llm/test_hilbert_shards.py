@@ -91,3 +91,14 @@ def test_a_group_of_copies_spreads(frame):
     rows = H.shard_rows(frame([(i, "same text", "en", "a") for i in range(400)])).collect()
     check_rows_law(rows)
     assert len({r.shard for r in rows}) == 40
+
+
+def test_cut_points_are_quantiles_of_all_values(spark, frame):
+    n = 20_000  # more values than any dictionary, each as frequent as the others
+    many = spark.range(n).select(F.format_string("h%06d", "id").alias("source"))
+    cuts = H.cut_points(many, "source")
+    assert cuts == [f"h{-(-n * k // 16):06d}" for k in range(1, 16)]
+    hot = spark.range(300).select(F.when(F.col("id") < 100, "m").otherwise(F.concat(F.lit("v"), F.col("id").cast("string"))).alias("source"))
+    cuts = H.cut_points(hot.unionByName(spark.createDataFrame([(None,), ("é",)], "source string")), "source")
+    assert len(cuts) <= 15 and "m" not in cuts and cuts == sorted(cuts, key=str.encode)
+    assert H.cut_points(frame([]), "source") == [] and H.cut_points(frame([(1, "x", "en", "a")]), "source") == []

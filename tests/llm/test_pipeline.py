@@ -21,7 +21,7 @@ def test_stages_equal_brute_force(spark, sf):
         rows[name] = frames[-1].collect()
     assert all(f.columns == docs.columns for f in frames[:-1])
     lang = {r.doc_id for r in rows["language_id"]}
-    assert lang == {r.doc_id for r in docs.collect()}  # all are prose: clean documents stay
+    assert lang == {r.doc_id for r in docs.collect()}  # all are prose: clean documents stay (foreign ones: below)
     own = [(r.doc_id, r.text) for r in rows["language_id"]]
     kept = {r.doc_id for r in rows["simhash_near_dedup"]}
     assert kept == {d for d, _, c in components_by_hand(own) if d == c}
@@ -45,6 +45,14 @@ def test_stages_on_odd_rows(spark, sf, frame, rows):
         out.collect()
 
 
+def test_foreign_text_and_noise_go_and_clean_documents_stay(spark, sf):
+    docs = table(spark, sf, "documents")
+    foreign = ["Это простой русский текст о погоде и о жизни в большом городе. ", "これは日本語の文章です。天気と生活について。 ", "asdfkj qwpoeiru zxmcnvb qwoeiruty alskdjfh zmxncbv qpwoeir ghjkl "]
+    new = spark.createDataFrame([(10**6 + i, t * (1 + i % 7), None, "s", 9) for i, t in enumerate(foreign * 7)], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = {r.doc_id for r in P.language(spark, docs.unionByName(new), sf).collect()}
+    assert kept == {r.doc_id for r in docs.collect()}
+
+
 def test_languages_that_are_not_recognised_go(spark, sf, frame):
     rows = [(i, "the dog and the cat are running here", "en", "a") for i in range(30)] + [(100, "123 456", "en", "a"), (101, None, "en", "a"), (102, "", "en", "a")]
     assert sorted(r.doc_id for r in P.language(spark, frame(rows), sf).collect()) == list(range(30))

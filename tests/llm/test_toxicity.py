@@ -67,3 +67,12 @@ def test_ordinary_word_that_starts_like_a_toxic_one(spark, frame):
     lab = spark.createDataFrame([(d, 0, int(d >= 500)) for d, *_ in docs], "doc_id long, quality int, toxic int")
     out = {r.doc_id: r.predicted for r in X.score_documents(frame(docs + [(900, "a workshop of hard work", "en", "a"), (901, "so worthless", "en", "a")]), lab).collect()}
     assert out[900] == 0 and out[901] == 1
+
+
+def test_long_words_that_share_a_start_are_two_features(spark, frame):
+    assert len({X.features(w)[0] for w in ("x" * 41, "x" * 42, "x" * 40 + "y", "x" * 40)}) == 4
+    bad, fine = "z" * 60 + "bad", "z" * 60 + "fine"
+    docs = [(i, f"some text {i} {fine}", "en", "a") for i in range(80)] + [(500 + i, f"some text {i} {bad}", "en", "a") for i in range(40)]
+    lab = spark.createDataFrame([(d, 0, int(d >= 500)) for d, *_ in docs], "doc_id long, quality int, toxic int")
+    out = {r.doc_id: r.predicted for r in X.score_documents(frame(docs + [(900, f"new words {fine}", "en", "a"), (901, f"new words {bad}", "en", "a")]), lab).collect()}
+    assert out[900] == 0 and out[901] == 1

@@ -8,11 +8,11 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textkiln.operators.ranking import in_order, running_totals  # noqa: F401
+from textkiln.operators.ranking import in_order, numbered, running_totals  # noqa: F401
 from textkiln.session import materialize
 
 #: Rows of one Arrow batch turned into Python objects at a time, and bytes of their
@@ -43,16 +43,6 @@ def checked_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
 
 
-def numbered(ordered: DataFrame, out: str = "n") -> DataFrame:
-    """An ``in_order`` table with ``out``, the row's number in the whole order from 0, without a shuffle of its rows."""
-    sizes = ordered.groupBy(F.col("_pid").alias("_p")).agg(F.count(F.lit(1)).alias("_rows"))
-    before = F.sum("_rows").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1))
-    # one row per range partition: a proven bound for the window and the broadcast
-    base = sizes.select("_p", F.coalesce(before, F.lit(0)).alias("_base"))
-    named = [F.col(f"`{c}`") for c in ordered.columns if c not in ("_pid", "_idx", out)]
-    return ordered.join(F.broadcast(base), F.col("_pid") == F.col("_p")).select(*named, (F.col("_base") + F.col("_idx")).alias(out))
-
-
 def is_third(doc_id: Column, modulus: int, remainder: int) -> Column:
     """Whether crc32 of the id's text leaves ``remainder`` modulo ``modulus`` (null id: false)."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % F.lit(modulus) == F.lit(remainder), F.lit(False))

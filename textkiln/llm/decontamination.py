@@ -121,7 +121,13 @@ class Block:
     def __init__(self, items: list[tuple], least: int):
         self.least = least
         self.vocabulary: dict[str, int] = {}
-        self.items = [(key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)) for key, words in items]
+        every = [(key, np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)) for key, words in items]
+        self.items = [x for x in every if len(x[1]) >= least]
+        #: Items too short for a seed, by length and hash; each is one tile of its whole length.
+        self.short: dict[int, dict[int, list[tuple]]] = {}
+        for key, ids in every:
+            if len(ids) < least:
+                self.short.setdefault(len(ids), {}).setdefault(int(rolling(ids, len(ids))[0]), []).append((key, ids))
         hashes = [rolling(ids, least) for _, ids in self.items]
         sizes = [len(h) for h in hashes]
         seeds = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
@@ -135,6 +141,20 @@ class Block:
         get = self.vocabulary.get
         return np.array([get(w, -1) if w else -2 for w in map(normal, tokens)], np.int64)
 
+    def match_short(self, ids: np.ndarray, of: np.ndarray, out: list[list]) -> None:
+        """Add the short items that documents hold word for word; ``of`` is the document of each word."""
+        for size, known in self.short.items():
+            hashes = rolling(ids, size)
+            inside = of[size - 1 :] == of[: len(of) - size + 1]
+            starts = np.searchsorted(of, np.arange(len(out)))
+            seen = set()
+            for at in np.flatnonzero(inside & np.isin(hashes, np.array(list(known), np.uint64))).tolist():
+                for k, (key, item) in enumerate(known[int(hashes[at])]):
+                    d = int(of[at])
+                    if (d, int(hashes[at]), k) not in seen and (ids[at : at + size] == item).all():
+                        seen.add((d, int(hashes[at]), k))
+                        out[d].append({"item_id": key, "covered": size, "item_words": size, "tiles": [{"doc_word": at - int(starts[d]), "item_word": 0, "words": size}]})
+
     def match(self, ids: np.ndarray, at: np.ndarray, coverage: float) -> list[dict]:
         """Items whose tiles in a document cover enough, given its word numbers and the starts of its seeds."""
         spans = np.zeros(len(ids) + 1, np.int64)
@@ -163,12 +183,12 @@ class Block:
         return out
 
 
-def _blocks(benchmark: DataFrame, item_id: str, text: str, least: int, block_words: int) -> Iterator[list[tuple]]:
-    """Items of at least ``least`` words, in blocks; one partition of the benchmark is on the driver at a time."""
+def _blocks(benchmark: DataFrame, item_id: str, text: str, block_words: int) -> Iterator[list[tuple]]:
+    """Items with a word, in blocks; one partition of the benchmark is on the driver at a time."""
     block, size = [], 0
     for row in benchmark.select(item_id, text).toLocalIterator():
         words = words_of(row[1])
-        if len(words) < least:
+        if not words:
             continue
         if block and size + len(words) > block_words:
             yield block
@@ -208,6 +228,7 @@ def _match_block(docs: DataFrame, items: list[tuple], id_type: T.DataType, text:
                 for d in np.unique(of[at]).tolist():
                     a, b = starts[d], starts[d + 1]
                     out[d] = block.match(ids[a:b], at[(at >= a) & (at < b)] - a, coverage)
+            block.match_short(ids, of, out)
             return [out]
 
         return work
@@ -220,14 +241,15 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
     ``covered`` counts the item's words in tiles; a tile gives its first word
     in the document and the item (words as ``words_of`` counts them) and its
-    length. Null and empty texts match nothing, nor do items of fewer than
-    ``least`` words. Repeated rows on either side give repeated result rows;
+    length. An item of fewer than ``least`` words is one tile: a document
+    holds it if it has all its words in a row. Null and empty texts and items
+    without a word match nothing. Repeated rows on either side give repeated result rows;
     empty tables an empty result.
     """
     own = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").alias("text"))
     kind = benchmark.schema[item_id].dataType
     out = None
-    for items in _blocks(benchmark, item_id, item_text, least, block_words):
+    for items in _blocks(benchmark, item_id, item_text, block_words):
         part = _match_block(own, items, kind, "text", least, coverage).select("doc_id", F.explode("_found").alias("f")).select("doc_id", "f.*")
         out = part if out is None else out.unionByName(part)
     if out is None:
@@ -237,8 +259,13 @@ def leaks(docs: DataFrame, benchmark: DataFrame, doc_id: str = "doc_id", text: s
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text", least: int = MIN_MATCH, coverage: float = COVERAGE, block_words: int = BLOCK_WORDS) -> DataFrame:
-    """``docs`` without the rows that hold a test item; every row is judged by its own text."""
+    """``docs`` without the rows that hold a test item (see ``leaks``); every row is judged by its own text.
+
+    Rows with a null, empty or blank text stay, repeated rows stay or go
+    together, all columns are kept as they are; without items, or without
+    rows, nothing changes.
+    """
     kind = benchmark.schema[item_id].dataType
-    for items in _blocks(benchmark, item_id, item_text, least, block_words):
+    for items in _blocks(benchmark, item_id, item_text, block_words):
         docs = _match_block(docs, items, kind, text, least, coverage).where(F.size("_found") == 0).select(*[F.col(f"`{c}`") for c in docs.columns])
     return docs

@@ -13,13 +13,11 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from textkiln.llm.common import in_order
+from textkiln.llm.common import in_order, running_totals
 
 SHARDS = 40
 #: Bits of each dimension.
 BITS = 4
-#: Most frequent values of a string dimension that its cut points are taken from (a bound; every row is placed).
-DICTIONARY = 4096
 #: Bytes that a row takes beside its text.
 ROW_BYTES = 16
 LAW = "rows"
@@ -36,15 +34,21 @@ def log_class(value: Column, first: int = 4, bits: int = BITS) -> Column:
     return F.coalesce(F.least(F.greatest(F.floor(F.log2(value)) - F.lit(first), F.lit(0)), F.lit(top)), F.lit(0)).cast("long")
 
 
-def cut_points(df: DataFrame, dim: str, bits: int = BITS, dictionary: int = DICTIONARY) -> list[str]:
-    """Up to 2^bits - 1 values that split the rows into classes of similar size, in value order."""
-    rows = df.where(F.col(dim).isNotNull()).groupBy(dim).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), dim).limit(dictionary).collect()
-    total, seen, cuts = sum(r["n"] for r in rows), 0, []
-    for r in sorted(rows, key=lambda r: r[dim].encode()):
-        if seen and seen * (1 << bits) >= total * (len(cuts) + 1) and len(cuts) < (1 << bits) - 1:
-            cuts.append(r[dim])
-        seen += r["n"]
-    return cuts
+def cut_points(df: DataFrame, dim: str, bits: int = BITS) -> list[str]:
+    """Up to 2^bits - 1 values that split the rows into classes of similar size, in value order.
+
+    Exact weighted quantiles over all values: a value's class follows from the
+    rows before it, and the least value of each class but the first is a cut.
+    Values are counted and summed in Spark; only the cuts reach the driver.
+    """
+    counts = df.where(F.col(dim).isNotNull()).groupBy(F.col(dim).alias("value")).agg(F.count(F.lit(1)).alias("rows"))
+    upto = running_totals(in_order(counts, ["value"], "shard-values"), [], {"upto": F.col("rows")})
+    total = upto.agg(F.max("upto")).first()[0]
+    if not total:
+        return []
+    level = F.floor((F.col("upto") - F.col("rows")) * F.lit(1 << bits) / F.lit(total))
+    least = upto.groupBy(level.alias("level")).agg(F.min("value").alias("value")).where("level > 0")
+    return sorted((r["value"] for r in least.collect()), key=str.encode)
 
 
 def value_class(value: Column, cuts: Sequence[str]) -> Column:
@@ -127,7 +131,10 @@ def assign(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", dims: Se
 def shard_rows(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """The shard and slot of every row of ``docs`` (doc_id, text, lang, source), without the texts.
 
-    Sizes and checksums are taken at the scan, so no text is shuffled.
+    Sizes and checksums are taken at the scan, so no text is shuffled. Nulls
+    are classed and sized as ``assign`` states; rows without an id come first
+    on their place of the curve, repeated rows get slots of their own, and an
+    empty table gives an empty result.
     """
     sized = docs.select("doc_id", "lang", "source", text_size(F.col("text")).alias("size"), F.coalesce(F.crc32("text"), F.lit(0)).cast("long").alias("text_crc32"))
     classes = {f"_d{i}": value_class(F.col(d), cut_points(docs, d)) for i, d in enumerate(("lang", "source"))}

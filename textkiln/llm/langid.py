@@ -9,13 +9,14 @@ Spark aggregation of expected piece counts.
 
 from __future__ import annotations
 
+import math
 from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import regex
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -30,6 +31,9 @@ EM_STEPS = 3
 SMOOTHING = 0.1
 #: Words of up to so many characters go through the vectorised pass, in blocks padded to these lengths.
 PADDED = (8, 12, 16, 24, 32)
+#: Nats by which a letter of a text may be less likely than in its language's own texts (see ``recognised``).
+MARGIN = 1.6
+NOISE = 6.0
 WORD_START = "▁"
 LETTERS = regex.compile(r"\p{L}+")
 _BASE = np.uint64(1_000_003)
@@ -177,15 +181,16 @@ def log_likelihoods(words: list[str], pieces: Pieces, probs: np.ndarray) -> np.n
 def expected_counts(words: list[str], weights: np.ndarray, langs: np.ndarray, pieces: Pieces, probs: np.ndarray) -> np.ndarray:
     """Expected uses of every piece by language, words weighted, by forward and backward passes.
 
-    Words longer than the longest padded length are left out of the fit.
+    A word beyond the longest padded length goes through by itself, in logarithms.
     """
     total = np.zeros(probs.shape[1] * pieces.count)
     for at, codes, sizes in _blocks(words):
         n, width = codes.shape
-        if width > PADDED[-1]:
-            continue
         lang = langs[at]
         arcs = list(pieces.arcs(codes, sizes))
+        if width > PADDED[-1]:
+            _long_word(arcs, width, probs[:, lang[0]], weights[at[0]], total[lang[0] * pieces.count : (lang[0] + 1) * pieces.count])
+            continue
         alpha, beta = np.zeros((width + 1, n)), np.zeros((width + 1, n))
         alpha[0] = 1
         for start, end, rows, found in arcs:
@@ -200,13 +205,27 @@ def expected_counts(words: list[str], weights: np.ndarray, langs: np.ndarray, pi
     return total.reshape(probs.shape[1], pieces.count).T
 
 
+def _long_word(arcs: list, width: int, probs: np.ndarray, weight: float, total: np.ndarray) -> None:
+    """Add one word's expected uses of pieces to ``total``, whatever its length."""
+    steps = [(start, end, int(found[0]), math.log(probs[found[0]])) for start, end, _, found in arcs if len(found)]
+    ahead, back = [-math.inf] * (width + 1), [-math.inf] * (width + 1)
+    ahead[0] = back[width] = 0.0
+    for start, end, _, p in steps:
+        ahead[end] = np.logaddexp(ahead[end], ahead[start] + p)
+    for start, end, _, p in reversed(steps):
+        back[start] = np.logaddexp(back[start], back[end] + p)
+    for start, end, piece, p in steps:
+        total[piece] += weight * math.exp(ahead[start] + p + back[end] - ahead[width])
+
+
 @dataclass
 class Model:
-    """Languages in name order and piece probabilities (pieces, languages)."""
+    """Languages in name order, piece probabilities (pieces, languages) and the mean log likelihood of a letter of their own texts."""
 
     langs: list[str]
     pieces: list[str]
     probs: np.ndarray
+    means: np.ndarray
 
 
 def _sample_words(rows: DataFrame, langs: list[str]) -> DataFrame:
@@ -227,15 +246,17 @@ def _sample_words(rows: DataFrame, langs: list[str]) -> DataFrame:
 def fit(labelled: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int = SAMPLE_DOCS, steps: int = EM_STEPS) -> Model:
     """Fit one unigram model a language on rows ``(doc_id, text, lang)``.
 
-    Rows with a null id, text or language are not used. A language with more
-    than ``sample_docs`` rows is fitted on a hash sample of about so many.
+    Rows with a null id, text or language are not used, and a text without a
+    letter teaches nothing. A language with more than ``sample_docs`` rows is
+    fitted on a hash sample of about so many; repeated rows count each. An
+    empty table gives a model without languages.
     """
     rows = labelled.where("doc_id is not null and lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     langs = sorted(sizes)
     names = vocabulary(vocabulary_path)
     if not langs:
-        return Model([], names, np.zeros((len(names) + 2, 0)))
+        return Model([], names, np.zeros((len(names) + 2, 0)), np.zeros(0))
     limits = [min(1 << 32, -(-(sample_docs << 32) // sizes[v])) for v in langs]
     limit = F.create_map(*[F.lit(x) for v, n in zip(langs, limits, strict=True) for x in (v, n)])[F.col("lang")]
     counted = cut(_sample_words(rows.where(seeded_u32("langid", F.col("doc_id")) < limit), langs), "langid-words")
@@ -243,7 +264,39 @@ def fit(labelled: DataFrame, vocabulary_path: str = VOCABULARY, sample_docs: int
     probs = np.full((pieces.count, len(langs)), 1.0 / pieces.count)
     for _ in range(steps):
         probs = _step(counted, names, probs)
-    return Model(langs, names, probs)
+    return Model(langs, names, probs, _letter_means(counted, names, probs))
+
+
+def _letter_means(counted: DataFrame, names: list[str], probs: np.ndarray) -> np.ndarray:
+    """Mean log likelihood of a letter (word starts count as letters) in each language's own sampled words."""
+    shared = counted.sparkSession.sparkContext.broadcast((names, probs))
+
+    def sums(batches):
+        pieces, p = Pieces(shared.value[0]), shared.value[1]
+        for pdf in batches:
+            for lang, own in pdf.groupby("lang"):
+                words = [WORD_START + w for w in own["word"]]
+                ll = log_likelihoods(words, pieces, p[:, [lang]])[:, 0]
+                yield pd.DataFrame({"lang": [lang], "ll": [(ll * own["n"]).sum()], "letters": [float((np.fromiter(map(len, words), float) * own["n"]).sum())]})
+
+    got = counted.mapInPandas(sums, "lang int, ll double, letters double").groupBy("lang").agg(F.sum("ll").alias("ll"), F.sum("letters").alias("letters")).toPandas()
+    out = np.zeros(probs.shape[1])
+    out[got["lang"]] = got["ll"] / got["letters"]
+    return out
+
+
+def recognised(model: Model, lang: Column, mean: Column, letters: Column) -> Column:
+    """Whether a text's letters are as likely in its predicted language as that language's own texts allow.
+
+    The posterior only compares the learned languages, so it is near 1 for any
+    text; this looks at the likelihood itself. A letter may be ``MARGIN`` less
+    likely on average than in the language's own texts, and short texts by
+    ``NOISE`` over the root of their letters more. False for ``und``.
+    """
+    if not model.langs:
+        return F.lit(False)
+    least = F.create_map(*[F.lit(x) for v, m in zip(model.langs, model.means.tolist(), strict=True) for x in (v, m - MARGIN)])[lang]
+    return F.coalesce(mean >= least - F.lit(NOISE) / F.sqrt(letters), F.lit(False))
 
 
 def _step(counted: DataFrame, names: list[str], probs: np.ndarray) -> np.ndarray:
@@ -266,9 +319,12 @@ def _step(counted: DataFrame, names: list[str], probs: np.ndarray) -> np.ndarray
     return new / new.sum(axis=0)
 
 
-def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] | None = None, names: tuple[str, ...] = ("lang_pred", "score")) -> DataFrame:
     """``docs`` with the predicted language and its posterior (equal priors), in columns ``names``.
 
+    Two more names add the mean log likelihood of a letter in that language
+    (word starts count as letters) and the number of letters.
+
     Only the text is read. A null text, one without a letter, or an empty
     model gives ``und`` with score 0; ties go to the first language by name.
     """
@@ -279,28 +335,31 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: list[str] |
         pieces = Pieces(vocab)
 
         def values(tokens: list[str]) -> np.ndarray:
-            # one column per language, then the number of letter runs
+            # one column per language, then the number of letters
             runs = [words_of(t) for t in tokens]
             sizes = np.fromiter(map(len, runs), np.int64, len(runs))
             ll = log_likelihoods([WORD_START + w for r in runs for w in r], pieces, probs)
-            return np.column_stack([segment_sums(ll, sizes), sizes])
+            letters = [sum(map(len, r)) + len(r) for r in runs]
+            return np.column_stack([segment_sums(ll, sizes), letters])
 
         known = TokenTable(values)
 
         def work(texts: list) -> list:
             if not langs:
-                return [["und"] * len(texts), [0.0] * len(texts)]
+                return [["und"] * len(texts), *[[0.0] * len(texts)] * 3][: len(names)]
             ids, sizes, rows = known.look_up([t.split() if t else [] for t in texts])
             sums = segment_sums(rows[ids], sizes)
             ll, letters = sums[:, :-1], sums[:, -1]
             best = ll.argmax(axis=1)
             post = 1 / np.exp(ll - ll.max(axis=1, keepdims=True)).sum(axis=1)
             ok = letters > 0.5
-            return [[langs[b] if o else "und" for b, o in zip(best, ok)], np.where(ok, post, 0.0).tolist()]
+            mean = np.where(ok, ll.max(axis=1) / np.maximum(letters, 1), 0.0)
+            return [[langs[b] if o else "und" for b, o in zip(best, ok)], np.where(ok, post, 0.0).tolist(), mean.tolist(), letters.tolist()][: len(names)]
 
         return work
 
-    return map_texts(docs, text, [(names[0], T.StringType()), (names[1], T.DoubleType())], make, keep)
+    kinds = [T.StringType(), T.DoubleType(), T.DoubleType(), T.DoubleType()]
+    return map_texts(docs, text, list(zip(names, kinds)), make, keep)
 
 
 def identify(docs: DataFrame, vocabulary_path: str = VOCABULARY, folds: int = 3, held: int = 1, sample_docs: int = SAMPLE_DOCS) -> DataFrame:

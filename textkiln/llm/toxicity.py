@@ -15,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -25,10 +26,10 @@ from textkiln.llm.langid import words_of
 
 #: Labelled rows the model is fitted on, in expectation (a bounded hash sample; scoring covers all rows).
 MAX_TRAIN = 40_000
-#: Features kept in the model, the strongest first (bounds the broadcast).
-MAX_FEATURES = 200_000
 #: Word starts of these lengths are features beside the whole word, so inflected forms share evidence.
 STARTS = (3, 4, 5, 6, 7, 8)
+#: A longer word's feature is its start and a hash of all its letters.
+LONG = 40
 #: Weight of the Dirichlet prior as a share of all feature counts.
 PRIOR = 0.1
 #: Standard errors between a log-odds and its bound.
@@ -44,7 +45,8 @@ THRESHOLD = 0.3
 
 def features(word: str) -> list[str]:
     """The whole word (0 before it) and its starts (their length before them), the most specific first."""
-    return ["0" + word[:40]] + [f"{k}{word[:k]}" for k in reversed(STARTS) if len(word) >= k]
+    whole = word if len(word) <= LONG else f"{word[: STARTS[-1]]}~{xxhash.xxh64_hexdigest(word)}"
+    return ["0" + whole] + [f"{k}{word[:k]}" for k in reversed(STARTS) if len(word) >= k]
 
 
 def maximal_segments(places: list[int], scores: list[float], drift: float = DRIFT) -> list[tuple[int, int, float]]:
@@ -144,8 +146,13 @@ def _feature_counts(train: DataFrame) -> DataFrame:
     return counted.groupBy("feature").agg(F.sum("t").alias("t"), F.sum("c").alias("c")).withColumn("kind", F.substring("feature", 1, 1))
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = MAX_TRAIN, max_features: int = MAX_FEATURES) -> Model:
-    """Fit on labelled rows whose crc32 remainder is not ``held``; only their texts and ``toxic`` are read."""
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_train: int = MAX_TRAIN) -> Model:
+    """Fit on labelled rows whose crc32 remainder is not ``held``; only their texts and ``toxic`` are read.
+
+    Null ids, texts and labels teach nothing; equal texts count once, toxic if
+    one of them is; without a toxic or an other row every weight is 0. The
+    model holds every feature with evidence in the sample of ``max_train`` rows.
+    """
     train = _train_rows(docs.select("doc_id", "text"), labels.select("doc_id", "toxic"), folds, held, max_train)
     counts = cut(_feature_counts(train), "toxicity-counts")
     totals = F.broadcast(counts.groupBy("kind").agg(F.sum("t").alias("nt"), F.sum("c").alias("nc")))  # one row per kind of feature
@@ -158,14 +165,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held: int = 2, max_t
     error = F.sqrt(1 / (F.col("t") + F.col("a")) + 1 / (F.col("c") + F.col("a")))
     bound = odds("t", "nt") - odds("c", "nc") - F.lit(ERRORS) * error
     scored = weight.select("feature", (F.col("t") + F.col("c")).alias("n"), (odds("t", "nt") - odds("c", "nc")).alias("d"), bound.alias("w"))
-    best = scored.where(F.col("w") >= LEAST).orderBy(F.desc("w"), "feature").limit(max_features).toPandas()
+    best = scored.where(F.col("w") >= LEAST).toPandas()  # every feature with evidence; the sample of labelled rows bounds them
     weights = dict(zip(best["feature"], best["w"].astype(float), strict=True))
-    weights |= dict.fromkeys(_ordinary(scored, weights, max_features), 0.0)
+    weights |= dict.fromkeys(_ordinary(scored, weights), 0.0)
     law = _law(train, weights)
     return Model(weights, law, _curve(train, weights, law))
 
 
-def _ordinary(scored: DataFrame, weights: dict[str, float], limit: int) -> list[str]:
+def _ordinary(scored: DataFrame, weights: dict[str, float]) -> list[str]:
     """Well-seen features without evidence that a start with evidence would otherwise speak for."""
     shared = _shared(scored, weights)
 
@@ -174,8 +181,8 @@ def _ordinary(scored: DataFrame, weights: dict[str, float], limit: int) -> list[
         for pdf in batches:
             yield pdf[[any(f"{k}{x[1 : 1 + k]}" in known for k in STARTS if k < len(x) and x[0] != str(k)) for x in pdf["feature"]]]
 
-    plain = scored.where((F.col("n") >= SEEN) & (F.col("d") < ORDINARY)).select("feature", "n").mapInPandas(under, "feature string, n long")
-    return [r["feature"] for r in plain.orderBy(F.desc("n"), "feature").limit(limit).collect()]
+    plain = scored.where((F.col("n") >= SEEN) & (F.col("d") < ORDINARY)).select("feature").mapInPandas(under, "feature string")
+    return [r["feature"] for r in plain.collect()]
 
 
 def _shared(df: DataFrame, weights: dict[str, float]):
