@@ -66,3 +66,9 @@ def test_odd_rows(frame):
     assert n == +want
     assert M.mix(frame([])).count() == 0
     assert M.mix(df, weights={"nowhere": 1.0}).count() == 0
+
+
+def test_thousands_of_copies_of_one_document(spark, frame):
+    rows = [(0, "one small text", "en", "tiny")] + [(i, "word " * 2000, "en", "big") for i in range(1, 60)]
+    got = M.mix(frame(rows), weights={"tiny": 1.0, "big": 1.0}).where("doc_id = 0").select("copy").collect()
+    assert len(got) > 2 * M.RANGE and sorted(r["copy"] for r in got) == list(range(len(got)))

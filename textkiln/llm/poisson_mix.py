@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from textkiln.functions.hashing import seeded_hash_hex, uniform01
 from textkiln.llm.common import checked_broadcast, cut
+from textkiln.operators.ranking import partitions_for
 
 SEED = 42
 #: Target weights are proportional to a source's bytes to this power (1: as they are, 0: all alike).
@@ -21,6 +22,8 @@ POWER = 0.5
 EPOCHS = 1.0
 #: A larger mean is drawn as a sum of independent draws, so its table stays short and exact.
 LARGEST_MEAN = 32.0
+#: Copies of a document that are made from one array.
+RANGE = 1000
 
 
 def document_key(doc_id: Column, text: Column) -> Column:
@@ -87,6 +90,8 @@ def mix(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str
     key = document_key(F.col(f"d.`{doc_id}`"), F.col(f"d.`{text}`"))
     joined = docs.alias("d").join(checked_broadcast(rates), F.col(f"d.`{source}`").eqNullSafe(F.col("_mix_source")))
     counted = joined.select(*own, key.alias("_mix_key"), copies(key, seed).alias("_mix_n")).where("_mix_n > 0")
-    exploded = counted.withColumn(names[0], F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1)))
-    keyed = exploded.withColumn(names[1], F.substring(seeded_hash_hex("order", F.lit(str(seed)), F.col("_mix_key"), F.col(names[0])), 1, 16)).drop("_mix_key", "_mix_n")
-    return keyed.repartition(names[1]).sortWithinPartitions(names[1])
+    # in two steps, so no array grows with the number of copies
+    ranges = counted.withColumn("_mix_from", F.explode(F.sequence(F.lit(0), F.col("_mix_n") - 1, F.lit(RANGE))))
+    exploded = ranges.withColumn(names[0], F.explode(F.sequence(F.col("_mix_from"), F.least(F.col("_mix_n"), F.col("_mix_from") + RANGE) - 1)))
+    keyed = exploded.withColumn(names[1], F.substring(seeded_hash_hex("order", F.lit(str(seed)), F.col("_mix_key"), F.col(names[0])), 1, 16)).drop("_mix_key", "_mix_n", "_mix_from")
+    return keyed.repartition(*partitions_for(docs), names[1]).sortWithinPartitions(names[1])
