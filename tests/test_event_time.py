@@ -66,3 +66,15 @@ def test_rows_wait_for_the_watermark(spark, tmp_path):
     assert sorted(r.event_id for r in out) == list(range(39))
     more = run(spark, [[(200, BASE + dt.timedelta(minutes=300), 1, 1.0)]], tmp_path)
     assert sorted(r.event_id for r in more) == list(range(100))
+
+
+def test_many_keys_wait_in_one_buffer_under_one_timer(spark, tmp_path):
+    rnd = random.Random(4)
+    rows = [(i, BASE + dt.timedelta(seconds=rnd.randrange(9000)), rnd.randrange(300), rnd.random() * 100) for i in range(1500)]
+    ev = spark.readStream.schema(SCHEMA).parquet(str(tmp_path))
+    plan = event_time.stream_ordered_liquid_filter(ev, *gates())._jdf.queryExecution().analyzed().toString()
+    assert "TransformWithStateInPySpark" in plan and "xxhash64" in plan
+    out = run(spark, [rows[:700], rows[700:], [(None, BASE + dt.timedelta(days=1), None, None)]], tmp_path, delay="3 hours")
+    want = batch(spark, rows)
+    assert sorted(r.event_id for r in out) == sorted(want) and not any(r.late for r in out)
+    assert all(abs(r.h - want[r.event_id]) < 1e-9 for r in out)

@@ -1,16 +1,18 @@
 """The liquid filter over event time: rows that arrive out of order are put back in order.
 
-Rows wait in a buffer per key, in slots of event time. When the watermark (the
-latest time seen minus the allowed delay) has passed a slot's end, a timer
-fires: no row of the slot can be missing any more but late ones, so its rows
-are sorted and folded into the key's state. Slots are released one after the
-other, so no call holds more rows than one slot of one key, and input is taken
-in the batches Arrow hands over. Keys travel as text and event ids beside a flag,
-so that no value passes through a float.
+Rows wait in a buffer, in slots of event time. When the watermark (the latest time
+seen minus the allowed delay) has passed a slot's end, a timer fires: no row of the
+slot can be missing any more but late ones, so its rows are sorted and folded into
+their keys' states. Keys are dealt into buckets by their hash; a bucket has one state,
+one buffer and one timer, so a micro-batch costs by its rows and not by its keys. What a watermark
+releases of a bucket is folded together, and input is taken in the batches Arrow hands
+over. Keys travel as text and event ids beside a flag, so that no
+value passes through a float.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from contextlib import contextmanager
 
@@ -24,8 +26,13 @@ from textkiln.operators.sequence import liquid_gates, segmented_scan
 
 #: Milliseconds of event time that are buffered and released together.
 SLOT_MS = 60_000
+#: Rows of one piece of the buffer; pieces are cut in the order of time.
+PIECE_ROWS = 4096
+#: Buckets of keys; each is one group of the stateful step.
+BUCKETS = 512
 _NEVER = -(1 << 62)
-_ROW = np.dtype([("us", "<i8"), ("id", "<i8"), ("a", "<f8"), ("b", "<f8")])
+_ROW = np.dtype([("key", "<i8"), ("us", "<i8"), ("id", "<i8"), ("a", "<f8"), ("b", "<f8")])
+_KEY = np.dtype([("h", "<f8"), ("us", "<i8"), ("id", "<i8")])
 _OUT = "key string, event_id long, us long, h double, late boolean"
 
 
@@ -47,52 +54,85 @@ class _Reorder(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        # h after the last applied row (us, id), and the number of the next buffered piece
-        self.state = handle.getValueState("state", "h double, us long, id long, piece long")
+        # a bucket's keys by number, each one's h after its last applied row (us, id), the
+        # number of the next buffered piece and the time of the timer that is set
+        self.state = handle.getValueState("state", "names binary, keys binary, piece long, timer long")
         self.buffer = handle.getMapState("buffer", "slot long, piece long", "rows binary")
 
-    def _now(self) -> tuple[float, int, int, int]:
-        return tuple(self.state.get()) if self.state.exists() else (self.h0, _NEVER, _NEVER, 0)
+    def _now(self) -> tuple[list[str], np.ndarray, int, int]:
+        if not self.state.exists():
+            return [], np.zeros(0, _KEY), 0, -_NEVER
+        names, keys, piece, timer = self.state.get()
+        return json.loads(bytes(names)), np.frombuffer(bytes(keys), _KEY).copy(), int(piece), int(timer)
+
+    def _wait(self, rows: np.ndarray, piece: int) -> tuple[int, int]:
+        """Buffer rows in pieces; the next piece's number and the first end of a slot."""
+        if not len(rows):
+            return piece, -_NEVER
+        rows = rows[np.argsort(rows["us"], kind="stable")]
+        slots = rows["us"] // (1000 * self.slot_ms)
+        for i in range(0, len(rows), PIECE_ROWS):
+            self.buffer.updateValue((int(slots[i]), piece), (rows[i : i + PIECE_ROWS].tobytes(),))
+            piece += 1
+        return piece, (int(slots[0]) + 1) * self.slot_ms
+
+    def _set(self, timer: int, end: int) -> int:
+        """One timer at the first end of a buffered slot."""
+        if end >= timer:
+            return timer
+        if timer != -_NEVER:
+            self.handle.deleteTimer(timer)
+        self.handle.registerTimer(end)
+        return end
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        h, us, last, piece = self._now()
+        names, keys, piece, timer = self._now()
+        number = {name: i for i, name in enumerate(names)}
         for pdf in rows:
             pdf = pdf[~pdf["beat"].to_numpy(bool)]
             if not len(pdf):
                 continue
             new = np.empty(len(pdf), _ROW)
-            for name in _ROW.names:
+            new["key"] = [number.setdefault(name, len(number)) for name in pdf["key"]]
+            for name in _ROW.names[1:]:
                 new[name] = pdf[name].to_numpy()
-            late = (new["us"] == _NEVER) | (new["us"] < us) | ((new["us"] == us) & (new["id"] <= last))
+            keys = np.concatenate([keys, np.full(len(number) - len(keys), np.array((self.h0, _NEVER, _NEVER), _KEY))])
+            last = keys[new["key"]]
+            late = (new["us"] == _NEVER) | (new["us"] < last["us"]) | ((new["us"] == last["us"]) & (new["id"] <= last["id"]))
             if late.any():
-                yield _rows(key, new[late], np.full(int(late.sum()), np.nan), True)
-            new = new[~late]
-            slots = new["us"] // (1000 * self.slot_ms)
-            for slot in np.unique(slots).tolist():
-                self.buffer.updateValue((slot, piece), (new[slots == slot].tobytes(),))
-                self.handle.registerTimer((slot + 1) * self.slot_ms)
-                piece += 1
-        self.state.update((float(h), int(us), int(last), int(piece)))
+                yield _rows([*number], new[late], np.full(int(late.sum()), np.nan), True)
+            piece, end = self._wait(new[~late], piece)
+            timer = self._set(timer, end)
+        self.state.update((json.dumps([*number]).encode(), keys.tobytes(), piece, timer))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        end = expiredTimerInfo.getExpiryTimeInMs()
+        upto = max(timerValues.getCurrentWatermarkInMs(), expiredTimerInfo.getExpiryTimeInMs())
         waiting = sorted((int(s), int(p)) for s, p in self.buffer.keys())
-        h, us, last, piece = self._now()
-        for slot in sorted({s for s, _ in waiting if (s + 1) * self.slot_ms <= end}):
-            pieces = [k for k in waiting if k[0] == slot]
-            rows = np.concatenate([np.frombuffer(self.buffer.getValue(k)[0], _ROW) for k in pieces])
-            rows = rows[np.argsort(rows, order=["us", "id"], kind="stable")]
-            A, B = segmented_scan(np.zeros(len(rows), np.int64), rows["a"], rows["b"])
-            hs = A * h + B
-            h, us, last = float(hs[-1]), int(rows["us"][-1]), int(rows["id"][-1])
-            for k in pieces:
+        names, keys, piece, _ = self._now()
+        due = [k for k in waiting if (k[0] + 1) * self.slot_ms <= upto]
+        nearest = min(((s + 1) * self.slot_ms for s, _ in waiting[len(due) :]), default=-_NEVER)
+        if due:
+            rows = np.concatenate([np.frombuffer(bytes(self.buffer.getValue(k)[0]), _ROW) for k in due])
+            for k in due:
                 self.buffer.removeKey(k)
-            self.state.update((h, us, last, int(piece)))
-            yield _rows(key, rows, hs, False)
-
-
-def _rows(key, rows: np.ndarray, h: np.ndarray, late: bool) -> pd.DataFrame:
-    return pd.DataFrame({"key": pd.Series([key[0]] * len(rows), dtype=object), "event_id": rows["id"], "us": rows["us"], "h": h, "late": late})
+            ended = (rows["us"] // (1000 * self.slot_ms) + 1) * self.slot_ms <= upto
+            piece, end = self._wait(rows[~ended], piece)
+            nearest = min(nearest, end)
+            rows = rows[ended]
+            rows = rows[np.lexsort((rows["id"], rows["us"], rows["key"]))]
+            A, B = segmented_scan(rows["key"], rows["a"], rows["b"])
+            hs = A * keys["h"][rows["key"]] + B
+            ends = np.flatnonzero(np.append(rows["key"][1:] != rows["key"][:-1], True))
+            at = rows["key"][ends]
+            keys["h"][at], keys["us"][at], keys["id"][at] = hs[ends], rows["us"][ends], rows["id"][ends]
+            yield _rows(names, rows, hs, False)
+        timer = self._set(-_NEVER, nearest)
+        self.state.update((json.dumps(names).encode(), keys.tobytes(), piece, timer))
+
+
+def _rows(names: list[str], rows: np.ndarray, h: np.ndarray, late: bool) -> pd.DataFrame:
+    key = pd.Series([names[i] for i in rows["key"].tolist()], dtype=object)
+    return pd.DataFrame({"key": key, "event_id": rows["id"], "us": rows["us"], "h": h, "late": late})
 
 
 def stream_ordered_liquid_filter(
@@ -115,13 +155,15 @@ def stream_ordered_liquid_filter(
     kind = events.schema["user_id"].dataType
     timed = events.withColumn("_ts", F.col("ts").cast("timestamp")).withWatermark("_ts", delay)
     d = timed.select(
-        F.col("user_id").cast("string").alias("key"),
+        F.coalesce(F.concat(F.lit("="), F.col("user_id").cast("string")), F.lit("")).alias("key"),  # no user: the empty text
         F.col("event_id").isNull().alias("beat"),
         F.coalesce(F.col("event_id").cast("long"), F.lit(0)).alias("id"),
         F.coalesce(F.unix_micros("_ts"), F.lit(_NEVER)).alias("us"),  # a plain number: rows behind the watermark still reach the flag
         F.when(missing, 1.0).otherwise(a).alias("a"),
         F.when(missing, 0.0).otherwise(b).alias("b"),
     )
-    out = d.groupBy("key").transformWithStateInPandas(_Reorder(h0, slot_ms), _OUT, "append", "eventTime")
+    d = d.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    out = d.groupBy("bucket").transformWithStateInPandas(_Reorder(h0, slot_ms), _OUT, "append", "eventTime")
     ts = F.when(F.col("us") != _NEVER, F.timestamp_micros("us"))
-    return out.select(F.col("key").cast(kind).alias("user_id"), "event_id", ts.alias("ts"), "h", "late")
+    user = F.when(F.col("key") != "", F.expr("substring(key, 2)")).cast(kind)
+    return out.select(user.alias("user_id"), "event_id", ts.alias("ts"), "h", "late")
