@@ -137,3 +137,41 @@ def test_feed_bounds_its_files_and_keeps_null_times(spark):
     want = {r.event_id: r.h for r in sequence.liquid_filter(df, "user_id", ["ts", "event_id"], v / 50.0, v / 50.0 - 1).collect()}
     assert len(out) == 1000 and not any(r.late for r in out)
     assert all(abs(r.h - want[r.event_id]) < 1e-9 for r in out)
+
+
+def test_a_feed_can_be_split_inside_its_files(spark):
+    import random
+
+    import pyarrow.parquet as pq
+
+    rnd = random.Random(1)
+    rows = [(i, "".join(rnd.choices("abcdefghij ", k=6000))) for i in range(4000)]
+    path = corpus_stream.feed(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), slices=2)
+    files = spark.read.parquet(path).inputFiles()
+    assert len(files) == 2 and all(pq.ParquetFile(f.removeprefix("file://")).num_row_groups > 1 for f in files)
+
+
+class _Held:
+    """A state as the fold sees it."""
+
+    hasTimedOut, exists, get = False, False, None
+
+    def update(self, value):
+        self.exists, self.get = True, value
+
+
+def test_one_call_folds_many_keys():
+    import numpy as np
+    import pandas as pd
+
+    def rows(*r):
+        return pd.DataFrame(list(r), columns=["none", "user", "id", "us", "a", "b"])
+
+    fold, state = liquid_state._fold(0.0, True, None), _Held()
+    first = pd.concat(fold((0,), iter([rows((False, 1, 1, 10, 0.5, 1.0), (False, 2, 2, 5, 0.5, 4.0)), rows((False, 1, 3, 20, 0.5, 1.0), (True, 0, 4, 7, 1.0, 3.0))]), state))
+    assert dict(zip(first["id"], first["h"], strict=True)) == {1: 1.0, 3: 1.5, 2: 4.0, 4: 3.0}
+    second = pd.concat(fold((0,), iter([rows((False, 1, 5, 15, 0.5, 9.0), (False, 1, 6, 30, 0.5, 1.0), (False, 3, 7, 1, 0.5, 2.0))]), state))
+    assert dict(zip(second["id"], second["late"], strict=True)) == {5: True, 6: False, 7: False}
+    h = dict(zip(second["id"], second["h"], strict=True))
+    assert np.isnan(h[5]) and h[6] == 1.75 and h[7] == 2.0
+    assert len(np.frombuffer(state.get[0], liquid_state._KEY)) == 4

@@ -1,10 +1,12 @@
 """The liquid filter on an event stream, with the state carried per key.
 
-State per key: ``h`` (the recurrence state), the ``(ts, event_id)`` of the
-last row applied, and a count of late rows. Spark gives no order inside a
-micro-batch, so each call sorts its rows; rows not after the stored position
-are late: counted and emitted flagged. Gates ``(a, b)`` are native column expressions
-computed before the stateful step; the Python function only folds.
+Keys are dealt into buckets by their hash, and a call folds all rows of a bucket's
+keys at once, so a micro-batch costs by its rows and not by its keys. State per
+bucket: for each of its keys ``h`` (the recurrence state), the ``(ts, event_id)`` of the
+last row applied, a count of late rows and when it was last seen. Spark gives no
+order inside a micro-batch, so each call sorts its rows; rows not after their key's
+stored position are late: counted and emitted flagged. Gates ``(a, b)`` are native
+column expressions computed before the stateful step; the Python function only folds.
 """
 
 from __future__ import annotations
@@ -19,44 +21,61 @@ from pyspark.sql.streaming.state import GroupStateTimeout
 
 from textkiln.operators.sequence import liquid_gates, segmented_scan
 
-STATE_SCHEMA = "h double, last_ts_us long, last_event_id long, n_late long"
+STATE_SCHEMA = "keys binary"
+#: Buckets of keys; each is one call a micro-batch.
+BUCKETS = 512
+_NO_TIME = -(1 << 62)
+_NO_ID = (1 << 63) - 1
+_KEY = np.dtype([("none", "?"), ("user", "<i8"), ("h", "<f8"), ("us", "<i8"), ("id", "<i8"), ("n_late", "<i8"), ("seen", "<i8")])
+_OUT = "none boolean, user long, id long, us long, h double, late boolean"
+
+
+def _emit(pdf: pd.DataFrame, h, late: bool) -> pd.DataFrame:
+    return pdf[["none", "user", "id", "us"]].assign(h=h, late=late)
 
 
 def _fold(h0: float, emit_late: bool, idle_ms: int | None):
+    def put(state, keys: np.ndarray, now: int) -> None:
+        if idle_ms:
+            keys = keys[keys["seen"] + idle_ms > now]
+            if not len(keys):
+                state.remove()
+                return
+            state.setTimeoutDuration(int(max(1, keys["seen"].min() + idle_ms - now)))
+        state.update((keys.tobytes(),))
+
     def run(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        now = state.getCurrentProcessingTimeMs() if idle_ms else 0
+        known = np.frombuffer(state.get[0], _KEY) if state.exists else np.zeros(0, _KEY)
         if state.hasTimedOut:
-            state.remove()
+            put(state, known, now)
             return
-        pdf = pd.concat(list(batches), ignore_index=True)
-        if state.exists:
-            h, last_ts, last_id, n_late = state.get
-        else:
-            h, last_ts, last_id, n_late = h0, None, None, 0
-        ts_us = pdf["ts"].astype("int64").to_numpy() // 1000
-        pdf = pdf.assign(_ts_us=ts_us).sort_values(["_ts_us", "event_id"], kind="stable")
-        if last_ts is not None:
-            after = (pdf["_ts_us"] > last_ts) | ((pdf["_ts_us"] == last_ts) & (pdf["event_id"] > last_id))
-            n_late += int((~after).sum())
-            late = pdf[~after]
-            if emit_late and not late.empty:
-                yield pd.DataFrame(
-                    {"user_id": late["user_id"].to_numpy(), "event_id": late["event_id"].to_numpy(), "ts": late["ts"].to_numpy(), "h": np.nan, "late": True}
-                )
-            pdf = pdf[after]
-        if pdf.empty:
-            state.update((float(h), last_ts, last_id, int(n_late)))
-            if idle_ms:
-                state.setTimeoutDuration(idle_ms)
-            return
-        A, B = segmented_scan(np.zeros(len(pdf), dtype=np.int64), pdf["_a"].to_numpy(), pdf["_b"].to_numpy())
-        hs = A * h + B
-        last = pdf.iloc[-1]
-        state.update((float(hs[-1]), int(last["_ts_us"]), int(last["event_id"]), int(n_late)))
-        if idle_ms:
-            state.setTimeoutDuration(idle_ms)
-        yield pd.DataFrame(
-            {"user_id": pdf["user_id"].to_numpy(), "event_id": pdf["event_id"].to_numpy(), "ts": pdf["ts"].to_numpy(), "h": hs, "late": False}
-        )
+        pdf = pd.concat(list(batches), ignore_index=True).sort_values(["none", "user", "us", "id"], kind="stable", ignore_index=True)
+        none, user, us, ids = (pdf[c].to_numpy() for c in ("none", "user", "us", "id"))
+        seg = np.cumsum(np.concatenate([[False], (none[1:] != none[:-1]) | (user[1:] != user[:-1])]))
+        here = np.zeros(int(seg[-1]) + 1, _KEY)
+        starts = np.searchsorted(seg, np.arange(len(here)))
+        here["none"], here["user"], here["h"], here["us"], here["id"] = none[starts], user[starts], h0, -(1 << 63), -(1 << 63)
+        at = {k: i for i, k in enumerate(zip(known["none"].tolist(), known["user"].tolist(), strict=True))}
+        back = np.array([at.get(k, -1) for k in zip(here["none"].tolist(), here["user"].tolist(), strict=True)], np.int64)
+        here[back >= 0] = known[back[back >= 0]]
+        after = (back < 0)[seg] | (us > here["us"][seg]) | ((us == here["us"][seg]) & (ids > here["id"][seg]))
+        if not after.all():
+            np.add.at(here["n_late"], seg[~after], 1)
+            if emit_late:
+                yield _emit(pdf[~after], np.nan, True)
+        here["seen"] = now
+        if after.any():
+            live, its = pdf[after], seg[after]
+            A, B = segmented_scan(its, live["a"].to_numpy(np.float64), live["b"].to_numpy(np.float64))
+            hs = A * here["h"][its] + B
+            ends = np.flatnonzero(np.concatenate([its[1:] != its[:-1], [True]]))
+            for name, values in (("h", hs), ("us", us[after]), ("id", ids[after])):
+                here[name][its[ends]] = values[ends]
+            yield _emit(live, hs, False)
+        others = np.ones(len(known), bool)
+        others[back[back >= 0]] = False
+        put(state, np.concatenate([known[others], here]), now)
 
     return run
 
@@ -76,12 +95,27 @@ def stream_liquid_filter(
     without.)
     """
     a, b = liquid_gates(x_tau, x_in, log_dt)
-    d = events.withColumn("ts", F.col("ts").cast("timestamp"))
-    d = d.select("user_id", "event_id", "ts", a.alias("_a"), b.alias("_b"))
-    return d.groupBy("user_id").applyInPandasWithState(
+    user, event = F.col("user_id").cast("long"), F.col("event_id").cast("long")
+    d = events.select(
+        F.pmod(F.xxhash64(user), F.lit(BUCKETS)).alias("bucket"),
+        user.isNull().alias("none"),
+        F.coalesce(user, F.lit(0)).alias("user"),
+        F.coalesce(event, F.lit(_NO_ID)).alias("id"),  # plain numbers: no key or id passes through a float
+        F.coalesce(F.unix_micros(F.col("ts").cast("timestamp")), F.lit(_NO_TIME)).alias("us"),
+        a.alias("a"),
+        b.alias("b"),
+    )
+    out = d.groupBy("bucket").applyInPandasWithState(
         _fold(h0, emit_late, int(idle_hours * 3_600_000) if idle_hours else None),
-        "user_id long, event_id long, ts timestamp, h double, late boolean",
+        _OUT,
         STATE_SCHEMA,
         "append",
         GroupStateTimeout.ProcessingTimeTimeout if idle_hours else GroupStateTimeout.NoTimeout,
     )
+    return out.select(
+        F.when(~F.col("none"), F.col("user")).alias("user_id"),
+        F.when(F.col("id") != _NO_ID, F.col("id")).alias("event_id"),
+        F.when(F.col("us") != _NO_TIME, F.timestamp_micros("us")).alias("ts"),
+        "h",
+        "late",
+    )
