@@ -21,6 +21,8 @@ from textkiln.sources.corpus import DOCUMENT_SCHEMA
 
 #: Rows of one file of a feed, and so of a micro-batch of one file.
 FEED_ROWS = 200_000
+#: Bytes of one row group of a feed's file: a micro-batch of one file is read by several tasks.
+GROUP_BYTES = 4 << 20
 
 
 def corpus_stream(spark: SparkSession, directory: str, file_glob: str = "*.parquet", schema: str = DOCUMENT_SCHEMA, max_files_per_trigger: int = 1) -> DataFrame:
@@ -38,13 +40,14 @@ def feed(df: DataFrame, slices: int = 4, order: str | Sequence[str] | None = Non
     stream to read; returns the folder. There are at least ``slices`` files, and as
     many as it takes for about ``rows`` rows in each (exactly at most with ``order``).
     With ``order`` every file holds a run of the table sorted by those columns and
-    later files later runs (as a log's files would); nulls are in the first."""
+    later files later runs (as a log's files would); nulls are in the first. Files have
+    row groups of ``GROUP_BYTES``, between which Spark can split them."""
     spark = df.sparkSession
     base = f"{checkpoint_dir(spark).rstrip('/')}/feed-{uuid.uuid4().hex}"
     total = df.count()
     files = max(slices, -(-total // rows))
     if order is None or not total:
-        df.repartition(files).write.parquet(base)
+        df.repartition(files).write.option("parquet.block.size", GROUP_BYTES).parquet(base)
         return base
     keys = [order] if isinstance(order, str) else list(order)
     ranked = running_totals(in_order(df, keys, "feed"), [], {"_rank": F.lit(1)})
@@ -53,7 +56,7 @@ def feed(df: DataFrame, slices: int = 4, order: str | Sequence[str] | None = Non
     used = -(-total // size)
     slice_no = F.floor((F.col("_rank") - 1) / size).cast("int")
     placed = ranked.repartitionById(used, slice_no).sortWithinPartitions("_rank").select(*[F.col(f"`{c}`") for c in df.columns])
-    placed.write.parquet(base)
+    placed.write.option("parquet.block.size", GROUP_BYTES).parquet(base)
     in_listed_order(spark, base)
     return base
 
