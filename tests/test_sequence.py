@@ -205,3 +205,21 @@ def test_many_partitions_of_vector_states(spark):
     got = sequence.linear_recurrence(df, "k", ["o"], F.col("a"), F.col("b"), num_partitions=400, carry=[])
     assert got.where(F.col("h")[0] != F.col("o") + 1).count() == 0 and got.where(F.size("h") != width).count() == 0
     assert got.count() == n
+
+
+def test_attention_takes_many_keys_in_a_call(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, o, float(rng.normal())) for k in range(120) for o in range(1 + k % 5)] + [(None, o, float(rng.normal())) for o in range(300)]
+    df = spark.createDataFrame(rows, "k long, o long, x double")
+    out = sequence.history_attention(df, "k", ["o"], F.col("x"), F.col("x"), F.col("x"), span=4)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapGroupsInArrow [_g" in plan  # runs of chunks, not a call for each key
+    got = {(r.k, r.o): r.attn for r in out.collect()}
+    xs = {}
+    for k, _, x in rows:
+        xs.setdefault(k, []).append(x)
+    assert len(got) == len(rows)
+    for (k, i), attn in got.items():
+        x = np.array(xs[k][max(0, i - 3) : i + 1])
+        w = np.exp(x[-1] * x - (x[-1] * x).max())
+        assert abs(attn - (w * x).sum() / w.sum()) < 1e-9

@@ -34,7 +34,7 @@ from pyspark.sql import types as T
 
 from textkiln.constants import SMOOTH_WINDOW, TAU_FLOOR
 from textkiln.functions.gates import clamp, softplus
-from textkiln.operators.ranking import in_order, partitions_for, running_totals
+from textkiln.operators.ranking import in_order, numbered, partitions_for, running_totals
 from textkiln.session import checkpoint_dir, materialize
 
 
@@ -307,28 +307,34 @@ def row_positions(df: DataFrame, key: str, order_cols: list[str], out: str = "po
     return d.withColumn(out, (F.col("_cnt") - 1).cast("bigint")).drop("_cnt", "_pid", "_idx")
 
 
-def _as_matrix(col: pd.Series) -> np.ndarray:
+#: Chunks of ``span`` rows that are attended to in one call.
+ATTEND_CHUNKS = 16
+
+
+def _as_matrix(column: pa.Array) -> np.ndarray:
     """Scalars become a one-column matrix, arrays a row per vector."""
-    if len(col) and isinstance(col.iloc[0], (list, np.ndarray)):
-        return np.stack(col.to_numpy()).astype(np.float64)
-    return col.to_numpy(np.float64).reshape(-1, 1)
+    m = _matrix(column).astype(np.float64)
+    return m if m.ndim > 1 else m.reshape(-1, 1)
 
 
 def _attend(columns: list[str], span: int, dim: int | None):
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        pos = pdf["pos"].to_numpy()
-        q = _as_matrix(pdf["_q"])
-        k = _as_matrix(pdf["_k"])
-        v = pdf["_v"].to_numpy(np.float64)
-        own = pdf["_own"].to_numpy(bool)
-        qi, pi = q[own], pos[own]
-        s = (qi @ k.T) / np.sqrt(dim or q.shape[1])
-        band = (pos[None, :] <= pi[:, None]) & (pos[None, :] > pi[:, None] - span)
-        s = np.where(band, s, -np.inf)
-        s = s - s.max(axis=1, keepdims=True)
-        w = np.exp(s)
-        return pdf.loc[own, columns].assign(attn=(w * v[None, :]).sum(axis=1) / w.sum(axis=1))
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("_n").combine_chunks()
+        n, pos, own = (table[c].to_numpy() for c in ("_n", "pos", "_own"))
+        start = n - pos % span  # the number of a chunk's first row names the chunk
+        q, k, v = _as_matrix(table["_q"].combine_chunks()), _as_matrix(table["_k"].combine_chunks()), _matrix(table["_v"].combine_chunks()).astype(np.float64)
+        attn = np.empty(len(n))
+        for u in np.unique(start[own]).tolist():
+            i, j = np.searchsorted(start, [u, u + 1]).tolist()
+            first = np.searchsorted(start, u - span) if pos[i] >= span else i  # the key's chunk before, if there is one
+            qi, pi, back = q[i:j], pos[i:j], pos[first:j]
+            s = (qi @ k[first:j].T) / np.sqrt(dim or q.shape[1])
+            band = (back[None, :] <= pi[:, None]) & (back[None, :] > pi[:, None] - span)
+            s = np.where(band, s, -np.inf)
+            s = s - s.max(axis=1, keepdims=True)
+            w = np.exp(s)
+            attn[i:j] = (w * v[None, first:j]).sum(axis=1) / w.sum(axis=1)
+        return table.select(columns).append_column("attn", pa.array(attn)).filter(pa.array(own))
 
     return run
 
@@ -349,18 +355,21 @@ def history_attention(
     ``q`` and ``k`` are numbers or equal-length arrays; ``dim`` defaults to their
     width. The caller states ``span``: rows further back are not looked at.
 
-    Rows are cut into chunks of ``span`` positions; each chunk is grouped with a
-    copy of the chunk before it (the halo), so every group holds at most
-    ``2 * span`` rows however hot the key, and no pair is ever emitted as a row.
-    The order columns travel with the rows, so nothing is joined back.
+    Rows are cut into chunks of ``span`` positions of a key; runs of chunks that lie
+    near each other in the whole order are one group, together with a copy of the chunk
+    before its first (the halo). So a group holds about ``ATTEND_CHUNKS * span`` rows
+    however hot a key or small the keys, and no pair is ever emitted as a row. The order
+    columns travel with the rows, so nothing is joined back.
     """
-    d = row_positions(df.select(key, *order_cols, q.alias("_q"), k.alias("_k"), v.alias("_v")), key, order_cols)
-    chunk = F.floor(F.col("pos") / span).cast("bigint")
-    both = F.array(
-        F.struct(chunk.alias("chunk"), F.lit(True).alias("own")),
-        F.struct((chunk + 1).alias("chunk"), F.lit(False).alias("own")),
-    )
-    rep = d.withColumn("_c", F.explode(both)).withColumn("chunk", F.col("_c.chunk")).withColumn("_own", F.col("_c.own")).drop("_c")
+    named = df.select(key, *order_cols, q.alias("_q"), k.alias("_k"), v.alias("_v"))
+    placed = in_order(named, [key, *order_cols], "positions").withColumns({"_at": F.col("_pid"), "_in": F.col("_idx")})
+    placed = numbered(placed, "_n").withColumnsRenamed({"_at": "_pid", "_in": "_idx"})
+    d = running_totals(placed, [key], {"_cnt": F.lit(1)}).withColumn("pos", (F.col("_cnt") - 1).cast("bigint"))
+    start = F.col("_n") - F.col("pos") % span
+    group, after = (F.floor(x / (span * ATTEND_CHUNKS)).cast("bigint") for x in (start, start + span))
+    here = F.struct(group.alias("group"), F.lit(True).alias("own"))
+    copies = F.when(after != group, F.array(here, F.struct(after.alias("group"), F.lit(False).alias("own")))).otherwise(F.array(here))
     columns = [key, *order_cols, "pos"]
+    rep = d.withColumn("_c", F.explode(copies)).select(*columns, "_q", "_k", "_v", F.col("_n").cast("bigint").alias("_n"), F.col("_c.group").alias("_g"), F.col("_c.own").alias("_own"))
     schema = T.StructType([*[d.schema[c] for c in columns], T.StructField("attn", T.DoubleType())])
-    return rep.groupBy(key, "chunk").applyInPandas(_attend(columns, span, dim), schema)
+    return rep.groupBy("_g").applyInArrow(_attend(columns, span, dim), schema)
