@@ -34,3 +34,21 @@ def test_hashed_ids_are_in_vocab(spark):
     ids = tokens.tokenize(df, tokenizer="hashed").first().tokens
     # The, " cat", "'s", " 42", " hats", "!", "\n\n  ", "ok": without the look-ahead, \s+ takes the whole run
     assert len(ids) == 8 and all(0 <= i < EOT for i in ids)
+
+
+def test_the_native_tokenizer_is_evaluated_once(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, "")], "doc_id long, text string")
+    kept = tokens.drop_empty(tokens.tokenize(df, tokenizer="hashed")).select("doc_id", F.size("tokens"))
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    assert [r.doc_id for r in kept.collect()] == [1]
+
+
+def test_bpe_batches_are_bounded_in_bytes(enc):
+    import pyarrow as pa
+
+    texts = ["word " * 100_000, "a b", None, "word " * 150_000, "x", "word " * 200_000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(texts)], names=["doc_id", "text"])
+    made = list(tokens._encode_batches("text", "tokens")([batch]))
+    assert len(made) == 3 and all(b.schema.field("tokens").type == pa.list_(pa.int32()) for b in made)
+    got = {i: t for b in made for i, t in zip(b["doc_id"].to_pylist(), b["tokens"].to_pylist(), strict=True)}
+    assert got == {i: enc.encode_ordinary(t or "") for i, t in enumerate(texts)}
