@@ -120,3 +120,23 @@ def test_topk_bounds_a_step_and_keeps_vectors_off_the_driver(spark, monkeypatch)
     S = M @ M.T
     for i in range(0, 5000, 97):
         assert [x for _, x in sorted(got[i])] == np.lexsort((np.arange(5000), -S[i]))[:4].tolist()
+
+
+def test_lookup_of_a_vocabulary_shuffles_no_vectors(spark):
+    table = spark.createDataFrame([(10, [1.0]), (11, [2.0]), (99, [3.0])], "vec_id long, embedding array<double>")
+    ids = spark.createDataFrame([(t,) for t in range(7)], "token int")
+    found = vectors.hashed_lookup(ids, "token", table, ids_below=7)
+    assert sorted((r.token, r.embedding[0]) for r in found.collect()) == [(t, float(t % 3 + 1)) for t in range(7)]
+    assert "ResolvedHint (strategy=broadcast)" in found._jdf.queryExecution().analyzed().toString() or "strategy=broadcast" in found._jdf.queryExecution().optimizedPlan().toString()
+    few = vectors.hashed_lookup(ids.where("token < 2"), "token", table, ids_below=2)  # ids below the table's rows
+    assert sorted((r.token, r.embedding[0]) for r in few.collect()) == [(0, 1.0), (1, 2.0)]
+
+
+def test_a_bucket_is_one_row_after_the_first_step(spark):
+    table = spark.createDataFrame([(1, 7, 0.0, 0), (1, 8, 0.5, 0), (1, 9, 0.9, 0)], "ctx int, next int, lo double, b long")
+    cands = generation._candidates(table, 2)
+    q = spark.createDataFrame([("p", 1, 0, 0.6), ("q", 1, 0, 0.1), ("r", 2, 0, 0.1)], "prompt_id string, _k int, _b long, _x double")
+    later = generation._bucket_pick(q, cands, "prompt_id", 1, [])
+    assert {r.prompt_id: r._pick for r in later.collect()} == {"p": 8, "q": 7, "r": None}
+    assert "Aggregate" not in later._jdf.queryExecution().analyzed().toString().split("Join")[0]
+    cands.unpersist()

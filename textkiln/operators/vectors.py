@@ -21,6 +21,8 @@ from textkiln.session import materialize
 #: Bytes of one block of vectors (8 a component), and its rows at most: a step's scores are BLOCK_ROWS^2.
 QUERY_BYTES = 32 << 20
 BLOCK_ROWS = 2000
+#: Bytes of vectors that are broadcast at most (a vocabulary's at 64 components).
+SLOT_BYTES = 32 << 20
 
 
 def embedding_lookup(ids: DataFrame, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
@@ -30,13 +32,21 @@ def embedding_lookup(ids: DataFrame, table: DataFrame, id_col: str = "vec_id", v
     return ids.join(table.select(id_col, vec_col), id_col, "left")
 
 
-def hashed_lookup(ids: DataFrame, token_col: str, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
+def hashed_lookup(ids: DataFrame, token_col: str, table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", ids_below: int | None = None) -> DataFrame:
     """Map token ids onto a table of ``n`` vectors by ``token mod n``, counted in id
-    order, and gather them: every vector is reachable whatever the ids are."""
+    order, and gather them: every vector is reachable whatever the ids are.
+
+    ``ids_below`` says that all ids are in ``[0, ids_below)``, as those of a vocabulary.
+    No id meets a later slot then; slots of at most ``SLOT_BYTES`` are broadcast, so
+    that no row is shuffled to its vector and back."""
     rows = in_order(table.select(id_col, vec_col), [id_col], "vectors")
     slots = running_totals(rows, [], {"_slot": F.lit(1)}).select((F.col("_slot") - 1).alias("_slot"), id_col, vec_col)
-    n = table.count()
+    n, width = table.agg(F.count(F.lit(1)), F.max(F.size(vec_col))).first()
     mapped = ids.withColumn("_at", F.pmod(F.col(token_col), F.lit(max(n, 1))).cast("bigint"))
+    if ids_below is not None:
+        slots = slots.where(F.col("_slot") < ids_below)
+        if 8 * (width or 0) * min(n, ids_below) <= SLOT_BYTES:
+            slots = F.broadcast(slots)
     return mapped.join(slots, F.col("_at") == F.col("_slot")).drop("_at", "_slot")
 
 
