@@ -113,3 +113,15 @@ def test_joined_corpus_hashed_pieces_match_whole_text(spark):
         pieces = heldout.heldout_pieces(df, tokenizer="hashed", limit=limit)
         got = [t for r in pieces.orderBy("piece").collect() for t in r.tokens]
         assert got == ids(joined[:limit])
+
+
+def test_pairs_are_built_once(spark):
+    from textkiln.operators import evaluation
+
+    rows = spark.createDataFrame([(1, [5, 6, 7], [5, -100, 7]), (2, [5], [5]), (3, None, None)], "k long, input_ids array<int>, labels array<int>")
+    made = {"label": evaluation.label_pairs(rows, ["k"]), "next": evaluation.next_token_pairs(rows, ["k"], "input_ids")}
+    assert [tuple(r) for r in made["label"].collect()] == [(1, 6, 7)]
+    assert [tuple(r) for r in made["next"].collect()] == [(1, 1, 5, 6), (1, 2, 6, 7)]
+    for df in made.values():  # no inferred filter builds them a second time
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("arrays_zip(") == 1 and "zip_with" not in plan

@@ -20,6 +20,10 @@ from textkiln.constants import IGNORE, SEQ_LEN, STRIDE, VOCAB_SIZE
 from textkiln.session import materialize
 
 
+#: Distinct pairs a shuffle partition of the model may hold in a hash table (tens of MB).
+HASHED_PAIRS = 500_000
+
+
 # --------------------------------------------------------------------------- pairs
 def next_token_pairs(
     df: DataFrame,
@@ -42,8 +46,9 @@ def next_token_pairs(
     else:
         ext, first = t, base + 1
     n = F.greatest(F.size(ext) - 1, F.lit(0))
-    zipped = F.zip_with(F.slice(ext, 1, n), F.slice(ext, 2, n), lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
-    d = df.select(*key_cols, first.alias("_first"), F.posexplode(zipped).alias("_i", "_p"))
+    zipped = F.arrays_zip(F.slice(ext, 1, n).alias("ctx"), F.slice(ext, 2, n).alias("next"))
+    # an outer explode and a filter on the pair: Catalyst would build the pairs a second time for an inner one's filter
+    d = df.select(*key_cols, first.alias("_first"), F.posexplode_outer(zipped).alias("_i", "_p")).where("_p is not null")
     return d.select(*key_cols, (F.col("_first") + F.col("_i")).cast("bigint").alias("pos"), "_p.ctx", "_p.next")
 
 
@@ -52,9 +57,9 @@ def label_pairs(rows: DataFrame, key_cols: list[str], ids_col: str = "input_ids"
     not IGNORE."""
     ids, lab = F.col(ids_col), F.col(labels_col)
     n = F.greatest(F.size(ids) - 1, F.lit(0))
-    zipped = F.zip_with(F.slice(ids, 1, n), F.slice(lab, 2, n), lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
-    valid = F.filter(zipped, lambda p: p["next"] != IGNORE)
-    return rows.select(*key_cols, F.explode(valid).alias("_p")).select(*key_cols, "_p.ctx", "_p.next")
+    zipped = F.arrays_zip(F.slice(ids, 1, n).alias("ctx"), F.slice(lab, 2, n).alias("next"))
+    # outer, so that the pairs are built once; the null of a row without pairs fails the filter
+    return rows.select(*key_cols, F.explode_outer(zipped).alias("_p")).where(F.col("_p.next") != IGNORE).select(*key_cols, "_p.ctx", "_p.next")
 
 
 # --------------------------------------------------------------------------- n-gram model
@@ -94,11 +99,11 @@ def ngram_fit(train: DataFrame, tokens_col: str = "tokens", key_cols: list[str]
     t = F.col(tokens_col)
     n = F.size(t)
     ext = F.concat(F.array(F.lit(None).cast("int")), t)
-    pairs = F.zip_with(F.slice(ext, 1, n), t, lambda a, b: F.struct(a.alias("ctx"), b.alias("next")))
-    # no filter on the token column here: Catalyst would push it below any
-    # repartition of the input and evaluate the tokenizer twice
+    pairs = F.arrays_zip(F.slice(ext, 1, n).alias("ctx"), t.alias("next"))
+    # no filter on the token column here: Catalyst would push it below any repartition of
+    # the input and evaluate the tokenizer twice; an inner explode gets such a filter too
     counts = (
-        train.select(F.explode(pairs).alias("_p"))
+        train.select(F.explode_outer(pairs).alias("_p")).where("_p is not null")
         .groupBy(F.col("_p.ctx").alias("ctx"), F.col("_p.next").alias("next"))
         .agg(F.count(F.lit(1)).alias("count"))
     )
@@ -132,13 +137,15 @@ def score_models(pairs: DataFrame, model: NGramModel, kinds: list[str], lam: flo
     broadcast; the bigram table, unbounded, is a shuffled join (AQE splits a
     hot pair)."""
     uni = model.per_token(model.unigram.select(F.col("token").alias("next"), F.col("count").alias("_c_uni")))
-    d = pairs.join(uni, "next", "left")
-    q = model.unigram_prob(F.col("_c_uni"))
+    d, q = pairs, model.unigram_prob(F.col("_c_uni"))
     has_next = F.col("next").isNotNull()
-    if "bigram" in kinds:
+    if "bigram" in kinds:  # the shuffled join first: nothing that can be broadcast later is shuffled with the pairs
         ctx = model.per_token(model.context.select("ctx", F.col("total").alias("_c_ctx")))
         big = model.bigram.select("ctx", "next", F.col("count").alias("_c_big"))
-        d = d.join(ctx, "ctx", "left").join(big, ["ctx", "next"], "left")
+        parts = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        big = big.hint("shuffle_hash") if model.n_bigrams <= HASHED_PAIRS * parts else big  # no sort of the pairs
+        d = d.join(big, ["ctx", "next"], "left").join(ctx, "ctx", "left")
+    d = d.join(uni, "next", "left")
     for kind in kinds:
         if kind == "unigram":
             p = q
@@ -153,7 +160,8 @@ def score_models(pairs: DataFrame, model: NGramModel, kinds: list[str], lam: flo
 
 def masked_cross_entropy(rows: DataFrame, model: NGramModel, key_cols: list[str], kind: str = "bigram") -> DataFrame:
     """Per training row: valid targets, summed and mean NLL (NULL when no target)."""
-    s = score_pairs(label_pairs(rows, key_cols), model, kind)
+    # gathered by row first: summed where the join leaves them, hardly two pairs of a row meet
+    s = score_pairs(label_pairs(rows, key_cols), model, kind).repartition(*key_cols)
     sums = s.groupBy(*key_cols).agg(F.count("nll").alias("n_valid"), F.sum("nll").alias("sum_nll"), F.avg("nll").alias("mean_nll"))
     # rows without a target have no pair, so no null pairs have to meet in the model's joins
     keys = rows.select(*[F.col(k).alias(f"_k{i}") for i, k in enumerate(key_cols)])
@@ -206,7 +214,9 @@ def window_nll(scored: DataFrame, lengths: DataFrame, key_cols: list[str], lengt
     aggregate joined to the window list -- no per-window Python."""
     per_win = (
         scored.where(F.col("pos") >= 1)
-        .groupBy(*key_cols, (F.floor(F.col("pos") / stride) * stride).cast("bigint").alias("i"))
+        .select(*key_cols, (F.floor(F.col("pos") / stride) * stride).cast("bigint").alias("i"), "nll")
+        .repartition(*key_cols, "i")  # gathered first: where a join leaves the positions, hardly two of a window meet
+        .groupBy(*key_cols, "i")
         .agg(F.avg("nll").alias("mean_nll"), F.count("nll").alias("n_targets"))
     )
     wins = sliding_windows(lengths, key_cols, length_col, stride, max_len)
