@@ -223,3 +223,9 @@ def test_attention_takes_many_keys_in_a_call(spark):
         x = np.array(xs[k][max(0, i - 3) : i + 1])
         w = np.exp(x[-1] * x - (x[-1] * x).max())
         assert abs(attn - (w * x).sum() / w.sum()) < 1e-9
+
+
+def test_attention_over_a_null_value_is_null(spark):
+    df = spark.createDataFrame([(1, 0, 1.0), (1, 1, None), (2, 0, 3.0)], "k long, o long, x double")
+    out = sequence.history_attention(df, "k", ["o"], F.col("x"), F.col("x"), F.col("x"), span=4).collect()
+    assert {(r.k, r.o): r.attn for r in out} == {(1, 0): None, (1, 1): None, (2, 0): 3.0}

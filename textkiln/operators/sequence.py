@@ -334,7 +334,7 @@ def _attend(columns: list[str], span: int, dim: int | None):
             s = s - s.max(axis=1, keepdims=True)
             w = np.exp(s)
             attn[i:j] = (w * v[None, first:j]).sum(axis=1) / w.sum(axis=1)
-        return table.select(columns).append_column("attn", pa.array(attn)).filter(pa.array(own))
+        return table.select(columns).append_column("attn", pa.array(attn, from_pandas=True)).filter(pa.array(own))
 
     return run
 
