@@ -1,7 +1,11 @@
+import hashlib
+import math
+
 import numpy as np
 from pyspark.sql import functions as F
 
 from textkiln.constants import EOT
+from textkiln.functions import md5
 from textkiln.operators import evaluation, generation, vectors
 
 
@@ -140,3 +144,50 @@ def test_a_bucket_is_one_row_after_the_first_step(spark):
     assert {r.prompt_id: r._pick for r in later.collect()} == {"p": 8, "q": 7, "r": None}
     assert "Aggregate" not in later._jdf.queryExecution().analyzed().toString().split("Join")[0]
     cands.unpersist()
+
+
+def test_first_u32_equals_md5():
+    rng = np.random.default_rng(1)
+    for length in (0, 1, 16, 21, 46, 47, 50, 55, 59, 63, 64, 70, 119, 130):
+        for size in (1, 3, 4, 5, 11):
+            heads = [rng.integers(0, 256, length, np.uint8).tobytes() for _ in range(3)]
+            tails = np.array([str(x) for x in rng.integers(10 ** (size - 1), 10**size, 5)], f"S{size}")
+            got = md5.first_u32(heads, np.array([2, 0, 3]), md5.tail_words(tails), size)
+            rows = [heads[0]] * 2 + [heads[2]] * 3
+            assert got.tolist() == [int(hashlib.md5(h + t).hexdigest()[:8], 16) for h, t in zip(rows, tails.tolist())]
+
+
+def test_sampled_generation_draws_for_packed_continuations(spark, monkeypatch):
+    def never(*a):
+        raise AssertionError("a row per prompt and continuation")
+
+    items = [int(x) for x in np.random.default_rng(2).choice(50000, 3000, replace=False)] + [7, 7, 7, 42, 42, 5]
+    train = spark.createDataFrame([(i, [1, t]) for i, t in enumerate(items)] + [(-1, [1, 9, 1, 9])], "doc_id long, tokens array<int>")
+    m = evaluation.ngram_fit(train)
+    big = {}
+    for r in m.bigram.collect():
+        big.setdefault(r.ctx, {})[r.next] = r["count"]
+    packed = generation.packed_continuations(m, 0.8).where("_last = 1").collect()
+    assert sorted(r._part for r in packed) == list(range(len(packed))) and len(packed) <= 3 + 5
+    assert sum(len(r._weights) // 8 for r in packed) == len(big[1])
+    u = generation.unigram_argmax(m)
+    prompts = [("a", [1]), ("long" * 20, [3, 1]), ("x" * 44, [1]), ("unseen", [60000]), (None, [9]), ("é", [1])]
+
+    def draw(pid, step, ctx):
+        def key(t):
+            h = hashlib.md5(":".join(["gen", "42", *([] if pid is None else [pid]), str(step), str(t)]).encode()).hexdigest()
+            return math.log(big[ctx][t]) / 0.8 - math.log(-math.log((int(h[:8], 16) + 0.5) / 2**32)), -t
+
+        return max(big[ctx], key=key) if ctx in big else u
+
+    monkeypatch.setattr(generation, "uniform01", never)
+    df = spark.createDataFrame(prompts, "prompt_id string, tokens array<int>")
+    got = {r.prompt_id: r.generated for r in generation.batch_generate_sampled(df, m, 3, checkpoint_every=2).collect()}
+    for pid, toks in prompts:
+        want, last = [], toks[-1]
+        for step in range(3):
+            last = draw(pid, step, last)
+            want.append(last)
+        if pid is not None:  # the last join of a generation is by id
+            assert got[pid] == want
+    assert len(got) == len(prompts)
