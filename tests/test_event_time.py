@@ -78,3 +78,20 @@ def test_many_keys_wait_in_one_buffer_under_one_timer(spark, tmp_path):
     want = batch(spark, rows)
     assert sorted(r.event_id for r in out) == sorted(want) and not any(r.late for r in out)
     assert all(abs(r.h - want[r.event_id]) < 1e-9 for r in out)
+
+
+def test_state_has_two_partitions_for_each_core_at_most(spark, tmp_path):
+    names = ["spark.sql.shuffle.partitions", "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled", "spark.sql.streaming.stateStore.providerClass"]
+    was = spark.conf.get(names[0])
+    spark.conf.set(names[0], "40")
+    try:
+        before = [spark.conf.get(n, None) for n in names]
+        rows = [(i, BASE + dt.timedelta(minutes=i), i % 50, float(i)) for i in range(200)]
+        out = run(spark, [rows, [(None, BASE + dt.timedelta(days=1), None, None)]], tmp_path)
+        assert [spark.conf.get(n, None) for n in names] == before
+    finally:
+        spark.conf.set(names[0], was)
+    parts = [p for p in (tmp_path / "run/state/state/0").iterdir() if p.name.isdigit()]
+    assert len(parts) == min(40, 2 * spark.sparkContext.defaultParallelism, event_time.BUCKETS)
+    want = batch(spark, rows)
+    assert {r.event_id for r in out} == set(want) and all(abs(r.h - want[r.event_id]) < 1e-9 for r in out)

@@ -175,3 +175,23 @@ def test_one_call_folds_many_keys():
     h = dict(zip(second["id"], second["h"], strict=True))
     assert np.isnan(h[5]) and h[6] == 1.75 and h[7] == 2.0
     assert len(np.frombuffer(state.get[0], liquid_state._KEY)) == 4
+
+
+def test_a_feed_in_order_moves_its_rows_twice(spark, monkeypatch):
+    """Once into the order and once into the files; ranks need no window over rows."""
+    import os
+
+    from textkiln.operators import ranking
+
+    def never(*a):
+        raise AssertionError("a window over all rows")
+
+    monkeypatch.setattr(ranking, "running_totals", never)
+    monkeypatch.setattr(corpus_stream, "running_totals", never, raising=False)
+    rows = [(i, None if i % 40 == 3 else dt.datetime(2024, 1, 1) + dt.timedelta(seconds=(i * 37) % 101)) for i in range(200)]
+    df = spark.createDataFrame(rows, "event_id long, ts timestamp_ntz").repartition(3)
+    path = corpus_stream.feed(df, slices=3, order=["ts", "event_id"])
+    files = sorted(x for x in os.listdir(path.removeprefix("file:")) if x.endswith(".parquet"))
+    got = [[r.event_id for r in spark.read.parquet(f"{path}/{f}").collect()] for f in files]
+    want = [i for i, _ in sorted(rows, key=lambda r: (r[1] is not None, r[1] or dt.datetime.min, r[0]))]
+    assert [len(x) for x in got] == [67, 67, 66] and sum(got, []) == want

@@ -481,6 +481,9 @@ def q_batch_generate_sampled(spark, sf):
 
 EVENTS_SCHEMA = "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, value DOUBLE, props STRING"
 
+#: Rows of one file of ``stream_reordered``, and so of a micro-batch: opening and committing the state costs the same for few rows.
+EVENT_FILE_ROWS = 2_000_000
+
 
 def q_stream_prepare(spark, sf):
     from textkiln.sources.corpus import DOCUMENT_SCHEMA
@@ -511,12 +514,13 @@ def q_stream_reordered(spark, sf):
     """Events that arrive up to an hour after their time, in files of arrival order:
     the watermark and a reorder buffer give every key its rows in event order."""
     log = spark.read.schema(EVENTS_SCHEMA).parquet(table_path(sf, "events"))
-    arrival = F.unix_micros(F.col("ts").cast("timestamp")) + F.pmod(seeded_u32("arrival", F.col("event_id")), F.lit(3_600_000_000))
-    end = log.agg(F.max("ts").alias("ts"), F.max(arrival).alias("_arrival")).select(
-        *[(F.col("ts") + F.expr("INTERVAL 2 HOURS") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.schema.fields], (F.col("_arrival") + 1).alias("_arrival")
-    )  # a heartbeat at the end lets the last rows out
+    at = F.unix_micros(F.col("ts").cast("timestamp"))
+    arrival = at + F.pmod(seeded_u32("arrival", F.col("event_id")), F.lit(3_600_000_000))
+    end = log.agg(F.max("ts").alias("ts")).select(
+        *[(F.col("ts") + F.expr("INTERVAL 2 HOURS") if f.name == "ts" else F.lit(None).cast(f.dataType)).alias(f.name) for f in log.schema.fields], (at + 3_600_000_000).alias("_arrival")
+    )  # a heartbeat at the end, after every arrival, lets the last rows out
     arrived = log.withColumn("_arrival", arrival).unionByName(end)
-    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(arrived, order=["_arrival", "event_id"]), schema=EVENTS_SCHEMA)
+    ev = corpus_stream.corpus_stream(spark, corpus_stream.feed(arrived, order=["_arrival", "event_id"], rows=EVENT_FILE_ROWS), schema=EVENTS_SCHEMA)
     v = F.col("value")
     with event_time.state_store(spark):
         out = corpus_stream.run_to_table(event_time.stream_ordered_liquid_filter(ev, v / 50.0, (v - 50.0) / 50.0), name="stream-reordered")

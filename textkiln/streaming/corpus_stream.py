@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textkiln.operators import sampling, tokens
-from textkiln.operators.ranking import in_order, running_totals
+from textkiln.operators.ranking import in_order, numbered
 from textkiln.session import checkpoint_dir
 from textkiln.sources.corpus import DOCUMENT_SCHEMA
 
@@ -50,11 +50,11 @@ def feed(df: DataFrame, slices: int = 4, order: str | Sequence[str] | None = Non
         df.repartition(files).write.option("parquet.block.size", GROUP_BYTES).parquet(base)
         return base
     keys = [order] if isinstance(order, str) else list(order)
-    ranked = running_totals(in_order(df, keys, "feed"), [], {"_rank": F.lit(1)})
+    ranked = numbered(in_order(df, keys, "feed"), "_rank")
     size = -(-total // files)
     # one job writes all slices, a task each; the folder lists them in order
     used = -(-total // size)
-    slice_no = F.floor((F.col("_rank") - 1) / size).cast("int")
+    slice_no = F.floor(F.col("_rank") / size).cast("int")
     placed = ranked.repartitionById(used, slice_no).sortWithinPartitions("_rank").select(*[F.col(f"`{c}`") for c in df.columns])
     placed.write.option("parquet.block.size", GROUP_BYTES).parquet(base)
     in_listed_order(spark, base)

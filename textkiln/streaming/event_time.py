@@ -28,8 +28,9 @@ from textkiln.operators.sequence import liquid_gates, segmented_scan
 SLOT_MS = 60_000
 #: Rows of one piece of the buffer; pieces are cut in the order of time.
 PIECE_ROWS = 4096
-#: Buckets of keys; each is one group of the stateful step.
-BUCKETS = 512
+#: Buckets of keys; each is one group of the stateful step, and costs a micro-batch some
+#: dozen calls to the state. The step has so many tasks at most.
+BUCKETS = 128
 _NEVER = -(1 << 62)
 _ROW = np.dtype([("key", "<i8"), ("us", "<i8"), ("id", "<i8"), ("a", "<f8"), ("b", "<f8")])
 _KEY = np.dtype([("h", "<f8"), ("us", "<i8"), ("id", "<i8")])
@@ -38,14 +39,24 @@ _OUT = "key string, event_id long, us long, h double, late boolean"
 
 @contextmanager
 def state_store(spark: SparkSession):
-    """Queries started inside keep their state in RocksDB (list, map and timer state need it)."""
-    name = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    """Queries started inside keep their state in RocksDB (list, map and timer state need it).
+    A commit writes what has changed, not the whole state. Each partition of the state is
+    opened and committed in every micro-batch, however few rows it got, so there are
+    two for each core at most (a query that goes on keeps the number it began with)."""
+    name = "spark.sql.shuffle.partitions"
+    confs = {
+        "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+        "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+        name: str(min(int(spark.conf.get(name)), 2 * spark.sparkContext.defaultParallelism, BUCKETS)),
+    }
+    before = {k: spark.conf.get(k, None) for k in confs}
+    for k, v in confs.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
 class _Reorder(StatefulProcessor):
